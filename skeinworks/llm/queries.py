@@ -5,17 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinworks.llm import bpe
+from skeinworks.llm import bpe, media
 from skeinworks.llm.common import table
 
 #: The vocabulary of the BPE query; any rank file and pattern can be given to the operator.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, ranks_path=RANKS, pattern=PATTERN)
 
 
-QUERIES = {"op8_bpe": op8_bpe}
+QUERIES = {"op1_media": op1_media, "op8_bpe": op8_bpe}
 ORACLES: dict[str, str] = {}
