@@ -3,8 +3,8 @@
 A text is split by a pattern into pre-tokens.  A pre-token that the vocabulary has as a
 whole is one id.  Any other starts as a doubly linked list of bytes; each adjacent pair
 with a rank waits in the bucket of that rank, as the position of its left part.  A bitmap
-with 64-way levels above it says which buckets hold anything, so the lowest rank is found
-by one find-first-set per level.  Merging a pair changes the pairs to its left and right;
+with a level above it says which buckets hold anything, so the lowest rank is found by one
+find-first-set per level.  Merging a pair changes the pairs to its left and right;
 their old entries stay in their buckets and are skipped when they come up ("stale").  Each
 byte costs a bounded number of entries, so a pre-token of n bytes takes O(n log n) time
 at worst and never the n * n of repeated scans.
@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,65 +27,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens kept with their ids by a task, and the longest that is kept; a full table starts anew.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+#: Pre-tokens kept with their ids by a worker, and the longest that is kept; a full table starts anew.
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
 #: Ids (or bytes) at which an output batch is closed.
 BATCH_ITEMS = 2_000_000
 
 
-class BucketQueue:
-    """A priority queue of (rank, position) for ranks below ``size``: lowest rank, then leftmost position, first."""
+class RankQueue:
+    """A priority queue of (rank, position): lowest rank, then leftmost position, first.
+
+    ``buckets[rank]`` holds positions; ``words`` has a bit for each rank whose bucket holds any,
+    256 to a word, and ``top`` a bit for each word that isn't zero.
+    """
+
+    __slots__ = ("buckets", "top", "words")
 
     def __init__(self, size: int):
-        self.levels: list[list[int]] = []
-        while True:
-            size = -(-size // 64)
-            self.levels.append([0] * size)
-            if size <= 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: list[list[int] | None] = [None] * size
+        self.words, self.top = [0] * ((size >> 8) + 1), 0
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
+        bucket = self.buckets[rank]
         if bucket is not None:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
-            was = level[word]
-            level[word] = was | bit
-            if was:
-                break
-            rank = word
-
-    def fill(self, found: dict[int, list[int]]) -> None:
-        """Start from whole buckets."""
-        for rank, positions in found.items():
-            self.push(rank, positions[0])
-            bucket = self.buckets[rank]
-            bucket.extend(positions[1:])
-            heapify(bucket)
-
-    def pop(self) -> tuple[int, int] | None:
-        word = 0
-        if not self.levels[-1][0]:
-            return None
-        for level in reversed(self.levels):
-            bits = level[word]
-            word = (word << 6) | ((bits & -bits).bit_length() - 1)
-        rank, bucket = word, self.buckets[word]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word = at >> 6
-                level[word] &= ~(1 << (at & 63))
-                if level[word]:
-                    break
-                at = word
-        return rank, position
+        word = rank >> 8
+        self.words[word] |= 1 << (rank & 255)
+        self.top |= 1 << word
+
+    def pop(self) -> tuple[int, int]:
+        """Only while ``top`` isn't 0."""
+        top = self.top
+        word = (top & -top).bit_length() - 1
+        bits = self.words[word]
+        rank = (word << 8) + (bits & -bits).bit_length() - 1
+        bucket = self.buckets[rank]
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        self.buckets[rank] = None
+        bits &= bits - 1
+        self.words[word] = bits
+        if not bits:
+            self.top = top & (top - 1)
+        return rank, bucket[0]
+
+
+class _Pairs(dict):
+    """(left id, right id) in one integer to the rank of the joined bytes, -1 where they are no token; filled as needed and bounded."""
+
+    def __init__(self, vocabulary: RankVocabulary):
+        self.tokens, self.ranks = vocabulary.tokens, vocabulary.ranks
+
+    def __missing__(self, key: int) -> int:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        rank = self[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
+        return rank
 
 
 class RankVocabulary:
@@ -98,43 +96,43 @@ class RankVocabulary:
         self.tokens: list[bytes | None] = [None] * self.size
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.of_byte = [self.ranks.get(bytes([b]), -1) for b in range(256)]
+        self.pairs, self.queue = _Pairs(self), RankQueue(self.size)
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        n, pairs, queue = len(piece), self.pairs, self.queue
+        ids = [self.of_byte[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n
-        found: dict[int, list[int]] = {}
+        waits = [-1] * n  # the rank of the pair that begins here, while it can be merged
+        push = queue.push
         for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2])) is not None:
-                pair[i] = rank
-                found.setdefault(rank, []).append(i)
-        queue = BucketQueue(self.size)
-        queue.fill(found)
-        while (lowest := queue.pop()) is not None:
-            rank, left = lowest
-            if pair[left] != rank:
+            rank = pairs[ids[i] << 32 | ids[i + 1]]
+            if rank >= 0:
+                waits[i] = rank
+                push(rank, i)
+        while queue.top:
+            rank, left = queue.pop()
+            if waits[left] != rank:
                 continue  # stale: this pair has changed since
             right = after[left]
-            merged = parts[left] + parts[right]
-            parts[left], parts[right], pair[right] = merged, None, -1
+            ids[left], ids[right], waits[right] = rank, -1, -1
             beyond = after[left] = after[right]
-            pair[left] = -1
             if beyond < n:
                 before[beyond] = left
-                if (rank := ranks.get(merged + parts[beyond])) is not None:
-                    pair[left] = rank
-                    queue.push(rank, left)
-            if (previous := before[left]) >= 0:
-                rank = ranks.get(parts[previous] + merged)
-                pair[previous] = -1 if rank is None else rank
-                if rank is not None:
-                    queue.push(rank, previous)
-        return [ranks[part] for part in parts if part is not None]
+                waits[left] = new = pairs[rank << 32 | ids[beyond]]
+                if new >= 0:
+                    push(new, left)
+            else:
+                waits[left] = -1
+            previous = before[left]
+            if previous >= 0:
+                waits[previous] = new = pairs[ids[previous] << 32 | rank]
+                if new >= 0:
+                    push(new, previous)
+        return [i for i in ids if i >= 0]
 
 
 class _Encoded(dict):
@@ -157,12 +155,18 @@ def _vocabulary(path: str) -> RankVocabulary:
     return RankVocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def _encoded(path: str) -> _Encoded:
+    """One for all tasks of a worker."""
+    return _Encoded(_vocabulary(path))
+
+
 def _with_column(batch: pa.RecordBatch, array: pa.Array, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, array], names=[*batch.schema.names, name])
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, out: str) -> Iterator[pa.RecordBatch]:
-    cache, split = _Encoded(_vocabulary(path)), regex.compile(pattern).findall
+    cache, split = _encoded(path), regex.compile(pattern).findall
     ids_of = cache.__getitem__
 
     for batch in batches:
@@ -193,7 +197,6 @@ def encode(docs: DataFrame, *, ranks_path: str, pattern: str, text: str = "text"
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], path: str, ids: str, out: str) -> Iterator[pa.RecordBatch]:
     vocabulary = _vocabulary(path)
-    lengths = np.array([len(token or b"") for token in vocabulary.tokens], dtype=np.int64)
     token_of = vocabulary.tokens.__getitem__
     for batch in batches:
         column = batch.column(batch.schema.names.index(ids))
@@ -201,7 +204,6 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], path: str, ids: str, out:
         for row, value in enumerate(column):
             found = value.values.to_numpy(zero_copy_only=False) if value.is_valid else np.empty(0, np.int64)
             held.append(b"".join(map(token_of, found.tolist())))
-            assert len(held[-1]) == int(lengths[found].sum())
             size += len(held[-1])
             if size >= 8 * BATCH_ITEMS or row == batch.num_rows - 1:
                 yield _with_column(batch.slice(start, row + 1 - start), pa.array(held, pa.binary()), out)
