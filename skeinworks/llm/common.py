@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +63,15 @@ def sampled(df: DataFrame, bound: int, *keys: str, seed: str = "fit") -> DataFra
         return df
     at = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30))
     return df.where(at < int(bound / n * (1 << 30)))
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], at: int, chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts in column ``at`` come to about ``chars`` bytes, or are one text."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + chars, "right")))
+            yield batch.slice(start, end - start)
+            start = end

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skeinworks.llm import bpe, media
-from skeinworks.llm.common import table
+from skeinworks.llm import bpe, langid, media, warc
+from skeinworks.llm.common import key_crc, table
 
 #: The vocabulary of the BPE query; any rank file and pattern can be given to the operator.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -16,10 +17,21 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = key_crc() % 4 == 2
+    model = langid.fit(docs.where(F.coalesce(~held_out, F.lit(True))))
+    return langid.predict(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), model)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, ranks_path=RANKS, pattern=PATTERN)
 
 
-QUERIES = {"op1_media": op1_media, "op8_bpe": op8_bpe}
+QUERIES = {"op1_media": op1_media, "op2_warc": op2_warc, "op3_langid": op3_langid, "op8_bpe": op8_bpe}
 ORACLES: dict[str, str] = {}
