@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.llm import bpe, langid, media, warc
+from skeinworks.llm import ann, bpe, langid, media, warc
 from skeinworks.llm.common import key_crc, table
 
 #: The vocabulary of the BPE query; any rank file and pattern can be given to the operator.
@@ -28,10 +28,14 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), model)
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, ranks_path=RANKS, pattern=PATTERN)
 
 
-QUERIES = {"op1_media": op1_media, "op2_warc": op2_warc, "op3_langid": op3_langid, "op8_bpe": op8_bpe}
+QUERIES = {"op1_media": op1_media, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_ann": op4_ann, "op8_bpe": op8_bpe}
 ORACLES: dict[str, str] = {}
