@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.llm import ann, bpe, langid, linededup, media, mixing, warc
+from skeinworks.llm import ann, bpe, langid, linededup, media, mixing, simhash, warc
 from skeinworks.llm.common import key_crc, table
 
 #: The vocabulary of the BPE query; any rank file and pattern can be given to the operator.
@@ -36,6 +36,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, ranks_path=RANKS, pattern=PATTERN)
@@ -46,5 +51,5 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_templates(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {"op1_media": op1_media, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_ann": op4_ann, "op6_mixing": op6_mixing, "op9_linededup": op9_linededup, "op8_bpe": op8_bpe}
+QUERIES = {"op1_media": op1_media, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_ann": op4_ann, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_linededup": op9_linededup, "op8_bpe": op8_bpe}
 ORACLES = {"op6_mixing": mixing.ORACLE, "op9_linededup": linededup.ORACLE}
