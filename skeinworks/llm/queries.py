@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.llm import ann, bpe, langid, linededup, media, mixing, simhash, warc
+from skeinworks.llm import ann, bpe, langid, linededup, media, mixing, pii, quality, simhash, warc
 from skeinworks.llm.common import key_crc, table
 
 #: The vocabulary of the BPE query; any rank file and pattern can be given to the operator.
@@ -32,6 +32,11 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.counted(pii.find(docs, pii.fit(docs)))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,5 +56,13 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_templates(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {"op1_media": op1_media, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_ann": op4_ann, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_linededup": op9_linededup, "op8_bpe": op8_bpe}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = key_crc() % 3 == 1
+    model = quality.fit(docs, labels.where(~held_out))
+    found = quality.scored(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_media": op1_media, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_linededup": op9_linededup, "op10_quality": op10_quality, "op8_bpe": op8_bpe}
 ORACLES = {"op6_mixing": mixing.ORACLE, "op9_linededup": linededup.ORACLE}
