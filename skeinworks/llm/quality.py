@@ -144,10 +144,11 @@ def scored(docs: DataFrame, model: QualityModel, *, text: str = "text", out: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(out)
     others = [c for c in docs.columns if keep_text or c != text]
+    at = others.index(text) if keep_text else len(others)
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, len(others)):
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(shared.value.score(part.column(len(others))))], names=schema.names)
+        for part in text_slices(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(shared.value.score(part.column(at)))], names=schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in [*others, text][: max(at + 1, len(others))])).mapInArrow(run, schema)

@@ -5,11 +5,12 @@ Documents of one fingerprint are one row from there on.
 
 For every fingerprint the Hamming distances to ``PIVOTS`` reference fingerprints are read
 off precomputed tables, block by block of the 64 bits.  Two fingerprints that differ in at most
-``bits`` bits differ in at most as many of ``bits + 3`` blocks, so in three blocks at least all
+``sure`` bits differ in at most as many of ``sure + 3`` blocks, so in three blocks at least all
 their partial distances agree: rows meet by the partial distances of each three blocks.
 Where rows meet, pairs are discarded if any whole distance to a pivot differs by more than
-``bits`` (the triangle inequality), and the survivors are verified.  Nothing is lost: the
-keys and the discarding follow from the distances alone.
+``bits`` (the triangle inequality), and the survivors are verified.  With ``sure`` = ``bits``,
+the default, nothing is lost: the keys and the discarding follow from the distances alone.
+A smaller ``sure`` needs fewer keys and finds most, not all, pairs between the two numbers.
 
 A meeting emits its links as stars, not pairs, and very large ones are searched by flipping
 bits instead of in pairs, so copies and near copies in any number stay cheap.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,15 @@ from skeinworks.llm.components import components
 PIVOTS, AGREEING = 16, 3
 #: Hashes that are counted at once.
 COUNT_AT_ONCE = 1 << 16
-#: Fingerprints compared in pairs at once; a larger meeting is searched bit by bit.
-PAIRS_UPTO = 1024
+#: Pairs that take as long to compare as one round of flipped bits for one fingerprint.
+PAIRS_PER_FLIP = 50
 
 
 # ---- fingerprints ----
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text in UTF-8: A-Z in lower case, words between ASCII white space, shingles of ``shingle`` words with repeats (fewer words: all of them), XXH64; 0 for no words."""
+def fingerprint(text: bytes, shingle: int = 3, repeats: bool = True, seed: int = 42) -> int:
+    """The SimHash of a text in UTF-8: A-Z in lower case, words between ASCII white space, shingles of ``shingle`` words (fewer words: all of them), counted as often as they occur or once, XXH64; 0 for no words."""
     words = text.lower().split()
     n = len(words) - shingle + 1
     if not words:
@@ -53,21 +55,24 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends, digest = ends[shingle - 1 :].tolist(), xxhash.xxh64_intdigest
+    hashes_of = (np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + COUNT_AT_ONCE], ends[at : at + COUNT_AT_ONCE], strict=True)], "<u8") for at in range(0, n, COUNT_AT_ONCE))
+    if not repeats:
+        once = np.unique(np.concatenate(list(hashes_of)))
+        n, hashes_of = len(once), (once[at : at + COUNT_AT_ONCE] for at in range(0, len(once), COUNT_AT_ONCE))
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, COUNT_AT_ONCE):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + COUNT_AT_ONCE], ends[at : at + COUNT_AT_ONCE], strict=True)], "<u8")
+    for hashes in hashes_of:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 3, out: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 3, repeats: bool = True, out: str = "fp") -> DataFrame:
     """``docs`` without ``text``, with the fingerprint as a signed long."""
     others = [c for c in docs.columns if c not in (text, out)]
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(len(others))], np.uint64)
+            found = np.array([fingerprint(x.as_py(), shingle, repeats) for x in batch.column(len(others))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(found.view(np.int64))], names=schema.names)
 
     return docs.select(*(F.col(f"`{c}`") for c in others), text_or_empty(text).cast("binary").alias("__text")).mapInArrow(run, schema)
@@ -83,10 +88,10 @@ def distance(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 class PivotTables:
     """Distances of any fingerprint to the pivots, by blocks of bits."""
 
-    def __init__(self, bits: int, pivots: int = PIVOTS):
+    def __init__(self, bits: int, sure: int, pivots: int = PIVOTS):
         rng = np.random.default_rng(11)
         self.bits, self.pivots = bits, rng.integers(0, 1 << 64, pivots, dtype=np.uint64)
-        n = bits + AGREEING
+        n = sure + AGREEING
         edges = [64 * i // n for i in range(n + 1)]
         self.blocks = [(np.uint64(lo), np.uint64((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
         self.tables = [distance(np.arange(int(mask) + 1, dtype=np.uint64)[:, None], (self.pivots >> shift & mask)[None, :]) for shift, mask in self.blocks]
@@ -156,9 +161,9 @@ def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
-def links(distinct: DataFrame, bits: int) -> DataFrame:
-    """(a, b) for a column ``fp`` of distinct fingerprints: links that give the same components as all pairs that differ in at most ``bits`` bits."""
-    tables = PivotTables(bits)
+def links(distinct: DataFrame, bits: int, sure: int | None = None) -> DataFrame:
+    """(a, b) for a column ``fp`` of distinct fingerprints: links that give the same components as all pairs found that differ in at most ``bits`` bits."""
+    tables = PivotTables(bits, bits if sure is None else min(bits, sure))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +175,9 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
         fps = np.unique(fps)
         if len(fps) < 2:
             return np.empty((0, 2), np.uint64)
-        pairs = [tables.survivors(fps)] if len(fps) <= PAIRS_UPTO else flipped_links(fps, bits)
+        varying = int(np.bitwise_or.reduce(fps ^ fps[0])).bit_count()
+        flips = sum(comb(varying, k) for k in range(1, bits + 1))
+        pairs = [tables.survivors(fps)] if len(fps) <= PAIRS_PER_FLIP * flips else flipped_links(fps, bits)
         root = stars(len(fps), iter(pairs))
         at = np.flatnonzero(root != np.arange(len(fps)))
         return np.stack([fps[at], fps[root[at]]], axis=1)
@@ -199,16 +206,16 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, repeats: bool = True, bits: int = 2, sure: int | None = None) -> DataFrame:
     """``key``, ``fp`` (a signed long), ``component_id``: the smallest key that can be reached over links of at most ``bits`` differing bits.
 
     A row for each row of ``docs``; other columns are not read.  A null or empty text has the
     fingerprint 0 and is linked like any other.  A null key is no one's component, so rows that
     reach only null keys have null.  An empty table gives an empty result.
     """
-    rows = written(fingerprints(docs.select(F.col(key).alias("key"), text), text=text, shingle=shingle), "fingerprints")
+    rows = written(fingerprints(docs.select(F.col(key).alias("key"), text), text=text, shingle=shingle, repeats=repeats), "fingerprints")
     groups = rows.groupBy("fp").agg(F.min("key").alias("least"))
-    roots = components(links(groups, bits))
+    roots = components(links(groups, bits, sure))
     rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
