@@ -1,0 +1,602 @@
+"""The operators on small rows: brute force, round trips, and the cases that tables hold."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import io
+import json
+import re
+import struct
+import zlib
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+import public_tokenizers
+import tiktoken
+import xxhash
+import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from skeinworks.llm import ann, bpe, langid, linededup, media, mixing, pii, quality, queries, simhash, warc
+from skeinworks.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Ids, texts and sources that every operator on documents has to take: null, empty, long, repeated, odd.
+ODD = [
+    (0, None, None, None, None),
+    (1, "", "en", "a", 0),
+    (2, "   \n\t ", "en", "a", 6),
+    (3, "word " * 40_000, "en", "b", 200_000),
+    (4, "The same text, twice over, in five rows.", "en", "b", 40),
+    (4, "The same text, twice over, in five rows.", "en", "b", 40),
+    (5, "The same text, twice over, in five rows.", "fr", None, 40),
+    (None, "The same text, twice over, in five rows.", None, "a", 40),
+    (6, "x" * 50_000, "en", "a", 50_000),
+    (7, "ünïcode 😀   line\r\nend \x00 nul", "de", "c", 30),
+    (8, "mail me: a.b@c.de or 10.0.0.1 or +1 (234) 567-8901 or 4111 1111 1111 1111", "en", "c", 70),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS).repartition(3)
+
+
+def keyed(rows, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in rows), key=repr)
+
+
+# ---- 1: media ----
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.binary(max_size=2000))
+def test_png_round_trip(raw):
+    samples, n = media.decode_png(media.encode_png(raw))
+    stored = samples.tobytes()
+    assert n == len(raw) and stored[:n] == raw and len(stored) % 192 == 0 and len(stored) >= 192 and set(stored[n:]) <= {32}
+
+
+def test_damaged_image():
+    stored = bytearray(media.encode_png(b"abc"))
+    stored[50] ^= 1
+    with pytest.raises(ValueError):
+        media.decode_png(bytes(stored))
+
+
+def test_media_digests(odd):
+    got = media.media_digests(odd.withColumn("payload", F.lit(1)).withColumn("key", F.lit(2))).collect()
+    assert len(got) == len(ODD)
+    want = []
+    for doc_id, text, *_ in ODD:
+        raw = (text or "").encode()
+        padded = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        want.append((doc_id, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:])))
+    assert keyed(got, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(want, key=repr)
+    same = {(r.media_sha256, r.feature) for r in got if r.n_bytes == 40}
+    assert len(same) == 1
+
+
+def test_ranges_tile_archives(spark, odd, tmp_path):
+    where = f"file://{tmp_path}/archives"
+    media.write_archives(odd.select("doc_id", F.encode("text", "UTF-8").alias("raw")), where, key="doc_id", payload="raw")
+    whole = media.read_archives(spark, where)
+    small = media.read_archives(spark, where, rangeBytes="300", batchBytes="100")
+    assert small.rdd.getNumPartitions() > whole.rdd.getNumPartitions()
+    assert keyed(small.collect(), "archive", "offset", "member", "payload") == keyed(whole.collect(), "archive", "offset", "member", "payload")
+    assert whole.count() == len(ODD)
+
+
+def test_members_are_retried_alone(spark, odd, tmp_path, monkeypatch):
+    where = f"file://{tmp_path}/archives"
+    media.write_archives(odd.select("doc_id", F.encode("text", "UTF-8").alias("raw")), where, key="doc_id", payload="raw")
+    reader = media.ArchiveReader({"path": where, "rangebytes": str(1 << 30)})
+    honest, calls = media._payload, []
+
+    def flaky(read_at, base, blob, info):
+        calls.append((info.header_offset, blob is None))
+        if blob is not None or sum(c == calls[-1] for c in calls) < 3:
+            raise media.DamagedMember("flaky")
+        return honest(read_at, base, blob, info)
+
+    monkeypatch.setattr(media, "_payload", flaky)
+    got = [p.as_py() for part in reader.partitions() for batch in reader.read(part) for p in batch.column(3)]
+    assert len(got) == len(ODD)
+    reader.retries = 2
+    calls.clear()
+    with pytest.raises(media.DamagedMember):
+        list(reader.read(reader.partitions()[0]))
+
+
+# ---- 2: WARC ----
+
+PAGES = "page_id long, url string, html string, extra string"
+PAGE_ROWS = [(0, "http://a", "x", None), (1, None, "y" * 5000, None), (2, "u r\nl", "x", None), (3, "", None, None), (4, "", "", None), (None, "n", "x", None), (5, "r", "rep", None), (5, "r", "rep", None), (6, "z", "é" * 70_000, "e")]
+
+
+def test_pages_come_back(spark):
+    got = warc.archived_pages(spark.createDataFrame(PAGE_ROWS, PAGES).repartition(2))
+    newest = {}
+    for page, _, html, _ in PAGE_ROWS:
+        newest[html or ""] = max(newest.get(html or "", -1), -1 if page is None else page)
+    want = []
+    for page, _, html, _ in PAGE_ROWS:
+        raw, top = (html or "").encode(), newest[html or ""]
+        first = page == top
+        want.append((page, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first else "revisit", None if first else top))
+    assert keyed(got.collect(), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=repr)
+    none = warc.archived_pages(spark.createDataFrame([], PAGES))
+    assert none.count() == 0
+
+
+def test_small_payloads_stay_responses(spark):
+    rows = warc.with_originals(spark.createDataFrame(PAGE_ROWS, PAGES), least_bytes=2).collect()
+    assert {r.page for r in rows if r.refers_to is not None} == set()
+
+
+def test_archive_is_plain_zstandard(spark, tmp_path):
+    where = f"file://{tmp_path}/w"
+    rows = [(i, f"http://h/{i}", f"<html><body>page number {i} of many, all alike</body></html>") for i in range(300)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), where)
+    raw = next(Path(tmp_path, "w").glob("*.warc.zst")).read_bytes()
+    magic, size = struct.unpack("<II", raw[:8])
+    assert magic == 0x184D2A5D and size > 0
+    offsets = [at for at, _ in warc.read_frames(io.BytesIO(raw))]
+    assert len(offsets) == 300
+    alone = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size])).decompress(raw[offsets[7] :])
+    fields, block = warc.parse_record(alone)
+    assert fields["warc-type"] == "response" and b"page number" in block
+    with pytest.raises(ValueError):
+        list(warc.read_frames(io.BytesIO(raw[:-5])))
+
+
+# ---- 3: languages ----
+
+
+def test_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.where("doc_id % 2 = 0"), fit_rows=10_000)
+    got = langid.predict(docs.where("doc_id % 2 = 1").select("doc_id", "lang", "text"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+    assert all(0 <= r.score <= 1 for r in got)
+    rows = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 !?", "x"), (4, "the thing and that", "x"), (5, "Z" * 100_000, "x")], "doc_id long, text string, score string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(rows, model).collect()}
+    assert found[1] == found[2] == found[3] == ("und", 0.0)
+    assert found[4][0] == "en" and found[5][0] in model.languages
+
+
+def test_no_languages(spark):
+    docs = spark.createDataFrame(ODD, DOCS)
+    model = langid.fit(docs.where("lang IS NULL"))
+    assert {(r.lang_pred, r.score) for r in langid.predict(docs.select("doc_id", "text"), model).collect()} == {("und", 0.0)}
+
+
+def test_backoff_goes_down():
+    model = langid.LanguageModel(["a", "b"], {"known": 0}, np.array([[-1.0, -9.0]], np.float32), [{"z": 0}, {}, {"xyz": 0}, {}, {}], [np.array([[-3.0, -4.0]], np.float32), None, np.array([[-7.0, -6.0]], np.float32), None, None])
+    assert model.backoff("wxyzw").tolist() == [-7, -6] and model.backoff("zzz").tolist() == [-3, -4] and model.backoff("qq").tolist() == [0, 0]
+    assert model.score(pa.array(["known", "known wxyz", None]))[0] == ["a", "a", "und"]
+
+
+# ---- 4: neighbours ----
+
+
+def neighbours(vectors, k=20, every=20):
+    out = {}
+    for q, v in vectors.items():
+        if q % every == 0:
+            found = sorted(((-float((np.array(v) * np.array(w)).sum()), i) for i, w in vectors.items() if i != q))
+            out[q] = [i for _, i in found[:k]]
+    return out
+
+
+def test_small_tables_are_searched_whole(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want = neighbours({r.vec_id: r.embedding for r in rows.collect()})
+    got = ann.search(rows).collect()
+    assert len(got) == 20 * len(want) and all(r.vec_id in want[r.query_id] for r in got)
+
+
+def test_recall_where_part_is_probed(spark):
+    """With the parameters of the query, on a table beyond the number of vectors that is always probed."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(10, 64))
+    vectors = centres[rng.integers(0, 10, 9000)] * 0.5 + rng.normal(size=(9000, 64))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = ann.search(rows).collect()
+    exact = vectors.astype(np.float64)
+    want = {}
+    for q in range(0, 9000, 20):
+        scores = exact @ exact[q]
+        scores[q] = -np.inf
+        want[q] = set(np.argsort(-scores, kind="stable")[:20].tolist())
+    assert len(got) == 20 * len(want)
+    assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * len(got)
+    assert max(abs(r.score - float((exact[r.query_id] * exact[r.vec_id]).sum())) for r in got) == 0
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = {i: [1.0, float(i % 5), 2.0] for i in range(1, 60)} | {20: [3.0, 1.0, 1.0], 0: [1.0, 1.0, 1.0]}
+    bad = [(100, None), (101, [0.0, 0.0, 0.0]), (102, [nan, 1.0, 1.0]), (103, [inf, 1.0, 1.0]), (104, [1.0, None, 1.0]), (None, [1.0, 1.0, 1.0]), (105, [1.0]), (120, [0.0, 0.0, 0.0])]
+    rows = [*vectors.items(), (7, vectors[7]), *bad]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x")), least=1, share=1.0)
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == neighbours(vectors)
+
+
+def test_few_or_no_vectors(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert ann.search(spark.createDataFrame([], schema)).count() == 0
+    assert ann.search(spark.createDataFrame([(0, [1.0, 2.0])], schema)).count() == 0
+    got = ann.search(spark.createDataFrame([(0, [1.0, 2.0]), (3, [1.0, 1.0])], schema)).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 3, 3.0)]
+
+
+def test_large_cells_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 3)
+    vectors = {i: [1.0 + i / 1000, 1.0] for i in range(50)}
+    got = ann.search(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>"), k=5)
+    want = neighbours({k: np.array(v, np.float32).astype(float) for k, v in vectors.items()}, k=5)
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == want
+
+
+def test_probes_come_by_summed_shortfall():
+    rng = np.random.default_rng(0)
+    index = ann.MultiIndex(rng.normal(size=(5, 2)), rng.normal(size=(4, 3)), np.ones(20, np.int64))
+    q = rng.normal(size=5)
+    sums = (q[:2] @ index.first.T)[:, None] + (q[2:] @ index.second.T)[None, :]
+    assert index.probe(q, 20) == np.argsort(-sums.ravel(), kind="stable").tolist()
+
+
+# ---- 5: personal data ----
+
+
+def scanned(text):
+    """The spans by the patterns as they are stated."""
+    def ok_luhn(d):
+        total = 0
+        for i, c in enumerate(reversed(d)):
+            v = int(c) * (1 + i % 2)
+            total += v - 9 * (v > 9)
+        return total % 10 == 0
+
+    out = [(1, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(2, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(digits) <= 19 and ok_luhn(digits):
+            out.append((3, *m.span()))
+    out += [(4, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("ab.@-+()1245 .9", max_size=60))
+def test_base_spans_are_the_patterns(text):
+    assert pii.base_spans(text) == scanned(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111 1111 1111", "4111111111111112", "a@b.c", "@x.y", "a@b.c@d.e", "1.2.3.4", "256.1.1.1", "0001.2.3.4.5", "+1 (234) 567-8901", "+12", " ", "x", "."]), max_size=8))
+def test_base_spans_of_near_misses(parts):
+    assert pii.base_spans("".join(parts)) == scanned("".join(parts))
+
+
+def test_long_runs_are_linear():
+    for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" * 100_000, "a@" * 100_000):
+        pii.base_spans(text)
+
+
+def test_repeats_are_labelled_alike(spark):
+    docs = spark.createDataFrame(ODD, DOCS).union(spark.read.parquet(f"{SF}/documents.parquet").select(*(c.split()[0] for c in DOCS.split(", "))))
+    field = pii.fit(docs)
+    text = "Write to jane.roe@example.org today. Later jane.roe wrote again; the office is 4111.1111.1111.1111 and the card 4111 1111 1111 1111. Room 12."
+    (base, added) = pii.tag([text], field)[0]
+    assert base == scanned(text)
+    named = {(pii.LABELS[k], text[a:b]) for k, a, b in added}
+    assert ("email", "jane.roe") in named and ("card", "4111.1111.1111.1111") in named
+    assert not any("12" == t for _, t in named)
+
+
+def test_messages_agree_with_enumeration():
+    rng = np.random.default_rng(1)
+    field = pii.Field(np.zeros((pii.FEATURES, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
+    scores, chain, skip = rng.normal(size=(3, 5)), np.array([[0, 1]]), np.array([[1, 2]])
+    joint = np.exp(scores[0][:, None, None] + scores[1][None, :, None] + scores[2][None, None, :] + field.chain[:, :, None] + field.skip[None, :, :])
+    joint /= joint.sum()
+    want = np.stack([joint.sum(axis=(1, 2)), joint.sum(axis=(0, 2)), joint.sum(axis=(0, 1))])
+    assert np.allclose(field.marginals(scores, chain, skip), want, atol=1e-4)
+
+
+def test_pii_rows(spark, odd):
+    got = pii.counted(pii.find(odd.select("doc_id", "text"), pii.fit(odd))).collect()
+    assert len(got) == len(ODD)
+    row = next(r for r in got if r.doc_id == 8)
+    listed = ",".join(f"{pii.LABELS[k]}:{a}:{b}" for k, a, b in scanned(ODD[-1][1]))
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 1)
+    assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and row.spans.startswith("email:")
+    empty = spark.createDataFrame([], DOCS)
+    assert pii.find(empty.select("doc_id", "text"), pii.fit(empty)).count() == 0
+
+
+# ---- 6: mixing ----
+
+
+def test_targets_by_hand(spark):
+    sizes = [("a", 10), ("b", 1000), ("c", 100), (None, 50), ("d", 0)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    names, weights = ["a", "b", "c", "d", None], dict(zip(["a", "b", "c", "d", None], [5, 2, 1, 5, 2], strict=True))
+    most, left, full = {s: 3 * n for s, n in sizes}, 1160.0, set()
+    while True:
+        level = left / sum(weights[s] for s in names if s not in full)
+        over = {s for s in names if s not in full and weights[s] * level > most[s]}
+        if not over:
+            break
+        full |= over
+        left = 1160 - sum(most[s] for s in full)
+    for s in names:
+        assert got[s] == pytest.approx(most[s] if s in full else weights[s] * level)
+    assert sum(got.values()) == pytest.approx(1160)
+
+
+def test_mix_of_odd_documents(odd):
+    got = mixing.mix(odd).collect()
+    assert len(got) == len(ODD) and all(0 <= r.taken <= 3 * r.size for r in got)
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    for s in target:
+        assert taken[s] == pytest.approx(target[s], abs=3)
+    assert keyed(got, "doc_id", "taken") == keyed(mixing.mix(odd.repartition(5)).collect(), "doc_id", "taken")
+
+
+def test_mix_of_nothing(spark):
+    assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
+    wordless = mixing.mix(spark.createDataFrame([(1, None, None, "a", 0), (2, " ", None, "b", 0)], DOCS)).collect()
+    assert {(r.size, r.target, r.taken) for r in wordless} == {(0, 0.0, 0)}
+
+
+def test_ranges_and_chunks_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = keyed(mixing.mix(docs).collect(), "doc_id", "taken")
+    monkeypatch.setattr(mixing, "RANGE_DOCS", 7)
+    monkeypatch.setattr(mixing, "CHUNK_SLOTS", 100)
+    assert keyed(mixing.mix(docs).collect(), "doc_id", "taken") == want
+
+
+# ---- 7: SimHash ----
+
+
+def slow_fingerprint(text, k=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    shingles = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("aBÉ \n\x0b ", max_size=40))
+def test_fingerprint(text):
+    assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
+
+
+def brute_components(fps, bits):
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= bits:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize(("bits", "ratio"), [(2, 50), (2, 0), (3, 50)])
+def test_links_lose_nothing(spark, monkeypatch, bits, ratio):
+    monkeypatch.setattr(simhash, "PAIRS_PER_FLIP", ratio)
+    rng = np.random.default_rng(bits)
+    fps = []
+    for _ in range(40):
+        near = int(rng.integers(0, 1 << 63))
+        for _ in range(12):
+            fps.append(near)
+            near ^= int(np.bitwise_or.reduce(1 << rng.integers(0, 63, rng.integers(1, 6))))
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = {r.node: r.root for r in components(simhash.links(df, bits)).collect()}
+    want = brute_components(fps, bits)
+    assert [found.get(f, f) for f in fps] == [fps[w] for w in want]
+
+
+def test_components_of_a_long_chain(spark):
+    n = 200
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(500, 501), (7, 7)], "a long, b long")
+    got = {r.node: r.root for r in components(chain).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | {500: 500, 501: 500}
+    assert components(chain.where("a < 0")).count() == 0
+
+
+def test_near_duplicates_of_odd_documents(odd):
+    got = simhash.near_duplicates(odd.withColumn("fp", F.lit("x"))).collect()
+    assert len(got) == len(ODD)
+    named = {r.doc_id: r.component_id for r in got}
+    assert named[5] == named[4] == named[None] == 4 and named[2] == named[1] == named[0] == 0
+    assert {r.fp for r in got if r.doc_id == 1} == {0}
+
+
+# ---- 8: BPE ----
+
+RANKS, PATTERN = queries.RANKS, queries.PATTERN
+TIKTOKEN = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.RankVocabulary(RANKS).ranks, special_tokens={})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=80) | st.text("ab \n'", max_size=300))
+def test_ids_are_tiktokens(text):
+    import regex
+
+    vocabulary = bpe._vocabulary(RANKS)
+    ids = [i for p in regex.findall(PATTERN, text) for i in vocabulary.encode(p.encode())]
+    assert ids == TIKTOKEN.encode_ordinary(text)
+
+
+def test_documents_round_trip(odd):
+    both = bpe.decode(bpe.encode(odd, ranks_path=RANKS, pattern=PATTERN), ranks_path=RANKS).collect()
+    for r in both:
+        assert list(r.token_ids) == TIKTOKEN.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "")
+    got = bpe.digests(odd.select("doc_id", "text").withColumn("n_tokens", F.lit("x")), ranks_path=RANKS, pattern=PATTERN).collect()
+    ids = TIKTOKEN.encode_ordinary(ODD[4][1])
+    row = next(r for r in got if r.doc_id == 4)
+    assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    empty = next(r for r in got if r.doc_id == 0)
+    assert empty.n_tokens == 0 and empty.decoded_sha256 == empty.ids_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_special_tokens_are_text():
+    text = "<|endoftext|>"
+    import regex
+
+    assert [i for p in regex.findall(PATTERN, text) for i in bpe._vocabulary(RANKS).encode(p.encode())] == TIKTOKEN.encode_ordinary(text)
+
+
+def test_queue_order():
+    queue = bpe.RankQueue(70_000)
+    items = [(r, p) for r in (5, 69_999, 256, 255, 5, 300) for p in (9, 2, 4)]
+    for item in items:
+        queue.push(*item)
+    got = []
+    while queue.top:
+        got.append(queue.pop())
+    assert got == sorted(items)
+
+
+# ---- 9: lines ----
+
+
+def brute_lines(docs, least_docs):
+    def keys(line):
+        tokens = [t for t in re.split(r"[\x20\x09-\x0D]+", re.sub(r"[^0-9\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", line)) if t]
+        n = len(tokens)
+        if n < linededup.LEAST_TOKENS:
+            return []
+        out = [("all", n, tuple(tokens))]
+        if n >= linededup.LEAST_PARTED:
+            at = [linededup.LEADING + (n - linededup.LEADING) * k // linededup.PARTS for k in range(linededup.PARTS + 1)]
+            out += [(k, n, tuple(tokens[: at[k]]), tuple(tokens[at[k + 1] :])) for k in range(linededup.PARTS)]
+        return out
+
+    seen = {}
+    for doc in {(i, t) for i, t in docs if t is not None}:
+        for line in doc[1].split("\n"):
+            for key in keys(line):
+                seen.setdefault(key, set()).add(doc)
+    gone = {k: min(v, key=lambda d: (d[0] is not None, d[0])) for k, v in seen.items() if len(v) >= least_docs}
+    out = []
+    for doc in docs:
+        if doc[1] is None:
+            out.append((doc[0], None, 0, 0))
+            continue
+        lines = doc[1].split("\n")
+        kept = [x for x in lines if all(gone.get(k, doc) == doc for k in keys(x))]
+        out.append((doc[0], "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(out, key=repr)
+
+
+def test_recurring_lines(spark):
+    frame = "the quick brown fox jumps over the lazy dog and then it {} home again"
+    docs = [(i, f"own line {i} of some document\n{frame.format(w)}\nPage {i} of 99 in this book\nshort one") for i, w in enumerate(["went", "ran", "walked", "drove"])]
+    docs += [(9, None), (10, ""), (11, "a line that nobody else has here"), (12, "\n\n"), (13, "tabs\tand  spaces   in a line 7 x"), (14, "tabs and spaces in a line 8 x")]
+    docs += [docs[0], (None, docs[1][1])]
+    rows = spark.createDataFrame([(i, t, 5) for i, t in docs], "doc_id long, text string, n_dropped int")
+    for least in (2, 3):
+        got = linededup.without_templates(rows, least_docs=least).collect()
+        assert keyed(got, "doc_id", "text", "n_lines", "n_dropped") == brute_lines(docs, least)
+    assert linededup.without_templates(rows.where("doc_id < 0")).count() == 0
+
+
+# ---- 10: quality ----
+
+
+def test_quality_of_held_out_documents(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op10_quality(spark, SF).collect()}
+    held = [(got[r.doc_id].predicted, r.quality) for r in labels.collect() if got[r.doc_id].held_out]
+    assert len(held) >= 10 and sum(a == b for a, b in held) >= 0.9 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values()) and len(got) == 200
+
+
+def test_quality_of_odd_documents(spark, odd):
+    labels = spark.createDataFrame([(4, 1), (6, 0), (1, 0), (None, 1), (8, None), (99, 1)], "doc_id long, quality int")
+    model = quality.fit(odd, labels)
+    got = quality.scored(odd.withColumn("score", F.lit("x")), model).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id in (4, 5)}) == 1
+    none = quality.scored(odd, quality.fit(odd, labels.where("doc_id < 0"))).collect()
+    assert {r.score for r in none} == {0.5}
+    assert quality.scored(odd.where("doc_id < 0"), model).count() == 0
+
+
+# ---- queries, SQL and the pipeline ----
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, SF)
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names
+    plain = lambda v: float(f"{v:.9g}") if isinstance(v, float) else v
+    theirs = sorted((tuple(plain(r[want.columns.index(c)]) for c in names) for r in want.fetchall()), key=repr)
+    assert sorted((tuple(plain(r[c]) for c in names) for r in got.collect()), key=repr) == theirs
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = cp.good_documents(spark, docs, SF)
+    assert good.columns == docs.columns
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {r.doc_id for r in good.select("doc_id").collect()}
+    assert all((d in kept) == bool(q) for d, q in labels.items())
+    lines = cp.without_templates(spark, good, SF)
+    assert lines.columns == docs.columns and lines.count() == good.count()
+    copies = [(d, t, "en", "s", 1) for d, t in ((1, "one two three four five six"), (2, "one two three four five six"), (2, "one two three four five six"), (3, "a wholly different text stands here instead"), (None, "no id but words of its own to keep"), (4, None), (5, ""))]
+    single = cp.one_of_each(spark, spark.createDataFrame(copies, docs.schema), SF)
+    assert sorted((r.doc_id for r in single.collect()), key=repr) == [1, 3, 4, None]
+    mixed = cp.mixed(spark, docs, SF)
+    assert mixed.columns == docs.columns and max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 3
+    last = cp.encoded(spark, spark.createDataFrame(copies, docs.schema), SF).collect()
+    assert len(last) == len(copies) and all(r.exact and r.n_tokens == len(r.token_ids) for r in last)
+
+
+def test_pipeline_runs(spark):
+    import corpus_pipeline as cp
+
+    assert [s for s, _ in cp.STAGES] == ["quality", "line dedup", "near dedup", "mixing", "byte-level BPE"]
+    assert cp.run(spark, SF).count() > 50
