@@ -2,8 +2,8 @@
 
 A line is parsed by a tree of fixed depth: the number of its tokens, then its leading tokens;
 a token with a digit is a variable field.  What remains below a leaf is compared in
-quarters: besides the line as it is, four templates leave out one quarter of the tokens each,
-so lines that differ in one stretch share a template too.  A template found in enough
+thirds: besides the line as it is, three templates leave out one third of its tokens each, so
+lines that differ in one stretch share a template too.  A template found in enough
 documents recurs; its lines are dropped, but for those of the first document that has it.
 
 All work is DataFrame expressions over hashes of lines; a frequent line is one row for each
@@ -12,31 +12,46 @@ document before it meets the others, and only documents that lose lines are rebu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.common import written
 
-#: Leading tokens in the tree; tokens of a line that can be dropped, and of one with quarters, at least; documents of a recurring template, at least.
-LEADING, LEAST_TOKENS, LEAST_QUARTERED, LEAST_DOCS = 3, 5, 12, 5
+#: Leading tokens in the tree, and parts of the others, one of which a template may leave out.
+LEADING, PARTS = 3, 3
+#: Tokens of a line that can be dropped, and of one that is cut in parts, at least; documents of a recurring template, at least.
+LEAST_TOKENS, LEAST_PARTED, LEAST_DOCS = 5, 12, 5
 VARIABLE = "<*>"
 
 
 def templates(lines: DataFrame, *, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """``lines`` with ``line`` replaced by ``keys``, the hashes of its templates: none, one, or five."""
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+", VARIABLE)).otherwise(F.col("line"))
-    tokens = F.filter(F.split(masked, r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    rows = lines.withColumn("tokens", tokens).withColumn("n", F.size("tokens"))
-    leaf = F.slice("tokens", 1, LEADING)
-    quarter = [F.xxhash64(F.lit(q), "n", leaf, F.slice("tokens", 1, _edge(q)), F.slice("tokens", _edge(q + 1) + 1, F.col("n"))) for q in range(4)]
-    whole = F.xxhash64(F.lit(4), "n", leaf, "tokens")
-    keys = F.when(F.col("n") >= max(least_tokens, LEAST_QUARTERED), F.array(whole, *quarter)).when(F.col("n") >= least_tokens, F.array(whole)).otherwise(F.array().cast("array<bigint>"))
-    return rows.withColumn("keys", keys).drop("line", "tokens", "n")
+    """``lines`` with ``line`` replaced by ``keys``, the hashes of its templates: none, one, or four.
+
+    Tokens are counted and cut at single spaces, so only lines with digits or other white space are rewritten first.
+    """
+    line = F.col("line")
+    odd = line.rlike(r"[0-9\x09-\x0D]") | line.contains("  ")
+    tidy = F.regexp_replace(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), r"[^0-9\x20]*+[0-9][^\x20]*+", VARIABLE)
+    rows = lines.withColumn("line", F.trim(F.when(odd, tidy).otherwise(line)))
+    rows = rows.withColumn("n", F.when(line == "", 0).otherwise(F.size(F.split(line, " "))))
+    parts = [F.xxhash64(F.lit(k), "n", _head(LEADING if k == 0 else _edge(k)), _tail(_edge(k + 1))) for k in range(PARTS)]
+    whole = F.xxhash64(F.lit(PARTS), "n", "line")
+    keys = F.when(F.col("n") >= max(least_tokens, LEAST_PARTED), F.array(whole, *parts)).when(F.col("n") >= least_tokens, F.array(whole)).otherwise(F.array().cast("array<bigint>"))
+    return rows.withColumn("keys", keys).drop("line", "n")
+
+
+def _edge(k: int) -> Column:
+    """Tokens before part ``k`` of those that follow the leading ones."""
+    return (F.lit(LEADING) + F.floor((F.col("n") - LEADING) * k / PARTS)).cast("int")
+
+
+def _head(tokens: Column | int) -> Column:
+    return F.call_function("substring_index", "line", F.lit(" "), F.lit(tokens) if isinstance(tokens, int) else tokens)
 
 
-def _edge(q: int):
-    """Tokens before quarter ``q`` of those that follow the leading ones."""
-    return (F.lit(LEADING) + F.floor((F.col("n") - LEADING) * q / 4)).cast("int")
+def _tail(before: Column) -> Column:
+    """The tokens after the first ``before``."""
+    return F.call_function("substring_index", "line", F.lit(" "), before - F.col("n"))
 
 
 def drops(docs: DataFrame, *, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
@@ -82,10 +97,10 @@ WITH lines AS (
 cut AS (SELECT doc_id, place, list_filter(regexp_split_to_array(regexp_replace(line, '[^0-9\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '{VARIABLE}', 'g'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS tokens FROM lines),
 sized AS (SELECT *, len(tokens) AS n FROM cut WHERE len(tokens) >= {LEAST_TOKENS}),
 keyed AS (
-  SELECT doc_id, place, 4 AS part, n, tokens AS template FROM sized
+  SELECT doc_id, place, {PARTS} AS part, n, tokens AS template FROM sized
   UNION ALL
-  SELECT doc_id, place, q, n, list_slice(tokens, 1, {LEADING} + ((n - {LEADING}) * q) // 4) || ['|'] || list_slice(tokens, {LEADING} + ((n - {LEADING}) * (q + 1)) // 4 + 1, n)
-  FROM sized, range(0, 4) t(q) WHERE n >= {LEAST_QUARTERED}),
+  SELECT doc_id, place, k, n, list_slice(tokens, 1, {LEADING} + ((n - {LEADING}) * k) // {PARTS}) || ['|'] || list_slice(tokens, {LEADING} + ((n - {LEADING}) * (k + 1)) // {PARTS} + 1, n)
+  FROM sized, range(0, {PARTS}) t(k) WHERE n >= {LEAST_PARTED}),
 recurring AS (SELECT part, n, template, min(doc_id) AS first FROM keyed GROUP BY part, n, template HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
 gone AS (SELECT DISTINCT doc_id, place FROM keyed JOIN recurring USING (part, n, template) WHERE doc_id <> first),
 kept AS (
