@@ -58,8 +58,8 @@ def drops(docs: DataFrame, *, text: str = "text", least_docs: int = LEAST_DOCS,
     """doc_id, mark (a hash of the text) and ``dropped``, the places (from 0) of the lines to drop, for documents that lose any."""
     marked = docs.select("doc_id", F.col(text).cast("string").alias("text")).where("text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
     lines = marked.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    keyed = templates(lines, least_tokens=least_tokens).where(F.size("keys") > 0)
-    keyed = written(keyed, "templates").select("doc_id", "mark", "place", F.explode("keys").alias("key"))
+    # A filter on the keys here would be pushed below them, and work them out again for each column that it mentions
+    keyed = written(templates(lines, least_tokens=least_tokens), "templates").select("doc_id", "mark", "place", F.explode("keys").alias("key"))
     once = keyed.select("key", "doc_id", "mark").distinct()
     recurring = once.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "mark")).alias("first")).where(F.col("docs") >= least_docs)
     found = keyed.join(recurring.select("key", "first"), "key").where(~F.struct("doc_id", "mark").eqNullSafe(F.col("first")))
