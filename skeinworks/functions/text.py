@@ -118,3 +118,8 @@ def thousands_list(pairs: list[tuple[str, Column]], *, omit_zero: bool = False)
     """``name: 1,234`` for each pair in the given order, joined by line breaks."""
     items = F.array(*(F.when(F.lit(omit_zero) & (n == 0), F.lit(None)).otherwise(F.concat(F.lit(f"{name}: "), F.format_number(n, 0))) for name, n in pairs))
     return F.array_join(F.filter(items, lambda x: x.isNotNull()), "<br/>")
+
+
+def long_date(when: Column) -> Column:
+    """``7 March 2026``"""
+    return F.date_format(when, "d MMMM yyyy")
