@@ -65,4 +65,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_media": op1_media, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_linededup": op9_linededup, "op10_quality": op10_quality, "op8_bpe": op8_bpe}
-ORACLES = {"op6_mixing": mixing.ORACLE, "op9_linededup": linededup.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op6_mixing": mixing.ORACLE, "op9_linededup": linededup.ORACLE}
