@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 
 #: Pre-tokens kept with their ids by a worker, and the longest that is kept; a full table starts anew.
 CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
+#: Pairs of ids whose rank is kept.
+CACHE_PAIRS = 200_000
 #: Ids (or bytes) at which an output batch is closed.
 BATCH_ITEMS = 2_000_000
 
@@ -80,7 +82,7 @@ class _Pairs(dict):
         self.tokens, self.ranks = vocabulary.tokens, vocabulary.ranks
 
     def __missing__(self, key: int) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= CACHE_PAIRS:
             self.clear()
         rank = self[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFFFFFF], -1)
         return rank
@@ -138,13 +140,13 @@ class RankVocabulary:
 class _Encoded(dict):
     """Pre-token to the little-endian 32-bit ids, filled as needed and bounded."""
 
-    def __init__(self, vocabulary: RankVocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: RankVocabulary, entries: int):
+        self.vocabulary, self.entries = vocabulary, entries
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.vocabulary.encode(piece.encode()), dtype="<i4").tobytes()
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[piece] = ids
         return ids
@@ -156,17 +158,17 @@ def _vocabulary(path: str) -> RankVocabulary:
 
 
 @lru_cache(maxsize=2)
-def _encoded(path: str) -> _Encoded:
+def _encoded(path: str, entries: int) -> _Encoded:
     """One for all tasks of a worker."""
-    return _Encoded(_vocabulary(path))
+    return _Encoded(_vocabulary(path), entries)
 
 
 def _with_column(batch: pa.RecordBatch, array: pa.Array, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, array], names=[*batch.schema.names, name])
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, out: str) -> Iterator[pa.RecordBatch]:
-    cache, split = _encoded(path), regex.compile(pattern).findall
+def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, out: str, entries: int) -> Iterator[pa.RecordBatch]:
+    cache, split = _encoded(path, entries), regex.compile(pattern).findall
     ids_of = cache.__getitem__
 
     for batch in batches:
@@ -183,16 +185,17 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str,
                 start, held, ends = row + 1, [], [0]
 
 
-def encode(docs: DataFrame, *, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, *, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids", cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """``docs`` with ``out array<int>``: the ids of the whole text.
 
     A null or empty text has no ids.  All columns of ``docs`` are kept; one named ``out`` is replaced.
     Rows are independent: repeated rows get the same ids, an empty table gives an empty one.
-    Special tokens are never recognised; their letters are ordinary text.
+    Special tokens are never recognised; their letters are ordinary text.  A worker remembers up
+    to ``cache_entries`` pre-tokens, about 200 bytes each; the ids don't depend on it.
     """
     docs = docs.drop(out)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(lambda batches: _encode_batches(batches, ranks_path, pattern, text, out), schema)
+    return docs.mapInArrow(lambda batches: _encode_batches(batches, ranks_path, pattern, text, out, cache_entries), schema)
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], path: str, ids: str, out: str) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,8 @@ REPEAT, EMPTY = TERMS - 2, TERMS - 1
 #: Power of the similarity that is a vote's weight, and the weight of the prior.
 SHARPNESS, PRIOR_WEIGHT = 8, 0.05
 SHORT_WORD, LONG_SHAPE = 4, 12
+#: Documents that are compared with the labelled ones at once.
+BLOCK = 512
 
 
 def shape(token: str) -> str:
@@ -102,12 +104,12 @@ class QualityModel:
             return np.full(len(texts), 0.5)
         prior, k = float(self.labels.mean()), min(NEIGHBOURS, len(self.labels))
         out = np.empty(len(texts))
-        for at in range(0, len(texts), 1024):
-            latent = _unit(_weighted(term_counts(texts.slice(at, 1024)), self.rarity) @ self.projection)
+        for at in range(0, len(texts), BLOCK):
+            latent = _unit(_weighted(term_counts(texts.slice(at, BLOCK)), self.rarity) @ self.projection)
             near = latent @ self.vectors.T
             top = np.argpartition(near, len(self.labels) - k, axis=1)[:, len(self.labels) - k :]
             weight = np.maximum(np.take_along_axis(near, top, axis=1).astype(np.float64), 0) ** SHARPNESS
-            out[at : at + 1024] = ((weight * self.labels[top]).sum(axis=1) + PRIOR_WEIGHT * prior) / (weight.sum(axis=1) + PRIOR_WEIGHT)
+            out[at : at + BLOCK] = ((weight * self.labels[top]).sum(axis=1) + PRIOR_WEIGHT * prior) / (weight.sum(axis=1) + PRIOR_WEIGHT)
         return np.clip(out, 0.0, 1.0)
 
 
