@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folder that the package lies in.
+HOME = str(Path(__file__).resolve().parents[2])
+
+
+def show_workers_the_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver did; a cluster gets it with ``--py-files``."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if HOME not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, HOME)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    show_workers_the_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,18 +37,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
+#: Folders made for sessions that name none, by application.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where the session has none (tests on one machine), a folder of its own is made and set.
+    Where the session has neither (tests on one machine), a folder of its own, the same for the whole session.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        found = context_dir or tempfile.mkdtemp(prefix="skeinworks-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+        found = _own_dirs.get(context.applicationId) or tempfile.mkdtemp(prefix="skeinworks-")
+        _own_dirs[context.applicationId] = found
     return found
 
 
