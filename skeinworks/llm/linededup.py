@@ -24,20 +24,20 @@ LEAST_TOKENS, LEAST_PARTED, LEAST_DOCS = 5, 12, 5
 VARIABLE = "<*>"
 
 
-def templates(lines: DataFrame, *, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """``lines`` with ``line`` replaced by ``keys``, the hashes of its templates: none, one, or four.
+def templates(lines: DataFrame, *, least_tokens: int = LEAST_TOKENS, exact: bool = False) -> DataFrame:
+    """``lines`` with ``line`` replaced by ``keys``, the hashes of its templates: none, one, or four; ``exact`` adds the line as it is to the four.
 
     Tokens are counted and cut at single spaces, so only lines with digits or other white space are rewritten first.
     """
     line = F.col("line")
     odd = line.rlike(r"[0-9\x09-\x0D]") | line.contains("  ")
     tidy = F.regexp_replace(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), r"[^0-9\x20]*+[0-9][^\x20]*+", VARIABLE)
-    rows = lines.withColumn("line", F.trim(F.when(odd, tidy).otherwise(line)))
+    rows = lines.withColumn("own", F.xxhash64(F.lit(PARTS + 1), "line")).withColumn("line", F.trim(F.when(odd, tidy).otherwise(line)))
     rows = rows.withColumn("n", F.when(line == "", 0).otherwise(F.size(F.split(line, " "))))
     parts = [F.xxhash64(F.lit(k), "n", _head(LEADING if k == 0 else _edge(k)), _tail(_edge(k + 1))) for k in range(PARTS)]
     whole = F.xxhash64(F.lit(PARTS), "n", "line")
-    keys = F.when(F.col("n") >= max(least_tokens, LEAST_PARTED), F.array(whole, *parts)).when(F.col("n") >= least_tokens, F.array(whole)).otherwise(F.array().cast("array<bigint>"))
-    return rows.withColumn("keys", keys).drop("line", "n")
+    keys = F.when(F.col("n") >= max(least_tokens, LEAST_PARTED), F.array(whole, *parts, *[F.col("own")] * exact)).when(F.col("n") >= least_tokens, F.array(whole)).otherwise(F.array().cast("array<bigint>"))
+    return rows.withColumn("keys", keys).drop("line", "n", "own")
 
 
 def _edge(k: int) -> Column:
@@ -54,19 +54,26 @@ def _tail(before: Column) -> Column:
     return F.call_function("substring_index", "line", F.lit(" "), before - F.col("n"))
 
 
-def drops(docs: DataFrame, *, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+def drops(docs: DataFrame, *, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, least_texts: int | None = None) -> DataFrame:
     """doc_id, mark (a hash of the text) and ``dropped``, the places (from 0) of the lines to drop, for documents that lose any."""
     marked = docs.select("doc_id", F.col(text).cast("string").alias("text")).where("text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
     lines = marked.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     # A filter on the keys here would be pushed below them, and work them out again for each column that it mentions
-    keyed = written(templates(lines, least_tokens=least_tokens), "templates").select("doc_id", "mark", "place", F.explode("keys").alias("key"))
+    cut = written(templates(lines, least_tokens=least_tokens, exact=least_texts is not None), "templates")
+    keyed = cut.select("doc_id", "mark", "place", F.explode(F.slice("keys", 1, PARTS + 1)).alias("key"))
     once = keyed.select("key", "doc_id", "mark").distinct()
     recurring = once.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "mark")).alias("first")).where(F.col("docs") >= least_docs)
-    found = keyed.join(recurring.select("key", "first"), "key").where(~F.struct("doc_id", "mark").eqNullSafe(F.col("first")))
+    found = keyed.join(recurring.select("key", "first"), "key").where(~F.struct("doc_id", "mark").eqNullSafe(F.col("first"))).select("doc_id", "mark", "place")
+    if least_texts is not None:
+        own = cut.where(F.size("keys") > PARTS + 1).select("doc_id", "mark", "place", F.get("keys", F.lit(PARTS + 1)).alias("key"))
+        once = own.groupBy("key", "mark").agg(F.min(F.struct("doc_id")).alias("least"))
+        recurring = once.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("least", "mark")).alias("first")).where(F.col("texts") >= least_texts)
+        again = own.join(recurring.select("key", F.col("first.mark").alias("first")), "key").where("mark <> first")
+        found = found.unionByName(again.select("doc_id", "mark", "place"))
     return found.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("dropped"))
 
 
-def without_templates(docs: DataFrame, *, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+def without_templates(docs: DataFrame, *, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, least_texts: int | None = None) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` (columns so named are replaced).
 
     Lines end at a newline; those with fewer than ``least_tokens`` tokens always stay.  A
@@ -74,8 +81,11 @@ def without_templates(docs: DataFrame, *, text: str = "text", least_docs: int =
     are one document.  The document with the smallest id (a null id is smallest; ties: by a
     hash of the text) keeps its lines, so nothing is lost altogether.  A null text stays null
     with no lines, an empty one is one line.  No row is dropped; an empty table gives an empty one.
+
+    With ``least_texts``, a line of ``LEAST_PARTED`` tokens or more also recurs, as it is, if so many
+    different texts have it: it stays in the text with the smallest id, and in all copies of that text.
     """
-    gone = drops(docs, text=text, least_docs=least_docs, least_tokens=least_tokens).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "dropped")
+    gone = drops(docs, text=text, least_docs=least_docs, least_tokens=least_tokens, least_texts=least_texts).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "dropped")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "dropped")]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.xxhash64(F.col(text).cast("string")).alias("__own"))
     rows = rows.join(gone, F.col("__own").eqNullSafe(F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")

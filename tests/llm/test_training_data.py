@@ -533,6 +533,18 @@ def test_recurring_lines(spark):
     assert linededup.without_templates(rows.where("doc_id < 0")).count() == 0
 
 
+def test_long_lines_of_two_texts(spark):
+    import corpus_pipeline as cp
+
+    long, short = " ".join(f"w{c}" for c in "abcdefghijklmnopqrst"), "five words are too few"
+    texts = {1: f"own start\n{long}\n{short}", 2: f"another start\n{long}\n{short}", 3: f"own start\n{long}\n{short}", 4: f"{long} more", 5: f"{long} 7\n{long} 8", 6: f"{long} 9", None: long}
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], DOCS)
+    got = {r.doc_id: r.text for r in linededup.without_templates(rows.where("doc_id IS NOT NULL"), least_texts=2).collect()}
+    assert got == {i: t for i, t in texts.items() if i is not None} | {2: f"another start\n{short}"}
+    got = {r.doc_id: r.text for r in cp.without_templates(spark, rows, SF).collect()}
+    assert got[None] == long and got[1] == got[3] == f"own start\n{short}" and got[6] == f"{long} 9"
+
+
 # ---- 10: quality ----
 
 
