@@ -18,6 +18,7 @@ bits instead of in pairs, so copies and near copies in any number stay cheap.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -206,18 +207,78 @@ def links(distinct: DataFrame, bits: int, sure: int | None = None) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, repeats: bool = True, bits: int = 2, sure: int | None = None) -> DataFrame:
-    """``key``, ``fp`` (a signed long), ``component_id``: the smallest key that can be reached over links of at most ``bits`` differing bits.
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, repeats: bool = True, bits: int = 2, sure: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``keep``, ``fp`` (a signed long), ``component_id``: the smallest key that can be reached over links of at most ``bits`` differing bits.
 
     A row for each row of ``docs``; other columns are not read.  A null or empty text has the
     fingerprint 0 and is linked like any other.  A null key is no one's component, so rows that
     reach only null keys have null.  An empty table gives an empty result.
     """
-    rows = written(fingerprints(docs.select(F.col(key).alias("key"), text), text=text, shingle=shingle, repeats=repeats), "fingerprints")
+    rows = written(fingerprints(docs.select(F.col(key).alias("key"), *keep, text), text=text, shingle=shingle, repeats=repeats), "fingerprints")
     groups = rows.groupBy("fp").agg(F.min("key").alias("least"))
     roots = components(links(groups, bits, sure))
     rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return rows.join(named, "fp").select(F.col("key").alias(key), *keep, "fp", "component_id")
+
+
+# ---- exact similarity ----
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of ``words`` words, cut and lowered as for ``fingerprint``."""
+    tokens = text.lower().split()
+    n = max(1, len(tokens) - words + 1) if tokens else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words])) for i in range(n)], np.uint64))
+
+
+class Kept:
+    """Shingle sets of the documents kept so far, found by their least hashes: sets of a similarity of ``least`` or more share one of those."""
+
+    def __init__(self, least: float):
+        self.least, self.sets, self.having = least, [], {}
+
+    def _prefix(self, found: np.ndarray) -> list[int]:
+        # A little less than the share, as a product of floats may come out too large
+        return found[: len(found) - math.ceil(self.least * len(found) - 1e-9) + 1].tolist()
+
+    def take(self, found: np.ndarray) -> bool:
+        """Whether no set so far is similar; if so it is one of them from now on."""
+        prefix = self._prefix(found)
+        for k in {k for h in prefix for k in self.having.get(h, ())}:
+            other = self.sets[k]
+            if min(len(found), len(other)) < self.least * max(len(found), len(other)) - 1e-9:
+                continue
+            both = len(np.intersect1d(found, other, assume_unique=True))
+            if both >= self.least * (len(found) + len(other) - both) - 1e-9:
+                return False
+        if not len(found) and any(not len(x) for x in self.sets):
+            return False
+        for h in prefix:
+            self.having.setdefault(h, []).append(len(self.sets))
+        self.sets.append(found)
+        return True
+
+
+def unlike(groups: DataFrame, *, group: str, order: list[str], text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``groups`` (without ``text``) that are kept: in each group, in ``order``, those whose set of ``words``-word shingles has a Jaccard similarity below ``least`` to every row kept before.
+
+    A group is one task and is streamed; what is held are the shingle hashes of its kept rows.  No pair is missed inside a group.
+    """
+    others = [c for c in groups.columns if c != text]
+    schema = T.StructType([groups.schema[c] for c in others])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, last = Kept(least), (None, True)
+        for batch in batches:
+            on = []
+            for name, value in zip(batch.column(others.index(group)).to_pylist(), batch.column(len(others)).to_pylist(), strict=True):
+                if (name, False) != last:
+                    kept, last = Kept(least), (name, False)
+                on.append(kept.take(shingle_set(value, words)))
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(others)], names=schema.names).filter(pa.array(on, pa.bool_()))
+
+    rows = groups.select(*others, text_or_empty(text).cast("binary").alias("__text"))
+    return rows.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)

@@ -427,6 +427,35 @@ def test_links_lose_nothing(spark, monkeypatch, bits, ratio):
     assert [found.get(f, f) for f in fps] == [fps[w] for w in want]
 
 
+def slow_unlike(texts, least):
+    kept = []
+    for name, text in texts:
+        words = text.lower().split()
+        found = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        if all(len(found & k) < least * len(found | k) if found | k else False for _, k in kept):
+            kept.append((name, found))
+    return [name for name, _ in kept]
+
+
+def test_near_copies_are_checked_against_the_kept(spark):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(5)
+    words, texts = [f"v{i}" for i in range(300)], []
+    for i in range(60):
+        texts.append((i, " ".join(words)))
+        words = list(words)
+        for at in rng.integers(0, 300, 2):
+            words[at] = f"n{i}at{at}"
+    docs = [(i, t, "en", "s", 1) for i, t in texts]
+    rows = spark.createDataFrame([(*d, 0) for d in docs], DOCS + ", g int")
+    want = slow_unlike(texts, 0.8)
+    assert 1 < len(want) < 30
+    assert sorted(r.doc_id for r in simhash.unlike(rows, group="g", order=["doc_id"]).collect()) == want
+    single = sorted(r.doc_id for r in cp.one_of_each(spark, spark.createDataFrame(docs, DOCS), SF).collect())
+    assert single == want
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(500, 501), (7, 7)], "a long, b long")
