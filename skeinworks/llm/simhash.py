@@ -12,8 +12,10 @@ Where rows meet, pairs are discarded if any whole distance to a pivot differs by
 the default, nothing is lost: the keys and the discarding follow from the distances alone.
 A smaller ``sure`` needs fewer keys and finds most, not all, pairs between the two numbers.
 
-A meeting emits its links as stars, not pairs, and very large ones are searched by flipping
-bits instead of in pairs, so copies and near copies in any number stay cheap.
+A meeting emits its links as stars, not pairs, which are reduced block by block.  A meeting of
+more than ``MEETING`` fingerprints is cut into chunks, and each two chunks meet in a task of
+their own: memory stays bounded, and the work, which grows with the square, is spread.  Where
+few bits vary, bits are flipped instead of comparing pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +41,10 @@ PIVOTS, AGREEING = 16, 3
 COUNT_AT_ONCE = 1 << 16
 #: Pairs that take as long to compare as one round of flipped bits for one fingerprint.
 PAIRS_PER_FLIP = 50
+#: Fingerprints of one key that meet in one task; of more, chunks of this size meet two by two.
+MEETING = 1 << 14
+#: Close pairs that are held before they are reduced, about.
+PAIRS_AT_ONCE = 1 << 20
 
 
 # ---- fingerprints ----
@@ -119,11 +125,11 @@ class PivotTables:
             columns.append(key)
         return np.stack(columns, axis=1)
 
-    def survivors(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places (i < j) of the pairs that are close: those the distances to the pivots can't tell apart, verified."""
+    def survivors(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the pairs that are close, some at a time: those the distances to the pivots can't tell apart, verified."""
         far = self.distances(fps)
         order = np.argsort(far[:, 0], kind="stable")
-        sorted_far, lows, highs = far[order], [], []
+        sorted_far, lows, highs, held = far[order], [], [], 0
         reach = np.searchsorted(sorted_far[:, 0], sorted_far[:, 0] + self.bits, "right")
         for i in range(len(fps)):
             j = np.arange(i + 1, reach[i])
@@ -131,7 +137,10 @@ class PivotTables:
             j = j[distance(fps[order[j]], fps[order[i]]) <= self.bits]
             lows.append(np.full(len(j), order[i]))
             highs.append(order[j])
-        return np.concatenate(lows), np.concatenate(highs)
+            held += len(j)
+            if held >= PAIRS_AT_ONCE or i == len(fps) - 1:
+                yield np.concatenate(lows), np.concatenate(highs)
+                lows, highs, held = [], [], 0
 
 
 def flipped_links(fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -178,33 +187,80 @@ def links(distinct: DataFrame, bits: int, sure: int | None = None) -> DataFrame:
             return np.empty((0, 2), np.uint64)
         varying = int(np.bitwise_or.reduce(fps ^ fps[0])).bit_count()
         flips = sum(comb(varying, k) for k in range(1, bits + 1))
-        pairs = [tables.survivors(fps)] if len(fps) <= PAIRS_PER_FLIP * flips else flipped_links(fps, bits)
-        root = stars(len(fps), iter(pairs))
+        pairs = tables.survivors(fps) if len(fps) <= PAIRS_PER_FLIP * flips else flipped_links(fps, bits)
+        root = stars(len(fps), pairs)
         at = np.flatnonzero(root != np.arange(len(fps)))
         return np.stack([fps[at], fps[root[at]]], axis=1)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        """Links of each meeting, as (a, b, null, null); of one that is cut its fingerprints, as (null, fp, key, chunk), and the number of its chunks, as (null, null, key, chunks)."""
+        held, size, chunk, key = [], 0, 0, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if chunk:
+                yield _rows(None, np.concatenate(held), key, chunk)
+                yield _rows(None, None, key, chunk + 1)
+            elif size > 1:
+                pairs = meet(np.concatenate(held))
+                yield _rows(pairs[:, 0], pairs[:, 1], None, None)
+
         for batch in batches:
             keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else []
             found = []
             for start, end in zip(edges, edges[1:], strict=False):
                 if keys[start] != key:
-                    if sum(map(len, held)) > 1:
-                        found.append(meet(np.concatenate(held)))
-                    held, key = [], keys[start]
+                    found.extend(done())
+                    held, size, chunk, key = [], 0, 0, int(keys[start])
+                for at in range(start, end, most):
+                    part = fps[at : min(end, at + most)]
+                    if size + len(part) > most:
+                        found.append(_rows(None, np.concatenate(held), key, chunk))
+                        held, size, chunk = [], 0, chunk + 1
+                    held.append(part)
+                    size += len(part)
+            if found:
+                yield pa.Table.from_batches(found).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if sum(b.num_rows for b in found) else found[0]
+        yield from done()
+
+    def link_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            names = list(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+            fps = batch.column(3).to_numpy().view(np.uint64)
+            start = 0
+            for end in range(1, len(names) + 1):
+                if end < len(names) and names[end] == names[start]:
+                    continue
+                if names[start] != last:
+                    if held:
+                        yield _links(meet(np.concatenate(held)))
+                    held, last = [], names[start]
                 held.append(fps[start:end])
-            yield _pairs(found)
-        if sum(map(len, held)) > 1:
-            yield _pairs([meet(np.concatenate(held))])
+                start = end
+        if held:
+            yield _links(meet(np.concatenate(held)))
 
-    def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.uint64)
+    def _links(pairs: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c]).view(np.int64)) for c in (0, 1)], names=["a", "b"])
 
+    def _rows(a: np.ndarray | None, b: np.ndarray | None, key: int | None, chunk: int | None) -> pa.RecordBatch:
+        n = 1 if b is None else len(b)
+        longs = [pa.nulls(n, pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
+        same = [pa.nulls(n, pa.int64()) if x is None else pa.array(np.full(n, x, np.int64)) for x in (key, chunk)]
+        return pa.RecordBatch.from_arrays([*longs, *same], names=["a", "b", "key", "chunk"])
+
+    most = MEETING
     dealt = distinct.select("fp").mapInArrow(deal, "key long, fp long")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
+    out = written(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long, key long, chunk long"), "meetings")
+    near = out.where("a IS NOT NULL").select("a", "b")
+    cut = out.where("b IS NULL").select("key", F.col("chunk").alias("chunks"))
+    if not cut.isEmpty():
+        rows = out.where("a IS NULL AND b IS NOT NULL").select("key", "chunk", F.col("b").alias("fp")).join(cut, "key")
+        rows = rows.withColumn("other", F.explode(F.expr("filter(sequence(0L, chunks - 1), x -> x <> chunk)")))
+        two = rows.select("key", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "fp")
+        near = near.unionByName(two.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(link_two, "a long, b long"))
+    return near.distinct()
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, repeats: bool = True, bits: int = 2, sure: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

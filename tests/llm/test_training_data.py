@@ -427,6 +427,21 @@ def test_links_lose_nothing(spark, monkeypatch, bits, ratio):
     assert [found.get(f, f) for f in fps] == [fps[w] for w in want]
 
 
+def test_cut_meetings_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEETING", 10)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 50)
+    rng = np.random.default_rng(8)
+    fps = sorted({int(rng.integers(0, 1 << 20)) ^ int(far) for far in rng.integers(0, 1 << 62, 3) for _ in range(60)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    tables = simhash.PivotTables(8, 8)
+    same = np.array(sorted(int(x) for x in rng.integers(0, 1 << 12, 200)), np.uint64)
+    most = [len(i) for i, _ in tables.survivors(np.unique(same))]
+    assert len(most) > 1 and max(most) < 50 + 200
+    found = {r.node: r.root for r in components(simhash.links(df, 6)).collect()}
+    want = brute_components(fps, 6)
+    assert [found.get(f, f) for f in fps] == [fps[w] for w in want]
+
+
 def slow_unlike(texts, least):
     kept = []
     for name, text in texts:
