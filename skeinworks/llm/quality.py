@@ -1,6 +1,6 @@
 """A quality classifier: nearest labelled neighbours vote in a latent-semantic space.
 
-A document's terms are the shapes of its tokens, short words, and repeats of the token
+A document's terms are the shapes of its tokens (of long ones, of each window), short words, and repeats of the token
 before; their relative frequencies, damped and weighted by rarity, are projected on the
 leading singular vectors of a sample of labelled documents.  That sample's vectors and labels,
 of documented size, are broadcast; every document is compared with all of them by exact
@@ -35,17 +35,22 @@ SHORT_WORD, LONG_SHAPE = 4, 12
 BLOCK = 512
 
 
-def shape(token: str) -> str:
-    """The token with each run of capitals, other letters and digits as one sign; other characters stay, at most a dozen."""
-    out, last = [], ""
-    for c in token[: 4 * LONG_SHAPE]:
+def shapes(token: str) -> list[str]:
+    """The token's windows, each with a run of capitals, other letters and digits as one sign, other characters as they are.
+
+    A window ends at a dozen signs or four dozen characters; together they hold the whole token.
+    """
+    found, out, last, start = [], [], "", 0
+    for at, c in enumerate(token):
         sign = ("X" if c.isupper() else "x") if c.isalpha() else "9" if c.isdigit() else c
-        if sign != last or sign not in "Xx9":
+        new = sign != last or sign not in "Xx9"
+        if at - start == 4 * LONG_SHAPE or (new and len(out) == LONG_SHAPE):
+            found.append("".join(out))
+            out, start, new = [], at, True
+        if new:
             out.append(sign)
             last = sign
-            if len(out) == LONG_SHAPE:
-                break
-    return "".join(out)
+    return [*found, "".join(out)]
 
 
 def _term(kind: str, value: str, size: int) -> int:
@@ -59,15 +64,17 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     tokens = coded.dictionary.to_pylist()
     codes, ends = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
     row = np.repeat(np.arange(len(texts)), np.diff(ends))
-    shapes: dict[str, int] = {}
+    known: dict[str, int] = {}
 
-    def shape_term(token: str) -> int:
-        s = shape(token)
-        if s not in shapes:
-            shapes[s] = _term("s", s, SHAPES)
-        return shapes[s]
+    def shape_terms(token: str) -> list[int]:
+        found = shapes(token)
+        for x in found:
+            if x not in known:
+                known[x] = _term("s", x, SHAPES)
+        return [known[x] for x in found]
 
-    first = np.array([shape_term(t) if t else -1 for t in tokens], np.int64)
+    windows = [shape_terms(t) if t else [-1] for t in tokens]
+    first = np.array([w[0] for w in windows], np.int64)
     second = np.array([SHAPES + _term("w", t.lower(), WORDS) if 0 < len(t) <= SHORT_WORD else -1 for t in tokens], np.int64)
     again = np.zeros(len(codes), bool)
     again[1:] = (codes[1:] == codes[:-1]) & (row[1:] == row[:-1])
@@ -75,6 +82,10 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     for terms in (first[codes], second[codes], np.where(again & (first[codes] >= 0), REPEAT, -1)):
         on = terms >= 0
         counts += np.bincount(row[on] * TERMS + terms[on], minlength=len(counts)).astype(np.float32)
+    # The further windows of long tokens, for each place of such a token
+    more = np.array([len(w) > 1 for w in windows], bool)
+    for at in np.flatnonzero(more[codes]).tolist():
+        counts[row[at] * TERMS : (row[at] + 1) * TERMS] += np.bincount(windows[codes[at]][1:], minlength=TERMS).astype(np.float32)
     counts = counts.reshape(len(texts), TERMS)
     counts[counts.sum(axis=1) == 0, EMPTY] = 1
     return counts

@@ -600,6 +600,16 @@ def test_quality_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and len(got) == 200
 
 
+def test_every_part_of_a_token_counts():
+    start = "文字" * 30
+    counts = quality.term_counts(pa.array([start + "。" * 100, start + "9a" * 100, "ab12 " + start, "plain words, with 12 signs", "plain words, with 12 signs"]))
+    assert (counts[0] != counts[1]).any() and (counts[3] == counts[4]).all()
+    token = "aB3-" * 40 + "x" * 200 + "!?" * 9
+    assert sum(quality.shapes("x" * 48 * 3).count(s) for s in {"x"}) == 3
+    assert max(map(len, quality.shapes(token))) <= 12 and "".join(quality.shapes(token)).startswith("xX9-" * 40) and "".join(quality.shapes(token)).endswith("!?" * 9)
+    assert quality.shapes("Word-12,") == ["Xx-9,"]
+
+
 def test_quality_of_odd_documents(spark, odd):
     labels = spark.createDataFrame([(4, 1), (6, 0), (1, 0), (None, 1), (8, None), (99, 1)], "doc_id long, quality int")
     model = quality.fit(odd, labels)
