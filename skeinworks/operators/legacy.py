@@ -60,26 +60,57 @@ def overlapping_chunks(rows: DataFrame, pieces: str, *, key: str = "id", limit:
     return rows.select(key, pieces).mapInPandas(walk, f"`{key}` {kind}, chunk int, first int, last int, text string")
 
 
+def filled(lengths: list[int], max_items: int, max_characters: int, items: int = 0, held: int = 0) -> tuple[list[int], int, int]:
+    """For each record the number of batches begun before its own, and items and characters of the last batch, from a batch with ``items`` and ``held``."""
+    batch, numbers = 0, []
+    for n in lengths:
+        if items and (items >= max_items or held + n > max_characters):
+            batch, items, held = batch + 1, 0, 0
+        items, held = items + 1, held + n
+        numbers.append(batch)
+    return numbers, items, held
+
+
 def pack_batches(rows: DataFrame, *, key: str, position: str, length: str, max_items: int = 8, max_characters: int = 44_000, block: int = 100_000) -> DataFrame:
-    """key, block, batch: records in source order filled into batches; ``block`` records of the source at a time, each block starting a batch.
+    """key, block, batch: records in source order filled into batches as in one pass; ``batch`` is unique over the table.
 
-    Greedy filling depends on all that came before.  Blocks of the source position keep a task bounded
-    at any size; up to ``block`` records the batches are those of one pass.
+    Greedy filling depends on all that came before, but a batch that comes into a block of the
+    source ends before one of its first ``max_items`` + 1 records, or not in the block.  Blocks are
+    filled from each of these records, and thin rows, one a block, chain what comes true.
     """
-    thin = rows.select(F.col(key), F.col(position).cast("long").alias("__at"), F.col(length).cast("long").alias("__n"), F.floor(F.col(position) / block).cast("long").alias("block"))
+    at = F.col(position)
+    thin = rows.select(F.col(key), at.cast("long").alias("__at"), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("__n"), F.floor(at / block).cast("long").alias("block"))
+
+    def ends(part: pd.DataFrame) -> pd.DataFrame:
+        lengths = part.sort_values(["__at", key], kind="stable")["__n"].tolist()
+        found = [filled(lengths[k:], max_items, max_characters) for k in range(min(max_items + 1, len(lengths)))]
+        return pd.DataFrame([(int(part["block"].iloc[0]), lengths[: max_items + 1], [n[-1] for n, _, _ in found], [i for _, i, _ in found], [h for _, _, h in found])], columns=["block", "head", "cuts", "items", "held"])
+
+    def chain(part: pd.DataFrame) -> pd.DataFrame:
+        batch, items, held, out = 0, 0, 0, []
+        for r in part.sort_values("block").itertuples():
+            out.append((r.block, batch, items, held))
+            numbers, i, h = filled(list(r.head), max_items, max_characters, items, held)
+            begun = numbers.index(1) if 1 in numbers else None
+            if items == 0:
+                batch, items, held = batch + r.cuts[0], r.items[0], r.held[0]
+            elif begun is None:
+                # No batch ends in the block, so it has no more records than its head
+                items, held = i, h
+            else:
+                batch, items, held = batch + 1 + r.cuts[begun], r.items[begun], r.held[begun]
+        return pd.DataFrame(out, columns=["block", "first", "items", "held"])
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__at", kind="stable")
-        batch, items, held, numbers = 0, 0, 0, []
-        for n in part["__n"]:
-            if items and (items >= max_items or held + n > max_characters):
-                batch, items, held = batch + 1, 0, 0
-            items, held = items + 1, held + n
-            numbers.append(batch)
-        return part.assign(batch=numbers)[[key, "block", "batch"]]
+        part = part.sort_values(["__at", key], kind="stable")
+        first, items, held = (int(part[c].iloc[0]) for c in ("first", "items", "held"))
+        numbers, _, _ = filled(part["__n"].tolist(), max_items, max_characters, items, held)
+        return part.assign(batch=[first + n for n in numbers])[[key, "block", "batch"]]
 
     kind = rows.schema[key].dataType.simpleString()
-    return thin.groupBy("block").applyInPandas(fill, f"`{key}` {kind}, block long, batch int")
+    blocks = thin.groupBy("block").applyInPandas(ends, "block long, head array<long>, cuts array<long>, items array<long>, held array<long>")
+    starts = blocks.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(chain, "block long, first long, items long, held long")
+    return thin.join(starts, "block").groupBy("block").applyInPandas(fill, f"`{key}` {kind}, block long, batch long")
 
 
 def covers_batch(answers: Column, size: Column) -> Column:

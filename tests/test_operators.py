@@ -365,3 +365,17 @@ def test_stream_takes_each_record_once(spark, tmp_path):
         resume.run_available(resume.new_records(spark, str(source), "id string"), lambda df: df.withColumn("label", F.lit("none")), out, marks).awaitTermination()
         (source / "2.json").write_text('{"id":"b"}\n{"id":"c"}\n')
     assert sorted(r.id for r in spark.read.json(out).collect()) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize(("block", "most"), [(1, 40), (3, 40), (10, 25), (50, 1000), (1000, 40)])
+def test_batches_go_on_across_blocks(spark, block, most):
+    lengths = [(i * 7919) % 23 + (60 if i % 31 == 0 else 0) for i in range(150)]
+    rows = spark.createDataFrame([(f"k{i:03}", i + (20 if i > 70 else 0), n) for i, n in enumerate(lengths)], "id string, at long, n long").repartition(3)
+    got = {r.id: r.batch for r in legacy.pack_batches(rows, key="id", position="at", length="n", max_items=4, max_characters=most, block=block).collect()}
+    batch, items, held, want = 0, 0, 0, {}
+    for i, n in enumerate(lengths):
+        if items and (items >= 4 or held + n > most):
+            batch, items, held = batch + 1, 0, 0
+        items, held = items + 1, held + n
+        want[f"k{i:03}"] = batch
+    assert got == want
