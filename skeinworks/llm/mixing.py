@@ -91,18 +91,29 @@ def sized_parts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source", "part").agg(F.sum("size").alias("words")).select("source", "part", before.alias("before"))
 
 
-def mix(docs: DataFrame, *, slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, *, slots: int = SLOTS, to_the_word: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (the words that the mix takes of the document, repeats counted), a row for each row of ``docs``.
 
     A null text has no words; a document without words is never taken.  A null source is a
     source of its own.  Repeated rows are separate stretches of the stream, and null ids hash
     like empty ones.  An empty table, or one without words, gives targets and takings of 0.
     Nothing but doc_id, source and text is read.  The order depends on the ids alone, so reruns agree.
+
+    Whole slots take a source to within a block or so of its target.  ``to_the_word``, a source's
+    last block is as long as what its target lacks: it is taken to the target, rounded, at any size.
     """
     sized = written(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size")), "sizes")
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
     block = min(MAX_BLOCK_WORDS, max(1, -(-total // slots)))
+    if to_the_word:
+        # The blocks of a source are taken in order, the last one in part, so its stream is taken up to the target
+        upto = F.round("target").cast("long")
+        starts = [F.col("start") + e * F.col("source_size") for e in range(MOST_EPOCHS)]
+        words = [F.greatest(F.lit(0), F.least(at + F.col("size"), upto) - at) for at in starts]
+        placed = shuffled(sized, sized.count()).alias("p").join(sources.alias("s"), F.expr("p.source <=> s.source"), "left").select("p.*", "s.source_size", "s.target")
+        taken = F.coalesce(sum(words[1:], words[0]), F.lit(0)).cast("long")
+        return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
     plan = written(schedule(sources, -(-total // block)), "schedule") if total else None
     placed = shuffled(sized, sized.count())
     placed = placed.alias("p").join(sources.alias("s"), F.expr("p.source <=> s.source"), "left").select("p.*", "s.source_size", "s.target")

@@ -378,6 +378,16 @@ def test_ranges_and_chunks_change_nothing(spark, monkeypatch):
     assert keyed(mixing.mix(docs).collect(), "doc_id", "taken") == want
 
 
+def test_small_sources_are_taken_beside_large_ones(spark):
+    docs = [(i, "w " * 2_000, "en", "a", 0) for i in range(300)] + [(1_000 + i, "w " * 5, "en", "b", 0) for i in range(4)]
+    rows = spark.createDataFrame(docs, DOCS)
+    got = mixing.mix(rows, slots=8, to_the_word=True).collect()
+    assert {r.taken for r in got if r.source == "b"} == {15}
+    for source in "ab":
+        of = [r for r in got if r.source == source]
+        assert sum(r.taken for r in of) == round(of[0].target)
+
+
 # ---- 7: SimHash ----
 
 
