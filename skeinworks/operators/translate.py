@@ -36,7 +36,13 @@ def targets(corpus: DataFrame, levels: DataFrame, *, wanted: tuple[int, ...] = (
     """
     chosen = levels.where(F.col("level").isin(*wanted)).select(key, "level")
     rows = corpus.where(~is_english_label(F.col("language"))).join(chosen, key).withColumn("characters", characters(F.col("messages")))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("level"), F.desc("characters"), key)))
+    # Ranked by counts of each level and length, and inside each, so no task holds all
+    sized = rows.withColumn("__n", F.coalesce("characters", F.lit(-1).cast("long")))
+    before = F.sum("n").over(Window.orderBy(F.desc("level"), F.desc("__n")).rowsBetween(Window.unboundedPreceding, -1))
+    lengths = sized.groupBy("level", "__n").agg(F.count(F.lit(1)).alias("n")).select("level", "__n", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("level", "__n").orderBy(key))
+    placed = sized.withColumn("__inside", inside).join(lengths, ["level", "__n"]).withColumn("place", F.col("__before") + F.col("__inside"))
+    return placed.select(*rows.columns, "place")
 
 
 def limited(rows: DataFrame, limit: int | None) -> DataFrame:

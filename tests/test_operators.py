@@ -379,3 +379,14 @@ def test_batches_go_on_across_blocks(spark, block, most):
         items, held = items + 1, held + n
         want[f"k{i:03}"] = batch
     assert got == want
+
+
+def test_targets_are_not_ranked_in_one_task(spark):
+    said = [("a", "German", "xx"), ("b", "German", "xx"), ("b", "German", "xx"), ("c", "German", "xxx"), ("d", "English", "x"), ("e", "German", None)]
+    rows = spark.createDataFrame([(i, lang, None if t is None else [("user", t)]) for i, lang, t in said], f"id string, language string, {SAID}")
+    levels = spark.createDataFrame([("a", 4), ("b", 4), ("c", 4), ("d", 5), ("e", 5)], "id string, level int")
+    found = translate.targets(rows, levels)
+    assert sorted((r.place, r.id) for r in found.collect()) == [(1, "e"), (2, "c"), (3, "a"), (4, "b"), (5, "b")]
+    # A window that orders by level has no partition
+    assert "row_number() windowspecdefinition(level" in (plan := found._jdf.queryExecution().optimizedPlan().toString())
+    assert "DESC" not in plan.split("row_number() windowspecdefinition(")[1].split(",")[0]
