@@ -79,7 +79,8 @@ def without_templates(docs: DataFrame, *, text: str = "text", least_docs: int =
     Lines end at a newline; those with fewer than ``least_tokens`` tokens always stay.  A
     template recurs if ``least_docs`` documents have it, where rows that agree in id and text
     are one document.  The document with the smallest id (a null id is smallest; ties: by a
-    hash of the text) keeps its lines, so nothing is lost altogether.  A null text stays null
+    hash of the text) keeps its lines.  What other documents have in place of a variable field, or
+    in a third that a template leaves out, goes with the line.  A null text stays null
     with no lines, an empty one is one line.  No row is dropped; an empty table gives an empty one.
 
     With ``least_texts``, a line of ``LEAST_PARTED`` tokens or more also recurs, as it is, if so many
