@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +12,8 @@ from skeinworks.functions.messages import turn_labels
 
 #: References to turns in prose; a fixed value.
 TURN_REFERENCE = r"\b[UA]\d+(?:[–-][UA]?\d+)?(?:\s*(?:,|and)\s*[UA]\d+(?:[–-][UA]?\d+)?)?"
-#: ``index|consumption|extension|review`` on a line of its own.
-RESULT_LINE = r"^(\d+)\|(no|uncertain|yes)\|(none|potential|clear)\|(no|maybe|yes)$"
+#: ``index|consumption|extension|review`` on a line of its own; a fixed value.
+RESULT_LINE = r"^(\d+)\|(yes|no|uncertain)\|(none|potential|clear)\|(yes|maybe|no)$"
 #: Language labels that need no translation; fixed values.
 ENGLISH_LABELS = ("english", "unknown", "")
 
@@ -61,27 +64,26 @@ def batch_numbers(lengths: Column, *, max_items: int = 8, max_characters: int =
 
 
 def soft_pieces(text: Column, limit: int = 3_000) -> Column:
-    """Pieces of at most ``limit`` characters that lose nothing: each ends before the last newline in reach, else before the last space, either only in its second half, else at the limit."""
+    """Pieces of at most ``limit`` characters that lose nothing: each ends before the last newline in reach, else before the last space, either only in its second half, else at the limit.
+
+    A null text has no pieces.  Where a piece ends depends on the one before, so Arrow batches
+    are walked by place, in time linear in the text: nothing is copied but the pieces.
+    """
     half = limit // 2
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(text) / max(1, half)).cast("int") + 1))
 
-    def last(window: Column, mark: str) -> Column:
-        found = F.instr(F.reverse(window), mark)
-        return F.when(found > 0, F.length(window) - found).otherwise(-1)
+    def cut(value: str) -> list[str]:
+        ends = [0]
+        while len(value) - ends[-1] > limit:
+            at = ends[-1]
+            soft = (value.rfind(mark, at + half, at + limit) for mark in "\n ")
+            ends.append(next((end for end in soft if end > at), at + limit))
+        return [value[a:b] for a, b in zip(ends, [*ends[1:], len(value)], strict=True)]
 
-    def step(s: Column, _: Column) -> Column:
-        rest = s["rest"]
-        window = F.substring(rest, 1, limit)
-        line, space = last(window, "\n"), last(window, " ")
-        cut = F.when(line >= half, line).when(space >= half, space).otherwise(limit)
-        more = F.length(rest) > limit
-        return F.struct(
-            F.when(more, F.concat(s["out"], F.array(F.substring(rest, F.lit(1), cut)))).otherwise(s["out"]).alias("out"),
-            F.when(more, F.substring(rest, cut + 1, F.length(rest))).otherwise(rest).alias("rest"),
-        )
+    @F.pandas_udf("array<string>")
+    def pieces(values: pd.Series) -> pd.Series:
+        return values.map(lambda value: None if value is None else cut(value))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), text.alias("rest"))
-    return F.aggregate(rounds, start, step, lambda s: F.concat(s["out"], F.array(s["rest"])))
+    return pieces(text)
 
 
 def elide(text: Column, limit: int, reserve: int = 36, mark: str = " […omitted…] ") -> Column:
@@ -114,6 +116,32 @@ def result_lines(response: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(part(x, 1).cast("int").alias("index"), part(x, 2).alias("c"), part(x, 3).alias("r"), part(x, 4).alias("q")))
 
 
+#: A last run of pictographs; a fixed value.
+LAST_PICTOGRAPHS = r"\s*[\x{1F300}-\x{1FAFF}\u2600-\u27BF\uFE0F\u200D]+\s*\z"
+#: Words that capitalised titles write their own way; fixed values.
+TITLE_WORDS = {"Ai": "AI", "Jcr": "JCR", "Genai": "GenAI", "Lgbtq": "LGBTQ", "Ui": "UI", "Ux": "UX"}
+
+
+def without_residue(text: Column, *, head: str | None = None, sentences: Sequence[str] = ()) -> Column:
+    """A text without what a template left in it: a ``head`` (pattern), whole sentences, the last run of pictographs, more than one empty line in a row, outer space."""
+    if head:
+        text = F.regexp_replace(text, rf"\A{head}", "")
+    for sentence in sentences:
+        text = F.replace(text, F.lit(sentence), F.lit(""))
+    text = F.regexp_replace(F.regexp_replace(text, LAST_PICTOGRAPHS, ""), r"\n{3,}", "\n\n")
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
+def title(text: Column, words: dict[str, str] = TITLE_WORDS) -> Column:
+    """A heading without punctuation, each run of letters capitalised, ``words`` written their own way, and levels as ``L3``."""
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    runs = F.regexp_extract_all(spaced, F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    found = F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, F.length(x))))), "")
+    for plain, own in words.items():
+        found = F.regexp_replace(found, rf"(?U)\b{plain}\b", own)
+    return F.regexp_replace(found, r"\bL ([0-6])\b", "L$1")
+
+
 def thousands_list(pairs: list[tuple[str, Column]], *, omit_zero: bool = False) -> Column:
     """``name: 1,234`` for each pair in the given order, joined by line breaks."""
     items = F.array(*(F.when(F.lit(omit_zero) & (n == 0), F.lit(None)).otherwise(F.concat(F.lit(f"{name}: "), F.format_number(n, 0))) for name, n in pairs))

@@ -30,6 +30,15 @@ def pending(corpus: DataFrame, done: DataFrame, *, key: str = "id", only: Sequen
     return rows.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
+def wanted(corpus: DataFrame, ids: DataFrame, *, key: str = "id") -> DataFrame:
+    """The records of the given ids; an id that the corpus lacks is an error."""
+    names = ids.select(key).distinct()
+    missing = [r[0] for r in names.join(corpus.select(key), key, "left_anti").orderBy(key).limit(5).collect()]
+    if missing:
+        raise ValueError(f"missing conversations: {missing}")
+    return corpus.join(names, key, "left_semi")
+
+
 def schedule(rows: DataFrame, policy: str = "length", *, limit: int = 0, source_order: str = "position") -> DataFrame:
     """The records in working order: longest first (ties by dataset and id), or as the source has them.
 

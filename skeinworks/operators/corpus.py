@@ -56,6 +56,7 @@ def of_datasets(rows: DataFrame, wanted: Sequence[str], known: Sequence[str]) ->
 def dedup_status(base: DataFrame, expansion: DataFrame, *, order: Sequence[str], fingerprint: str = "hash") -> DataFrame:
     """Both, with ``status``: ``base`` rows are kept as they are; of the others those whose fingerprint
     the base has are ``base_dup``, and of equal ones only the first by ``order`` is ``included``, the rest ``expansion_dup``.
+    A row without a fingerprint repeats nothing and is ``included``.
 
     First-seen is decided on thin rows: fingerprint and order only, partially aggregated, so a
     transcript that a large part of all rows shares stays one row for each task.
@@ -65,7 +66,7 @@ def dedup_status(base: DataFrame, expansion: DataFrame, *, order: Sequence[str],
     first = expansion.groupBy(F.col(fingerprint).alias("__hash")).agg(F.min(place).alias("__first"))
     seen = first.join(known, "__hash", "left")
     marked = expansion.join(seen, expansion[fingerprint] == F.col("__hash"), "left")
-    status = F.when(F.col("__base"), "base_dup").when(place == F.col("__first"), "included").otherwise("expansion_dup")
+    status = F.when(F.col("__base"), "base_dup").when(F.col(fingerprint).isNull() | (place == F.col("__first")), "included").otherwise("expansion_dup")
     return base.withColumn("status", F.lit("base")).unionByName(marked.withColumn("status", status).drop("__hash", "__base", "__first"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions.messages import compact_json
@@ -20,6 +20,11 @@ def document_fingerprint(cases: DataFrame, version: int, *, level: str = "level"
     return rows.select(level, fingerprint(cases=F.col("cases"), format_version=F.lit(version), level=F.col(level)).alias(fp))
 
 
+def read_fragments(spark: SparkSession, path: str) -> DataFrame:
+    """Cached fragments from JSON lines; what can't be read is no fragment, so a miss."""
+    return spark.read.schema("id string, fingerprint string, version int, body string").option("mode", "DROPMALFORMED").json(path)
+
+
 def fragment_status(wanted: DataFrame, cached: DataFrame, version: int, *, key: str = "id", fp: str = "fingerprint") -> DataFrame:
     """key, status: ``hit`` if the cache has a body of the same fingerprint and version, else ``miss``."""
     have = cached.where((F.col("version") == version) & (F.coalesce(F.length("body"), F.lit(0)) > 0)).select(key, fp, F.lit(True).alias("__hit")).distinct()

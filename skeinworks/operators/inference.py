@@ -69,28 +69,33 @@ def assess_in_parts(rows: DataFrame, first: Call, more: Callable[[dict, str], di
     return rows.select(key, chunks).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, {ASSESSED}")
 
 
-def covered(call: Callable[[list[str]], dict[int, dict]], items: list[str]) -> list[dict]:
-    """The answers to all items: from one call if it answers exactly these, else from a call for each item; one that stays unanswered raises."""
-    answers = call(items)
-    if set(answers) == set(range(len(items))):
-        return [answers[i] for i in range(len(items))]
-    if len(items) == 1:
-        raise ValueError(f"expected index 0, received {sorted(answers)}")
-    return [covered(call, [item])[0] for item in items]
+def screen_batches(batches: DataFrame, call: Callable[[list[str]], dict[int, dict]], *, key: str = "id", attempts: int = 3, pause: float = 1.0) -> DataFrame:
+    """key, c, r, q, error for the items (array<struct<key, text>>) of each batch.
 
+    A batch is one call.  One that fails, or doesn't answer exactly its items, is tried again;
+    when the attempts are used up its items are asked one by one, each with attempts of its own.
+    An item that has no answer then is an error by itself.
+    """
 
-def screen_batches(batches: DataFrame, call: Callable[[list[str]], dict[int, dict]], *, key: str = "id", attempts: int = 3, pause: float = 1.0) -> DataFrame:
-    """key, c, r, q, error for the items (array<struct<key, text>>) of each batch."""
-    ask = retried(lambda items: covered(call, items), attempts, pause)
+    def complete(texts: list[str]) -> list[dict]:
+        found = call(texts)
+        if found.keys() != set(range(len(texts))):
+            raise ValueError(f"expected {len(texts)} answers, received {sorted(found)}")
+        return [found[i] for i in range(len(texts))]
+
+    ask = retried(complete, attempts, pause)
+
+    def answers(texts: list[str]) -> list[tuple]:
+        try:
+            return [(a["c"], a["r"], a["q"], None) for a in ask(texts)]
+        except Exception as error:
+            if len(texts) > 1:
+                return [answers([text])[0] for text in texts]
+            return [(None, None, None, f"{type(error).__name__}: {error}")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for items in frame["items"]:
-                try:
-                    out += [(i[key], a["c"], a["r"], a["q"], None) for i, a in zip(items, ask([i["text"] for i in items]), strict=True)]
-                except Exception as error:
-                    out += [(i[key], None, None, None, f"{type(error).__name__}: {error}") for i in items]
+            out = [(i[key], *a) for items in frame["items"] for i, a in zip(items, answers([i["text"] for i in items]), strict=True)]
             yield pd.DataFrame(out, columns=[key, "c", "r", "q", "error"])
 
     kind = batches.schema["items"].dataType.elementType[key].dataType.simpleString()
@@ -140,3 +145,8 @@ def progress(rows: DataFrame, name: str = "progress") -> DataFrame:
     return rows.observe(name, F.count(F.lit(1)).alias("processed"), F.count("error").alias("failed"))
 
 
+def run_status(results: DataFrame, total: int, seconds: float) -> DataFrame:
+    """One row for a run's report: processed, failed, total, and records per hour to a tenth (null without time)."""
+    found = results.agg(F.count(F.lit(1)).alias("processed"), F.count("error").alias("failed"))
+    rate = F.bround(F.col("processed") * 3600.0 / F.when(F.lit(float(seconds)) > 0, F.lit(float(seconds))), 1)
+    return found.select("processed", "failed", F.lit(total).cast("long").alias("total"), rate.alias("per_hour"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions.messages import ASSISTANT, USER, alternates, role_count
+from skeinworks.sources.inventory import require_shards
 
 
 def turn_histogram(rows: DataFrame, turns: str) -> DataFrame:
@@ -13,6 +14,11 @@ def turn_histogram(rows: DataFrame, turns: str) -> DataFrame:
     return rows.where(F.col(turns).isNotNull()).groupBy(F.col(turns).cast("long").alias("n_turns")).agg(F.count(F.lit(1)).alias("conversations"))
 
 
+def sharded_histogram(spark: SparkSession, path: str, *, shards: int, turns: str = "turn") -> DataFrame:
+    """``turn_histogram`` of a parquet release that must have so many shards; only the column of turns is read."""
+    return turn_histogram(require_shards(spark.read.parquet(path).select(turns), shards), turns)
+
+
 def turn_summary(rows: DataFrame, turns: str) -> DataFrame:
     """One row: totals, extremes, mean, nearest-rank quantiles, and shares (null without rows)."""
     n = F.col(turns).cast("long")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.functions.text import thousands_list
 from skeinworks.operators.audit import CANDIDATES, LEVEL_NAMES
+from skeinworks.operators.review import require_unique
 
 
 def label_levels(rows: DataFrame, label: str = "label", level: str = "level") -> DataFrame:
@@ -56,9 +58,58 @@ def funnel(raw: DataFrame, corpus: DataFrame, audited: DataFrame, reviewed: Data
     )
 
 
-def flow_text(funnel_rows: DataFrame) -> str:
-    """The totals of a funnel as a Mermaid flow chart."""
-    steps = ("raw", "included", "audited", "candidates", "reviewed")
-    total = funnel_rows.agg(thousands_list([(s, F.coalesce(F.sum(s), F.lit(0))) for s in steps]).alias("t")).first()["t"].split("<br/>")
-    lines = [f'  s{i}["{t}"]' for i, t in enumerate(total)] + [f"  s{i} --> s{i + 1}" for i in range(len(total) - 1)]
-    return "flowchart TD\n" + "\n".join(lines) + "\n"
+def campaign_state(corpus: DataFrame, audited: DataFrame, errors: DataFrame, manual: DataFrame, *, sources: int = 0) -> DataFrame:
+    """One row that says how far a campaign is: totals, labels and levels (maps) by machine and by hand.
+
+    ``audited`` has id, label, level; ``manual`` conversation_id, label, level, of which only
+    the machine's candidates count.  Repeated ids in either are an error.  ``sources`` is added to nothing.
+    """
+    require_unique(audited, "audited records")
+    require_unique(manual, "manual records", key="conversation_id")
+    candidates = audited.where(F.col("label").isin(*CANDIDATES)).select(F.col("id").alias("conversation_id"))
+    hand = manual.join(candidates, "conversation_id", "left_semi")
+    counts = lambda rows, c, name: rows.groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+    total = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    parts = (
+        total(corpus, "corpus_total"), total(audited, "automated_total"), total(errors, "automated_errors"), total(candidates, "automated_candidates"),
+        counts(audited, "label", "automated_labels"), counts(audited, "level", "automated_levels"), total(hand, "manual_total"),
+        counts(hand, "label", "manual_labels"), counts(hand, "level", "manual_levels"), counts(hand.where("label = 'clear'"), "level", "clear_levels"),
+    )
+    found = corpus.sparkSession.range(1).select(F.lit(sources).cast("long").alias("source_total"))
+    for part in parts:  # one row each
+        found = found.join(part)
+    return found.withColumn("manual_pending", F.col("automated_candidates") - F.col("manual_total"))
+
+
+def in_dataset_order(rows: DataFrame, names: Sequence[str], dataset: str = "dataset") -> DataFrame:
+    """``rows`` with ``place``, the dataset's in ``names`` (from 0; others come last), to sort reports by."""
+    return rows.withColumn("place", F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(n) for n in names)), F.col(dataset)), F.lit(0)) - 1, F.lit(len(names))).cast("int"))
+
+
+def flow_text(funnel_rows: DataFrame, outcomes: DataFrame, *, errors: int = 0, names: Sequence[str] = ()) -> str:
+    """A Mermaid flow chart of a funnel (a row for each dataset) and the manual outcomes (label, level, n; ``label_levels`` will do).
+
+    Steps go down, what leaves the flow goes aside; datasets are listed in the order of ``names``, then by name.
+    """
+    rows = in_dataset_order(funnel_rows, names).orderBy("place", "dataset").collect()  # a row for each dataset
+    found = {(r["label"], r["level"]): r["n"] for r in outcomes.where("label IS NOT NULL AND level IS NOT NULL").collect()}  # a row for each label and level
+    total = {c: sum(r[c] for r in rows) for c in ("raw", "excluded", "included", "audited", "not_audited", "none", "potential", "clear", "candidates", "reviewed", "pending")}
+
+    def box(name: str, head: str, column: str, *, by_source: bool = False, omit_zero: bool = True, more: Sequence[str] = ()) -> str:
+        listed = [f"{r['dataset']}: {r[column]:,}" for r in rows if by_source and (r[column] or not omit_zero)]
+        return f'  {name}["' + "<br/>".join([head, f"n = {total[column]:,}", *listed, *more]) + '"]'
+
+    def outcome(label: str, levels: Sequence[int]) -> str:
+        n = sum(v for (which, _), v in found.items() if which == label)
+        return f'  {label}["' + "<br/>".join([f"outcome {label}", f"n = {n:,}", *(f"level {x}: {found.get((label, x), 0):,}" for x in levels)]) + '"]'
+
+    lines = [
+        box("raw", "records collected", "raw", by_source=True, omit_zero=False), box("excluded", "too short or repeated", "excluded"), box("included", "corpus", "included", by_source=True, omit_zero=False),
+        box("audited", "assessed", "audited", by_source=True, more=[f"errors: {errors:,}"]), box("waiting", "not assessed", "not_audited", by_source=True), box("quiet", "no sign", "none"),
+        box("candidates", "candidates", "candidates", more=[f"potential: {total['potential']:,}", f"clear: {total['clear']:,}"]), box("reviewed", "reviewed by hand", "reviewed"), box("pending", "not reviewed", "pending"),
+        outcome("clear", (3, 4, 5)), outcome("potential", (1, 2, 3, 4, 5)), outcome("none", (0,)),
+    ]
+    down = (("raw", "included"), ("included", "audited"), ("audited", "quiet"), ("audited", "candidates"), ("candidates", "reviewed"), ("reviewed", "clear"), ("reviewed", "potential"), ("reviewed", "none"))
+    aside = (("raw", "excluded"), ("included", "waiting"), ("candidates", "pending"))
+    lines += [f"  {a} --> {b}" for a, b in down] + [f"  {a} -.-> {b}" for a, b in aside]
+    return "flowchart TB\n" + "\n".join(lines) + "\n"

@@ -55,10 +55,41 @@ def shared_ids(ledgers: dict[str, DataFrame], *, key: str = "conversation_id") -
     return all_ids.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("ledger")).alias("ledgers")).where("n > 1")
 
 
-def manual_candidates(manual: DataFrame, audited: DataFrame, *, key: str = "id") -> DataFrame:
-    """Manual records of automated candidates only; calibration cases go."""
+def require_unique(rows: DataFrame, what: str, *, key: str = "id") -> None:
+    """Raise if a key stands in more than one row."""
+    require_empty(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{what}: repeated")
+
+
+def manual_candidates(manual: DataFrame, audited: DataFrame, *, key: str = "id", ledger: str | None = None) -> DataFrame:
+    """Manual records of automated candidates only; calibration cases go.
+
+    A candidate reviewed twice is an error; with ``ledger``, the column that names the ledger
+    of a record, so is a label (``label``) that differs from it.
+    """
     candidates = audited.where(F.col("label").isin(*CANDIDATES)).select(key).distinct()
-    return manual.join(candidates, key, "left_semi")
+    found = manual.join(candidates, key, "left_semi")
+    require_unique(found, "manual reviews of candidates", key=key)
+    if ledger:
+        require_empty(found.where(~F.col("label").eqNullSafe(F.col(ledger))).select(key, "label", ledger), "labels in another ledger")
+    return found
+
+
+#: What a label's assessment concludes, what holds for every case, and what every record notes; fixed values.
+CONCLUSIONS = {
+    "clear": "Four distinct and chronologically ordered stages survive within one coherent process.",
+    "potential": "The case is lower-level or has an incomplete higher-level chain and therefore does not meet the precision threshold for clear.",
+    "none": "The apparent process is impersonal, fictional, fragmented, or otherwise lacks defensible evidence of extension beyond L0.",
+}
+REASONS = (
+    "The complete normalized conversation was reviewed as one individual unit, including all topic segments.",
+    "The strongest coherent process was distinguished from unrelated later topics and from mere artifact iteration.",
+)
+EVIDENCE = "Complete source conversation reviewed; turn references are retained without unnecessarily duplicating sensitive transcript text."
+BOUNDARY = "Frozen-boundary one-by-one full-conversation adjudication at automated cutoff %d; manual classification overrides the automated label for substantive reporting."
+COMMENTS = (
+    "Occupational, educational, entrepreneurial, creative, relational, personal, and health AI use was treated as consumption rather than excluded by domain.",
+    "The full transcript remains in the normalized corpus; sensitive text is not unnecessarily duplicated here.",
+)
 
 
 def canonicalize(decisions: DataFrame, audited: DataFrame, cutoff: int, *, key: str = "conversation_id") -> DataFrame:
@@ -66,14 +97,17 @@ def canonicalize(decisions: DataFrame, audited: DataFrame, cutoff: int, *, key:
     source = audited.select(F.col("id").alias(key), "dataset", "source_id", F.col("label").alias("automated_label"), F.col("level").alias("automated_level"), "audit_line")
     rows = decisions.join(source, key)
     names, loci = {k: v[0] for k, v in LEVELS.items()}, {k: v[1] for k, v in LEVELS.items()}
+    conclusion = F.coalesce(lookup(CONCLUSIONS, F.col("label")), F.lit(CONCLUSIONS["none"]))
     return rows.select(
         key, "dataset", "source_id", "automated_label", "automated_level", "audit_line",
-        F.col("label").alias("manual_label"), F.lit(cutoff).alias("cutoff"), "context", "level",
+        F.col("label").alias("manual_label"), F.lit(cutoff).alias("cutoff"), F.lit(True).alias("consumption_related"), "context", "level",
         lookup(names, F.col("level")).alias("level_name"), lookup(loci, F.col("level")).alias("locus"),
         F.when((F.col("label") == "clear") | (F.col("level") >= 3), "high").otherwise("medium").alias("priority"),
         F.when(F.col("confidence") == "medium", "moderate").otherwise(F.col("confidence")).alias("confidence"),
         "summary", "boundary",
-        *(F.struct(turn_references(F.col(s)).alias("turn"), F.col(s).alias("interpretation")).alias(s) for s in STAGES),
+        *(F.struct(turn_references(F.col(s)).alias("turn"), F.lit(EVIDENCE).alias("evidence"), F.col(s).alias("interpretation")).alias(s) for s in STAGES),
+        F.array(*(F.lit(x) for x in REASONS), conclusion).alias("reasons"),
+        F.array(F.lit(BOUNDARY % cutoff), *(F.lit(x) for x in COMMENTS), F.col("boundary")).alias("comments"),
     )
 
 

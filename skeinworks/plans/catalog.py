@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions import text as tx
@@ -13,23 +10,9 @@ from skeinworks.operators import audit, fingerprint, legacy, profile, report, re
 from skeinworks.operators import corpus as co
 from skeinworks.operators.overlap import overlap_report
 from skeinworks.plans import fixtures as fx
+from skeinworks.plans import releases, runs  # noqa: F401  (they register theirs)
 from skeinworks.plans.fixtures import AUDITED, DOCUMENTS, MESSAGES
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return put
-
+from skeinworks.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 # ---- profile ----
 
@@ -66,9 +49,11 @@ def w05_dense_distribution(spark, sf):
     return profile.dense_distribution(profile.turn_histogram(fx.corpus(spark, sf), "user_messages"))
 
 
-@query("""SELECT doc_id, CAST(length(text) - length(replace(text, 'th', 'h')) AS BIGINT) AS questions, CAST(length(text) - length(replace(text, 'en', 'n')) AS BIGINT) AS answers FROM documents""")
+@query("""SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST(length(text) - length(replace(text, 'th', 'h')) AS BIGINT) END AS questions, CASE WHEN text IS NOT NULL THEN CAST(length(text) - length(replace(text, 'en', 'n')) AS BIGINT) END AS answers FROM documents""")
 def p22_serialized_counts(spark, sf):
-    return profile.serialized_counts(fx.table(spark, sf, "documents"), "text", question="th", answer="en").select("doc_id", "questions", "answers")
+    """Cells with a key of each kind, and one that only looks like it, for certain letters of a text."""
+    cell = F.replace(F.replace("text", F.lit("th"), F.lit("""'user_question' : "user_question" """)), F.lit("en"), F.lit("""{"AI_response": AI_response: """))
+    return profile.serialized_counts(fx.table(spark, sf, "documents").select("doc_id", cell.alias("cell")), "cell").select("doc_id", "questions", "answers")
 
 
 # ---- corpus ----
@@ -209,19 +194,20 @@ def c04_batches(spark, sf):
     return fx.corpus(spark, sf).select("conv_id", F.posexplode(numbers).alias("pos", "batch")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
-def c02_overlapping_chunks(spark, sf):
-    rows = fx.corpus(spark, sf).withColumn("pieces", tx.segments(F.col("messages"), 400))
-    return legacy.overlapping_chunks(rows, "pieces", limit=1500, overlap=2)
+SCREENED = """screen AS (SELECT conv_id, string_agg('[' || label || '] ' || CASE WHEN role = 'user' AND length(text) > 200 THEN substr(text, 1, 82) || ' […omitted…] ' || right(text, 82)
+  WHEN role = 'assistant' AND length(text) > 150 THEN substr(text, 1, 57) || ' […omitted…] ' || right(text, 57) ELSE text END, chr(10) ORDER BY turn) AS transcript,
+  CAST(count(*) FILTER (length(text) > CASE role WHEN 'user' THEN 200 ELSE 150 END) AS INTEGER) AS truncated FROM lab GROUP BY conv_id)"""
 
 
-@query(f"""WITH RECURSIVE {MESSAGES}, num AS (SELECT conv_id, ch, row_number() OVER (ORDER BY conv_id) AS k FROM conv),
-walk AS (SELECT conv_id, k, 0 AS batch, 1 AS items, ch AS held FROM num WHERE k = 1 UNION ALL
-  SELECT n.conv_id, n.k, CASE WHEN items >= 8 OR held + n.ch > 20000 THEN batch + 1 ELSE batch END, CASE WHEN items >= 8 OR held + n.ch > 20000 THEN 1 ELSE items + 1 END,
-    CASE WHEN items >= 8 OR held + n.ch > 20000 THEN n.ch ELSE held + n.ch END FROM walk w JOIN num n ON n.k = w.k + 1)
+@query(f"""WITH RECURSIVE {MESSAGES}, {SCREENED}, num AS (SELECT conv_id, length(transcript) AS n, row_number() OVER (ORDER BY conv_id) AS k FROM screen),
+walk AS (SELECT conv_id, k, 0 AS batch, 1 AS items, n AS held FROM num WHERE k = 1 UNION ALL
+  SELECT n.conv_id, n.k, CASE WHEN items >= 8 OR held + n.n > 6000 THEN batch + 1 ELSE batch END, CASE WHEN items >= 8 OR held + n.n > 6000 THEN 1 ELSE items + 1 END,
+    CASE WHEN items >= 8 OR held + n.n > 6000 THEN n.n ELSE held + n.n END FROM walk w JOIN num n ON n.k = w.k + 1)
 SELECT conv_id, batch FROM walk""")
 def c03_pack_batches(spark, sf):
-    return legacy.pack_batches(fx.corpus(spark, sf), key="conv_id", position="conv_id", length="characters", max_characters=20_000).select("conv_id", "batch")
+    """Batches of transcripts as they are rendered, elided."""
+    rows = fx.corpus(spark, sf).withColumn("n", F.length(legacy.screened(F.col("messages"), user=200, assistant=150)))
+    return legacy.pack_batches(rows, key="conv_id", position="conv_id", length="n", max_characters=6_000).select("conv_id", "batch")
 
 
 @query("""WITH RECURSIVE r AS (SELECT doc_id, 0 AS part, CAST(NULL AS VARCHAR) AS piece, text AS rest FROM documents WHERE text IS NOT NULL UNION ALL
@@ -241,10 +227,17 @@ def p16_elide(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", tx.elide(F.col("text"), 200).alias("short"), cut.alias("cut"))
 
 
-@query(f"""WITH {MESSAGES} SELECT conv_id, string_agg('[' || label || '] ' || CASE WHEN length(text) > 200 THEN substr(text, 1, 82) || ' […omitted…] ' || right(text, 82) ELSE text END, chr(10) ORDER BY turn) AS transcript,
-  CAST(count(*) FILTER (length(text) > 200) AS INTEGER) AS truncated FROM lab GROUP BY conv_id""")
+@query(f"WITH {MESSAGES}, {SCREENED} SELECT conv_id, transcript, truncated FROM screen")
 def p38_screened(spark, sf):
-    return fx.corpus(spark, sf).select("conv_id", legacy.screened(F.col("messages"), 200).alias("transcript"), legacy.truncated_count(F.col("messages"), 200).alias("truncated"))
+    limits = {"user": 200, "assistant": 150}
+    return fx.corpus(spark, sf).select("conv_id", legacy.screened(F.col("messages"), **limits).alias("transcript"), legacy.truncated_count(F.col("messages"), **limits).alias("truncated"))
+
+
+@query(f"""WITH {MESSAGES} SELECT conv_id, string_agg('[' || label || '] ' || CASE WHEN length(text) > 200 THEN substr(text, 1, 60) || chr(10) || '[…message middle omitted…]' || chr(10) || right(text, 60) ELSE text END, chr(10) || chr(10) ORDER BY turn) AS said,
+  CAST(count(*) FILTER (length(text) > 200) AS INTEGER) AS truncated FROM lab GROUP BY conv_id""")
+def p38_exchanges(spark, sf):
+    said = F.array_join(legacy.exchanges(F.col("messages"), limit=200), "\n\n")
+    return fx.corpus(spark, sf).select("conv_id", said.alias("said"), legacy.truncated_count(F.col("messages"), user=200, assistant=200).alias("truncated"))
 
 
 @query(f"""WITH {MESSAGES}, roles AS (SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS said FROM m GROUP BY conv_id)
@@ -264,21 +257,25 @@ TURN = r"\b[UA]\d+(?:[–-][UA]?\d+)?(?:\s*(?:,|and)\s*[UA]\d+(?:[–-][UA]?\d+)
 
 @query(f"""WITH t AS (SELECT conv_id, turn, 'At U' || (turn + 1) || CASE WHEN turn % 2 = 0 THEN ' and A' || turn ELSE ' then A2-A' || (turn + 3) END || ', again U' || (turn + 1) || '.' AS body FROM conversations WHERE turn % 3 <> 2
   UNION ALL SELECT conv_id, turn, 'nothing' FROM conversations WHERE turn % 3 = 2), f AS (SELECT *, regexp_extract_all(body, '{TURN}') AS found FROM t)
-SELECT conv_id, turn, CASE WHEN len(found) = 0 THEN 'not directly evidenced' ELSE array_to_string(list_sort(list_distinct(found)), ', ') END AS turns FROM f""")
+SELECT conv_id, turn, CASE WHEN len(found) = 0 THEN 'not directly evidenced' ELSE array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ', ') END AS turns FROM f""")
 def p24_turn_references(spark, sf):
     t = F.col("turn")
     body = F.when(t % 3 == 2, "nothing").otherwise(F.concat(F.lit("At U"), (t + 1).cast("string"), F.when(t % 2 == 0, F.concat(F.lit(" and A"), t.cast("string"))).otherwise(F.concat(F.lit(" then A2-A"), (t + 3).cast("string"))), F.lit(", again U"), (t + 1).cast("string"), F.lit(".")))
-    rows = fx.table(spark, sf, "conversations").select("conv_id", "turn", tx.turn_references(body).alias("turns"))
-    # The oracle can't keep the order of first sight: both sides sort
-    return rows.withColumn("turns", F.array_join(F.array_sort(F.split("turns", ", ")), ", "))
+    return fx.table(spark, sf, "conversations").select("conv_id", "turn", tx.turn_references(body).alias("turns"))
+
 
+RESULT = r"^(\d+)\|(yes|no|uncertain)\|(none|potential|clear)\|(yes|maybe|no)$"
 
-@query("""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id || '|yes|none|maybe' WHEN doc_id % 3 = 1 THEN ' ' || doc_id || '|no|clear|no ' ELSE doc_id || '|no|clearly|no' END AS line FROM documents)
-SELECT doc_id, regexp_full_match(trim(line), '(\\d+)\\|(yes|no|uncertain)\\|(none|potential|clear)\\|(yes|maybe|no)') AS valid FROM x""")
+
+@query(f"""WITH x AS (SELECT doc_id, unnest(['  ' || doc_id || '|yes|none|maybe', doc_id || '|no|clearly|no', 'so: 1|no|none|no', (doc_id + 1) || '|uncertain|clear|no ']) AS line, unnest([0, 1, 2, 3]) AS k FROM documents),
+y AS (SELECT *, trim(line) AS t FROM x WHERE doc_id % 3 <> k AND regexp_full_match(trim(line), '{RESULT[1:-1]}'))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, CAST(regexp_extract(t, '{RESULT}', 1) AS INTEGER) AS "index", regexp_extract(t, '{RESULT}', 2) AS c, regexp_extract(t, '{RESULT}', 3) AS r, regexp_extract(t, '{RESULT}', 4) AS q FROM y""")
 def p26_result_lines(spark, sf):
-    d = F.col("doc_id")
-    line = F.when(d % 3 == 0, F.concat(d.cast("string"), F.lit("|yes|none|maybe"))).when(d % 3 == 1, F.concat(F.lit(" "), d.cast("string"), F.lit("|no|clear|no "))).otherwise(F.concat(d.cast("string"), F.lit("|no|clearly|no")))
-    return fx.table(spark, sf, "documents").select("doc_id", (F.size(tx.result_lines(line)) == 1).alias("valid"))
+    d = F.col("doc_id").cast("string")
+    lines = F.array(F.concat(F.lit("  "), d, F.lit("|yes|none|maybe")), F.concat(d, F.lit("|no|clearly|no")), F.lit("so: 1|no|none|no"), F.concat((F.col("doc_id") + 1).cast("string"), F.lit("|uncertain|clear|no ")))
+    answer = F.array_join(F.filter(lines, lambda x, i: F.col("doc_id") % 3 != i), "\n")
+    found = fx.table(spark, sf, "documents").select("doc_id", F.posexplode(tx.result_lines(answer)).alias("place", "x"))
+    return found.select("doc_id", F.col("place").cast("long").alias("place"), "x.*")
 
 
 # ---- audit and review ----
@@ -347,14 +344,18 @@ def j06_decision_problems(spark, sf):
 
 @query(f"""WITH {AUDITED} SELECT r.id AS conversation_id, a.label AS automated_label, r.label AS manual_label, r.level, (['instrumental_task', 'capability_extension', 'project_possession_extension', 'representational_extension', 'reflexive_extension', 'enacted_extension'])[r.level + 1] AS level_name,
   (['none', 'capability', 'owned_project', 'self_representation', 'self_understanding', 'possible_self_enactment'])[r.level + 1] AS locus, CASE WHEN r.label = 'clear' OR r.level >= 3 THEN 'high' ELSE 'medium' END AS priority,
-  CASE WHEN r.conv_id % 2 = 0 THEN 'moderate' ELSE 'high' END AS confidence, CASE WHEN r.conv_id % 3 = 0 THEN 'U1' ELSE 'not directly evidenced' END AS turn FROM reviewed r JOIN audited a ON r.id = a.id""")
+  CASE WHEN r.conv_id % 2 = 0 THEN 'moderate' ELSE 'high' END AS confidence, CASE WHEN r.conv_id % 3 = 0 THEN 'U1' ELSE 'not directly evidenced' END AS turn,
+  CASE r.label WHEN 'clear' THEN 'Four' WHEN 'potential' THEN 'The case' ELSE 'The apparent' END AS conclusion, 3 AS reasons, 'at automated cutoff 100' AS boundary, 4 AS comments, true AS consumption FROM reviewed r JOIN audited a ON r.id = a.id""")
 def p27_canonical(spark, sf):
     rows = fx.audited(spark, sf)
     made = fx.reviewed(rows).withColumnRenamed("id", "conversation_id")
     said = F.when(F.col("conv_id") % 3 == 0, "The user says so in U1.").otherwise("Nothing said.")
     made = made.withColumns({"confidence": F.when(F.col("conv_id") % 2 == 0, "medium").otherwise("high"), "context": F.lit("other"), "summary": F.lit(""), "boundary": F.lit(""), **{s: said for s in audit.STAGES}})
     found = review.canonicalize(made, rows.withColumn("audit_line", F.col("conv_id")), 100)
-    return found.select("conversation_id", "automated_label", "manual_label", F.col("level").cast("long").alias("level"), "level_name", "locus", "priority", "confidence", F.col("externalization.turn").alias("turn"))
+    return found.select(
+        "conversation_id", "automated_label", "manual_label", F.col("level").cast("long").alias("level"), "level_name", "locus", "priority", "confidence", F.col("externalization.turn").alias("turn"),
+        F.regexp_extract(F.get("reasons", F.lit(2)), "^(Four|The [a-z]+)", 1).alias("conclusion"), F.size("reasons").alias("reasons"), F.regexp_extract(F.get("comments", F.lit(0)), "at automated cutoff [0-9]+", 0).alias("boundary"), F.size("comments").alias("comments"), F.col("consumption_related").alias("consumption"),
+    )
 
 
 @query("""WITH p AS (SELECT doc_id % 97 AS id, doc_id AS chunk, CASE (quality + 2 * toxic + doc_id) % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'potential' ELSE 'clear' END AS label, (doc_id % 7) / 10 AS confidence FROM labels),
@@ -369,22 +370,17 @@ def a11_ordinal_argmax(spark, sf):
 # ---- translation, caches, files ----
 
 
-def _targets(spark, sf):
-    rows = fx.audited(spark, sf)
-    corpus = rows.select("id", "conv_id", "messages", F.when(F.col("conv_id") % 3 == 0, "English").otherwise("German").alias("language"))
-    return translate.targets(corpus, rows.where("label <> 'none'").select("id", "level"))
-
-
 @query(f"""WITH {AUDITED} SELECT conv_id, level, row_number() OVER (ORDER BY level DESC, ch DESC, id) AS place FROM audited WHERE label <> 'none' AND level IN (3, 4, 5) AND conv_id % 3 <> 0""")
 def o04_targets(spark, sf):
-    return _targets(spark, sf).select("conv_id", F.col("level").cast("long").alias("level"), F.col("place").cast("long").alias("place"))
+    return fx.targets(spark, sf).select("conv_id", F.col("level").cast("long").alias("level"), F.col("place").cast("long").alias("place"))
 
 
-@query(f"WITH {MESSAGES} SELECT conv_id, string_agg(translate(text, 'e', '#'), '|' ORDER BY turn) AS text FROM m GROUP BY conv_id")
+@query(f"WITH {MESSAGES} SELECT conv_id, string_agg(CASE WHEN length(text) % 3 = 0 THEN text ELSE translate(text, 'e', '#') END, '|' ORDER BY turn) AS text FROM m GROUP BY conv_id")
 def j13_reassemble(spark, sf):
-    parts = translate.pieces(fx.corpus(spark, sf), key="conv_id", limit=200)
+    """A third of the messages passes through as it is."""
+    parts = translate.pieces(fx.corpus(spark, sf), key="conv_id", limit=200, passthrough=F.length("content") % 3 == 0)
     done = parts.where("NOT passthrough").select("conv_id", "message_index", "part_index", F.translate("text", "e", "#").alias("translation"))
-    return translate.reassemble(parts, done, key="conv_id").select("conv_id", F.translate(F.array_join("translations", "|"), "e", "#").alias("text"))
+    return translate.reassemble(parts, done, key="conv_id").select("conv_id", F.array_join("translations", "|").alias("text"))
 
 
 @query(f"""WITH {MESSAGES} SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'hash' WHEN conv_id % 5 = 1 THEN 'count' WHEN conv_id % 5 = 2 THEN 'unfaithful' WHEN conv_id % 5 = 3 THEN 'unfaithful' END AS fault FROM conv""")

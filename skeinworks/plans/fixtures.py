@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinworks.functions.messages import transcript_hash
+from skeinworks.operators import translate
 from skeinworks.operators.audit import normalize
 from skeinworks.operators.corpus import conversations, records
 
@@ -16,6 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A path that nobody has used, in the folder that driver and executors share; sessions on one machine that name none get a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="skeinworks-")
+    return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written and read back, so a plan that uses it often doesn't hold it often."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as records."""
     return records(conversations(table(spark, sf_dir, "conversations")), DATASET, F.col("conv_id"))
@@ -56,6 +77,13 @@ def reviewed(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("conv_id") % 4 != 3).select("id", "conv_id", F.when(set_back, "none").otherwise(F.col("label")).alias("label"), F.when(set_back, 0).otherwise(F.col("level")).alias("level"))
 
 
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audited candidates of the wanted levels, two thirds of them in German."""
+    rows = audited(spark, sf_dir)
+    talks = rows.select("id", "conv_id", "messages", F.when(F.col("conv_id") % 3 == 0, "English").otherwise("German").alias("language"))
+    return translate.targets(talks, rows.where("label <> 'none'").select("id", "level"))
+
+
 #: The same in SQL.
 MESSAGES = """m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS ord,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations WHERE role IN ('user', 'assistant')),

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinworks.operators.fingerprint import upsert_status
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,7 +46,7 @@ def completed_ids(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
     """The distinct ids of the lines that parse; whatever doesn't is skipped, a missing file has none."""
     if not exists(spark, path):
         return spark.createDataFrame([], f"{key} string")
-    return spark.read.schema(f"{key} string").option("mode", "DROPMALFORMED").json(path).where(F.col(key).isNotNull()).distinct()
+    return spark.read.schema(f"{key} string").option("mode", "DROPMALFORMED").json(path).select(key).where(F.col(key).isNotNull()).distinct()
 
 
 def tolerant(spark: SparkSession, path: str, schema: str, *, missing_ok: bool = True) -> DataFrame:
@@ -69,13 +71,14 @@ def keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """file, bytes, json_lines, sha256 of the complete lines of each file (up to its last newline); a complete line that doesn't parse is an error."""
+    """path, file, bytes, json_lines, sha256 of the complete lines of each file (up to its last newline); a complete line that doesn't parse is an error."""
     files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
     kept = F.when(F.instr("text", "\n") > 0, F.expr("substring(text, 1, length(text) - length(substring_index(text, '\n', -1)))")).otherwise("")
     cut = files.select("path", kept.alias("kept"))
     bad = F.exists(F.filter(F.split(F.rtrim("kept", F.lit("\n")), "\n"), lambda x: F.length(x) > 0), lambda x: F.call_function("try_parse_json", x).isNull())
     good = F.when(bad, F.raise_error(F.concat(F.lit("broken line in "), "path")).cast("boolean")).otherwise(F.lit(True))
     return cut.where(good).select(
+        "path",
         F.element_at(F.split("path", "/"), -1).alias("file"),
         F.octet_length("kept").cast("long").alias("bytes"),
         (F.length("kept") - F.length(F.replace("kept", F.lit("\n")))).cast("long").alias("json_lines"),
@@ -96,18 +99,56 @@ def split_errors(results: DataFrame, path: str, errors: str) -> None:
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Write beside ``path``, then put it in its place: readers see the old folder or the new, and a failed write leaves the old."""
+    """Write beside ``path``, then put it in its place.
+
+    A failed write leaves the old folder as it is; a failed rename puts it back, and is an error.
+    Between the two renames a reader may find no folder: ledgers have one writer at a time.
+    """
     spark, draft = rows.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    rows.write.parquet(draft)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at, new, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, draft, f"{draft}.old"))
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = spark._jvm.org.apache.hadoop.fs.Path(f"{draft}.old")
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(draft), at)
+    try:
+        rows.write.parquet(draft)
+        had = fs.exists(at)
+        if had and not fs.rename(at, old):
+            raise OSError(f"{path} can't be moved away")
+        if not fs.rename(new, at):
+            if had and not fs.rename(old, at):
+                raise OSError(f"{path} is left in {old}")
+            raise OSError(f"{draft} can't be moved to {path}")
+    finally:
+        fs.delete(new, True)
     fs.delete(old, True)
 
 
 def compact(rows: DataFrame, path: str, key: str = "id", order: str = "line_no") -> None:
     """Rewrite a cache with the latest record of each id, sorted by id."""
     replace(latest(rows, key, order).orderBy(key), path)
+
+
+def migrate(spark: SparkSession, legacy: str, path: str, value_schema: str) -> int:
+    """Turn the older cache into a new one, sorted by id, where there is no new one yet; the number of records moved."""
+    if exists(spark, path) or not exists(spark, legacy):
+        return 0
+    replace(keyed_json(spark, legacy, value_schema).orderBy("id"), path)
+    return spark.read.parquet(path).count()
+
+
+def store(incoming: DataFrame, path: str, *, key: str = "id") -> dict[str, int]:
+    """Put records into a cache: how many were ``unchanged``, ``appended``, ``rewritten``, and ``kept`` from before.
+
+    New records only are appended; the cache is rewritten, sorted by key, if a record replaces another.
+    """
+    spark = incoming.sparkSession
+    if not exists(spark, path):
+        replace(incoming.orderBy(key), path)
+        return {"appended": spark.read.parquet(path).count()}
+    cache, others = spark.read.parquet(path), [c for c in incoming.columns if c != key]
+    packed = lambda rows: rows.select(key, F.struct(*others).alias("value"))
+    status = upsert_status(packed(cache), packed(incoming), key=key)
+    counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows at most
+    if counts.get("rewritten"):
+        replace(cache.join(incoming.select(key), key, "left_anti").unionByName(incoming).orderBy(key), path)
+    elif counts.get("appended"):
+        incoming.join(cache.select(key), key, "left_anti").write.mode("append").parquet(path)
+    return counts

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions.messages import ROLE_NAMES, USER, clean, falsy_or, from_pairs, realized_path, role_count, transcript_hash
 from skeinworks.operators.corpus import long_by_turns, qualifying, records, run_keys, runs
+from skeinworks.sources.inventory import require_shards  # noqa: F401
 
 SAID = "array<struct<role:string,content:string>>"
 CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
@@ -28,14 +29,6 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_name"))
 
 
-def require_shards(df: DataFrame, expected: int) -> DataFrame:
-    """``df`` if its files are as many as expected."""
-    found = len(df.inputFiles())
-    if found != expected:
-        raise ValueError(f"expected {expected} shards, found {found}")
-    return df
-
-
 def turn_sample(spark: SparkSession, path: str, first: int) -> DataFrame:
     """The first rows of each parquet shard."""
     return _named(spark.read.parquet(path)).withColumn("row", F.col("_metadata.row_index")).where(F.col("row") < first)
@@ -141,9 +134,10 @@ def turn_csv(spark: SparkSession, path: str, dataset: str, *, min_per_role: int
     return qualifying(records(found, dataset, F.col("run_key")), min_per_role).drop("said", "key", "run", "run_key")
 
 
-def platform_csvs(spark: SparkSession, path: str, dataset: str, *, min_per_role: int = 10) -> DataFrame:
-    """All CSV files below ``path``: the header of each says whether its rows are conversations or messages."""
-    files = sorted(spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").toPandas()["path"])
+def platform_csvs(spark: SparkSession, path: str, dataset: str, *, min_per_role: int = 10, recursive: bool = False) -> DataFrame:
+    """All CSV files in ``path`` (``recursive``: and below it): the header of each says whether its rows are conversations or messages."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive).load(path).select("path")
+    files = sorted(r.path for r in files.collect())  # a row for each file
     found = None
     for file in files:
         head = spark.read.text(file).limit(1).collect()

@@ -390,3 +390,49 @@ def test_targets_are_not_ranked_in_one_task(spark):
     # A window that orders by level has no partition
     assert "row_number() windowspecdefinition(level" in (plan := found._jdf.queryExecution().optimizedPlan().toString())
     assert "DESC" not in plan.split("row_number() windowspecdefinition(")[1].split(",")[0]
+
+
+@given(st.lists(st.integers(0, 12), max_size=30), st.integers(1, 25), st.integers(0, 4))
+@settings(max_examples=200, deadline=None)
+def test_chunk_bounds(lengths, limit, overlap):
+    bounds = legacy.chunk_bounds(lengths, limit, overlap, 2)
+    width = lambda a, b: sum(lengths[a:b]) + 2 * (b - a - 1)
+    assert [a for a, _ in bounds] == sorted({a for a, _ in bounds}) and (not lengths or (bounds[0][0], bounds[-1][1]) == (0, len(lengths)))
+    for a, b in bounds:
+        assert b == a + 1 or width(a, b) <= limit
+        assert b == len(lengths) or width(a, b + 1) > limit
+    for (a, b), (c, _) in zip(bounds, bounds[1:], strict=False):
+        assert c == max(a + 1, b - overlap)
+
+
+def test_rows_without_a_fingerprint_repeat_nothing(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "h"), (4, "h")], "n int, hash string")
+    found = {r.n: r.status for r in corpus.dedup_status(rows.limit(0), rows, order=["n"]).collect()}
+    assert found == {1: "included", 2: "included", 3: "included", 4: "expansion_dup"}
+
+
+def test_each_role_has_its_limit(spark):
+    rows = spark.createDataFrame([([("user", "u" * 500), ("assistant", "a" * 301), ("user", "v" * 501)],)], SAID)
+    got = rows.select(legacy.screened(F.col("messages")).alias("t"), legacy.truncated_count(F.col("messages")).alias("n")).first()
+    assert got.n == 2 and got.t == "\n".join(["[U1] " + "u" * 500, "[A1] " + "a" * 132 + " […omitted…] " + "a" * 132, "[U2] " + "v" * 232 + " […omitted…] " + "v" * 232])
+
+
+def test_a_failed_replacement_keeps_the_old_folder(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    ledger.replace(spark.createDataFrame([("a",)], "id string"), path)
+    broken = spark.createDataFrame([("b",)], "id string").select(F.raise_error(F.col("id")).cast("string").alias("id"))
+    with pytest.raises(PySparkException):
+        ledger.replace(broken, path)
+    assert [r.id for r in spark.read.parquet(path).collect()] == ["a"] and [p.name for p in tmp_path.iterdir()] == ["cache"]
+
+
+def test_chunks_that_fail_are_errors(spark):
+    chunks = spark.createDataFrame([("k", 0, "x"), ("k", 1, "boom")], "id string, chunk int, text string")
+
+    def call(text, number, total):
+        if text == "boom":
+            raise OSError(f"{number} of {total}")
+        return {name: {"label": labels[2], "confidence": 0.5} for name, labels in legacy.ORDERS.items()}
+
+    got = sorted(legacy.classify_chunks(chunks, call, pause=0).collect(), key=lambda r: r.chunk)
+    assert got[0].review.label == "yes" and got[0].error is None and got[1].review is None and got[1].error == "OSError: 2 of 2"

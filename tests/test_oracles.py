@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     found = duckdb.connect()
-    for name in ("conversations", "documents", "events", "labels"):
+    for name in ("conversations", "documents", "events", "labels", "orders", "pages"):
         found.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return found
 
@@ -38,9 +38,8 @@ def test_matches_sql(spark, con, name):
     assert ours == theirs
 
 
-def test_queries_without_sql_have_rows(spark):
-    for name in QUERIES.keys() - ORACLES.keys():
-        assert QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert QUERIES.keys() == ORACLES.keys()
 
 
 def test_entry_has_a_stable_schema(spark):
