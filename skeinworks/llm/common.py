@@ -37,21 +37,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
-#: Folders made for sessions that name none, by application.
+#: Folders made for sessions on one machine that name none, by application.
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where the session has neither (tests on one machine), a folder of its own, the same for the whole session.
+    Where a session on one machine has neither, as in tests, a folder of its own, the same for the whole session; on a cluster that is an error.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _own_dirs.get(context.applicationId) or tempfile.mkdtemp(prefix="skeinworks-")
         _own_dirs[context.applicationId] = found
-    return found
+    return found if "://" in found or found.startswith("file:") else _qualified(spark, found)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme as Spark's default file system has it, so that Spark and Arrow mean the same folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -76,15 +84,16 @@ def key_crc(column: str = "doc_id") -> Column:
 
 
 def sampled(df: DataFrame, bound: int, *keys: str, seed: str = "fit") -> DataFrame:
-    """About ``bound`` rows at most, chosen by a hash of ``keys``: the same rows on every run, and all rows while there are no more than ``bound``.
+    """All rows while there are no more than ``bound``, else a sample of the distinct ``keys`` by their hash, a row for each: the same on every run.
 
-    The rate comes from a count of all rows, so what is kept is ``bound`` plus the noise of a binomial draw.
+    The rate comes from a count of all rows, so a sample is ``bound`` rows at most, plus the noise of a
+    binomial draw: rows that repeat their keys can't outgrow it.  ``keys`` should be all columns, or rows that share them alike.
     """
     n = df.count()
     if n <= bound:
         return df
     at = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30))
-    return df.where(at < int(bound / n * (1 << 30)))
+    return df.where(at < int(bound / n * (1 << 30))).dropDuplicates(list(keys))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], at: int, chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -1,20 +1,24 @@
 """Personal data: patterns, and a skip-chain conditional random field that adds what they miss.
 
-Patterns give the base spans.  The field has a node for every base span, whose label is
-observed, and for every other token that holds a digit or an at sign, or that repeats the
-local part of an address found in the same document.  Neighbouring nodes share a transition
-potential; nodes anywhere in the document whose normal forms agree (the same last seven
-digits, the same local part, the same token) share a skip potential.  Loopy message passing
-runs over all documents of a slice at once, and tokens that come out with a label are added.
-
-Potentials are trained piecewise on a sample of documents of documented size: a softmax over
-token features for single nodes, smoothed log ratios of label pairs for both kinds of edge.
+Patterns give the base spans, and the values of assignments to names of secrets.  The field has
+a node for every such span, whose label is observed, and for every other token that holds a
+digit or an at sign, or that repeats the local part of an address found in the same document.
+Neighbouring nodes share a transition potential.  Nodes anywhere in the document whose normal
+forms agree (the same last seven digits, the same local part, the same token) share a skip
+potential: each with the occurrence before it, and with the nearest that is observed, so what is
+known of one reaches all others in a step.  Loopy messages pass over all documents of a slice
+at once until they settle, and tokens that come out with a label are added.
+
+Potentials are trained by maximum a posteriori pseudo-likelihood on a sample of documents of
+documented size: each known node is predicted from its own features and its known neighbours',
+and once more from the neighbours alone, as a repeat without telling features would be.
+Tokens that repeat an observed span without matching a pattern are unknown, so they teach nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,11 +32,18 @@ from pyspark.sql import types as T
 from skeinworks.llm.common import sampled, text_or_empty, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("none", *KINDS)
-#: Documents to train on, at most; rounds of messages; probability at which a label is taken.
-FIT_ROWS, ROUNDS, DAMPING, CERTAIN = 4_000, 12, 0.3, 0.9
-#: Log potential of the observed label of a base span.
-OBSERVED = 8.0
+LABELS = ("none", *KINDS, "secret")
+SECRET = LABELS.index("secret")
+#: Documents to train on, about at most; probability at which a label is taken.
+FIT_ROWS, CERTAIN = 4_000, 0.9
+#: Messages have settled when none changes by more; rounds after which they are taken as they are, if some still swing.
+SETTLED, MOST_ROUNDS, DAMPING = 1e-4, 1_000, 0.3
+#: Log potential of the observed label of a span, beyond what any number of neighbours could say; log odds that a token's own features give at most.
+OBSERVED, MOST_OWN = 1e9, 4.0
+#: Where training starts, and what it is drawn to: potentials of repeats that agree, of one labelled and one not, and of two kinds.
+AGREE, LABELLED_OR_NOT, TWO_KINDS = 6.0, -2.0, -4.0
+#: Weight of that start, known neighbours of a label that training tells apart, gradient steps.
+PRIOR, MOST_COUNTED, STEPS = 0.02, 3, 400
 #: Characters between nodes that are neighbours, at most; digits that a normal form keeps.
 NEAR, LAST_DIGITS = 3, 7
 
@@ -41,6 +52,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Names of secrets, an equals sign or colon, and the value.
+_ASSIGNED = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret[_-]?key|auth[_-]?token|token|secret|password|passwd|pwd)[\"']?\s{0,8}[:=]\s{0,8}([\"']?)([^\s\"',;]{8,})")
 _SIGN, _DIGIT, _TOKEN, _EDGE = re.compile(r"[0-9@]"), re.compile(r"[0-9]"), re.compile(r"\S+"), "()[]{}<>\"'.,;:!?|*#&%$="
 
 Span = tuple[int, int, int]  # kind (place in LABELS), start, end
@@ -90,8 +103,9 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def joined(spans: list[Span]) -> str:
-    return ",".join(f"{LABELS[k]}:{a}:{b}" for k, a, b in sorted(spans))
+def secrets(text: str) -> list[Span]:
+    """The values assigned to names of secrets; unquoted ones need a digit."""
+    return [(SECRET, *m.span(2)) for m in _ASSIGNED.finditer(text) if m[1] or _DIGIT.search(m[2])]
 
 
 # ---- nodes and edges ----
@@ -136,7 +150,7 @@ def forms(token: str) -> list[str]:
 
 
 def nodes_of(text: str, spans: list[Span]) -> Nodes:
-    """A node for each base span that begins outside of earlier ones, and for each telling token outside of all."""
+    """A node for each given span that begins outside of earlier ones, and for each telling token outside of all."""
     placed, reach = [], -1
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
         if a >= reach:
@@ -163,16 +177,35 @@ def nodes_of(text: str, spans: list[Span]) -> Nodes:
 
 
 def edges_of(nodes: Nodes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Neighbours, and each node with the last earlier one of each of its normal forms."""
+    """Neighbours; and for each normal form each node with the one before, and those that aren't observed with the last observed one before, else the first after."""
     chain = [(i, i + 1) for i in range(len(nodes.spans) - 1) if nodes.spans[i + 1][0] - nodes.spans[i][1] <= NEAR]
-    last: dict[str, int] = {}
     skip = set()
+    for at in _same_form(nodes):
+        skip.update(zip(at, at[1:], strict=False))
+        seen = [i for i in at if nodes.observed[i]]
+        for i in at:
+            if seen and not nodes.observed[i]:
+                nearest = seen[max(0, bisect_left(seen, i) - 1)]
+                skip.add((min(i, nearest), max(i, nearest)))
+    return chain, sorted(skip)
+
+
+def _same_form(nodes: Nodes) -> list[list[int]]:
+    places: dict[str, list[int]] = {}
     for i, found in enumerate(nodes.forms):
         for form in found:
-            if form in last:
-                skip.add((last[form], i))
-            last[form] = i
-    return chain, sorted(skip)
+            places.setdefault(form, []).append(i)
+    return [at for at in places.values() if len(at) > 1]
+
+
+def known(nodes: Nodes) -> list[bool]:
+    """Whether a node's label is known: it is observed, or it repeats nothing that is."""
+    out = [True] * len(nodes.spans)
+    for at in _same_form(nodes):
+        if any(nodes.observed[i] for i in at):
+            for i in at:
+                out[i] = out[i] and nodes.observed[i] > 0
+    return out
 
 
 # ---- the field ----
@@ -180,7 +213,7 @@ def edges_of(nodes: Nodes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]
 
 @dataclass
 class Field:
-    """Weights (features, labels), and log potentials (labels, labels) of both kinds of edge."""
+    """Weights (features, labels), and log potentials (labels, labels) of both kinds of edge, symmetric."""
 
     weights: np.ndarray
     chain: np.ndarray
@@ -190,7 +223,7 @@ class Field:
         at = np.repeat(np.arange(len(feature_lists)), [len(f) for f in feature_lists])
         out = np.zeros((len(feature_lists), len(LABELS)))
         np.add.at(out, at, self.weights[np.array([x for f in feature_lists for x in f], np.int64)])
-        out -= out.max(axis=1, keepdims=True)
+        out = np.maximum(out - out.max(axis=1, keepdims=True), -MOST_OWN)
         seen = np.array(observed)
         rows = np.flatnonzero(seen)
         out[rows] = 0.0
@@ -198,26 +231,31 @@ class Field:
         return out
 
     def marginals(self, scores: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Beliefs after ``ROUNDS`` of damped sum-product messages along all edges, both ways."""
+        """Beliefs when damped sum-product messages along all edges, both ways, have settled; graphs that have are left alone."""
         if not len(chain) and not len(skip):
             return _softmax(scores)
         start = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
         end = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
         c, s = len(chain), len(skip)
         back = np.concatenate([np.arange(c, 2 * c), np.arange(c), 2 * c + np.arange(s, 2 * s), 2 * c + np.arange(s)])
-        potential = np.concatenate([np.broadcast_to(p, (n, *p.shape)) for p, n in ((self.chain, c), (self.chain.T, c), (self.skip, s), (self.skip.T, s))])
-        messages = np.zeros((len(start), len(LABELS)))
-        for _ in range(ROUNDS):
-            belief = scores.copy()
-            np.add.at(belief, end, messages)
-            out = belief[start] - messages[back]
-            both = out[:, :, None] + potential
+        potential, kind = np.stack([self.chain, self.skip]), np.repeat([0, 1], [2 * c, 2 * s])
+        messages, active = np.zeros((len(start), len(LABELS))), np.arange(len(start))
+        belief = scores.copy()
+        for _ in range(MOST_ROUNDS):
+            out = belief[start[active]] - messages[back[active]]
+            both = out[:, :, None] + potential[kind[active]]
             top = both.max(axis=1)
             new = np.log(np.exp(both - top[:, None, :]).sum(axis=1)) + top
             new -= new.max(axis=1, keepdims=True)
-            messages = DAMPING * messages + (1 - DAMPING) * new
-        belief = scores.copy()
-        np.add.at(belief, end, messages)
+            change = (1 - DAMPING) * (new - messages[active])
+            messages[active] += change
+            np.add.at(belief, end[active], change)
+            moved = np.zeros(len(scores), bool)
+            moved[end[active[np.abs(change).max(axis=1) > SETTLED]]] = True
+            if not moved.any():
+                break
+            # Only messages out of a node that has moved, or that still move themselves, can change
+            active = np.flatnonzero(moved[start] | moved[end])
         return _softmax(belief)
 
 
@@ -226,75 +264,86 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _train_softmax(rows: Counter, steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
-    """Weights from counted (features, label) by gradient steps on the mean log likelihood, labels weighing alike."""
-    weights = np.zeros((FEATURES, len(LABELS)))
-    if not rows:
-        weights[0, 0] = 4.0
-        return weights
-    x = np.zeros((len(rows), FEATURES))
-    for i, (on, _) in enumerate(rows):
-        x[i, list(on)] = 1
-    y, n = np.array([label for _, label in rows]), np.array(list(rows.values()), float)
-    per_label = np.bincount(y, n, minlength=len(LABELS))
-    n = n / np.sqrt(per_label[y])
-    n /= n.sum()
-    target = np.eye(len(LABELS))[y]
-    for _ in range(steps):
-        slope = x.T @ ((target - _softmax(x @ weights)) * n[:, None]) - decay * weights
-        weights += rate * slope * 10
-    return weights
+def start_of_skip() -> np.ndarray:
+    out = np.full((len(LABELS), len(LABELS)), TWO_KINDS)
+    out[0, :] = out[:, 0] = LABELLED_OR_NOT
+    np.fill_diagonal(out, AGREE)
+    return out
+
 
+def train(examples: Counter) -> Field:
+    """The field from counted (features, label, neighbours' labels, repeats' labels), the last two as counts by label.
 
-def _log_ratio(pairs: Counter, labels: np.ndarray) -> np.ndarray:
-    """log P(a, b) / P(a) P(b) for label pairs on one kind of edge, smoothed towards independence, symmetric, between -4 and 4."""
-    table = np.zeros((len(LABELS), len(LABELS)))
-    for (a, b), n in pairs.items():
-        table[a, b] += n
-        table[b, a] += n
-    share = (labels + 1) / (labels + 1).sum()
-    expected = np.outer(share, share)
-    return np.clip(np.log((table + 20 * expected) / (table.sum() + 20) / expected), -4, 4)
+    Climbs the log pseudo-likelihood, labels weighing alike, with each example seen twice: whole, and
+    without features.  Weights and transitions are drawn to 0, skip potentials to where they start.
+    """
+    n_labels, drawn_to = len(LABELS), start_of_skip()
+    weights, chain, skip = np.zeros((FEATURES, n_labels)), np.zeros((n_labels, n_labels)), drawn_to.copy()
+    if not examples:
+        weights[0, 0] = MOST_OWN
+        return Field(weights, chain, skip)
+    ordered = sorted(examples.items())
+    x, near, far = np.zeros((len(ordered), FEATURES)), np.zeros((len(ordered), n_labels)), np.zeros((len(ordered), n_labels))
+    for i, ((on, _, beside, repeats), _) in enumerate(ordered):
+        x[i, list(on)], near[i], far[i] = 1, beside, repeats
+    label, n = np.array([k[1] for k, _ in ordered]), np.array([v for _, v in ordered], float)
+    n = n / np.sqrt(np.bincount(label, n, minlength=n_labels)[label])
+    n /= n.sum()
+    target = np.eye(n_labels)[label]
+    # The second half has no features, and counts only where a neighbour is known
+    x, near, far = np.vstack([x, np.zeros_like(x)]), np.vstack([near, near]), np.vstack([far, far])
+    n, target = np.concatenate([n, n * (near + far).any(axis=1)[len(n) :]]), np.vstack([target, target])
+    for _ in range(STEPS):
+        miss = (target - _softmax(x @ weights + near @ chain + far @ skip)) * n[:, None]
+        weights += 5.0 * (x.T @ miss - 1e-3 * weights)
+        slope = near.T @ miss
+        chain += (slope + slope.T) - PRIOR * chain
+        slope = far.T @ miss
+        skip += (slope + slope.T) - PRIOR * (skip - drawn_to)
+    return Field(weights, chain, skip)
+
+
+def examples_of(text: str) -> Iterator[tuple]:
+    """(features, label, neighbours' labels, repeats' labels) of the known nodes of a text; labels as counts of known nodes, at most ``MOST_COUNTED`` each."""
+    nodes = nodes_of(text, base_spans(text) + secrets(text))
+    sure = known(nodes)
+    beside, repeats = np.zeros((2, len(sure), len(LABELS)), np.int64)
+    for counts, edges in zip((beside, repeats), edges_of(nodes), strict=True):
+        for i, j in edges:
+            if sure[i] and sure[j]:
+                counts[i, nodes.observed[j]] += 1
+                counts[j, nodes.observed[i]] += 1
+    for i in np.flatnonzero(sure).tolist():
+        yield tuple(nodes.features[i]), nodes.observed[i], tuple(np.minimum(beside[i], MOST_COUNTED).tolist()), tuple(np.minimum(repeats[i], MOST_COUNTED).tolist())
 
 
 def fit(docs: DataFrame, *, text: str = "text", fit_rows: int = FIT_ROWS) -> Field:
-    """Train on at most ``fit_rows`` documents that hold a digit or an at sign, labelled by the patterns.
+    """Train on about ``fit_rows`` documents at most that hold a digit or an at sign, labelled by the patterns; repeated texts of a sample count once.
 
-    For the edges a token that repeats a base span counts as having its label; without any
-    document every token is ``none``.
+    What comes to the driver is a row for each combination of a few features and counts.
+    Without any document every token is ``none``, but for repeats of observed ones.
     """
     rows = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    numbers = lambda x: ",".join(map(str, x))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for value in batch.column(0):
-                nodes = nodes_of(value.as_py(), base_spans(value.as_py()))
-                seen.update(("node", ",".join(map(str, f)), k, 0) for f, k in zip(nodes.features, nodes.observed, strict=True))
-                for what, edges in zip(("chain", "skip"), edges_of(nodes), strict=True):
-                    seen.update((what, "", nodes.observed[i], nodes.observed[j]) for i, j in edges)
-        keys = list(seen)
-        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(seen.values()), pa.int64())], names=["what", "on", "a", "b", "n"])
-
-    counted = sampled(rows, fit_rows, "text").mapInArrow(count, "what string, `on` string, a int, b int, n long")
-    single, pairs, labels = Counter(), {"chain": Counter(), "skip": Counter()}, np.zeros(len(LABELS))
-    for r in counted.groupBy("what", "on", "a", "b").agg(F.sum("n").alias("n")).collect():  # a row for each combination of a few features
-        if r["what"] == "node":
-            single[tuple(map(int, r["on"].split(","))), r["a"]] += r["n"]
-            labels[r["a"]] += r["n"]
-        else:
-            pairs[r["what"]][r["a"], r["b"]] += r["n"]
-    skip = _log_ratio(pairs["skip"], labels)
-    # Repeated tokens agree: that is the meaning of the edge, however few the sample holds
-    return Field(_train_softmax(single), _log_ratio(pairs["chain"], labels), np.maximum(skip, 4.0 * np.eye(len(LABELS))))
+                seen.update((numbers(on), label, numbers(beside), numbers(repeats)) for on, label, beside, repeats in examples_of(value.as_py()))
+        columns = [pa.array([k[i] for k in seen], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(seen.values()), pa.int64())], names=["on", "label", "beside", "repeats", "n"])
+
+    counted = sampled(rows, fit_rows, "text").mapInArrow(count, "`on` string, label int, beside string, repeats string, n long")
+    tuples = lambda x: tuple(map(int, x.split(",")))
+    found = counted.groupBy("on", "label", "beside", "repeats").agg(F.sum("n").alias("n")).collect()
+    return train(Counter({(tuples(r["on"]), r["label"], tuples(r["beside"]), tuples(r["repeats"])): r["n"] for r in found}))
 
 
 def tag(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """For each text its base spans, and those the field adds."""
-    base = [base_spans(t) for t in texts]
-    graphs = [(i, nodes_of(t, b)) for i, (t, b) in enumerate(zip(texts, base, strict=True)) if _SIGN.search(t)]
-    added: list[list[Span]] = [[] for _ in texts]
+    """For each text its base spans, and those that are added: assigned secrets, and what the field finds."""
+    base, added = [base_spans(t) for t in texts], [secrets(t) for t in texts]
+    graphs = [(i, nodes_of(t, base[i] + added[i])) for i, t in enumerate(texts) if base[i] or added[i] or _SIGN.search(t)]
     graphs = [(i, g) for i, g in graphs if g.spans]
     if not graphs:
         return list(zip(base, added, strict=True))
@@ -309,17 +358,16 @@ def tag(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
     for i, nodes in graphs:
         part = beliefs[at : at + len(nodes.spans)]
         at += len(nodes.spans)
-        for (a, b), seen, p in zip(nodes.spans, nodes.observed, part, strict=True):
-            label = int(p.argmax())
-            if not seen and label and p[label] >= CERTAIN:
-                added[i].append((label, a, b))
+        best = part.argmax(axis=1)
+        for k in np.flatnonzero((np.array(nodes.observed) == 0) & (best > 0) & (part.max(axis=1) >= CERTAIN)).tolist():
+            added[i].append((int(best[k]), *nodes.spans[k]))
     return list(zip(base, added, strict=True))
 
 
 def find(docs: DataFrame, field: Field, *, text: str = "text", out: str = "pii") -> DataFrame:
-    """``docs`` without ``text``, with ``out``: an array of (kind, start, end, base), by kind as listed, then start.
+    """``docs`` without ``text``, with ``out``: an array of (kind, start, end, base), by kind as in ``LABELS``, then start.
 
-    Places are code points, the end exclusive; ``base`` tells the patterns' spans from added
+    Places are code points, the end exclusive; ``base`` tells the spans of the four base patterns from added
     ones.  A null or empty text has none.  Rows are independent: repeated rows agree, an empty
     table gives an empty one.  A column named ``out`` is replaced.
     """
@@ -343,8 +391,9 @@ def _of_kind(kind: str):
 
 
 def counted(found: DataFrame, *, key: str = "doc_id", spans: str = "pii") -> DataFrame:
-    """``key``, the number of base spans of each kind, the SHA-256 of their list, and the list of all spans."""
-    base = F.filter(spans, lambda s: s["base"])
+    """``key``, the number of base spans of each kind, the SHA-256 of their list, the list of all spans of these kinds, the list of secrets, and the number of spans of all kinds."""
+    base, secret = F.filter(spans, lambda s: s["base"]), F.filter(spans, _of_kind("secret"))
     listed = lambda column: F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     numbers = [F.size(F.filter(base, _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(key, *numbers, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col(spans)).alias("spans"))
+    personal = F.filter(spans, lambda s: s["kind"] != "secret")
+    return found.select(key, *numbers, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(personal).alias("spans"), listed(secret).alias("secrets"), F.size(spans).cast("long").alias("n_found"))

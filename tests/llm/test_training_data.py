@@ -300,25 +300,69 @@ def test_long_runs_are_linear():
         pii.base_spans(text)
 
 
-def test_repeats_are_labelled_alike(spark):
-    docs = spark.createDataFrame(ODD, DOCS).union(spark.read.parquet(f"{SF}/documents.parquet").select(*(c.split()[0] for c in DOCS.split(", "))))
-    field = pii.fit(docs)
-    text = "Write to jane.roe@example.org today. Later jane.roe wrote again; the office is 4111.1111.1111.1111 and the card 4111 1111 1111 1111. Room 12."
+@pytest.fixture(scope="module", params=["sf0.001", "sf0.01", "none"])
+def field(spark, request):
+    """Fields fitted on tables of several sizes, and on nothing."""
+    docs = spark.createDataFrame([], DOCS) if request.param == "none" else spark.read.parquet(f"/root/testdata/{request.param}/documents.parquet")
+    return pii.fit(docs)
+
+
+def test_repeats_are_labelled_alike(field):
+    text = "Write to jane.roe@example.org today. Later jane.roe wrote again; the office is 4111.1111.1111.1111 and the card 4111 1111 1111 1111. Room 12, room 12."
     (base, added) = pii.tag([text], field)[0]
     assert base == scanned(text)
     named = {(pii.LABELS[k], text[a:b]) for k, a, b in added}
-    assert ("email", "jane.roe") in named and ("card", "4111.1111.1111.1111") in named
-    assert not any("12" == t for _, t in named)
+    assert named == {("email", "jane.roe"), ("card", "4111.1111.1111.1111")}
+
+
+@pytest.mark.parametrize("times", [1, 2, 5, 10, 20, 40, 100, 400])
+def test_any_number_of_repeats_agrees(field, times):
+    """One observed mention reaches all others, before it and after it; repeats of what is no one's stay so."""
+    again = "Then jane.roe said so, in room 12 of 2024. " * times
+    for text in ("To jane.roe@example.org. " + again, again + "To jane.roe@example.org.", again + "To jane.roe@example.org. " + again):
+        (_, added) = pii.tag([text], field)[0]
+        assert {(pii.LABELS[k], text[a:b]) for k, a, b in added} == {("email", "jane.roe")} and len(added) == text.count("jane.roe said")
+    assert pii.tag([again], field)[0] == ([], [])
+
+
+def test_assigned_secrets_and_their_repeats(field):
+    text = 'TOKEN = "04DBEBAB91AB85687D" here. Password: hunter2hunter2! Later 04dbebab91ab85687d, and the password: is unknown to us'
+    (base, added) = pii.tag([text], field)[0]
+    assert base == [] and {text[a:b] for k, a, b in added if pii.LABELS[k] == "secret"} == {"04DBEBAB91AB85687D", "hunter2hunter2!", "04dbebab91ab85687d"}
+
+
+def test_training_teaches_what_neighbours_say():
+    """Skip potentials grow with repeats that agree, and shrink with those that don't; unknown nodes teach nothing."""
+    on, no = (0, 6), (0,) * 6
+    at = lambda label: tuple(int(k == label) for k in range(6))
+    start = pii.start_of_skip()
+    agree = pii.train({(on, 1, no, at(1)): 50, (on, 4, no, at(4)): 50, (on, 0, no, no): 50})
+    differ = pii.train({(on, 1, no, at(4)): 50, (on, 4, no, at(1)): 50, (on, 0, no, no): 50})
+    assert agree.skip[1, 1] - agree.skip[1, 4] >= start[1, 1] - start[1, 4] > differ.skip[1, 1] - differ.skip[1, 4]
+    assert np.allclose(agree.skip, agree.skip.T) and np.allclose(differ.chain, differ.chain.T)
+    text = "a.bcd@e.fg then a.bcd and 2024"
+    found = list(pii.examples_of(text))
+    assert [label for _, label, _, _ in found] == [1, 0] and pii.known(pii.nodes_of(text, pii.base_spans(text))) == [True, False, True]
 
 
 def test_messages_agree_with_enumeration():
     rng = np.random.default_rng(1)
-    field = pii.Field(np.zeros((pii.FEATURES, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
-    scores, chain, skip = rng.normal(size=(3, 5)), np.array([[0, 1]]), np.array([[1, 2]])
+    n = len(pii.LABELS)
+    chained, skipped = rng.normal(size=(2, n, n))
+    field = pii.Field(np.zeros((pii.FEATURES, n)), chained + chained.T, skipped + skipped.T)
+    scores, chain, skip = rng.normal(size=(3, n)), np.array([[0, 1]]), np.array([[1, 2]])
     joint = np.exp(scores[0][:, None, None] + scores[1][None, :, None] + scores[2][None, None, :] + field.chain[:, :, None] + field.skip[None, :, :])
     joint /= joint.sum()
     want = np.stack([joint.sum(axis=(1, 2)), joint.sum(axis=(0, 2)), joint.sum(axis=(0, 1))])
-    assert np.allclose(field.marginals(scores, chain, skip), want, atol=1e-4)
+    assert np.allclose(field.marginals(scores, chain, skip), want, atol=1e-3)
+
+
+def test_messages_travel_any_distance():
+    n = len(pii.LABELS)
+    field = pii.Field(np.zeros((pii.FEATURES, n)), np.zeros((n, n)), 9.0 * np.eye(n))
+    scores, far = np.zeros((300, n)), np.stack([np.arange(299), np.arange(1, 300)], axis=1)
+    scores[0, 2] = pii.OBSERVED
+    assert field.marginals(scores, np.empty((0, 2), np.int64), far)[-1].argmax() == 2
 
 
 def test_pii_rows(spark, odd):
