@@ -1,14 +1,17 @@
 """A quality classifier: nearest labelled neighbours vote in a latent-semantic space.
 
-A document's terms are the shapes of its tokens (of long ones, of each window), short words, and repeats of the token
-before; their relative frequencies, damped and weighted by rarity, are projected on the
-leading singular vectors of a sample of labelled documents.  That sample's vectors and labels,
-of documented size, are broadcast; every document is compared with all of them by exact
-blocked cosine products, and its nearest vote with weights that grow with the similarity.
+A document's terms are its words, all of them, and how its tokens are written: their shapes,
+and repeats of the token before.  Every character of a text is part of a term; long runs are
+cut into consecutive windows.  Both groups of terms, damped, weighted by rarity and scaled
+alike, are projected on the leading singular vectors of a sample of labelled documents.  That
+sample's vectors and labels, of documented size, are broadcast; every document is compared
+with all of them by exact blocked cosine products, and its nearest vote with weights that grow
+with the similarity.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,29 +25,32 @@ from pyspark.sql import types as T
 
 from skeinworks.llm.common import sampled, text_or_empty, text_slices
 
-#: Labelled documents that are kept, dimensions of the latent space, and neighbours that vote.
-FIT_ROWS, DIMENSIONS, NEIGHBOURS = 4_000, 32, 15
-#: Buckets of terms: shapes, then short words, then repeats and what has no token.
-SHAPES, WORDS = 1024, 512
-TERMS = SHAPES + WORDS + 2
-REPEAT, EMPTY = TERMS - 2, TERMS - 1
+#: Labelled documents that are kept, about at most; dimensions of the latent space; neighbours that vote.
+FIT_ROWS, DIMENSIONS, NEIGHBOURS = 4_000, 48, 15
+#: Buckets of terms: shapes of tokens, repeats, what has no token, then words.
+SHAPES, WORDS = 1022, 8192
+REPEAT, EMPTY = SHAPES, SHAPES + 1
+FIRST_WORD = SHAPES + 2
+TERMS = FIRST_WORD + WORDS
+#: Characters of a word's window, signs of a shape's and the characters that it spans, at most.
+WORD_WINDOW, SHAPE_WINDOW, SHAPE_SPAN = 24, 12, 48
+#: What words weigh beside shapes.
+WORD_WEIGHT = 0.5
 #: Power of the similarity that is a vote's weight, and the weight of the prior.
 SHARPNESS, PRIOR_WEIGHT = 8, 0.05
-SHORT_WORD, LONG_SHAPE = 4, 12
-#: Documents that are compared with the labelled ones at once.
-BLOCK = 512
+#: Tokens counted, entries projected, and labelled documents multiplied at once; rounds and spare dimensions of the decomposition.
+TOKENS_AT_ONCE, ENTRIES_AT_ONCE, ROWS_AT_ONCE, ROUNDS, SPARE = 1 << 20, 1 << 16, 500, 8, 16
 
+_WORD = re.compile(r"[^\W_]+")
 
-def shapes(token: str) -> list[str]:
-    """The token's windows, each with a run of capitals, other letters and digits as one sign, other characters as they are.
 
-    A window ends at a dozen signs or four dozen characters; together they hold the whole token.
-    """
+def shapes(token: str) -> list[str]:
+    """The token's windows, each with a run of capitals, other letters and digits as one sign, other characters as they are; together they hold the whole token."""
     found, out, last, start = [], [], "", 0
     for at, c in enumerate(token):
         sign = ("X" if c.isupper() else "x") if c.isalpha() else "9" if c.isdigit() else c
         new = sign != last or sign not in "Xx9"
-        if at - start == 4 * LONG_SHAPE or (new and len(out) == LONG_SHAPE):
+        if at - start == SHAPE_SPAN or (new and len(out) == SHAPE_WINDOW):
             found.append("".join(out))
             out, start, new = [], at, True
         if new:
@@ -53,47 +59,81 @@ def shapes(token: str) -> list[str]:
     return [*found, "".join(out)]
 
 
-def _term(kind: str, value: str, size: int) -> int:
-    return zlib.crc32(f"{kind}{value}".encode()) % size
+def words(token: str) -> list[str]:
+    """The token's runs of letters and digits in lower case, long ones in windows."""
+    return [run[at : at + WORD_WINDOW] for run in _WORD.findall(token.lower()) for at in range(0, len(run), WORD_WINDOW)]
+
+
+def terms_of(token: str) -> list[int]:
+    return [*(zlib.crc32(x.encode()) % SHAPES for x in shapes(token)), *(FIRST_WORD + zlib.crc32(x.encode()) % WORDS for x in words(token))]
+
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, counts, minlength=len(found))
 
-def term_counts(texts: pa.Array) -> np.ndarray:
-    """(texts, TERMS) counts.  A text without tokens has one term, ``EMPTY``."""
+
+def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count), by row and term, of the terms of each text.  A text without tokens has one, ``EMPTY``."""
     lists = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), r"[\x20\x09-\x0D]+")
     coded = lists.values.dictionary_encode()
     tokens = coded.dictionary.to_pylist()
     codes, ends = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
     row = np.repeat(np.arange(len(texts)), np.diff(ends))
-    known: dict[str, int] = {}
-
-    def shape_terms(token: str) -> list[int]:
-        found = shapes(token)
-        for x in found:
-            if x not in known:
-                known[x] = _term("s", x, SHAPES)
-        return [known[x] for x in found]
-
-    windows = [shape_terms(t) if t else [-1] for t in tokens]
-    first = np.array([w[0] for w in windows], np.int64)
-    second = np.array([SHAPES + _term("w", t.lower(), WORDS) if 0 < len(t) <= SHORT_WORD else -1 for t in tokens], np.int64)
+    found = [terms_of(t) if t else [] for t in tokens]
+    sizes = np.array([len(f) for f in found], np.int64)
+    flat, starts = np.array([x for f in found for x in f], np.int64), np.cumsum(sizes) - sizes
     again = np.zeros(len(codes), bool)
-    again[1:] = (codes[1:] == codes[:-1]) & (row[1:] == row[:-1])
-    counts = np.zeros(len(texts) * TERMS, np.float32)
-    for terms in (first[codes], second[codes], np.where(again & (first[codes] >= 0), REPEAT, -1)):
-        on = terms >= 0
-        counts += np.bincount(row[on] * TERMS + terms[on], minlength=len(counts)).astype(np.float32)
-    # The further windows of long tokens, for each place of such a token
-    more = np.array([len(w) > 1 for w in windows], bool)
-    for at in np.flatnonzero(more[codes]).tolist():
-        counts[row[at] * TERMS : (row[at] + 1) * TERMS] += np.bincount(windows[codes[at]][1:], minlength=TERMS).astype(np.float32)
-    counts = counts.reshape(len(texts), TERMS)
-    counts[counts.sum(axis=1) == 0, EMPTY] = 1
-    return counts
-
-
-def _weighted(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    rows = np.sqrt(counts / counts.sum(axis=1, keepdims=True)) * rarity
-    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    again[1:] = (codes[1:] == codes[:-1]) & (row[1:] == row[:-1]) & (sizes[codes[1:]] > 0)
+    parts = [(row[again] * TERMS + REPEAT, np.ones(int(again.sum())))]
+    for at in range(0, len(codes), TOKENS_AT_ONCE):
+        some = codes[at : at + TOKENS_AT_ONCE]
+        n = sizes[some]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        keys, counts = np.unique(np.repeat(row[at : at + TOKENS_AT_ONCE], n) * TERMS + flat[np.repeat(starts[some], n) + inside], return_counts=True)
+        parts.append((keys, counts))
+    has = np.bincount(row, sizes[codes] > 0, minlength=len(texts)) > 0
+    empty = np.flatnonzero(~has)
+    parts.append((empty * TERMS + EMPTY, np.ones(len(empty))))
+    keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+    return keys // TERMS, keys % TERMS, counts
+
+
+def weighed(row: np.ndarray, term: np.ndarray, count: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """The weight of each entry: words and shapes of a row are vectors of fixed lengths, and the whole has length 1."""
+    n = int(row[-1]) + 1 if len(row) else 0
+    group = 2 * row + (term >= FIRST_WORD)
+    weight = np.sqrt(count / np.bincount(group, count, minlength=2 * n)[group]) * rarity[term]
+    length = np.sqrt(np.bincount(group, weight**2, minlength=2 * n))
+    weight *= np.where(term >= FIRST_WORD, WORD_WEIGHT, 1.0) / np.maximum(length[group], 1e-12)
+    return weight / np.sqrt(np.bincount(row, weight**2, minlength=n))[row]
+
+
+def product(at: np.ndarray, other: np.ndarray, weight: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``weight`` times the rows ``other`` of ``matrix``, for each of ``n`` places ``at`` (ascending)."""
+    out = np.zeros((n, matrix.shape[1]), matrix.dtype)
+    for start in range(0, len(at), ENTRIES_AT_ONCE):
+        part = slice(start, start + ENTRIES_AT_ONCE)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(at[part])) + 1))
+        out[at[part][edges]] += np.add.reduceat(matrix[other[part]] * weight[part, None].astype(matrix.dtype), edges, axis=0)
+    return out
+
+
+def leading(row: np.ndarray, term: np.ndarray, weight: np.ndarray, dimensions: int) -> np.ndarray:
+    """(TERMS, dimensions): the leading right singular vectors of the entries' matrix, by subspace iteration from a fixed start; some rows at a time are dense."""
+    n = int(row[-1]) + 1
+    basis = np.random.default_rng(3).normal(size=(TERMS, dimensions + SPARE)).astype(np.float32)
+    edges = np.searchsorted(row, np.arange(0, n + ROWS_AT_ONCE, ROWS_AT_ONCE))
+    for _ in range(ROUNDS):
+        basis, gram = np.linalg.qr(basis)[0], np.zeros_like(basis)
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            rows = np.zeros((ROWS_AT_ONCE, TERMS), np.float32)
+            rows[row[a:b] - k * ROWS_AT_ONCE, term[a:b]] = weight[a:b]
+            gram += rows.T @ (rows @ basis)
+        last, basis = basis, gram
+    strength, turned = np.linalg.eigh((last.T @ gram).astype(np.float64))
+    kept = turned[:, ::-1][:, : min(dimensions, n)]
+    return last @ kept.astype(np.float32) * (strength[::-1][: kept.shape[1]] > 1e-6)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -109,43 +149,56 @@ class QualityModel:
     vectors: np.ndarray
     labels: np.ndarray
 
+    def latent(self, texts: pa.Array) -> np.ndarray:
+        row, term, count = bags(texts)
+        return _unit(product(row, term, weighed(row, term, count, self.rarity), self.projection, len(texts)))
+
     def score(self, texts: pa.Array) -> np.ndarray:
         """The weighted share of label 1 among each text's nearest labelled vectors; 0.5 without any."""
-        if not len(self.labels):
+        if not len(self.labels) or not len(texts):
             return np.full(len(texts), 0.5)
         prior, k = float(self.labels.mean()), min(NEIGHBOURS, len(self.labels))
-        out = np.empty(len(texts))
-        for at in range(0, len(texts), BLOCK):
-            latent = _unit(_weighted(term_counts(texts.slice(at, BLOCK)), self.rarity) @ self.projection)
-            near = latent @ self.vectors.T
+        latent, out = self.latent(texts), np.empty(len(texts))
+        for at in range(0, len(texts), 512):
+            near = latent[at : at + 512] @ self.vectors.T
             top = np.argpartition(near, len(self.labels) - k, axis=1)[:, len(self.labels) - k :]
             weight = np.maximum(np.take_along_axis(near, top, axis=1).astype(np.float64), 0) ** SHARPNESS
-            out[at : at + BLOCK] = ((weight * self.labels[top]).sum(axis=1) + PRIOR_WEIGHT * prior) / (weight.sum(axis=1) + PRIOR_WEIGHT)
+            out[at : at + 512] = ((weight * self.labels[top]).sum(axis=1) + PRIOR_WEIGHT * prior) / (weight.sum(axis=1) + PRIOR_WEIGHT)
         return np.clip(out, 0.0, 1.0)
 
 
+def learn(row: np.ndarray, term: np.ndarray, count: np.ndarray, labels: np.ndarray) -> QualityModel:
+    """The model of labelled documents, given by their entries."""
+    n = len(labels)
+    rarity = np.log((1 + n) / (1 + np.bincount(term, minlength=TERMS))) + 1
+    weight = weighed(row, term, count, rarity)
+    projection = leading(row, term, weight, DIMENSIONS)
+    return QualityModel(rarity, projection, _unit(product(row, term, weight, projection, n)), labels)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> QualityModel:
-    """Learn from documents with a label, joined on doc_id: at most about ``fit_rows``, chosen by a hash of the id.
+    """Learn from documents with a label, joined on doc_id: about ``fit_rows`` at most, chosen by a hash of id and label.
 
-    Null labels and ids don't count.  Only this sample's term counts come to the driver.
+    Null labels and ids don't count; an id that either table repeats counts once, with its
+    smallest label and text.  Only this sample's terms come to the driver, at most ``TERMS`` for each.
     """
-    chosen = sampled(labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")), fit_rows, "doc_id")
-    pairs = docs.select("doc_id", text_or_empty(text).alias("text")).join(chosen, "doc_id").select("doc_id", "label", "text")
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    pairs = docs.select("doc_id", text_or_empty(text).alias("text")).join(sampled(chosen, fit_rows, "doc_id", "label"), "doc_id")
+    once = pairs.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("p")).select("doc_id", "p.label", "p.text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 2):
-            rows = [r.astype("<f4").tobytes() for r in term_counts(part.column(2))]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "terms"])
+            row, term, n = bags(part.column(2))
+            edges = np.searchsorted(row, np.arange(part.num_rows + 1))
+            packed = [[x[a:b].astype("<i4").tobytes() for a, b in zip(edges, edges[1:], strict=False)] for x in (term, n)]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), *(pa.array(x, pa.binary()) for x in packed)], names=["doc_id", "label", "terms", "counts"])
 
-    kept = sorted(pairs.mapInArrow(count, "doc_id string, label int, terms binary").collect())
+    kept = sorted(once.mapInArrow(count, "doc_id string, label int, terms binary, counts binary").collect())
     if not kept:
-        return QualityModel(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    counts = np.stack([np.frombuffer(r["terms"], "<f4") for r in kept])
-    rarity = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    rows = _weighted(counts, rarity).astype(np.float64)
-    _, leading = np.linalg.eigh(rows.T @ rows)
-    projection = leading[:, ::-1][:, : min(DIMENSIONS, len(counts))].astype(np.float32)
-    return QualityModel(rarity, projection, _unit(rows.astype(np.float32) @ projection), np.array([float(r["label"] == 1) for r in kept]))
+        return QualityModel(np.ones(TERMS), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+    terms = [np.frombuffer(r["terms"], "<i4").astype(np.int64) for r in kept]
+    counts = np.concatenate([np.frombuffer(r["counts"], "<i4") for r in kept]).astype(np.float64)
+    return learn(np.repeat(np.arange(len(kept)), [len(t) for t in terms]), np.concatenate(terms), counts, np.array([float(r["label"] == 1) for r in kept]))
 
 
 def scored(docs: DataFrame, model: QualityModel, *, text: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
