@@ -178,10 +178,72 @@ def test_no_languages(spark):
     assert {(r.lang_pred, r.score) for r in langid.predict(docs.select("doc_id", "text"), model).collect()} == {("und", 0.0)}
 
 
-def test_backoff_goes_down():
-    model = langid.LanguageModel(["a", "b"], {"known": 0}, np.array([[-1.0, -9.0]], np.float32), [{"z": 0}, {}, {"xyz": 0}, {}, {}], [np.array([[-3.0, -4.0]], np.float32), None, np.array([[-7.0, -6.0]], np.float32), None, None])
-    assert model.backoff("wxyzw").tolist() == [-7, -6] and model.backoff("zzz").tolist() == [-3, -4] and model.backoff("qq").tolist() == [0, 0]
-    assert model.score(pa.array(["known", "known wxyz", None]))[0] == ["a", "a", "und"]
+def table(**rows):
+    keys = langid.hashed(list(rows))
+    order = np.argsort(keys)
+    return langid.Table(keys[order], np.array(list(rows.values()), np.float32).reshape(-1, 2)[order])
+
+
+def test_backoff_goes_down(monkeypatch):
+    model = langid.LanguageModel(["a", "b"], table(known=[-1, -9]), [table(z=[-3, -4]), table(), table(xyz=[-7, -6], yzw=[-1, -2]), table(), table()])
+    words = ["wxyzw", "zzz", "qq", "wxyz"]
+    for at_once in (1, 7, 1000):
+        monkeypatch.setattr(langid, "CHARS_AT_ONCE", at_once)
+        assert model.backoff(words).tolist() == [[-4, -4], [-3, -4], [0, 0], [-7, -6]]
+    assert model.score(pa.array(["known", "known wxyz", None, "wxyz qq"]))[0] == ["a", "a", "und", "b"]
+
+
+def slow_languages(train, texts):
+    """The method with dictionaries, a word at a time."""
+    languages = sorted({lang for lang, _ in train})
+    counts = [{} for _ in range(6)]
+    for lang, text in train:
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            marked = f"^{word}$"
+            for kind, terms in enumerate([[word], *([marked[i : i + k] for i in range(len(marked) - k + 1)] for k in range(1, 6))]):
+                for t in terms:
+                    counts[kind].setdefault(t, dict.fromkeys(languages, 0))[lang] += 1
+    totals = [{x: sum(c[x] for c in table.values()) for x in languages} for table in counts]
+
+    def row(kind, term):
+        return np.array([np.log((counts[kind][term][x] + langid.SMOOTHING) / (totals[kind][x] + langid.SMOOTHING * (len(counts[kind]) + 1))) for x in languages])
+
+    out = []
+    for text in texts:
+        words, total = re.findall(r"[^\W\d_]+", (text or "").lower()), np.zeros(len(languages))
+        for word in words:
+            if word in counts[0]:
+                total += row(0, word)
+                continue
+            marked = f"^{word}$"
+            for k in range(5, 0, -1):
+                known = [row(k, g) for i in range(len(marked) - k + 1) if (g := marked[i : i + k]) in counts[k]]
+                if known:
+                    total += np.mean(known, axis=0)
+                    break
+        best = int(total.argmax())
+        out.append((languages[best], float(1 / np.exp(total - total.max()).sum())) if words else ("und", 0.0))
+    return out
+
+
+def test_languages_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    train, others = [(r.lang, r.text) for r in docs[:60] if r.lang], docs[60:]
+    texts = [r.text for r in others] + [None, "", "Zzyzx qqq", "the", "1 2 3", "und the und", "x" * 3000]
+    model = langid.fit(spark.createDataFrame(train, "lang string, text string"))
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    want = slow_languages(train, texts)
+    assert [r.lang_pred for r in got] == [w for w, _ in want]
+    assert np.allclose([r.score for r in got], [s for _, s in want], atol=1e-3)
+
+
+def test_language_ties_repeats_and_nothing(spark):
+    rows = [("b", "same words"), ("a", "same words"), ("a", None)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    got = langid.predict(spark.createDataFrame([(1, "same"), (1, "same"), (None, "words")], "doc_id long, text string"), model).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("a", 0.5)} and len(got) == 3
+    empty = spark.createDataFrame([], DOCS)
+    assert langid.predict(empty, langid.fit(empty)).count() == 0 and langid.predict(empty, model).count() == 0
 
 
 # ---- 4: neighbours ----
