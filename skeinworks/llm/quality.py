@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str =
     smallest label and text.  Only this sample's terms come to the driver, at most ``TERMS`` for each.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    pairs = docs.select("doc_id", text_or_empty(text).alias("text")).join(sampled(chosen, fit_rows, "doc_id", "label"), "doc_id")
+    # A sample of bounded size, so the documents needn't be shuffled to meet it
+    pairs = docs.select("doc_id", text_or_empty(text).alias("text")).join(F.broadcast(sampled(chosen, fit_rows, "doc_id", "label")), "doc_id")
     once = pairs.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("p")).select("doc_id", "p.label", "p.text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
