@@ -5,17 +5,16 @@ Documents of one fingerprint are one row from there on.
 
 For every fingerprint the Hamming distances to ``PIVOTS`` reference fingerprints are read
 off precomputed tables, block by block of the 64 bits.  Two fingerprints that differ in at most
-``sure`` bits differ in at most as many of ``sure + 3`` blocks, so in three blocks at least all
+``bits`` bits differ in at most as many of ``bits + 3`` blocks, so in three blocks at least all
 their partial distances agree: rows meet by the partial distances of each three blocks.
 Where rows meet, pairs are discarded if any whole distance to a pivot differs by more than
-``bits`` (the triangle inequality), and the survivors are verified.  With ``sure`` = ``bits``,
-the default, nothing is lost: the keys and the discarding follow from the distances alone.
-A smaller ``sure`` needs fewer keys and finds most, not all, pairs between the two numbers.
+``bits`` (the triangle inequality), and the survivors are verified.  Nothing is lost: the keys
+and the discarding follow from the distances alone.
 
-A meeting emits its links as stars, not pairs, which are reduced block by block.  A meeting of
+Small meetings are compared all at once, large ones in blocks; blocks whose fingerprints are
+all linked already are passed over, and links are emitted as stars, not pairs.  A meeting of
 more than ``MEETING`` fingerprints is cut into chunks, and each two chunks meet in a task of
-their own: memory stays bounded, and the work, which grows with the square, is spread.  Where
-few bits vary, bits are flipped instead of comparing pairs.
+their own: memory stays bounded, and the work, which can grow with the square, is spread.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +37,12 @@ from skeinworks.llm.components import components
 PIVOTS, AGREEING = 16, 3
 #: Hashes that are counted at once.
 COUNT_AT_ONCE = 1 << 16
-#: Pairs that take as long to compare as one round of flipped bits for one fingerprint.
-PAIRS_PER_FLIP = 50
+#: Fingerprints up to which a meeting is compared along with others; those of larger ones that are compared at once.
+SMALL, BLOCK = 32, 512
 #: Fingerprints of one key that meet in one task; of more, chunks of this size meet two by two.
 MEETING = 1 << 14
-#: Close pairs that are held before they are reduced, about.
-PAIRS_AT_ONCE = 1 << 20
+#: Documents of a group that are checked in one task, about.
+GROUP_ROWS = 10_000
 
 
 # ---- fingerprints ----
@@ -95,10 +93,10 @@ def distance(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 class PivotTables:
     """Distances of any fingerprint to the pivots, by blocks of bits."""
 
-    def __init__(self, bits: int, sure: int, pivots: int = PIVOTS):
+    def __init__(self, bits: int, pivots: int = PIVOTS):
         rng = np.random.default_rng(11)
         self.bits, self.pivots = bits, rng.integers(0, 1 << 64, pivots, dtype=np.uint64)
-        n = sure + AGREEING
+        n = bits + AGREEING
         edges = [64 * i // n for i in range(n + 1)]
         self.blocks = [(np.uint64(lo), np.uint64((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
         self.tables = [distance(np.arange(int(mask) + 1, dtype=np.uint64)[:, None], (self.pivots >> shift & mask)[None, :]) for shift, mask in self.blocks]
@@ -111,7 +109,10 @@ class PivotTables:
 
     def distances(self, fps: np.ndarray) -> np.ndarray:
         """(fingerprints, pivots): the sums of the partial distances."""
-        return np.sum([table[v] for table, v in zip(self.tables, self._values(fps), strict=True)], axis=0, dtype=np.int16)
+        out = np.zeros((len(fps), len(self.pivots)), np.int8)
+        for table, values in zip(self.tables, self._values(fps), strict=True):
+            out += table[values].astype(np.int8)
+        return out
 
     def keys(self, fps: np.ndarray) -> np.ndarray:
         """(fingerprints, choices of agreeing blocks): a number for the choice and the partial distances in its blocks."""
@@ -125,55 +126,74 @@ class PivotTables:
             columns.append(key)
         return np.stack(columns, axis=1)
 
-    def survivors(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of the pairs that are close, some at a time: those the distances to the pivots can't tell apart, verified."""
-        far = self.distances(fps)
-        order = np.argsort(far[:, 0], kind="stable")
-        sorted_far, lows, highs, held = far[order], [], [], 0
-        reach = np.searchsorted(sorted_far[:, 0], sorted_far[:, 0] + self.bits, "right")
-        for i in range(len(fps)):
-            j = np.arange(i + 1, reach[i])
-            j = j[np.abs(sorted_far[j] - sorted_far[i]).max(axis=1, initial=0) <= self.bits]
-            j = j[distance(fps[order[j]], fps[order[i]]) <= self.bits]
-            lows.append(np.full(len(j), order[i]))
-            highs.append(order[j])
-            held += len(j)
-            if held >= PAIRS_AT_ONCE or i == len(fps) - 1:
-                yield np.concatenate(lows), np.concatenate(highs)
-                lows, highs, held = [], [], 0
-
-
-def flipped_links(fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same pairs in a sorted array of distinct fingerprints, by looking up each with up to ``bits`` of its varying bits flipped."""
-    varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
-    places = [np.uint64(1 << b) for b in range(64) if varying >> b & 1]
-    for count in range(1, bits + 1):
-        for chosen in combinations(places, count):
-            other = fps ^ np.bitwise_or.reduce(np.array(chosen))
-            at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
-            i = np.flatnonzero((fps[at] == other) & (fps < other))
-            if len(i):
-                yield i, at[i]
-
-
-def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of ``n`` places the smallest place that it is linked to, directly or not."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while True:
-            ri, rj = root[i], root[j]
-            apart = ri != rj
-            if not apart.any():
+    def close(self, fps: np.ndarray, far: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs are close: those the distances to the pivots can't tell apart, verified."""
+        on = np.flatnonzero(np.abs(far[i] - far[j]).max(axis=1, initial=0) <= self.bits)
+        return on[distance(fps[i[on]], fps[j[on]]) <= self.bits]
+
+    def among_equal(self, keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the close pairs of equal keys, for ascending keys: each with the next, the next but one, and so on."""
+        far, found = self.distances(fps), []
+        for step in range(1, len(keys)):
+            i = np.flatnonzero(keys[step:] == keys[:-step])
+            if not len(i):
                 break
-            np.minimum.at(root, np.maximum(ri, rj)[apart], np.minimum(ri, rj)[apart])
-            while (root[root] != root).any():
-                root = root[root]
-    return root
-
+            on = self.close(fps, far, i, i + step)
+            found.append((i[on], i[on] + step))
+        return tuple(np.concatenate([f[side] for f in found]) if found else np.empty(0, np.int64) for side in (0, 1))
 
-def links(distinct: DataFrame, bits: int, sure: int | None = None) -> DataFrame:
-    """(a, b) for a column ``fp`` of distinct fingerprints: links that give the same components as all pairs found that differ in at most ``bits`` bits."""
-    tables = PivotTables(bits, bits if sure is None else min(bits, sure))
+    def linked(self, fps: np.ndarray) -> np.ndarray:
+        """For each fingerprint the smallest place that it is linked to over close pairs, directly or not."""
+        far = self.distances(fps)
+        order = np.argsort(far[:, 0], kind="stable")
+        fps, far, root = fps[order], far[order], np.arange(len(fps))
+        for a in range(0, len(fps), BLOCK):
+            for b in range(a, len(fps), BLOCK):
+                here, there = slice(a, a + BLOCK), slice(b, b + BLOCK)
+                if far[b, 0] - far[here][-1, 0] > self.bits:
+                    break
+                if root[here].min() == root[here].max() == root[there].min() == root[there].max():
+                    continue
+                near = np.ones((len(fps[here]), len(fps[there])), bool)
+                for one, other in zip(far[here].T, far[there].T, strict=True):
+                    near &= np.abs(one[:, None] - other[None, :]) <= self.bits
+                i, j = np.nonzero(near)
+                on = distance(fps[here][i], fps[there][j]) <= self.bits
+                join(root, i[on] + a, j[on] + b)
+        out = np.full(len(fps), len(fps))
+        np.minimum.at(out, root, order)
+        final = np.empty(len(fps), np.int64)
+        final[order] = out[root]
+        return final
+
+
+def join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Take pairs into a forest in which every place points at the root of its tree."""
+    while len(i):
+        ri, rj = root[i], root[j]
+        apart = ri != rj
+        if not apart.any():
+            return
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(ri, rj)[apart], np.minimum(ri, rj)[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+
+
+def _rows(a: np.ndarray | None, b: np.ndarray | None, key: int | None, chunk: int | None) -> pa.RecordBatch:
+    n = 1 if b is None else len(b)
+    longs = [pa.nulls(n, pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
+    same = [pa.nulls(n, pa.int64()) if x is None else pa.array(np.full(n, x, np.int64)) for x in (key, chunk)]
+    return pa.RecordBatch.from_arrays([*longs, *same], names=["a", "b", "key", "chunk"])
+
+
+def links(distinct: DataFrame, bits: int) -> DataFrame:
+    """(a, b) for a column ``fp`` of distinct fingerprints: links that give the same components as all pairs that differ in at most ``bits`` bits."""
+    tables, most = PivotTables(bits), MEETING
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,76 +201,73 @@ def links(distinct: DataFrame, bits: int, sure: int | None = None) -> DataFrame:
             keys = tables.keys(fps)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, keys.shape[1]).view(np.int64))], names=["key", "fp"])
 
-    def meet(fps: np.ndarray) -> np.ndarray:
+    def meet(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fps = np.unique(fps)
-        if len(fps) < 2:
-            return np.empty((0, 2), np.uint64)
-        varying = int(np.bitwise_or.reduce(fps ^ fps[0])).bit_count()
-        flips = sum(comb(varying, k) for k in range(1, bits + 1))
-        pairs = tables.survivors(fps) if len(fps) <= PAIRS_PER_FLIP * flips else flipped_links(fps, bits)
-        root = stars(len(fps), pairs)
+        root = tables.linked(fps)
         at = np.flatnonzero(root != np.arange(len(fps)))
-        return np.stack([fps[at], fps[root[at]]], axis=1)
+        return fps[at], fps[root[at]]
+
+    def whole_meetings(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of meetings that are there in full."""
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+        sizes = np.diff(edges)
+        small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
+        i, j = tables.among_equal(keys[small], fps[small])
+        pairs = np.unique(np.stack([fps[small][i], fps[small][j]], axis=1), axis=0)
+        yield pairs[:, 0], pairs[:, 1]
+        for k in np.flatnonzero(sizes > SMALL).tolist():
+            yield meet(fps[edges[k] : edges[k + 1]])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of each meeting, as (a, b, null, null); of one that is cut its fingerprints, as (null, fp, key, chunk), and the number of its chunks, as (null, null, key, chunks)."""
-        held, size, chunk, key = [], 0, 0, None
+        keys, fps, cut, chunk = np.empty(0, np.int64), np.empty(0, np.uint64), None, 0
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if chunk:
-                yield _rows(None, np.concatenate(held), key, chunk)
-                yield _rows(None, None, key, chunk + 1)
-            elif size > 1:
-                pairs = meet(np.concatenate(held))
-                yield _rows(pairs[:, 0], pairs[:, 1], None, None)
+        def end_of_cut(part: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield _rows(None, part, cut, chunk)
+            yield _rows(None, None, cut, chunk + 1)
 
         for batch in batches:
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else []
-            found = []
-            for start, end in zip(edges, edges[1:], strict=False):
-                if keys[start] != key:
-                    found.extend(done())
-                    held, size, chunk, key = [], 0, 0, int(keys[start])
-                for at in range(start, end, most):
-                    part = fps[at : min(end, at + most)]
-                    if size + len(part) > most:
-                        found.append(_rows(None, np.concatenate(held), key, chunk))
-                        held, size, chunk = [], 0, chunk + 1
-                    held.append(part)
-                    size += len(part)
-            if found:
-                yield pa.Table.from_batches(found).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if sum(b.num_rows for b in found) else found[0]
-        yield from done()
+            keys = np.concatenate([keys, batch.column(0).to_numpy()])
+            fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
+            if not len(keys):
+                continue
+            if cut is not None and keys[-1] != cut:
+                last = int(np.searchsorted(keys, cut, "right"))
+                yield from end_of_cut(fps[:last])
+                keys, fps, cut, chunk = keys[last:], fps[last:], None, 0
+            # The last meeting may go on in the next batch
+            last = int(np.searchsorted(keys, keys[-1], "left"))
+            if last:
+                for a, b in whole_meetings(keys[:last], fps[:last]):
+                    yield _rows(a, b, None, None)
+                keys, fps = keys[last:], fps[last:]
+            while len(keys) > most:
+                cut = int(keys[0])
+                yield _rows(None, fps[:most], cut, chunk)
+                keys, fps, chunk = keys[most:], fps[most:], chunk + 1
+        if cut is not None:
+            yield from end_of_cut(fps)
+        elif len(keys):
+            for a, b in whole_meetings(keys, fps):
+                yield _rows(a, b, None, None)
 
     def link_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for batch in batches:
-            names = list(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+            names = np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1)
             fps = batch.column(3).to_numpy().view(np.uint64)
-            start = 0
-            for end in range(1, len(names) + 1):
-                if end < len(names) and names[end] == names[start]:
+            edges = [0, *(np.flatnonzero((np.diff(names, axis=0) != 0).any(axis=1)) + 1).tolist(), len(fps)]
+            for start, end in zip(edges, edges[1:], strict=False):
+                if start == end:
                     continue
-                if names[start] != last:
+                if (name := tuple(names[start].tolist())) != last:
                     if held:
-                        yield _links(meet(np.concatenate(held)))
-                    held, last = [], names[start]
+                        yield _links(*meet(np.concatenate(held)))
+                    held, last = [], name
                 held.append(fps[start:end])
-                start = end
         if held:
-            yield _links(meet(np.concatenate(held)))
-
-    def _links(pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c]).view(np.int64)) for c in (0, 1)], names=["a", "b"])
+            yield _links(*meet(np.concatenate(held)))
 
-    def _rows(a: np.ndarray | None, b: np.ndarray | None, key: int | None, chunk: int | None) -> pa.RecordBatch:
-        n = 1 if b is None else len(b)
-        longs = [pa.nulls(n, pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
-        same = [pa.nulls(n, pa.int64()) if x is None else pa.array(np.full(n, x, np.int64)) for x in (key, chunk)]
-        return pa.RecordBatch.from_arrays([*longs, *same], names=["a", "b", "key", "chunk"])
-
-    most = MEETING
     dealt = distinct.select("fp").mapInArrow(deal, "key long, fp long")
     out = written(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long, key long, chunk long"), "meetings")
     near = out.where("a IS NOT NULL").select("a", "b")
@@ -263,7 +280,7 @@ def links(distinct: DataFrame, bits: int, sure: int | None = None) -> DataFrame:
     return near.distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, repeats: bool = True, bits: int = 2, sure: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, repeats: bool = True, bits: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, the columns ``keep``, ``fp`` (a signed long), ``component_id``: the smallest key that can be reached over links of at most ``bits`` differing bits.
 
     A row for each row of ``docs``; other columns are not read.  A null or empty text has the
@@ -272,7 +289,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     rows = written(fingerprints(docs.select(F.col(key).alias("key"), *keep, text), text=text, shingle=shingle, repeats=repeats), "fingerprints")
     groups = rows.groupBy("fp").agg(F.min("key").alias("least"))
-    roots = components(links(groups, bits, sure))
+    roots = components(links(groups, bits))
     rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -294,47 +311,87 @@ class Kept:
     """Shingle sets of the documents kept so far, found by their least hashes: sets of a similarity of ``least`` or more share one of those."""
 
     def __init__(self, least: float):
-        self.least, self.sets, self.having = least, [], {}
+        self.least, self.sets, self.having, self.empty = least, [], {}, False
 
     def _prefix(self, found: np.ndarray) -> list[int]:
         # A little less than the share, as a product of floats may come out too large
         return found[: len(found) - math.ceil(self.least * len(found) - 1e-9) + 1].tolist()
 
-    def take(self, found: np.ndarray) -> bool:
-        """Whether no set so far is similar; if so it is one of them from now on."""
-        prefix = self._prefix(found)
-        for k in {k for h in prefix for k in self.having.get(h, ())}:
+    def has_like(self, found: np.ndarray) -> bool:
+        """Whether a set so far is similar; empty ones are alike."""
+        if not len(found):
+            return self.empty
+        for k in {k for h in self._prefix(found) for k in self.having.get(h, ())}:
             other = self.sets[k]
             if min(len(found), len(other)) < self.least * max(len(found), len(other)) - 1e-9:
                 continue
             both = len(np.intersect1d(found, other, assume_unique=True))
             if both >= self.least * (len(found) + len(other) - both) - 1e-9:
-                return False
-        if not len(found) and any(not len(x) for x in self.sets):
-            return False
-        for h in prefix:
+                return True
+        return False
+
+    def add(self, found: np.ndarray) -> None:
+        if not len(found):
+            self.empty = True
+            return
+        for h in self._prefix(found):
             self.having.setdefault(h, []).append(len(self.sets))
         self.sets.append(found)
-        return True
 
 
-def unlike(groups: DataFrame, *, group: str, order: list[str], text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``groups`` (without ``text``) that are kept: in each group, in ``order``, those whose set of ``words``-word shingles has a Jaccard similarity below ``least`` to every row kept before.
+def _sifted(rows: DataFrame, keys: list[str], order: list, *, words: int, least: float, adding: bool) -> DataFrame:
+    """The rows of ``rows`` (with ``__text`` and ``__seed``) that aren't seeds, and not similar to a seed of their ``keys`` or, if ``adding``, to a row that came out before.
 
-    A group is one task and is streamed; what is held are the shingle hashes of its kept rows.  No pair is missed inside a group.
+    Rows of the same keys are streamed in one task, seeds first; it holds the shingle hashes of seeds and of what came out.
     """
-    others = [c for c in groups.columns if c != text]
-    schema = T.StructType([groups.schema[c] for c in others])
+    schema = rows.schema
+    places, text, seed = [schema.names.index(k) for k in keys], schema.names.index("__text"), schema.names.index("__seed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, last = Kept(least), (None, True)
+        kept, last = Kept(least), None
         for batch in batches:
             on = []
-            for name, value in zip(batch.column(others.index(group)).to_pylist(), batch.column(len(others)).to_pylist(), strict=True):
-                if (name, False) != last:
-                    kept, last = Kept(least), (name, False)
-                on.append(kept.take(shingle_set(value, words)))
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(others)], names=schema.names).filter(pa.array(on, pa.bool_()))
-
-    rows = groups.select(*others, text_or_empty(text).cast("binary").alias("__text"))
-    return rows.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)
+            columns = [batch.column(at).to_pylist() for at in places]
+            for name, is_seed, value in zip(zip(*columns, strict=True), batch.column(seed).to_pylist(), batch.column(text).to_pylist(), strict=True):
+                if name != last:
+                    kept, last = Kept(least), name
+                found = shingle_set(value, words)
+                new = not is_seed and not kept.has_like(found)
+                if is_seed or (new and adding):
+                    kept.add(found)
+                on.append(new)
+            yield batch.filter(pa.array(on, pa.bool_()))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("__seed"), *order).mapInArrow(run, schema)
+
+
+def unlike(groups: DataFrame, *, group: str, order: list, text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``groups`` (without ``text``) that are kept: in each group none is similar to another, and each that goes is similar to one that stays.
+
+    Similar are rows whose sets of ``words``-word shingles have a Jaccard similarity of ``least`` or
+    more.  A row goes for one before it in ``order`` (columns); the first of a group always stays.  No pair is missed.
+
+    A group of more than ``GROUP_ROWS`` is dealt out to parts that are sifted in tasks of their own; what is left of
+    them is sifted together, and every part again by what that keeps, until no row is undecided.
+    """
+    others = [c for c in groups.columns if c != text]
+    sizes = groups.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = groups.select(*others, text_or_empty(text).cast("binary").alias("__text"), F.lit(False).alias("__seed")).join(sizes, F.col(group).eqNullSafe(F.col("__g")))
+    parts = F.ceil(F.col("__n") / GROUP_ROWS).cast("int")
+    rows = rows.withColumn("__parts", parts).withColumn("__part", F.pmod(F.xxhash64(*others), parts)).drop("__g", "__n")
+    sift = lambda df, keys, adding=True: _sifted(df, keys, order, words=words, least=least, adding=adding)
+    kept = sift(rows.where("__parts = 1"), [group]).select(others)
+    left = rows.where("__parts > 1")
+    if sizes.where(F.col("__n") > GROUP_ROWS).isEmpty():
+        return kept
+    left, seeds = written(left, "undecided"), None
+    while True:
+        some = sift(left, [group, "__part"])
+        new = written(sift(some if seeds is None else some.unionByName(seeds), [group]), "new")
+        kept = kept.unionByName(new.select(others))
+        new = new.withColumn("__seed", F.lit(True))
+        seeds = new if seeds is None else seeds.unionByName(new)
+        everywhere = new.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts").cast("long") - 1)))
+        left = written(sift(left.unionByName(everywhere.select(left.columns)), [group, "__part"], False), "undecided")
+        if left.isEmpty():
+            return kept

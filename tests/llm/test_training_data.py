@@ -558,9 +558,16 @@ def brute_components(fps, bits):
     return [find(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize(("bits", "ratio"), [(2, 50), (2, 0), (3, 50)])
-def test_links_lose_nothing(spark, monkeypatch, bits, ratio):
-    monkeypatch.setattr(simhash, "PAIRS_PER_FLIP", ratio)
+def linked(spark, fps, bits):
+    df = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(3)
+    found = {r.node: r.root for r in components(simhash.links(df, bits)).collect()}
+    return [found.get(f, f) for f in fps]
+
+
+@pytest.mark.parametrize(("bits", "small", "block"), [(2, 32, 512), (2, 1, 7), (3, 4, 5), (8, 32, 512)])
+def test_links_lose_nothing(spark, monkeypatch, bits, small, block):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(bits)
     fps = []
     for _ in range(40):
@@ -569,25 +576,40 @@ def test_links_lose_nothing(spark, monkeypatch, bits, ratio):
             fps.append(near)
             near ^= int(np.bitwise_or.reduce(1 << rng.integers(0, 63, rng.integers(1, 6))))
     fps = sorted(set(fps))
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    found = {r.node: r.root for r in components(simhash.links(df, bits)).collect()}
-    want = brute_components(fps, bits)
-    assert [found.get(f, f) for f in fps] == [fps[w] for w in want]
+    assert linked(spark, fps, bits) == [fps[w] for w in brute_components(fps, bits)]
 
 
 def test_cut_meetings_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MEETING", 10)
-    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(simhash, "SMALL", 3)
+    monkeypatch.setattr(simhash, "BLOCK", 4)
     rng = np.random.default_rng(8)
     fps = sorted({int(rng.integers(0, 1 << 20)) ^ int(far) for far in rng.integers(0, 1 << 62, 3) for _ in range(60)})
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    tables = simhash.PivotTables(8, 8)
-    same = np.array(sorted(int(x) for x in rng.integers(0, 1 << 12, 200)), np.uint64)
-    most = [len(i) for i, _ in tables.survivors(np.unique(same))]
-    assert len(most) > 1 and max(most) < 50 + 200
-    found = {r.node: r.root for r in components(simhash.links(df, 6)).collect()}
-    want = brute_components(fps, 6)
-    assert [found.get(f, f) for f in fps] == [fps[w] for w in want]
+    assert linked(spark, fps, 6) == [fps[w] for w in brute_components(fps, 6)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 255), min_size=1, max_size=40, unique=True), st.integers(0, 3), st.integers(1, 9))
+def test_blocks_link_what_is_close(fps, bits, block):
+    before, simhash.BLOCK = simhash.BLOCK, block
+    try:
+        root = simhash.PivotTables(bits).linked(np.array(fps, np.uint64))
+    finally:
+        simhash.BLOCK = before
+    assert root.tolist() == brute_components(fps, bits)
+
+
+def test_near_duplicates_by_brute_force(spark):
+    """The whole query, ids and all, on documents with copies and edited copies."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()
+    rows = [(r.doc_id, r.text) for r in docs] + [(1000 + r.doc_id, r.text) for r in docs[:10]] + [(2000 + r.doc_id, (r.text or "") + " more") for r in docs[:40]]
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fps = [slow_fingerprint(t or "") for _, t in rows]
+    roots = brute_components(fps, 2)
+    least = {}
+    for (i, _), root in zip(rows, roots, strict=True):
+        least[root] = min(least.get(root, i), i)
+    assert got == {i: (f - (1 << 64) * (f >> 63), least[root]) for (i, _), f, root in zip(rows, fps, roots, strict=True)}
 
 
 def slow_unlike(texts, least):
@@ -619,6 +641,28 @@ def test_near_copies_are_checked_against_the_kept(spark):
     assert single == want
 
 
+@pytest.mark.parametrize("size", [3, 7, 25])
+def test_large_groups_are_dealt_out(spark, monkeypatch, size):
+    """Whatever the parts, none that stays is similar to another, and what goes is similar to one that stays."""
+    monkeypatch.setattr(simhash, "GROUP_ROWS", size)
+    rng = np.random.default_rng(6)
+    words, texts = [f"v{i}" for i in range(120)], []
+    for i in range(50):
+        texts.append((i, " ".join(words) if i % 17 else ""))
+        words = list(words)
+        words[int(rng.integers(0, 120))] = f"n{i}"
+    rows = spark.createDataFrame([(i, t, g) for g in (0, 1, None) for i, t in (texts if g != 1 else texts[:4])], "doc_id long, text string, g long")
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in texts}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    got = simhash.unlike(rows, group="g", order=["doc_id"]).collect()
+    for g in (0, None):
+        stay = sorted(r.doc_id for r in got if r.g == g)
+        assert stay[0] == 0 and 2 < len(stay) < 30
+        assert not any(alike(a, b) for a in stay for b in stay if a < b)
+        assert all(i in stay or any(alike(i, a) for a in stay) for i in sets)
+    assert sorted(r.doc_id for r in got if r.g == 1) == [i for i in slow_unlike(texts[:4], 0.8)]
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(500, 501), (7, 7)], "a long, b long")
