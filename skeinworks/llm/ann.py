@@ -32,10 +32,14 @@ from skeinworks.llm.common import sampled, written
 
 #: Vectors that codebooks are fitted on, about at most, how many of them a centroid has at least, and rounds of k-means.
 FIT_ROWS, LEAST_FIT, FIT_ROUNDS = 20_000, 16, 10
-#: Centroids of a half for each square root of the vectors: pairs are to outnumber the vectors, as halves aren't independent.
-CENTROIDS_PER_ROOT = 4.0
+#: Centroids of a half for each square root of the vectors: there are somewhat more pairs than vectors.
+CENTROIDS_PER_ROOT = 1.2
+#: Cells of a row that are taken at once.
+RUN = 16
 #: Queries that are searched exactly to measure how much to probe.
 MEASURED = 128
+#: Queries of a task that probes, about.
+QUERIES_AT_ONCE = 500
 #: Vectors in a block, at most (the ids of equal vectors count as one).
 BLOCK_ROWS = 4096
 #: Scores this close to the last place kept in a block are decided by the exact sum, and cells this close to a query's reach are in.
@@ -83,32 +87,43 @@ class MultiIndex:
         """(queries, cells): the summed shortfalls."""
         return short[0][:, cell // len(self.second)] + short[1][:, cell % len(self.second)]
 
-    def probe(self, one: np.ndarray, two: np.ndarray, wanted: int) -> tuple[list[int], float]:
+    def probe(self, one: np.ndarray, two: np.ndarray, wanted: int) -> tuple[np.ndarray, float]:
         """Places in ``cell``, by ascending sum of the shortfalls ``one`` and ``two`` of a query, until they hold ``wanted`` vectors; and the last sum.
 
-        A first centroid's row of cells is opened when its own shortfall comes up: no cell in it can come before.
+        The heap holds rows, the cells of a first centroid, by the sum that comes next in each.  A row is opened
+        when its centroid's own shortfall comes up, as no cell in it can come before, and gives up to ``RUN``
+        cells at a time.  Enough is there when cells up to the least sum in the heap hold what is wanted: none left comes before.
         """
         starts = np.searchsorted(self.cell, np.arange(len(self.first) + 1) * len(self.second)).tolist()
         rows = np.argsort(one, kind="stable").tolist()
-        heap, opened, found, held, reach = [(float(one[rows[0]]), 0, 0, 0)], {}, [], 0, 0.0
-        while heap and held < wanted:
-            total, is_cell, row, at = heapq.heappop(heap)
-            if is_cell:
-                places, sums, counts = opened[row]
-                found.append(places[at])
-                held, reach, at = held + counts[at], total, at + 1
-                if at < len(sums):
-                    heapq.heappush(heap, (sums[at], 1, row, at))
-                continue
-            a, b = starts[rows[row]], starts[rows[row] + 1]
-            if b > a:
-                sums = one[rows[row]] + two[self.cell[a:b] % len(self.second)]
-                order = np.argsort(sums, kind="stable")
-                opened[row] = (order + a).tolist(), sums[order].tolist(), self.count[a:b][order].tolist()
-                heapq.heappush(heap, (opened[row][1][0], 1, row, 0))
-            if row + 1 < len(rows):
-                heapq.heappush(heap, (float(one[rows[row + 1]]), 0, row + 1, 0))
-        return found, reach
+        heap, opened, held, check = [(float(one[rows[0]]), 0, 0)], {}, 0, wanted
+        while heap:
+            _, is_open, row = heapq.heappop(heap)
+            if is_open:
+                sums, upto, _, at = found = opened[row]
+                found[3] = end = min(at + RUN, len(upto) - 1)
+                held += upto[end] - upto[at]
+                if end < len(upto) - 1:
+                    heapq.heappush(heap, (float(sums[end]), 1, row))
+            else:
+                a, b = starts[rows[row]], starts[rows[row] + 1]
+                if b > a:
+                    sums = one[rows[row]] + two[self.cell[a:b] % len(self.second)]
+                    order = np.argsort(sums, kind="stable")
+                    opened[row] = [sums[order], [0, *np.cumsum(self.count[a:b][order]).tolist()], order + a, 0]
+                    heapq.heappush(heap, (float(opened[row][0][0]), 1, row))
+                if row + 1 < len(rows):
+                    heapq.heappush(heap, (float(one[rows[row + 1]]), 0, row + 1))
+            if held >= check and heap:
+                sure = sum(upto[min(at, int(np.searchsorted(sums, heap[0][0], "right")))] for sums, upto, _, at in opened.values())
+                if sure >= wanted:
+                    break
+                check = held + wanted - sure
+        sums = np.concatenate([found[0][: found[3]] for found in opened.values()])
+        places = np.concatenate([found[2][: found[3]] for found in opened.values()])
+        order = np.argsort(sums, kind="stable")
+        last = min(int(np.searchsorted(np.cumsum(self.count[places[order]]), wanted)), len(order) - 1)
+        return places[order[: last + 1]], float(sums[order[last]])
 
     def needed(self, queries: np.ndarray, nearest_cells: list[np.ndarray], recall: float) -> int:
         """Vectors to probe so that the cells of the queries' nearest are among them for a share ``recall`` of all."""
@@ -216,7 +231,7 @@ def search(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", e
     smallest = vectors.withColumn("n", F.row_number().over(Window.partitionBy("h", "vec").orderBy("key"))).where(F.col("n") <= k + 1)
     distinct = smallest.groupBy("h", "vec").agg(F.array_sort(F.collect_list("key")).alias("ids"))
     queries = vectors.where(F.col("key") % every == 0)
-    asking = queries.select("h", "vec").distinct()
+    asking = written(queries.select("h", "vec").distinct(), "asking")
 
     fit_on = sampled(vectors.select("h", "vec"), FIT_ROWS, "h", "vec").toArrow() if dims else None
     if fit_on is None or not fit_on.num_rows:
@@ -265,7 +280,8 @@ def search(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", e
                 taken = batch.take(pa.array([o[0] for o in out], pa.int64()))
                 yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["h", "vec", "block", "reach"])
 
-    asked = asking.mapInArrow(probe, T.StructType([T.StructField("h", T.LongType()), T.StructField("vec", vec_type), T.StructField("block", T.LongType()), T.StructField("reach", T.DoubleType())]))
+    # Few rows, but much work: dealt out by number, as their size would make them one task
+    asked = asking.repartition(-(-asking.count() // QUERIES_AT_ONCE) or 1).mapInArrow(probe, T.StructType([T.StructField("h", T.LongType()), T.StructField("vec", vec_type), T.StructField("block", T.LongType()), T.StructField("reach", T.DoubleType())]))
     asked = asked.select("block", F.lit(1).alias("kind"), "h", F.lit(None).cast(ids_type).alias("ids"), "vec", F.lit(None).cast("int").alias("cell"), "reach")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
