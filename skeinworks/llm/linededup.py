@@ -1,13 +1,15 @@
 """Line dedup with a tree of log templates.
 
 A line is parsed by a tree of fixed depth: the number of its tokens, then its leading tokens;
-a token with a digit is a variable field.  What remains below a leaf is compared in
-thirds: besides the line as it is, three templates leave out one third of its tokens each, so
-lines that differ in one stretch share a template too.  A template found in enough
-documents recurs; its lines are dropped, but for those of the first document that has it.
-
-All work is DataFrame expressions over hashes of lines; a frequent line is one row for each
-document before it meets the others, and only documents that lose lines are rebuilt.
+a token with a digit is a variable field.  A leaf generalises over its distinct lines: a further
+position keeps the token that most of them have, and is variable where none has most.  Lines
+that agree with all that the leaf's template keeps are of that template; others stand for
+themselves.  Lines and templates found in enough documents recur; they are dropped, but for
+the first document that has them.
+
+All work is DataFrame expressions over hashes of lines.  A frequent line is one row for each
+document before it meets the others; tokens are compared, by position, only in leaves that could
+recur, one row for each distinct line; and only documents that lose lines are rebuilt.
 """
 
 from __future__ import annotations
@@ -17,103 +19,126 @@ from pyspark.sql import functions as F
 
 from skeinworks.llm.common import written
 
-#: Leading tokens in the tree, and parts of the others, one of which a template may leave out.
-LEADING, PARTS = 3, 3
-#: Tokens of a line that can be dropped, and of one that is cut in parts, at least; documents of a recurring template, at least.
-LEAST_TOKENS, LEAST_PARTED, LEAST_DOCS = 5, 12, 5
+#: Leading tokens in the tree.
+LEADING = 3
+#: Documents of a recurring line or template, at least; of a line of ``LONG`` tokens or more, as it is but for its digits.
+LEAST_DOCS, LONG, LEAST_DOCS_LONG = 5, 12, 2
+#: Tokens that a template keeps, of a hundred of its lines', at least.
+LEAST_KEPT = 70
 VARIABLE = "<*>"
 
 
-def templates(lines: DataFrame, *, least_tokens: int = LEAST_TOKENS, exact: bool = False) -> DataFrame:
-    """``lines`` with ``line`` replaced by ``keys``, the hashes of its templates: none, one, or four; ``exact`` adds the line as it is to the four.
+def parsed(lines: DataFrame) -> DataFrame:
+    """``lines`` (with ``line``) as ``masked``, tokens by single spaces, with their number ``n``, and hashes of line (``own``) and ``leaf``; lines without a constant token are left out.
 
     Tokens are counted and cut at single spaces, so only lines with digits or other white space are rewritten first.
     """
     line = F.col("line")
     odd = line.rlike(r"[0-9\x09-\x0D]") | line.contains("  ")
     tidy = F.regexp_replace(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), r"[^0-9\x20]*+[0-9][^\x20]*+", VARIABLE)
-    rows = lines.withColumn("own", F.xxhash64(F.lit(PARTS + 1), "line")).withColumn("line", F.trim(F.when(odd, tidy).otherwise(line)))
-    rows = rows.withColumn("n", F.when(line == "", 0).otherwise(F.size(F.split(line, " "))))
-    parts = [F.xxhash64(F.lit(k), "n", _head(LEADING if k == 0 else _edge(k)), _tail(_edge(k + 1))) for k in range(PARTS)]
-    whole = F.xxhash64(F.lit(PARTS), "n", "line")
-    keys = F.when(F.col("n") >= max(least_tokens, LEAST_PARTED), F.array(whole, *parts, *[F.col("own")] * exact)).when(F.col("n") >= least_tokens, F.array(whole)).otherwise(F.array().cast("array<bigint>"))
-    return rows.withColumn("keys", keys).drop("line", "n", "own")
-
-
-def _edge(k: int) -> Column:
-    """Tokens before part ``k`` of those that follow the leading ones."""
-    return (F.lit(LEADING) + F.floor((F.col("n") - LEADING) * k / PARTS)).cast("int")
-
-
-def _head(tokens: Column | int) -> Column:
-    return F.call_function("substring_index", "line", F.lit(" "), F.lit(tokens) if isinstance(tokens, int) else tokens)
-
-
-def _tail(before: Column) -> Column:
-    """The tokens after the first ``before``."""
-    return F.call_function("substring_index", "line", F.lit(" "), before - F.col("n"))
-
-
-def drops(docs: DataFrame, *, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, least_texts: int | None = None) -> DataFrame:
+    masked = F.trim(F.when(odd, tidy).otherwise(line))
+    rows = lines.withColumn("masked", masked).where(~F.col("masked").rlike(r"^(<\*>( |$))*$")).drop("line")
+    rows = rows.withColumn("n", F.size(F.split("masked", " ")))
+    head = F.call_function("substring_index", "masked", F.lit(" "), F.lit(LEADING))
+    return rows.withColumns({"own": F.xxhash64("masked"), "leaf": F.xxhash64("n", head)})
+
+
+def _recurring(rows: DataFrame, key: str, unit: list[str], least: Column) -> DataFrame:
+    """``key`` and the smallest ``unit`` of the keys that enough units have; a unit is one row for each key before keys meet."""
+    once = rows.groupBy(key, *unit).agg(F.min(F.struct("doc_id")).alias("id"), F.min("n").alias("n"))
+    counted = once.groupBy(key).agg(F.count(F.lit(1)).alias("units"), F.min("n").alias("n"), F.min(F.struct("id", *unit)).alias("first"))
+    return counted.where(F.col("units") >= least).select(key, "first")
+
+
+def _others(rows: DataFrame, recurring: DataFrame, key: str, unit: list[str]) -> DataFrame:
+    """The places of the rows with a recurring key outside of the first unit that has it."""
+    same = F.lit(True)
+    for c in unit:
+        same = same & F.col(c).eqNullSafe(F.col(f"first.{c}"))
+    return rows.join(recurring, key).where(~same).select("doc_id", "mark", "place")
+
+
+def generalised(cut: DataFrame) -> DataFrame:
+    """``own`` of the lines that agree with the template of their leaf, where a leaf that could recur has one that keeps enough."""
+    busy = cut.where(F.col("n") > LEADING).groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.min("own").alias("a"), F.max("own").alias("b"))
+    busy = busy.where((F.col("rows") >= LEAST_DOCS) & (F.col("a") != F.col("b"))).select("leaf")
+    distinct = written(cut.where(F.col("n") > LEADING).join(busy, "leaf").groupBy("leaf", "own").agg(F.min("masked").alias("masked"), F.min("n").alias("n")), "leaves")
+    tokens = distinct.select("leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    votes = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("leaf", "at").agg(F.max_by("token", F.struct("votes", "token")).alias("token"), F.max("votes").alias("most"), F.sum("votes").alias("lines"))
+    kept = F.when((2 * F.col("most") > F.col("lines")) & (F.col("token") != VARIABLE), F.col("token"))
+    templates = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", kept.alias("token")))).alias("t"))
+    templates = templates.withColumn("t", F.transform("t", lambda x: x["token"]))
+    enough = 100 * F.size(F.filter("t", lambda x: x.isNotNull())) >= LEAST_KEPT * F.size("t")
+    agrees = F.forall(F.zip_with("t", F.split("masked", " "), lambda t, x: t.isNull() | (t == x)), lambda x: x)
+    return distinct.join(templates.where(enough), "leaf").where(agrees).select("own", F.col("leaf").alias("template"))
+
+
+def drops(docs: DataFrame, *, text: str = "text", by_text: bool = False) -> DataFrame:
     """doc_id, mark (a hash of the text) and ``dropped``, the places (from 0) of the lines to drop, for documents that lose any."""
+    unit = ["mark"] if by_text else ["doc_id", "mark"]
     marked = docs.select("doc_id", F.col(text).cast("string").alias("text")).where("text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
     lines = marked.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    # A filter on the keys here would be pushed below them, and work them out again for each column that it mentions
-    cut = written(templates(lines, least_tokens=least_tokens, exact=least_texts is not None), "templates")
-    keyed = cut.select("doc_id", "mark", "place", F.explode(F.slice("keys", 1, PARTS + 1)).alias("key"))
-    once = keyed.select("key", "doc_id", "mark").distinct()
-    recurring = once.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "mark")).alias("first")).where(F.col("docs") >= least_docs)
-    found = keyed.join(recurring.select("key", "first"), "key").where(~F.struct("doc_id", "mark").eqNullSafe(F.col("first"))).select("doc_id", "mark", "place")
-    if least_texts is not None:
-        own = cut.where(F.size("keys") > PARTS + 1).select("doc_id", "mark", "place", F.get("keys", F.lit(PARTS + 1)).alias("key"))
-        once = own.groupBy("key", "mark").agg(F.min(F.struct("doc_id")).alias("least"))
-        recurring = once.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("least", "mark")).alias("first")).where(F.col("texts") >= least_texts)
-        again = own.join(recurring.select("key", F.col("first.mark").alias("first")), "key").where("mark <> first")
-        found = found.unionByName(again.select("doc_id", "mark", "place"))
-    return found.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("dropped"))
-
-
-def without_templates(docs: DataFrame, *, text: str = "text", least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, least_texts: int | None = None) -> DataFrame:
+    cut = written(parsed(lines), "lines")
+    thin = cut.drop("masked")
+    found = _others(thin, _recurring(thin, "own", unit, F.when(F.col("n") >= LONG, LEAST_DOCS_LONG).otherwise(LEAST_DOCS)), "own", unit)
+    fitting = thin.join(generalised(cut), "own")
+    more = _others(fitting, _recurring(fitting, "template", unit, F.lit(LEAST_DOCS)), "template", unit)
+    return found.unionByName(more).groupBy("doc_id", "mark").agg(F.collect_set("place").alias("dropped"))
+
+
+def without_templates(docs: DataFrame, *, text: str = "text", by_text: bool = False, most_lost: float = 1.0) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` (columns so named are replaced).
 
-    Lines end at a newline; those with fewer than ``least_tokens`` tokens always stay.  A
-    template recurs if ``least_docs`` documents have it, where rows that agree in id and text
-    are one document.  The document with the smallest id (a null id is smallest; ties: by a
-    hash of the text) keeps its lines.  What other documents have in place of a variable field, or
-    in a third that a template leaves out, goes with the line.  A null text stays null
-    with no lines, an empty one is one line.  No row is dropped; an empty table gives an empty one.
+    Lines end at a newline; blank ones, and those of variable fields only, always stay.  A line
+    recurs if ``LEAST_DOCS`` documents have it, a long one from ``LEAST_DOCS_LONG`` on, digits aside; a
+    template if ``LEAST_DOCS`` have lines of it.  Rows that agree in id and text are one document.
+    The document with the smallest id (a null id is smallest; ties: by a hash of the text) keeps
+    its lines.  What other documents have in place of a variable field goes with the line.  A
+    null text stays null with no lines, an empty one is one line.  No row is dropped; an empty table
+    gives an empty one.
 
-    With ``least_texts``, a line of ``LEAST_PARTED`` tokens or more also recurs, as it is, if so many
-    different texts have it: it stays in the text with the smallest id, and in all copies of that text.
+    ``by_text``, all rows of a text are one document, so copies of a text lose nothing to each other.  A
+    document that would lose more than the share ``most_lost`` of its characters stays as it is.
     """
-    gone = drops(docs, text=text, least_docs=least_docs, least_tokens=least_tokens, least_texts=least_texts).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "dropped")
+    gone = drops(docs, text=text, by_text=by_text).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "dropped")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "dropped")]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.xxhash64(F.col(text).cast("string")).alias("__own"))
     rows = rows.join(gone, F.col("__own").eqNullSafe(F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = F.split(text, "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    rebuilt = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
-    out = {text: F.when(F.col("dropped").isNull(), F.col(text)).otherwise(rebuilt)}
+    rebuilt = F.when(F.col("dropped").isNotNull(), F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
+    rows = rows.withColumn("__rest", rebuilt)
+    if most_lost < 1:
+        rows = rows.withColumn("__rest", F.when(F.length(text) - F.length("__rest") <= most_lost * F.length(text), F.col("__rest")))
+    out = {text: F.coalesce("__rest", text)}
     return rows.select(
         *(out.get(c, F.col(f"`{c}`")).alias(c) for c in kept),
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("__rest").isNotNull(), F.size("dropped")).otherwise(0).cast("long").alias("n_dropped"),
     )
 
 
-#: The same with the templates themselves instead of their hashes, for ids that are unique.
+#: The same with the lines and templates themselves instead of their hashes, for ids that are unique.
 ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS place FROM documents WHERE text IS NOT NULL),
 cut AS (SELECT doc_id, place, list_filter(regexp_split_to_array(regexp_replace(line, '[^0-9\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '{VARIABLE}', 'g'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS tokens FROM lines),
-sized AS (SELECT *, len(tokens) AS n FROM cut WHERE len(tokens) >= {LEAST_TOKENS}),
-keyed AS (
-  SELECT doc_id, place, {PARTS} AS part, n, tokens AS template FROM sized
-  UNION ALL
-  SELECT doc_id, place, k, n, list_slice(tokens, 1, {LEADING} + ((n - {LEADING}) * k) // {PARTS}) || ['|'] || list_slice(tokens, {LEADING} + ((n - {LEADING}) * (k + 1)) // {PARTS} + 1, n)
-  FROM sized, range(0, {PARTS}) t(k) WHERE n >= {LEAST_PARTED}),
-recurring AS (SELECT part, n, template, min(doc_id) AS first FROM keyed GROUP BY part, n, template HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
-gone AS (SELECT DISTINCT doc_id, place FROM keyed JOIN recurring USING (part, n, template) WHERE doc_id <> first),
+sized AS (SELECT *, len(tokens) AS n, list_slice(tokens, 1, {LEADING}) AS head FROM cut WHERE len(list_filter(tokens, lambda x: x <> '{VARIABLE}')) > 0),
+own AS (SELECT n, tokens, min(doc_id) AS first FROM sized GROUP BY n, tokens HAVING count(DISTINCT doc_id) >= CASE WHEN n >= {LONG} THEN {LEAST_DOCS_LONG} ELSE {LEAST_DOCS} END),
+leaf_lines AS (SELECT DISTINCT n, head, tokens FROM sized WHERE n > {LEADING}),
+leaves AS (SELECT n, head, count(*) AS lines FROM leaf_lines GROUP BY n, head HAVING count(*) > 1),
+placed AS (SELECT n, head, unnest(tokens) AS token, unnest(range(1, n + 1)) AS pos FROM leaf_lines JOIN leaves USING (n, head)),
+votes AS (SELECT n, head, pos, token, count(*) AS votes FROM placed GROUP BY ALL),
+best AS (SELECT n, head, pos, arg_max(token, votes) AS token, max(votes) AS most, sum(votes) AS lines FROM votes GROUP BY n, head, pos),
+templates AS (SELECT n, head, list(CASE WHEN 2 * most > lines AND token <> '{VARIABLE}' THEN token END ORDER BY pos) AS t, count(*) FILTER (2 * most > lines AND token <> '{VARIABLE}') AS kept FROM best GROUP BY n, head),
+fitting AS (
+  SELECT s.doc_id, s.place, s.n, s.head FROM sized s JOIN templates t ON s.n = t.n AND s.head = t.head
+  WHERE 100 * t.kept >= {LEAST_KEPT} * t.n AND len(list_filter(range(1, s.n + 1), lambda i: t.t[i] IS NOT NULL AND t.t[i] <> s.tokens[i])) = 0),
+recurring AS (SELECT n, head, min(doc_id) AS first FROM fitting GROUP BY n, head HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
+gone AS (
+  SELECT doc_id, place FROM sized JOIN own USING (n, tokens) WHERE doc_id <> first
+  UNION SELECT doc_id, place FROM fitting JOIN recurring USING (n, head) WHERE doc_id <> first),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.place) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL), '') AS text
   FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id)
