@@ -101,13 +101,13 @@ def without_templates(docs: DataFrame, *, text: str = "text", by_text: bool = Fa
     ``by_text``, all rows of a text are one document, so copies of a text lose nothing to each other.  A
     document that would lose more than the share ``most_lost`` of its characters stays as it is.
     """
-    gone = drops(docs, text=text, by_text=by_text).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "dropped")
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "dropped")]
+    gone = drops(docs, text=text, by_text=by_text).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("dropped").alias("__dropped"))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.xxhash64(F.col(text).cast("string")).alias("__own"))
     rows = rows.join(gone, F.col("__own").eqNullSafe(F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = F.split(text, "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    rebuilt = F.when(F.col("dropped").isNotNull(), F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
+    rebuilt = F.when(F.col("__dropped").isNotNull(), F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
     rows = rows.withColumn("__rest", rebuilt)
     if most_lost < 1:
         rows = rows.withColumn("__rest", F.when(F.length(text) - F.length("__rest") <= most_lost * F.length(text), F.col("__rest")))
@@ -115,7 +115,7 @@ def without_templates(docs: DataFrame, *, text: str = "text", by_text: bool = Fa
     return rows.select(
         *(out.get(c, F.col(f"`{c}`")).alias(c) for c in kept),
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("__rest").isNotNull(), F.size("dropped")).otherwise(0).cast("long").alias("n_dropped"),
+        F.when(F.col("__rest").isNotNull(), F.size("__dropped")).otherwise(0).cast("long").alias("n_dropped"),
     )
 
 

@@ -38,8 +38,8 @@ WORD_WINDOW, SHAPE_WINDOW, SHAPE_SPAN = 24, 12, 48
 WORD_WEIGHT = 0.5
 #: Power of the similarity that is a vote's weight, and the weight of the prior.
 SHARPNESS, PRIOR_WEIGHT = 8, 0.05
-#: Tokens counted, entries projected, and labelled documents multiplied at once; rounds and spare dimensions of the decomposition.
-TOKENS_AT_ONCE, ENTRIES_AT_ONCE, ROWS_AT_ONCE, ROUNDS, SPARE = 1 << 20, 1 << 16, 500, 8, 16
+#: Bytes of texts, tokens counted, entries projected, and labelled documents multiplied at once; rounds and spare dimensions of the decomposition.
+BYTES_AT_ONCE, TOKENS_AT_ONCE, ENTRIES_AT_ONCE, ROWS_AT_ONCE, ROUNDS, SPARE = 1 << 19, 1 << 17, 1 << 15, 500, 8, 16
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str =
     once = pairs.groupBy("doc_id").agg(F.min(F.struct("label", "text")).alias("p")).select("doc_id", "p.label", "p.text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, 2):
+        for part in text_slices(batches, 2, BYTES_AT_ONCE):
             row, term, n = bags(part.column(2))
             edges = np.searchsorted(row, np.arange(part.num_rows + 1))
             packed = [[x[a:b].astype("<i4").tobytes() for a, b in zip(edges, edges[1:], strict=False)] for x in (term, n)]
@@ -215,7 +215,7 @@ def scored(docs: DataFrame, model: QualityModel, *, text: str = "text", out: str
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, at):
+        for part in text_slices(batches, at, BYTES_AT_ONCE):
             yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(shared.value.score(part.column(at)))], names=schema.names)
 
     return docs.select(*(F.col(f"`{c}`") for c in [*others, text][: max(at + 1, len(others))])).mapInArrow(run, schema)
