@@ -89,7 +89,7 @@ class _Pairs(dict):
 
 
 class RankVocabulary:
-    """The ranks of a tiktoken file: token bytes to ids, and back."""
+    """The ranks of a tiktoken file: token bytes to ids, and back.  A file that lacks a single byte is an error, as some text would have no ids."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
@@ -99,6 +99,8 @@ class RankVocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.of_byte = [self.ranks.get(bytes([b]), -1) for b in range(256)]
+        if -1 in self.of_byte:
+            raise ValueError(f"{path} has no rank for the byte {self.of_byte.index(-1)}")
         self.pairs, self.queue = _Pairs(self), RankQueue(self.size)
 
     def encode(self, piece: bytes) -> list[int]:
@@ -221,7 +223,11 @@ def decode(encoded: DataFrame, *, ranks_path: str, ids: str = "token_ids", out:
 
 
 def digests(docs: DataFrame, *, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Encode, decode, and per document the number of ids and the SHA-256 of ids and decoded bytes."""
+    """Encode, decode, and per document the number of ids and the SHA-256 of ids and decoded bytes.
+
+    ``docs`` without ``text``, a row for each row; columns named like the results are replaced.  A null
+    or empty text has no ids, and the digests of nothing.  Repeated rows agree, an empty table gives an empty one.
+    """
     plain = encode(docs, ranks_path=ranks_path, pattern=pattern, text=text, out="__ids").drop(text)
     both = decode(plain, ranks_path=ranks_path, ids="__ids", out="__decoded")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]

@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,9 +65,44 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
+#: Paths that operators have used since, for each ``intermediates`` that is open.
+_open: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path below the shared folder that nobody has used."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    for used in _open:
+        used.append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, whatever operators have written to the shared folder inside: for callers that have stored a result by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            deleted(spark, path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def arrow_files(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for a folder as Spark names it; S3 and DBFS have other names there."""
+    scheme, mark, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif scheme == "dbfs":
+        uri = f"file:///dbfs/{rest.lstrip('/')}"
+    elif scheme == "file":
+        uri = f"file:///{rest.lstrip('/')}"
+    return pafs.FileSystem.from_uri(uri)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -106,3 +144,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], at: int, chars: int = 4 << 20
             end = max(start + 1, int(np.searchsorted(sizes, before + chars, "right")))
             yield batch.slice(start, end - start)
             start = end
+
+
+def key_name(key: str | None) -> str:
+    """A key as part of a name in an archive, whatever its characters; a null key has the empty name."""
+    return "" if key is None else f"={quote(key, safe='')}"
+
+
+def name_key(name: str) -> str | None:
+    return unquote(name[1:]) if name else None

@@ -27,12 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from skeinworks.llm.common import fresh_path, text_or_empty
+from skeinworks.llm.common import arrow_files, fresh_path, key_name, name_key, text_or_empty
 
 #: Samples in an image row; payloads are padded with ``PAD`` to a positive multiple of it.
 WIDTH, PAD = 192, b" "
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
-NULL_KEY = "null"
 
 
 # ---- images ----
@@ -92,7 +91,7 @@ def feature(samples: np.ndarray) -> str:
 
 
 def _write_archive(batches: Iterator[pa.RecordBatch], directory: str) -> Iterator[pa.RecordBatch]:
-    fs, base = pafs.FileSystem.from_uri(directory)
+    fs, base = arrow_files(directory)
     name = f"part-{TaskContext.get().partitionId():06d}.zip"
     draft, members, archive, out = f"{base}/_drafts/{name}.{uuid.uuid4().hex}", 0, None, None
     for batch in batches:
@@ -101,7 +100,7 @@ def _write_archive(batches: Iterator[pa.RecordBatch], directory: str) -> Iterato
                 fs.create_dir(f"{base}/_drafts", recursive=True)
                 out = fs.open_output_stream(draft)
                 archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-            member = zipfile.ZipInfo(key.as_py() or NULL_KEY)
+            member = zipfile.ZipInfo(f"k{key_name(key.as_py())}")
             archive.writestr(member, encode_png(raw.as_py() or b""))
             members += 1
     if archive is not None:
@@ -112,7 +111,7 @@ def _write_archive(batches: Iterator[pa.RecordBatch], directory: str) -> Iterato
 
 
 def write_archives(payloads: DataFrame, directory: str, *, key: str, payload: str) -> None:
-    """One archive per partition of ``payloads`` below ``directory``; ``key`` names the members, ``payload`` (binary, null: empty) fills them."""
+    """One archive per partition of ``payloads`` below ``directory``; ``key`` names the members (``k`` for null, else ``k=`` and the key, quoted as in a URL), ``payload`` (binary, null: empty) fills them."""
     pairs = payloads.select(F.col(key).cast("string").alias("key"), F.col(payload).cast("binary").alias("payload"))
     written = pairs.mapInArrow(lambda batches: _write_archive(batches, directory), "archive string, members long")
     written.write.parquet(f"{directory}/_manifest")
@@ -162,14 +161,14 @@ class ArchiveReader(DataSourceReader):
         self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[ByteRange]:
-        fs, base = pafs.FileSystem.from_uri(self.directory)
+        fs, base = arrow_files(self.directory)
         found = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
         return plan_ranges(sorted((f.path, f.size) for f in found if f.path.endswith(".zip")), self.range_bytes) or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        fs, _ = pafs.FileSystem.from_uri(self.directory)
+        fs, _ = arrow_files(self.directory)
 
         def read_at(size: int, offset: int) -> bytes:
             with fs.open_input_file(partition.path) as file:
@@ -242,7 +241,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             stored = stored.as_py()
             samples, length = decode_png(stored)
             payload = samples.tobytes()
-            rows.append((None if key == NULL_KEY else key, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples)))
+            rows.append((name_key(key[1:]), length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples)))
         types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         columns = list(zip(*rows, strict=True)) or [()] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in DIGESTS.split(", ")])

@@ -75,10 +75,9 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
 
 
 def shuffled(sized: DataFrame, docs: int) -> DataFrame:
-    """``sized`` (doc_id, source, size) with ``start``, a document's place in its source's stream, and ``nth``, which tells repeated rows apart."""
+    """``sized`` (doc_id, source, size, mark) with ``start``, a document's place in its source's stream by ``mark``, and ``nth``, which tells repeated rows apart."""
     digits = max(0, math.ceil(math.log(max(1, docs / RANGE_DOCS), 16)))
-    rows = sized.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("part", F.substring("mark", 1, digits))
+    rows = sized.withColumn("part", F.substring("mark", 1, digits))
     inside = Window.partitionBy("source", "part").orderBy("mark", F.asc_nulls_first("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inside)).withColumn("nth", F.row_number().over(inside))
     earlier = sized_parts(rows)
@@ -95,14 +94,15 @@ def mix(docs: DataFrame, *, slots: int = SLOTS, to_the_word: bool = False) -> Da
     """doc_id, source, size, source_size, target and taken (the words that the mix takes of the document, repeats counted), a row for each row of ``docs``.
 
     A null text has no words; a document without words is never taken.  A null source is a
-    source of its own.  Repeated rows are separate stretches of the stream, and null ids hash
-    like empty ones.  An empty table, or one without words, gives targets and takings of 0.
-    Nothing but doc_id, source and text is read.  The order depends on the ids alone, so reruns agree.
+    source of its own.  Repeated rows are separate stretches of the stream, and rows without an id
+    are placed by their texts.  An empty table, or one without words, gives targets and takings of 0.
+    Nothing but doc_id, source and text is read.  The order depends on the ids (and texts without one) alone, so reruns agree.
 
     Whole slots take a source to within a block or so of its target.  ``to_the_word``, a source's
     last block is as long as what its target lacks: it is taken to the target, rounded, at any size.
     """
-    sized = written(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size")), "sizes")
+    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), text_or_empty())).cast("binary"))
+    sized = written(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), mark.alias("mark")), "sizes")
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
     block = min(MAX_BLOCK_WORDS, max(1, -(-total // slots)))
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, *, slots: int = SLOTS, to_the_word: bool = False) -> Da
 #: The same rows without ranges and chunks, for one machine.
 ORACLE = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))) AS mark, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, (3 * source_size)::DOUBLE AS most FROM src),
 leveled AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level FROM weighed
@@ -150,7 +150,7 @@ cut AS (SELECT words, least({MAX_BLOCK_WORDS}, greatest(1, (words + {SLOTS} - 1)
 points AS (SELECT i AS slot, ((i + 1)::HUGEINT * {GOLDEN}) % {POINTS} AS point FROM cut, range(0, (words + block - 1) // block) t(i)),
 plan AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block FROM points JOIN bounds2 ON point >= low AND point < high),
 ends AS (SELECT source, count(*) AS blocks FROM plan GROUP BY source),
-placed AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS start FROM sized)
+placed AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY mark, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS start FROM sized)
 SELECT p.doc_id, p.size, s.source_size, s.target,
   CAST((SELECT coalesce(sum(greatest(0, least(p.start + e * s.source_size + p.size, coalesce(n.blocks, 0) * c.block) - (p.start + e * s.source_size))), 0) FROM range(0, {MOST_EPOCHS}) t(e)) AS BIGINT) AS taken
 FROM placed p JOIN bounds2 s ON p.source IS NOT DISTINCT FROM s.source LEFT JOIN ends n ON p.source IS NOT DISTINCT FROM n.source, cut c

@@ -18,25 +18,22 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.llm.common import fresh_path, text_or_empty
+from skeinworks.llm.common import arrow_files, fresh_path, key_name, name_key, text_or_empty
 
 #: Little-endian magic number of the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 #: Bytes of a dictionary, and bytes of records that it is built from, at most.
 DICTIONARY_BYTES, TRAINING_BYTES = 32 << 10, 2 << 20
-#: Records below this number give a plain shared-content dictionary: training needs more.
-LEAST_TRAINING = 16
 READ_BYTES = 1 << 20
 
 
-def record_id(page_id: str) -> str:
-    return f"<urn:page:{page_id}>"
+def record_id(page_id: str | None) -> str:
+    return f"<urn:page{key_name(page_id)}>"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -44,20 +41,18 @@ def payload_digest(payload: bytes) -> str:
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A Zstandard dictionary for records like these; empty where they hold nothing to share."""
-    if len(records) >= LEAST_TRAINING:
-        try:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
-        except zstandard.ZstdError:
-            pass  # too little or too uniform to train on
-    return b"".join(records)[-DICTIONARY_BYTES:]
+    """A Zstandard dictionary trained on records like these; where they are too few or too uniform for that, their own content."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, records).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(records)[-DICTIONARY_BYTES:]
 
 
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if len(raw) >= 8 else None
 
 
-def warc_record(page_id: str, url: str, payload: bytes | None, *, digest: str, length: int, refers_to: str | None) -> bytes:
+def warc_record(page_id: str | None, url: str, payload: bytes | None, *, digest: str, length: int, refers_to: str | None) -> bytes:
     """One WARC/1.1 record: a response, or with ``refers_to`` a revisit without a block."""
     block = b"" if refers_to is not None else payload
     fields = [
@@ -95,7 +90,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for page, url, html, refers in zip(*(batch.column(i) for i in range(4)), strict=True):
             payload = html.as_py() or b""
             uri = " ".join((url.as_py() or "").split())
-            yield warc_record(page.as_py() or "null", uri, payload, digest=payload_digest(payload), length=len(payload), refers_to=refers.as_py())
+            yield warc_record(page.as_py(), uri, payload, digest=payload_digest(payload), length=len(payload), refers_to=refers.as_py())
 
 
 def _write_file(batches: Iterator[pa.RecordBatch], directory: str, level: int) -> Iterator[pa.RecordBatch]:
@@ -110,7 +105,7 @@ def _write_file(batches: Iterator[pa.RecordBatch], directory: str, level: int) -
         return
     raw = build_dictionary(first)
     compressor = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(raw), write_checksum=True)
-    fs, base = pafs.FileSystem.from_uri(directory)
+    fs, base = arrow_files(directory)
     fs.create_dir(f"{base}/_drafts", recursive=True)
     name = f"part-{TaskContext.get().partitionId():06d}.warc.zst"
     draft, n = f"{base}/_drafts/{name}.{uuid.uuid4().hex}", 0
@@ -183,11 +178,11 @@ _TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.str
 
 
 def _uri_id(value: str | None) -> str | None:
-    return None if value is None else value.removeprefix("<urn:page:").removesuffix(">")
+    return None if value is None else name_key(value.removeprefix("<urn:page").removesuffix(">"))
 
 
 def _read_files(batches: Iterator[pa.RecordBatch], directory: str) -> Iterator[pa.RecordBatch]:
-    fs, base = pafs.FileSystem.from_uri(directory)
+    fs, base = arrow_files(directory)
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=[c.split()[0] for c in RECORDS.split(", ")])
@@ -201,8 +196,7 @@ def _read_files(batches: Iterator[pa.RecordBatch], directory: str) -> Iterator[p
                     kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and payload_digest(block) != digest:
                         raise ValueError(f"{name} at {offset}: the payload doesn't match its digest")
-                    page = _uri_id(fields["warc-record-id"])
-                    rows.append((name, offset, None if page == "null" else page, fields["warc-target-uri"], kind, _uri_id(fields.get("warc-refers-to")), digest, int(fields["warc-payload-length"]), block if kind == "response" else None))
+                    rows.append((name, offset, _uri_id(fields["warc-record-id"]), fields["warc-target-uri"], kind, _uri_id(fields.get("warc-refers-to")), digest, int(fields["warc-payload-length"]), block if kind == "response" else None))
                     size += len(block)
                     if size >= 8 << 20 or len(rows) >= 20_000:
                         yield batch(rows)

@@ -71,17 +71,54 @@ def test_damaged_image():
         media.decode_png(bytes(stored))
 
 
-def test_media_digests(odd):
+def test_media_digests(spark, odd):
+    """Every column by another way: the images are rebuilt here, from their layout."""
     got = media.media_digests(odd.withColumn("payload", F.lit(1)).withColumn("key", F.lit(2))).collect()
     assert len(got) == len(ODD)
     want = []
     for doc_id, text, *_ in ODD:
         raw = (text or "").encode()
-        padded = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
-        want.append((doc_id, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:])))
-    assert keyed(got, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(want, key=repr)
-    same = {(r.media_sha256, r.feature) for r in got if r.n_bytes == 40}
-    assert len(same) == 1
+        filled = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        rows = [filled[at : at + 192] for at in range(0, len(filled), 192)]
+        chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+        image = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (192).to_bytes(4, "big") + len(rows).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + chunk(b"tEXt", f"length\0{len(raw)}".encode())
+        image += chunk(b"IDAT", zlib.compress(b"".join(b"\0" + row for row in rows), 4)) + chunk(b"IEND", b"")
+        part, total = len(filled) // 64, sum(filled)
+        bits = "".join(str(int(64 * sum(filled[k * part : (k + 1) * part]) > total)) for k in range(64))
+        seen = f"{len(rows)}x192;sum={total};ahash={int(bits, 2):016x}"
+        want.append((doc_id, len(raw), len(filled), hashlib.sha256(filled).hexdigest(), zlib.crc32(filled[-16:]), len(image), hashlib.sha256(image).hexdigest(), seen))
+    assert keyed(got, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature") == sorted(want, key=repr)
+    assert media.media_digests(spark.createDataFrame([], DOCS)).count() == 0
+
+
+STRANGE = [None, "", "null", "a/b", "nul \0", "line\r\nend", "é %41 =", "x" * 3000]
+
+
+def test_any_key_comes_back(spark):
+    rows = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(STRANGE)], "doc_id string, text string")
+    assert keyed(media.media_digests(rows).collect(), "doc_id", "n_bytes") == sorted(((k, 6) for k in STRANGE), key=repr)
+    pages = spark.createDataFrame([(k, "http://a", "same") for k in STRANGE], "page_id string, url string, html string")
+    got = warc.archived_pages(pages).collect()
+    most = max(k for k in STRANGE if k is not None)
+    assert keyed(got, "page_id", "record_type", "refers_to") == sorted(((k, *(("response", None) if k == most else ("revisit", most))) for k in STRANGE), key=repr)
+
+
+def test_folders_by_other_names(tmp_path):
+    from skeinworks.llm import common
+
+    fs, path = common.arrow_files(f"file:{tmp_path}")
+    assert path == str(tmp_path) and fs.get_file_info(path).is_file is False
+    assert common.arrow_files("dbfs:/a/b")[1] == "/dbfs/a/b"
+
+
+def test_intermediates_go(spark):
+    from skeinworks.llm import common
+
+    with common.intermediates(spark):
+        rows = common.written(spark.range(3), "some")
+        path = rows.inputFiles()[0].rpartition("/")[0]
+        assert Path(path.removeprefix("file://")).exists()
+    assert not Path(path.removeprefix("file://")).exists()
 
 
 def test_ranges_tile_archives(spark, odd, tmp_path):
@@ -509,6 +546,12 @@ def test_mix_of_nothing(spark):
     assert {(r.size, r.target, r.taken) for r in wordless} == {(0, 0.0, 0)}
 
 
+def test_rows_without_an_id_are_placed_by_their_texts(spark):
+    rows = [(None, f"{'w ' * (i % 7 + 1)}t{i}", "en", "a" if i % 2 else None, 0) for i in range(60)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), slots=50).collect()
+    assert len(got) == 60 and keyed(got, "source", "size", "taken") == keyed(mixing.mix(spark.createDataFrame(rows[::-1], DOCS).repartition(7), slots=50).collect(), "source", "size", "taken")
+
+
 def test_ranges_and_chunks_change_nothing(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = keyed(mixing.mix(docs).collect(), "doc_id", "taken")
@@ -708,6 +751,17 @@ def test_documents_round_trip(odd):
     assert empty.n_tokens == 0 and empty.decoded_sha256 == empty.ids_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_vocabularies_must_have_every_byte(tmp_path):
+    lines = [base64.b64encode(bytes([b])).decode() + f" {b}" for b in range(256) if b != 65]
+    (tmp_path / "ranks").write_text("\n".join(lines))
+    with pytest.raises(ValueError, match="byte 65"):
+        bpe.RankVocabulary(str(tmp_path / "ranks"))
+
+
+def test_bpe_of_nothing(spark):
+    assert bpe.digests(spark.createDataFrame([], DOCS), ranks_path=RANKS, pattern=PATTERN).count() == 0
+
+
 def test_special_tokens_are_text():
     text = "<|endoftext|>"
     import regex
@@ -962,6 +1016,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert len(last) == len(copies) and all(r.exact and r.n_tokens == len(r.token_ids) for r in last)
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_and_no_documents(spark, odd, stage):
+    import corpus_pipeline as cp
+
+    name, run = cp.STAGES[stage]
+    rows = odd.withColumns({"text_": F.lit("x"), "dropped": F.lit(1)}).withColumnRenamed("text_", "score")
+    got = run(spark, rows, SF).collect()
+    assert name == "byte-level BPE" or {tuple(r.asDict()) for r in got} <= {tuple(rows.columns)}
+    ids = sorted((r.doc_id for r in got), key=repr)
+    every = sorted((i for i, *_ in ODD), key=repr)
+    if name in ("line dedup", "byte-level BPE"):
+        assert ids == every
+    if name == "near dedup":
+        # One of null, empty and blank; one of the texts in five rows; repeated rows once
+        assert ids == [0, 3, 4, 6, 7, 8]
+    if name == "mixing":
+        assert set(ids) <= set(every) - {0, 1, 2}
+    assert run(spark, rows.where("doc_id < 0"), SF).count() == 0
+
+
+def test_reruns_agree_where_other_columns_differ(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, "some text of a few words", "en", s, 1) for s in "abc"] + [(2, "some text of a few words", "en", "d", 1)]
+    found = {tuple(r) for k in (1, 2, 5) for r in cp.one_of_each(spark, spark.createDataFrame(rows, DOCS).repartition(k), SF).collect()}
+    assert len(found) == 1
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline as cp
 
