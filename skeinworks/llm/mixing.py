@@ -114,14 +114,14 @@ def mix(docs: DataFrame, *, slots: int = SLOTS, to_the_word: bool = False) -> Da
         placed = shuffled(sized, sized.count()).alias("p").join(sources.alias("s"), F.expr("p.source <=> s.source"), "left").select("p.*", "s.source_size", "s.target")
         taken = F.coalesce(sum(words[1:], words[0]), F.lit(0)).cast("long")
         return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
-    plan = written(schedule(sources, -(-total // block)), "schedule") if total else None
-    placed = shuffled(sized, sized.count())
-    placed = placed.alias("p").join(sources.alias("s"), F.expr("p.source <=> s.source"), "left").select("p.*", "s.source_size", "s.target")
     keys = ["doc_id", "source", "size", "part", "nth", "source_size", "target"]
-    if plan is None:
-        return placed.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    if not total:
+        placed = shuffled(sized, sized.count()).alias("p").join(sources.alias("s"), F.expr("p.source <=> s.source"), "left")
+        return placed.select("p.doc_id", "p.source", "p.size", "s.source_size", "s.target", F.lit(0).cast("long").alias("taken"))
+    plan = written(schedule(sources, -(-total // block)), "schedule")
     ends = plan.groupBy("source").agg(F.count(F.lit(1)).alias("blocks"))
-    placed = placed.alias("p").join(ends.alias("e"), F.expr("p.source <=> e.source"), "left").select("p.*", F.coalesce("e.blocks", F.lit(0)).alias("blocks"))
+    per_source = sources.alias("s").join(ends.alias("e"), F.expr("s.source <=> e.source"), "left").select("s.*", F.coalesce("e.blocks", F.lit(0)).alias("blocks"))
+    placed = shuffled(sized, sized.count()).alias("p").join(per_source.alias("s"), F.expr("p.source <=> s.source"), "left").select("p.*", "s.source_size", "s.target", "s.blocks")
     # The stretches of the document in the repeated stream, and the scheduled blocks that each crosses
     times = F.filter(F.transform(F.array(*(F.lit(e) for e in range(MOST_EPOCHS))), lambda e: F.col("start") + e * F.col("source_size")), lambda at: (F.col("size") > 0) & (at < F.col("blocks") * block))
     parts = placed.withColumn("at", F.explode_outer(times))

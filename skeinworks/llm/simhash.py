@@ -34,7 +34,7 @@ from skeinworks.llm.common import text_or_empty, written
 from skeinworks.llm.components import components
 
 #: Reference fingerprints, and the blocks whose partial distances must agree.
-PIVOTS, AGREEING = 16, 3
+PIVOTS, AGREEING = 32, 3
 #: Hashes that are counted at once.
 COUNT_AT_ONCE = 1 << 16
 #: Fingerprints up to which a meeting is compared along with others; those of larger ones that are compared at once.
