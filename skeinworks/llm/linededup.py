@@ -26,6 +26,8 @@ LEAST_DOCS, LONG, LEAST_DOCS_LONG = 5, 12, 2
 #: Tokens that a template keeps, of a hundred of its lines', at least.
 LEAST_KEPT = 70
 VARIABLE = "<*>"
+#: Bits of the filter that tells lines of busy leaves from most others, and those in a row of Spark's bitmaps: half a megabyte in all, whatever the table.
+FILTER_BITS, ROW_BITS = 1 << 22, 1 << 15
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -58,11 +60,21 @@ def _others(rows: DataFrame, recurring: DataFrame, key: str, unit: list[str]) ->
     return rows.join(recurring, key).where(~same).select("doc_id", "mark", "place")
 
 
+def _maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` (a hash) isn't in ``wanted``, by a broadcast bitmap of bounded size, so that the others needn't be shuffled with their text."""
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    bitmaps = wanted.select(F.floor(place / ROW_BITS).alias("__row"), (place % ROW_BITS).alias("__bit")).groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    found = rows.withColumns({"__row": F.floor(place / ROW_BITS), "__bit": place % ROW_BITS}).join(F.broadcast(bitmaps), "__row")
+    byte = F.expr("CAST(conv(hex(substring(__bits, CAST(__bit div 8 AS INT) + 1, 1)), 16, 10) AS BIGINT)")
+    return found.where(F.call_function("shiftright", byte, (F.col("__bit") % 8).cast("int")) % 2 == 1).select(rows.columns)
+
+
 def generalised(cut: DataFrame) -> DataFrame:
     """``own`` of the lines that agree with the template of their leaf, where a leaf that could recur has one that keeps enough."""
-    busy = cut.where(F.col("n") > LEADING).groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.min("own").alias("a"), F.max("own").alias("b"))
-    busy = busy.where((F.col("rows") >= LEAST_DOCS) & (F.col("a") != F.col("b"))).select("leaf")
-    distinct = written(cut.where(F.col("n") > LEADING).join(busy, "leaf").groupBy("leaf", "own").agg(F.min("masked").alias("masked"), F.min("n").alias("n")), "leaves")
+    longer = cut.where(F.col("n") > LEADING)
+    busy = longer.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.min("own").alias("a"), F.max("own").alias("b"))
+    busy = written(busy.where((F.col("rows") >= LEAST_DOCS) & (F.col("a") != F.col("b"))).select("leaf"), "busy")
+    distinct = written(_maybe_in(longer, "leaf", busy).join(busy, "leaf").groupBy("leaf", "own").agg(F.min("masked").alias("masked"), F.min("n").alias("n")), "leaves")
     tokens = distinct.select("leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     votes = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("leaf", "at").agg(F.max_by("token", F.struct("votes", "token")).alias("token"), F.max("votes").alias("most"), F.sum("votes").alias("lines"))
