@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.operators.corpus import qualifying
+from skeinworks.operators.corpus import long_by_turns, qualifying
 
 
-def overlap_report(existing: DataFrame, new: DataFrame, *, min_per_role: int = 10, source: str = "source_id", transcript: str = "hash") -> DataFrame:
+def overlap_report(existing: DataFrame, new: DataFrame, *, min_per_role: int = 10, source: str = "source_id", transcript: str = "hash", turns: str | None = None) -> DataFrame:
     """One row of counts: rows of the new release, those that qualify and don't, how many of these the existing one
-    has by source id and by transcript, and the repeats among the new by either key.
+    has by source id and by transcript, the repeats among the new by either key, and the distinct keys that are new.
 
-    Membership comes from joins with distinct keys, so no set of ids is held anywhere.
+    With ``turns``, the release's own count of turns, only rows with at least ``min_per_role`` of them (null: none) can qualify;
+    ``long_not_qualifying`` counts those that have as many and don't.  Membership comes from joins with distinct keys, so no
+    set of ids is held anywhere.
     """
-    good = qualifying(new, min_per_role)
+    long = new if turns is None else long_by_turns(new, turns, min_per_role)
+    good = qualifying(long, min_per_role)
     by_source = existing.select(F.col(source).alias("__s")).distinct().withColumn("__has_s", F.lit(True))
     by_text = existing.select(F.col(transcript).alias("__t")).distinct().withColumn("__has_t", F.lit(True))
     marked = good.select(source, transcript).join(by_source, F.col(source) == F.col("__s"), "left").join(by_text, F.col(transcript) == F.col("__t"), "left")
@@ -27,8 +30,12 @@ def overlap_report(existing: DataFrame, new: DataFrame, *, min_per_role: int = 1
         F.count_if(F.coalesce("__has_s", F.lit(False)) & F.coalesce("__has_t", F.lit(False))).alias("both_overlap"),
         F.count_distinct(source).alias("distinct_sources"),
         F.count_distinct(transcript).alias("distinct_transcripts"),
+        F.count_distinct(F.when(F.col("__has_s").isNull(), F.col(source))).alias("new_sources"),
+        F.count_distinct(F.when(F.col("__has_t").isNull(), F.col(transcript))).alias("new_transcripts"),
     )
     found = found.withColumns({"repeated_sources": F.col("qualifying") - F.col("distinct_sources"), "repeated_transcripts": F.col("qualifying") - F.col("distinct_transcripts")})
     rows = new.agg(F.count(F.lit(1)).alias("rows"))
+    enough = long.agg(F.count(F.lit(1)).alias("long"))
     have = existing.agg(F.count(F.lit(1)).alias("existing_rows"), F.count_distinct(source).alias("existing_sources"), F.count_distinct(transcript).alias("existing_transcripts"))
-    return rows.join(have).join(found).withColumn("not_qualifying", F.col("rows") - F.col("qualifying"))
+    whole = rows.join(enough).join(have).join(found)
+    return whole.withColumns({"not_qualifying": F.col("rows") - F.col("qualifying"), "long_not_qualifying": F.col("long") - F.col("qualifying")}).drop("long")
