@@ -39,24 +39,35 @@ WORD_WEIGHT = 0.5
 #: Power of the similarity that is a vote's weight, and the weight of the prior.
 SHARPNESS, PRIOR_WEIGHT = 8, 0.05
 #: Bytes of texts, tokens counted, entries projected, and labelled documents multiplied at once; rounds and spare dimensions of the decomposition.
-BYTES_AT_ONCE, TOKENS_AT_ONCE, ENTRIES_AT_ONCE, ROWS_AT_ONCE, ROUNDS, SPARE = 1 << 19, 1 << 17, 1 << 15, 500, 8, 16
-
+BYTES_AT_ONCE, TOKENS_AT_ONCE, ENTRIES_AT_ONCE, ROWS_AT_ONCE, ROUNDS, SPARE = 1 << 20, 1 << 17, 1 << 15, 500, 8, 16
 _WORD = re.compile(r"[^\W_]+")
 
 
+class _Signs(dict):
+    """Character to its sign, for ``str.translate``: capitals, other letters and digits are alike, others as they are; filled as needed."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        sign = self[code] = ("X" if c.isupper() else "x") if c.isalpha() else "9" if c.isdigit() else c
+        return sign
+
+
+_SIGNS, _RUN = _Signs(), re.compile(r"([Xx9])\1+")
+
+
 def shapes(token: str) -> list[str]:
     """The token's windows, each with a run of capitals, other letters and digits as one sign, other characters as they are; together they hold the whole token."""
-    found, out, last, start = [], [], "", 0
-    for at, c in enumerate(token):
-        sign = ("X" if c.isupper() else "x") if c.isalpha() else "9" if c.isdigit() else c
-        new = sign != last or sign not in "Xx9"
-        if at - start == SHAPE_SPAN or (new and len(out) == SHAPE_WINDOW):
-            found.append("".join(out))
-            out, start, new = [], at, True
-        if new:
-            out.append(sign)
-            last = sign
-    return [*found, "".join(out)]
+    signs, found, start = token.translate(_SIGNS), [], 0
+    while start < len(signs):
+        window = signs[start : start + SHAPE_SPAN]
+        short = _RUN.sub(r"\1", window)
+        if len(short) > SHAPE_WINDOW:
+            # As far as the signs go that a window has
+            window = re.match(rf"(?:X+|x+|9+|[^Xx9]){{{SHAPE_WINDOW}}}", window, re.DOTALL)[0]
+            short = short[:SHAPE_WINDOW]
+        found.append(short)
+        start += len(window)
+    return found
 
 
 def words(token: str) -> list[str]:

@@ -37,6 +37,8 @@ from skeinworks.llm.components import components
 PIVOTS, AGREEING = 32, 3
 #: Hashes that are counted at once.
 COUNT_AT_ONCE = 1 << 16
+#: Fingerprints whose keys are made at once.
+DEALT = 2048
 #: Fingerprints up to which a meeting is compared along with others; those of larger ones that are compared at once.
 SMALL, BLOCK = 32, 512
 #: Fingerprints of one key that meet in one task; of more, chunks of this size meet two by two.
@@ -196,8 +198,7 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
     tables, most = PivotTables(bits), MEETING
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
+        for fps in (batch.column(0).to_numpy().view(np.uint64)[at : at + DEALT] for batch in batches for at in range(0, batch.num_rows, DEALT)):
             keys = tables.keys(fps)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, keys.shape[1]).view(np.int64))], names=["key", "fp"])
 
