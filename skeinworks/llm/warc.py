@@ -87,10 +87,10 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
     for batch in batches:
-        for page, url, html, refers in zip(*(batch.column(i) for i in range(4)), strict=True):
-            payload = html.as_py() or b""
+        for page, url, html, refers, sha1, size in zip(*batch.columns, strict=True):
             uri = " ".join((url.as_py() or "").split())
-            yield warc_record(page.as_py(), uri, payload, digest=payload_digest(payload), length=len(payload), refers_to=refers.as_py())
+            digest = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
+            yield warc_record(page.as_py(), uri, html.as_py(), digest=digest, length=size.as_py(), refers_to=refers.as_py())
 
 
 def _write_file(batches: Iterator[pa.RecordBatch], directory: str, level: int) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,9 @@ def _write_file(batches: Iterator[pa.RecordBatch], directory: str, level: int) -
 
 
 def with_originals(pages: DataFrame, *, key: str = "page_id", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """``key``, ``url``, the payload's bytes and ``refers_to``: of equal payloads of ``least_bytes`` or more, the largest key's is null and the others' that key.
+    """``key``, ``url``, the payload's bytes, ``refers_to``, and the payload's ``sha1`` and ``size``: of equal payloads of ``least_bytes`` or more, the largest key's ``refers_to`` is null and the others' that key.
+
+    Where it isn't null the payload is: a revisit needs its digest and size alone.
 
     Keys that share the largest value with an equal payload (repeated rows) all have null;
     so have null keys among themselves.  Groups are found from digests, one row for each; a
@@ -133,13 +135,13 @@ def with_originals(pages: DataFrame, *, key: str = "page_id", payload: str = "ht
     newest = newest.select("digest", "size", "newest")
     found = rows.join(newest, ["digest", "size"], "left")
     other = F.col("newest").isNotNull() & ~F.col("page").eqNullSafe(F.col("newest"))
-    return found.select("page", "url", "payload", F.when(other, F.col("newest")).alias("refers_to"))
+    return found.select("page", "url", F.when(~other, F.col("payload")).alias("payload"), F.when(other, F.col("newest")).alias("refers_to"), F.col("digest").alias("sha1"), "size")
 
 
 def write_archives(pages: DataFrame, directory: str, *, key: str = "page_id", payload: str = "html", least_bytes: int = 0, level: int = 3) -> None:
     """Write ``pages`` (``key``, ``url``, ``payload``) as WARC files below ``directory``, one per partition that has rows."""
     rows = with_originals(pages, key=key, payload=payload, least_bytes=least_bytes)
-    rows = rows.select(F.col("page").cast("string"), "url", "payload", F.col("refers_to").cast("string"))
+    rows = rows.select(F.col("page").cast("string"), "url", "payload", F.col("refers_to").cast("string"), "sha1", "size")
     rows.mapInArrow(lambda batches: _write_file(batches, directory, level), "file string, records long").write.parquet(f"{directory}/_manifest")
 
 
