@@ -31,7 +31,7 @@ FILTER_BITS, ROW_BITS = 1 << 22, 1 << 15
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """``lines`` (with ``line``) as ``masked``, tokens by single spaces, with their number ``n``, and hashes of line (``own``) and ``leaf``; lines without a constant token are left out.
+    """``lines`` (with ``line``) as ``masked``, tokens by single spaces, with their number ``n``, the line's ``chars``, and hashes of line (``own``), its leading tokens (``lead``) and these and ``n`` (``leaf``); lines without a constant token are left out.
 
     Tokens are counted and cut at single spaces, so only lines with digits or other white space are rewritten first.
     """
@@ -39,10 +39,10 @@ def parsed(lines: DataFrame) -> DataFrame:
     odd = line.rlike(r"[0-9\x09-\x0D]") | line.contains("  ")
     tidy = F.regexp_replace(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), r"[^0-9\x20]*+[0-9][^\x20]*+", VARIABLE)
     masked = F.trim(F.when(odd, tidy).otherwise(line))
-    rows = lines.withColumn("masked", masked).where(~F.col("masked").rlike(r"^(<\*>( |$))*$")).drop("line")
+    rows = lines.withColumns({"masked": masked, "chars": F.length("line")}).where(~F.col("masked").rlike(r"^(<\*>( |$))*$")).drop("line")
     rows = rows.withColumn("n", F.size(F.split("masked", " ")))
     head = F.call_function("substring_index", "masked", F.lit(" "), F.lit(LEADING))
-    return rows.withColumns({"own": F.xxhash64("masked"), "leaf": F.xxhash64("n", head)})
+    return rows.withColumns({"own": F.xxhash64("masked"), "lead": F.xxhash64(head), "leaf": F.xxhash64("n", head)})
 
 
 def _recurring(rows: DataFrame, key: str, unit: list[str], least: Column) -> DataFrame:
@@ -86,7 +86,14 @@ def generalised(cut: DataFrame) -> DataFrame:
     return distinct.join(templates.where(enough), "leaf").where(agrees).select("own", F.col("leaf").alias("template"))
 
 
-def drops(docs: DataFrame, *, text: str = "text", by_text: bool = False) -> DataFrame:
+def mostly_shared(thin: DataFrame, share: float) -> DataFrame:
+    """``mark`` of the texts with more than ``share`` of their characters in lines that begin as lines of another text do: copies, edited or not."""
+    begun = thin.groupBy("lead").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where(F.col("a") != F.col("b")).select("lead", F.lit(True).alias("shared"))
+    of = thin.select("mark", "lead", "chars").join(begun, "lead", "left").groupBy("mark").agg(F.sum("chars").alias("chars"), F.sum(F.when(F.col("shared"), F.col("chars"))).alias("shared"))
+    return of.where(F.col("shared") > share * F.col("chars")).select("mark")
+
+
+def drops(docs: DataFrame, *, text: str = "text", by_text: bool = False, most_shared: float = 1.0) -> DataFrame:
     """doc_id, mark (a hash of the text) and ``dropped``, the places (from 0) of the lines to drop, for documents that lose any."""
     unit = ["mark"] if by_text else ["doc_id", "mark"]
     marked = docs.select("doc_id", F.col(text).cast("string").alias("text")).where("text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
@@ -96,10 +103,11 @@ def drops(docs: DataFrame, *, text: str = "text", by_text: bool = False) -> Data
     found = _others(thin, _recurring(thin, "own", unit, F.when(F.col("n") >= LONG, LEAST_DOCS_LONG).otherwise(LEAST_DOCS)), "own", unit)
     fitting = thin.join(generalised(cut), "own")
     more = _others(fitting, _recurring(fitting, "template", unit, F.lit(LEAST_DOCS)), "template", unit)
-    return found.unionByName(more).groupBy("doc_id", "mark").agg(F.collect_set("place").alias("dropped"))
+    gone = found.unionByName(more).groupBy("doc_id", "mark").agg(F.collect_set("place").alias("dropped"))
+    return gone if most_shared >= 1 else gone.join(mostly_shared(thin, most_shared), "mark", "left_anti")
 
 
-def without_templates(docs: DataFrame, *, text: str = "text", by_text: bool = False, most_lost: float = 1.0) -> DataFrame:
+def without_templates(docs: DataFrame, *, text: str = "text", by_text: bool = False, most_shared: float = 1.0) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` (columns so named are replaced).
 
     Lines end at a newline; blank ones, and those of variable fields only, always stay.  A line
@@ -111,23 +119,21 @@ def without_templates(docs: DataFrame, *, text: str = "text", by_text: bool = Fa
     gives an empty one.
 
     ``by_text``, all rows of a text are one document, so copies of a text lose nothing to each other.  A
-    document that would lose more than the share ``most_lost`` of its characters stays as it is.
+    document with more than the share ``most_shared`` of its characters in lines that begin as lines of
+    other texts do, by their leading tokens, is a copy, edited or not, and stays as it is.
     """
-    gone = drops(docs, text=text, by_text=by_text).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("dropped").alias("__dropped"))
+    gone = drops(docs, text=text, by_text=by_text, most_shared=most_shared).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("dropped").alias("__dropped"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.xxhash64(F.col(text).cast("string")).alias("__own"))
     rows = rows.join(gone, F.col("__own").eqNullSafe(F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = F.split(text, "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
-    rebuilt = F.when(F.col("__dropped").isNotNull(), F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
-    rows = rows.withColumn("__rest", rebuilt)
-    if most_lost < 1:
-        rows = rows.withColumn("__rest", F.when(F.length(text) - F.length("__rest") <= most_lost * F.length(text), F.col("__rest")))
-    out = {text: F.coalesce("__rest", text)}
+    rebuilt = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+    out = {text: F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(rebuilt)}
     return rows.select(
         *(out.get(c, F.col(f"`{c}`")).alias(c) for c in kept),
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("__rest").isNotNull(), F.size("__dropped")).otherwise(0).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

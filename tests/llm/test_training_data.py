@@ -857,7 +857,7 @@ def test_lines_as_by_hand(spark, texts):
 def test_lines_of_odd_documents(odd):
     got = linededup.without_templates(odd).collect()
     assert keyed(got, "doc_id", "text") == [(i, t) for i, t, *_ in brute_lines([d[:2] for d in ODD])]
-    assert linededup.without_templates(odd, by_text=True, most_lost=0.5).count() == len(ODD)
+    assert linededup.without_templates(odd, by_text=True, most_shared=0.75).count() == len(ODD)
 
 
 def test_copies_stay_whole_in_the_pipeline(spark):
@@ -865,13 +865,13 @@ def test_copies_stay_whole_in_the_pipeline(spark):
 
     long, short = " ".join(f"w{c}" for c in "abcdefghijklmnopqrst"), "five words are too few"
     own = lambda k: " ".join(f"{k}{c}" for c in "abcdefghijklmnopqrstuvwxyz")
-    texts = {1: f"{own('p')}\n{long}\n{short}", 2: f"{own('q')}\n{long}\n{short}", 3: f"{own('p')}\n{long}\n{short}", 4: f"{long} more", 5: long, None: f"{own('r')}\n{long}"}
+    texts = {1: f"{own('p')}\n{long}\n{short}", 2: f"{own('q')}\n{long}\n{short}", 3: f"{own('p')}\n{long}\n{short}", 4: f"{long} more", 5: long, 6: f"{own('q')} edited\n{long}", None: f"{own('r')}\n{long}"}
     rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], DOCS)
     got = {r.doc_id: r.text for r in cp.without_templates(spark, rows, SF).collect()}
-    # The text without an id comes first; copies and what would lose most stay
-    assert got == texts | {1: f"{own('p')}\n{short}", 2: f"{own('q')}\n{short}", 3: f"{own('p')}\n{short}"}
+    # The text without an id comes first; copies of a text lose their lines alike, and what is a copy of others, edited or not, stays
+    assert got == texts | {1: f"{own('p')}\n{short}", 3: f"{own('p')}\n{short}"}
     got = {r.doc_id: r.text for r in linededup.without_templates(rows.where("doc_id IS NOT NULL"), by_text=True).collect()}
-    assert got == {i: t for i, t in texts.items() if i} | {2: f"{own('q')}\n{short}", 5: ""}
+    assert got == {i: t for i, t in texts.items() if i} | {2: f"{own('q')}\n{short}", 5: "", 6: f"{own('q')} edited"}
 
 
 # ---- 10: quality ----
