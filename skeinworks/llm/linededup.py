@@ -33,11 +33,12 @@ FILTER_BITS, ROW_BITS = 1 << 22, 1 << 15
 def parsed(lines: DataFrame) -> DataFrame:
     """``lines`` (with ``line``) as ``masked``, tokens by single spaces, with their number ``n``, the line's ``chars``, and hashes of line (``own``), its leading tokens (``lead``) and these and ``n`` (``leaf``); lines without a constant token are left out.
 
-    Tokens are counted and cut at single spaces, so only lines with digits or other white space are rewritten first.
+    Tokens are counted and cut at single spaces, so only lines with digits or other white space are rewritten
+    first; a variable field is looked for at the start of a token alone, so long tokens take linear time.
     """
     line = F.col("line")
     odd = line.rlike(r"[0-9\x09-\x0D]") | line.contains("  ")
-    tidy = F.regexp_replace(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), r"[^0-9\x20]*+[0-9][^\x20]*+", VARIABLE)
+    tidy = F.regexp_replace(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), r"(?<![^\x20])[^0-9\x20]*+[0-9][^\x20]*+", VARIABLE)
     masked = F.trim(F.when(odd, tidy).otherwise(line))
     rows = lines.withColumns({"masked": masked, "chars": F.length("line")}).where(~F.col("masked").rlike(r"^(<\*>( |$))*$")).drop("line")
     rows = rows.withColumn("n", F.size(F.split("masked", " ")))

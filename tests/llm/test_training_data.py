@@ -632,12 +632,15 @@ def test_cut_meetings_lose_nothing(spark, monkeypatch):
     assert linked(spark, fps, 6) == [fps[w] for w in brute_components(fps, 6)]
 
 
+PIVOT_TABLES = [simhash.PivotTables(bits) for bits in (1, 2, 3)]
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 255), min_size=1, max_size=40, unique=True), st.integers(0, 3), st.integers(1, 9))
+@given(st.lists(st.integers(0, 255), min_size=1, max_size=40, unique=True), st.integers(1, 3), st.integers(1, 9))
 def test_blocks_link_what_is_close(fps, bits, block):
     before, simhash.BLOCK = simhash.BLOCK, block
     try:
-        root = simhash.PivotTables(bits).linked(np.array(fps, np.uint64))
+        root = PIVOT_TABLES[bits - 1].linked(np.array(fps, np.uint64))
     finally:
         simhash.BLOCK = before
     assert root.tolist() == brute_components(fps, bits)
@@ -784,7 +787,7 @@ def test_queue_order():
 
 
 def masked(line):
-    return tuple(t for t in re.split(r"[\x20\x09-\x0D]+", re.sub(r"[^0-9\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", line)) if t)
+    return tuple(t for t in re.split(r"[\x20\x09-\x0D]+", re.sub(r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", line)) if t)
 
 
 def brute_lines(docs):
@@ -846,7 +849,7 @@ def test_recurring_lines(spark):
     assert linededup.without_templates(rows.where("doc_id < 0")).count() == 0
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(st.lists(st.lists(st.lists(st.sampled_from(["a", "b", "c", "7", "d"]), max_size=6).map(" ".join), min_size=1, max_size=4).map("\n".join), min_size=6, max_size=14))
 def test_lines_as_by_hand(spark, texts):
     docs = list(enumerate(texts))
@@ -854,6 +857,11 @@ def test_lines_as_by_hand(spark, texts):
     assert keyed(got, "doc_id", "text", "n_lines", "n_dropped") == brute_lines(docs)
 
 
+def test_long_tokens_take_linear_time(spark):
+    rows = spark.createDataFrame([(1, "文" * 2_000_000 + " and 7")], "doc_id long, text string")
+    assert linededup.without_templates(rows).first().n_lines == 1
+
+
 def test_lines_of_odd_documents(odd):
     got = linededup.without_templates(odd).collect()
     assert keyed(got, "doc_id", "text") == [(i, t) for i, t, *_ in brute_lines([d[:2] for d in ODD])]
