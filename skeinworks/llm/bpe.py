@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinworks.llm.common import handed_back
+
 #: Pre-tokens kept with their ids by a worker, and the longest that is kept; a full table starts anew.
 CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
 #: Pairs of ids whose rank is kept.
@@ -173,7 +175,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str,
     cache, split = _encoded(path, entries), regex.compile(pattern).findall
     ids_of = cache.__getitem__
 
-    for batch in batches:
+    for batch in handed_back(batches):
         at = batch.schema.names.index(text)
         start, held, ends = 0, [], [0]
         for row, value in enumerate(batch.column(at)):

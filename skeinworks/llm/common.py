@@ -146,6 +146,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], at: int, chars: int = 4 << 20
             start = end
 
 
+def handed_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at the end of the task its worker, which other stages will use, gives unused Arrow memory back."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def key_name(key: str | None) -> str:
     """A key as part of a name in an archive, whatever its characters; a null key has the empty name."""
     return "" if key is None else f"={quote(key, safe='')}"

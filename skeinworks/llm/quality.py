@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinworks.llm.common import sampled, text_or_empty, text_slices
+from skeinworks.llm.common import handed_back, sampled, text_or_empty, text_slices
 
 #: Labelled documents that are kept, about at most; dimensions of the latent space; neighbours that vote.
 FIT_ROWS, DIMENSIONS, NEIGHBOURS = 4_000, 48, 15
@@ -39,7 +39,7 @@ WORD_WEIGHT = 0.5
 #: Power of the similarity that is a vote's weight, and the weight of the prior.
 SHARPNESS, PRIOR_WEIGHT = 8, 0.05
 #: Bytes of texts, tokens counted, entries projected, and labelled documents multiplied at once; rounds and spare dimensions of the decomposition.
-BYTES_AT_ONCE, TOKENS_AT_ONCE, ENTRIES_AT_ONCE, ROWS_AT_ONCE, ROUNDS, SPARE = 1 << 20, 1 << 17, 1 << 15, 500, 8, 16
+BYTES_AT_ONCE, TOKENS_AT_ONCE, ENTRIES_AT_ONCE, ROWS_AT_ONCE, ROUNDS, SPARE = 1 << 19, 1 << 17, 1 << 15, 500, 8, 16
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -226,7 +226,7 @@ def scored(docs: DataFrame, model: QualityModel, *, text: str = "text", out: str
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, at, BYTES_AT_ONCE):
+        for part in text_slices(handed_back(batches), at, BYTES_AT_ONCE):
             yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(shared.value.score(part.column(at)))], names=schema.names)
 
     return docs.select(*(F.col(f"`{c}`") for c in [*others, text][: max(at + 1, len(others))])).mapInArrow(run, schema)

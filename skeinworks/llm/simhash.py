@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinworks.llm.common import text_or_empty, written
+from skeinworks.llm.common import handed_back, text_or_empty, written
 from skeinworks.llm.components import components
 
 #: Reference fingerprints, and the blocks whose partial distances must agree.
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 3, repea
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in handed_back(batches):
             found = np.array([fingerprint(x.as_py(), shingle, repeats) for x in batch.column(len(others))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(found.view(np.int64))], names=schema.names)
 
@@ -227,7 +227,7 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
             yield _rows(None, part, cut, chunk)
             yield _rows(None, None, cut, chunk + 1)
 
-        for batch in batches:
+        for batch in handed_back(batches):
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
             fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
             if not len(keys):
@@ -350,13 +350,13 @@ def _sifted(rows: DataFrame, keys: list[str], order: list, *, words: int, least:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, last = Kept(least), None
-        for batch in batches:
+        for batch in handed_back(batches):
             on = []
             columns = [batch.column(at).to_pylist() for at in places]
-            for name, is_seed, value in zip(zip(*columns, strict=True), batch.column(seed).to_pylist(), batch.column(text).to_pylist(), strict=True):
+            for name, is_seed, value in zip(zip(*columns, strict=True), batch.column(seed).to_pylist(), batch.column(text), strict=True):
                 if name != last:
                     kept, last = Kept(least), name
-                found = shingle_set(value, words)
+                found = shingle_set(value.as_py(), words)
                 new = not is_seed and not kept.has_like(found)
                 if is_seed or (new and adding):
                     kept.add(found)
