@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.llm import ann, bpe, langid, linededup, media, mixing, pii, quality, simhash, warc
+from skeinworks.llm import ann, bpe, clusters, langid, lexical, licenses, linededup, media, mixing, pii, quality, simhash, warc
 from skeinworks.llm.common import key_crc, spread, table
 
 #: The vocabulary of the BPE query; any rank file and pattern can be given to the operator.
@@ -64,5 +64,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_media": op1_media, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_linededup": op9_linededup, "op10_quality": op10_quality, "op8_bpe": op8_bpe}
-ORACLES = {"op2_warc": warc.ORACLE, "op6_mixing": mixing.ORACLE, "op9_linededup": linededup.ORACLE}
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.counted(licenses.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+QUERIES = {"op1_media": op1_media, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op9_linededup": op9_linededup, "op10_quality": op10_quality, "op8_bpe": op8_bpe, "op11_clusters": op11_clusters, "op12_lexical": op12_lexical, "op13_licenses": op13_licenses}
+ORACLES = {"op2_warc": warc.ORACLE, "op6_mixing": mixing.ORACLE, "op9_linededup": linededup.ORACLE, "op11_clusters": clusters.ORACLE, "op12_lexical": lexical.ORACLE, "op13_licenses": licenses.ORACLE}
