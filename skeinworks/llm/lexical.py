@@ -84,7 +84,7 @@ def postings(docs: DataFrame, vocabulary: dict[bytes, int], *, key: str, text: s
             lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x, pa.int32())) for x in (terms, counts)]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(size, pa.int64()), *lists], names=schema.names)
 
-    return docs.select(key, text_or_empty(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(key, text_or_empty(text).alias(text)).mapInArrow(run, schema)
 
 
 def document_frequencies(held: DataFrame, n: int) -> np.ndarray:

@@ -217,7 +217,7 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, phr
                 found.append([dict(zip(("label", "base", "start", "end"), p, strict=True)) for p in automaton.value.places(words)])
             yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(size, pa.int64()), pa.array(found, place)], names=schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in others), text_or_empty(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in others), text_or_empty(f"`{text}`").alias(text)).mapInArrow(run, schema)
 
 
 def _labels(places: Column) -> Column:
