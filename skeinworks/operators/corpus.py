@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,18 +87,47 @@ def expansion_manifest(statuses: DataFrame, by: str = "dataset") -> DataFrame:
     return statuses.where("status <> 'base'").groupBy(by).agg(F.count(F.lit(1)).alias("qualifying"), *(count(s) for s in STATUSES[1:]))
 
 
-def runs(rows: DataFrame, *, key: str, order: str, within: Sequence[str] = ()) -> DataFrame:
-    """``rows`` with ``run``: the number, from 1, of the stretch of equal keys in file order that the row lies in."""
-    window = Window.partitionBy(*within).orderBy(order)
-    starts = ~F.col(key).eqNullSafe(F.lag(key).over(window)) | F.lag(F.lit(1)).over(window).isNull()
-    return rows.withColumn("run", F.sum(starts.cast("long")).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Whether columns agree, nulls too."""
+    return reduce(lambda x, y: x & y, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)))
 
 
-def run_keys(stretches: DataFrame, *, key: str, within: Sequence[str] = ()) -> DataFrame:
-    """One row for each run: its key, with ``#occurrence=n`` from the second run of a key on, and its number of rows."""
-    found = stretches.groupBy(*within, "run", key).agg(F.count(F.lit(1)).alias("rows"))
-    nth = F.row_number().over(Window.partitionBy(*within, key).orderBy("run"))
-    return found.withColumn("occurrence", nth).withColumn("run_key", F.when(F.col("occurrence") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("#occurrence="), F.col("occurrence").cast("string"))))
+def runs(rows: DataFrame, *, key: str, order: str, part: str, within: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``run``: the number, from 1, of the stretch of equal keys (null is a key) in the given order that the row lies in.
+
+    ``part`` is a column that ascends with ``order``: ranges of rows, each small enough for a task.  Each
+    gives its first and last key and how often the key changes; these thin rows, in order, tell where each range's first run stands.
+    """
+    inside = Window.partitionBy(*within, part).orderBy(order)
+    first = F.row_number().over(inside) == 1
+    change = F.when(first, 0).otherwise((~F.col(key).eqNullSafe(F.lag(key).over(inside))).cast("int"))
+    marked = rows.withColumn("__change", change)
+    marked = marked.withColumn("__inner", F.sum("__change").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy(*within, part).agg(F.min_by(F.struct(F.col(key).alias("k")), order).alias("__first"), F.max_by(F.struct(F.col(key).alias("k")), order).alias("__last"), F.sum("__change").alias("__changes"))
+    across = Window.partitionBy(*within).orderBy(F.asc_nulls_first(part))
+    begins = (F.lag(F.lit(1)).over(across).isNull() | ~F.col("__first.k").eqNullSafe(F.lag("__last").over(across)["k"])).cast("int")
+    ends = ends.withColumn("__begins", begins)
+    earlier = F.coalesce(F.sum(F.col("__changes") + F.col("__begins")).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = [f"__at{k}" for k in range(len(within) + 1)]
+    ends = ends.select(*(F.col(c).alias(n) for c, n in zip([*within, part], names, strict=True)), (earlier + F.col("__begins")).alias("__earlier"))
+    found = marked.join(ends, _same([*within, part], names))
+    return found.withColumn("run", F.col("__earlier") + F.col("__inner")).drop("__change", "__inner", "__earlier", *names)
+
+
+def run_keys(stretches: DataFrame, *, key: str, part: str, within: Sequence[str] = ()) -> DataFrame:
+    """One row for each run: its key, with ``#occurrence=n`` from the second run of a key on, and its number of rows.
+
+    A key's runs are numbered inside the range of rows (``part``) that they begin in, after those of earlier ranges.
+    """
+    found = stretches.groupBy(*within, "run", key).agg(F.count(F.lit(1)).alias("rows"), F.min(part).alias("__part"))
+    at = [*within, key, "__part"]
+    found = found.withColumn("__nth", F.row_number().over(Window.partitionBy(*at).orderBy("run")))
+    before = F.sum("__n").over(Window.partitionBy(*within, key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    names = [f"__at{k}" for k in range(len(at))]
+    counts = found.groupBy(*at).agg(F.count(F.lit(1)).alias("__n")).select(*(F.col(c).alias(n) for c, n in zip(at, names, strict=True)), F.coalesce(before, F.lit(0)).alias("__before"))
+    found = found.join(counts, _same(at, names)).withColumn("occurrence", F.col("__before") + F.col("__nth"))
+    run_key = F.when(F.col("occurrence") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("#occurrence="), F.col("occurrence").cast("string")))
+    return found.withColumn("run_key", run_key).drop("__nth", "__before", "__part", *names)
 
 
 def with_hash(rows: DataFrame, fingerprint: str = "hash") -> DataFrame:

@@ -125,14 +125,16 @@ r AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY user_id ORDER BY event_id) A
 
 @query(RUNS + " SELECT event_id, run FROM r")
 def w02_contiguous_runs(spark, sf):
-    return co.runs(fx.table(spark, sf, "events"), key="event_type", order="event_id", within=["user_id"]).select("event_id", "run")
+    events = fx.table(spark, sf, "events").withColumn("part", F.expr("event_id div 1000"))
+    return co.runs(events, key="event_type", order="event_id", part="part", within=["user_id"]).select("event_id", "run")
 
 
 @query(RUNS + """, g AS (SELECT user_id, run, event_type, count(*) AS n FROM r GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY run) AS occurrence FROM g)
 SELECT user_id, run, n AS rows, CASE WHEN occurrence = 1 THEN event_type ELSE event_type || '#occurrence=' || occurrence END AS run_key FROM o""")
 def w03_occurrences(spark, sf):
-    stretches = co.runs(fx.table(spark, sf, "events"), key="event_type", order="event_id", within=["user_id"])
-    return co.run_keys(stretches, key="event_type", within=["user_id"]).select("user_id", "run", "rows", "run_key")
+    events = fx.table(spark, sf, "events").withColumn("part", F.expr("event_id div 1000"))
+    stretches = co.runs(events, key="event_type", order="event_id", part="part", within=["user_id"])
+    return co.run_keys(stretches, key="event_type", part="part", within=["user_id"]).select("user_id", "run", "rows", "run_key")
 
 
 # ---- scheduling and text ----

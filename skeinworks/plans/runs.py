@@ -13,7 +13,7 @@ from skeinworks.operators import corpus as co
 from skeinworks.plans import fixtures as fx
 from skeinworks.plans.fixtures import AUDITED, MESSAGES
 from skeinworks.plans.registry import query
-from skeinworks.sources import ledger
+from skeinworks.sources import files, inventory, ledger
 from skeinworks.streaming import resume
 
 # ---- ledgers ----
@@ -68,6 +68,14 @@ def s18_tolerant_ledger(spark, sf):
     return found.select(F.regexp_extract("path", "shard=([0-9]+)", 1).cast("long").alias("shard"), "id", "n", F.col("line_no").cast("long").alias("line_no"), F.lit(broken).alias("broken_refused"), F.lit(missing).alias("missing_rows"))
 
 
+@query(f"""WITH {MESSAGES} SELECT 'c' || conv_id AS id, conv_id AS n, row_number() OVER (ORDER BY conv_id) - 1 AS line_no, true AS missing_refused FROM conv""")
+def s19_required_ledger(spark, sf):
+    """A ledger that must be there, its last line cut off; and one that isn't."""
+    read = lambda path: ledger.tolerant(spark, path, "id string, n long", missing_ok=False)
+    missing = _refused(lambda: read(fx.scratch(spark, "none")))
+    return read(_lines(spark, sf, _entry(), end='{"id":')).select("id", "n", "line_no", F.lit(missing).alias("missing_refused"))
+
+
 @query(f"""WITH {MESSAGES}, l AS (SELECT conv_id % 17 AS k, conv_id, row_number() OVER (ORDER BY conv_id) AS line FROM conv) SELECT 'k' || k AS id, max(conv_id) AS n, true AS nameless_refused FROM l GROUP BY k""")
 def s20_latest_record(spark, sf):
     line = F.format_string('{"id":"k%d","n":%d}', F.col("conv_id") % 17, F.col("conv_id"))
@@ -204,14 +212,31 @@ def p33_long_date(spark, sf):
     return fx.table(spark, sf, "orders").select("o_orderkey", tx.long_date(F.col("o_orderdate")).alias("said"))
 
 
-@query("SELECT page_id, sha256(coalesce(html, '')) AS sha256 FROM pages")
-def p36_file_hashes(spark, sf):
-    """The hash of each file's bytes, the payloads written as files."""
+PAGE_FILES = "(SELECT page_id % 3 AS part, string_agg(coalesce(html, '') || chr(10), '' ORDER BY page_id) AS body FROM pages GROUP BY 1)"
+
+
+def _page_files(spark, sf) -> str:
+    """Three files of pages, each in order of the ids."""
     path = fx.scratch(spark, "files")
-    fx.table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value")).repartition(8, "page_id").write.partitionBy("page_id").option("lineSep", "\x1e").text(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    # Without the writer's own line end
-    return files.select("page_id", F.sha2(F.substring("content", F.lit(1), F.length("content") - 1), 256).alias("sha256")).withColumn("page_id", F.col("page_id").cast("long"))
+    rows = fx.table(spark, sf, "pages").select("page_id", (F.col("page_id") % 3).alias("part"), F.coalesce("html", F.lit("")).alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "page_id").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@query(f"SELECT part, strlen(body) AS bytes, sha256(body) AS sha256 FROM {PAGE_FILES}")
+def p36_file_hashes(spark, sf):
+    """The hash of each of a few large files, read in blocks."""
+    found = files.hashed(files.listed(spark, _page_files(spark, sf), pathGlobFilter="part-*"))
+    return found.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), F.col("length").alias("bytes"), "sha256")
+
+
+@query(f"SELECT 'p' || part AS file, CASE part WHEN 0 THEN 'complete' WHEN 1 THEN 'changed' ELSE 'oversize' END AS state, CAST(strlen(body) - CAST(part = 2 AS INT) AS BIGINT) AS bytes FROM {PAGE_FILES} UNION ALL SELECT 'p3', 'missing', 7")
+def s26_pinned_hashes(spark, sf):
+    """Files against pinned sizes and hashes: one as pinned, one of the same size and other content, one too long, one missing."""
+    present = inventory.present_files(spark, _page_files(spark, sf)).where("file LIKE 'part-%'").withColumn("file", F.concat(F.lit("p"), F.regexp_extract("path", "part=([0-9]+)", 1)))
+    pinned = files.hashed(present).select("file", F.when(F.col("file") == "p2", F.col("length") - 1).otherwise(F.col("length")).alias("bytes"), F.when(F.col("file") == "p1", "0").otherwise(F.col("sha256")).alias("sha256"))
+    pinned = pinned.unionByName(spark.createDataFrame([("p3", 7, "0")], "file string, bytes long, sha256 string"))
+    return inventory.verify_hashes(pinned, present).select("file", "state", "bytes")
 
 
 # ---- scheduling, guards ----

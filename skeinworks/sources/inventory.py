@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinworks.sources import files
+
 SCHEMA = "dataset string, file string, bytes long"
 
 
@@ -32,6 +34,14 @@ def verify_sizes(pinned: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def present_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, length of everything below ``path``; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    """path, file, length of everything below ``path`` but empty files; contents aren't read."""
+    return files.listed(spark, path)
+
+
+def verify_hashes(pinned: DataFrame, present: DataFrame) -> DataFrame:
+    """``pinned`` (file, bytes, sha256) with ``state``: as ``verify_sizes``, and ``changed`` for a complete file of other content.  Only complete files are read."""
+    sized = verify_sizes(pinned.withColumnRenamed("sha256", "pinned_sha256"), present)
+    at = present.select(F.col("file").alias("__file"), "path")
+    read = sized.where(F.col("state") == "complete").join(at, F.col("file") == F.col("__file")).drop("__file")
+    content = F.when(F.col("sha256") == F.col("pinned_sha256"), "complete").otherwise("changed")
+    return files.hashed(read, "bytes").withColumn("state", content).drop("path", "sha256").unionByName(sized.where(F.col("state") != "complete"))

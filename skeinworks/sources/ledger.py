@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinworks.operators.fingerprint import upsert_status
+from skeinworks.sources import files, ranges
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -19,12 +20,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no (from 0), line, ended, parsed: every line of every file below ``path``, split at newlines only.
 
-    A file is one row while it is split, as whether its last line ended matters: ledgers of bounded size.
+    Files are read in ranges, so they may have any size; only the last line of a file can lack its end.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
-    cut = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), (F.size(F.split("text", "\n")) - 1).alias("last"))
-    found = cut.where(~((F.col("line_no") == F.col("last")) & (F.col("line") == "")))
-    return found.select("path", "line_no", "line", (F.col("line_no") < F.col("last")).alias("ended"), F.expr("try_parse_json(line)").isNotNull().alias("parsed"))
+    found = ranges.numbered(ranges.pieces(spark, path))
+    return found.select("path", F.col("number").alias("line_no"), F.col("piece").alias("line"), "ended", F.expr("try_parse_json(piece)").isNotNull().alias("parsed"))
 
 
 def _rows(found: DataFrame, schema: str) -> DataFrame:
@@ -52,7 +51,7 @@ def completed_ids(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
 def tolerant(spark: SparkSession, path: str, schema: str, *, missing_ok: bool = True) -> DataFrame:
     """An unparsed last line without an end is a write in progress and left out; any other unparsed line is an error."""
     if missing_ok and not exists(spark, path):
-        return spark.createDataFrame([], T.StructType([T.StructField("path", T.StringType()), T.StructField("line_no", T.IntegerType())])).select("*", F.from_json(F.lit(None).cast("string"), schema).alias("r")).select("path", "line_no", "r.*")
+        return spark.createDataFrame([], T.StructType([T.StructField("path", T.StringType()), T.StructField("line_no", T.LongType())])).select("*", F.from_json(F.lit(None).cast("string"), schema).alias("r")).select("path", "line_no", "r.*")
     found = lines(spark, path).where((F.trim("line") != "") & (F.col("ended") | F.col("parsed")))
     return _rows(_checked(found, ~F.col("parsed")), schema)
 
@@ -71,19 +70,13 @@ def keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """path, file, bytes, json_lines, sha256 of the complete lines of each file (up to its last newline); a complete line that doesn't parse is an error."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
-    kept = F.when(F.instr("text", "\n") > 0, F.expr("substring(text, 1, length(text) - length(substring_index(text, '\n', -1)))")).otherwise("")
-    cut = files.select("path", kept.alias("kept"))
-    bad = F.exists(F.filter(F.split(F.rtrim("kept", F.lit("\n")), "\n"), lambda x: F.length(x) > 0), lambda x: F.call_function("try_parse_json", x).isNull())
-    good = F.when(bad, F.raise_error(F.concat(F.lit("broken line in "), "path")).cast("boolean")).otherwise(F.lit(True))
-    return cut.where(good).select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.octet_length("kept").cast("long").alias("bytes"),
-        (F.length("kept") - F.length(F.replace("kept", F.lit("\n")))).cast("long").alias("json_lines"),
-        F.sha2(F.col("kept").cast("binary"), 256).alias("sha256"),
-    )
+    """path, file, bytes, json_lines, sha256 of the complete lines of each file (up to its last newline); a complete line that isn't empty and doesn't parse is an error."""
+    complete = lines(spark, path).where("ended")
+    kept = _checked(complete, (F.col("line") != "") & ~F.col("parsed"))
+    counts = kept.groupBy(F.col("path").alias("__path")).agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.count(F.lit(1)).alias("json_lines"))
+    every = files.listed(spark, path).join(counts, F.col("path") == F.col("__path"), "left")
+    whole = every.select("path", "file", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("bytes", "json_lines")))
+    return files.hashed(whole, "bytes")
 
 
 def append(rows: DataFrame, path: str, *, by: str | None = None) -> None:

@@ -8,21 +8,20 @@ plus ``source_file`` and, where order matters, ``row``, so the sources can be pu
 from __future__ import annotations
 
 import ast
-import csv
-import io
 import json
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinworks.functions.messages import ROLE_NAMES, USER, clean, falsy_or, from_pairs, realized_path, role_count, transcript_hash
 from skeinworks.operators.corpus import long_by_turns, qualifying, records, run_keys, runs
+from skeinworks.sources import ranges
 from skeinworks.sources.inventory import require_shards  # noqa: F401
 
 SAID = "array<struct<role:string,content:string>>"
-CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+CELLS = {"multiLine": "true", "quote": '"', "escape": '"'}
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -51,38 +50,80 @@ def typed_jsonl(spark: SparkSession, path: str, dataset: str, *, min_turns: int
     return records(rows.withColumnRenamed("id", "raw_id"), dataset, F.col("raw_id"), exchanges=F.col("users")).drop("raw_id", "users", "model_name")
 
 
-def _literals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cells that hold JSON or a Python literal, as JSON; anything but a list is an error."""
-    for batch in batches:
-        def parse(cell: str) -> str:
-            try:
-                value = json.loads(cell)
-            except ValueError:
-                value = ast.literal_eval(cell)
-            if not isinstance(value, list):
-                raise ValueError("the conversation cell is not a list")
-            return json.dumps(value, ensure_ascii=False)
+#: Escapes of a literal's strings that are set aside while it is cut, by characters of the private use area, and what JSON writes for them.
+ASIDE = {"\\\\": ("\ue000", "\\\\"), "\\'": ("\ue001", "'"), '\\"': ("\ue002", '\\"')}
+#: What a literal is made of then: strings in either quotes, names and numbers, marks, space.
+TOKEN = r"""(?s)"[^"]*"|'[^']*'|[A-Za-z0-9_.+-]+|[\[\]{}:,]|\s+"""
+#: Escapes that JSON doesn't have, or that mean something else there; and the characters that stand for others.
+UNSHARED, RESERVED = r"\\(?![nrtbf])", "[\ue000-\ue002]"
 
-        yield batch.assign(conversation=batch["conversation"].map(parse))
+
+def literal_as_json(cell: Column) -> Column:
+    """The text of a Python literal as JSON, by expressions; null where it has what can't be told from a token: other escapes, the characters set aside.
+
+    The cell is cut into tokens, each is rewritten, and they are joined.  The result may be no JSON, where the cell is no such literal.
+    """
+    plain = cell
+    for escape, (mark, _) in ASIDE.items():
+        plain = F.replace(plain, F.lit(escape), F.lit(mark))
+    tokens = F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
+
+    def string(token: Column) -> Column:
+        body = F.replace(F.substring(token, F.lit(2), F.length(token) - 2), F.lit('"'), F.lit('\\"'))
+        for mark, json_text in ASIDE.values():
+            body = F.replace(body, F.lit(mark), F.lit(json_text))
+        return F.concat(F.lit('"'), body, F.lit('"'))
+
+    names = lambda t: F.when(t == "None", "null").when(t == "True", "true").when(t == "False", "false").otherwise(t)
+    covered = F.length(F.array_join(tokens, "")) == F.length(plain)
+    fit = covered & ~cell.rlike(RESERVED) & ~plain.rlike(UNSHARED)
+    return F.when(fit, F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^[\"']"), string(t)).otherwise(names(t))), ""))
+
+
+@F.pandas_udf(T.StringType())
+def _evaluated(cells: pd.Series) -> pd.Series:
+    """What expressions couldn't read, as JSON; anything but a list is an error."""
+
+    def parse(cell: str | None) -> str | None:
+        if cell is None:
+            return None
+        try:
+            value = json.loads(cell)
+        except ValueError:
+            value = ast.literal_eval(cell)
+        if not isinstance(value, list):
+            raise ValueError("the conversation cell is not a list")
+        return json.dumps(value, ensure_ascii=False)
+
+    return cells.map(parse)
 
 
 def parsed_cells(rows: DataFrame, schema: str) -> DataFrame:
-    """``rows`` with the text column ``conversation`` parsed to ``schema``."""
-    return rows.mapInPandas(_literals, rows.schema).withColumn("conversation", F.from_json("conversation", schema))
+    """``rows`` with the text column ``conversation``, lists as JSON or Python literals, parsed to ``schema``.
+
+    Cells of JSON, and literals that ``literal_as_json`` can read, never leave the JVM: the function in Python gets nulls for them.
+    """
+    as_list = lambda text: F.when(F.col(text).rlike(r"^\s*\[") & F.call_function("try_parse_json", F.col(text)).isNotNull(), F.col(text))
+    read = rows.withColumn("__json", as_list("conversation"))
+    read = read.withColumn("__literal", F.when(F.col("__json").isNull(), literal_as_json(F.col("conversation"))))
+    read = read.withColumn("__json", F.coalesce("__json", as_list("__literal")))
+    rest = F.when(F.col("__json").isNull(), F.col("conversation"))
+    return read.withColumn("conversation", F.from_json(F.coalesce("__json", _evaluated(rest)), schema)).drop("__json", "__literal")
 
 
 def literal_csv(spark: SparkSession, path: str, dataset: str, *, min_turns: int = 10) -> DataFrame:
     """CSV whose ``conversation`` is a literal list of question and answer pairs; gated by ``num_turns``."""
-    raw = _named(spark.read.options(**CSV).csv(path)).select("conversation_id", F.col("num_turns").cast("long").alias("num_turns"), "conversation", F.col("LLM_type").alias("model"), "user_id", "source_file")
+    named = {"conversation_id": "conversation_id", "conversation": "conversation", "LLM_type": "model", "user_id": "user_id"}
+    raw = csv_cells(spark, path).select(_cell("num_turns").cast("long").alias("num_turns"), *(_cell(c).alias(n) for c, n in named.items()), "source_file", F.col("number").alias("row"))
     rows = parsed_cells(raw.where(F.col("num_turns") >= min_turns), "array<struct<user_question:string,AI_response:string>>")
     rows = rows.withColumn("messages", from_pairs(F.col("conversation"), question="user_question", answer="AI_response")).withColumn("language", F.lit(None).cast("string"))
     return records(rows, dataset, F.col("conversation_id"), exchanges=F.col("num_turns")).drop("conversation", "conversation_id", "num_turns")
 
 
 def array_json(spark: SparkSession, path: str, dataset: str, *, min_per_role: int = 10) -> DataFrame:
-    """A JSON array of conversations with ``from`` and ``value``.  One file is one task: cut large ones to lines first."""
+    """A JSON array of conversations with ``from`` and ``value``, read in ranges (``ranges.json_records``); ``row`` is a record's number in its file."""
     schema = "id string, conversations array<struct<`from`:string,value:string>>, `$modelId` string, language string, consecutive_turns string"
-    raw = _named(spark.read.schema(schema).option("multiLine", True).json(path))
+    raw = ranges.json_records(spark, path).select(F.from_json("record", schema).alias("r"), _file(F.col("path")).alias("source_file"), F.col("number").alias("row")).select("r.*", "source_file", "row")
     rows = raw.withColumn("messages", clean(F.col("conversations"), role="from", content="value", roles=ROLE_NAMES)).withColumns({"model": F.col("`$modelId`"), "raw_id": F.col("id")})
     return qualifying(records(rows.drop("id", "conversations", "$modelId"), dataset, F.col("raw_id")), min_per_role).drop("raw_id")
 
@@ -95,58 +136,82 @@ def candidate_jsonl(spark: SparkSession, path: str, dataset: str, *, min_per_rol
     return qualifying(records(rows, dataset, F.col("conversation_id")), min_per_role).drop("conversation_id", "conversation_history")
 
 
-def _column(df: DataFrame, name: str):
-    return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
+def csv_cells(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """source_file, path, number (from 1), block, names, cells: the rows of CSV files, each with the header of its own file.
 
+    Files are read in ranges (``ranges.csv_records``), all in one plan; an earlier job finds the widest header.
+    """
+    every = ranges.csv_records(spark, path, **options)
+    heads = every.where("number = 0").select(F.col("path").alias("__path"), F.col("record").alias("__head"))
+    width = heads.agg(F.max(F.length("__head") - F.length(F.replace("__head", F.lit(","), F.lit(""))) + 1).alias("n")).first()["n"]
+    if width is None:
+        raise ValueError(f"no CSV files with a header below {path}")
+    schema = ", ".join(f"c{k} string" for k in range(width))
+    fields = lambda c: F.array(*(F.from_csv(c, F.lit(schema), CELLS)[f"c{k}"] for k in range(width)))
+    heads = heads.select("__path", fields(F.col("__head")).alias("names"))
+    rows = every.where("number > 0").join(heads, F.col("path") == F.col("__path"))
+    return rows.select(_file(F.col("path")).alias("source_file"), "path", "number", "block", "names", fields(F.col("record")).alias("cells"))
 
-def conversation_csv(spark: SparkSession, path: str, dataset: str, *, min_per_role: int = 10) -> DataFrame:
-    """CSV with a conversation in each row; its id is conversation_id, else url, else the transcript's hash."""
-    raw = _named(spark.read.options(**CSV).csv(path))
-    meta = {c: _column(raw, c) for c in ("conversation_id", "url", "platform", "language", "fine_grained_topic", "high_level_category")}
-    rows = parsed_cells(raw.withColumns(meta).select("conversation", *meta, "source_file"), SAID)
+
+def _cell(name: str):
+    """The cell under ``name``; null where the file has no such column."""
+    at = F.array_position("names", F.lit(name)).cast("int")
+    return F.when(at > 0, F.get("cells", at - 1))
+
+
+def _file(path):
+    return F.url_decode(F.element_at(F.split(path, "/"), -1))
+
+
+def conversation_rows(raw: DataFrame, dataset: str, *, min_per_role: int = 10) -> DataFrame:
+    """The records of ``csv_cells`` rows that hold a conversation each."""
+    meta = {c: _cell(c) for c in ("conversation_id", "url", "platform", "language", "fine_grained_topic", "high_level_category")}
+    rows = parsed_cells(raw.select(_cell("conversation").alias("conversation"), *(c.alias(n) for n, c in meta.items()), "source_file", F.col("number").alias("row")), SAID)
     rows = rows.withColumn("messages", clean(F.col("conversation"), roles=ROLE_NAMES))
     stem = F.regexp_replace("source_file", r"\.csv$", "")
     rows = rows.withColumns({"platform": falsy_or(F.col("platform"), stem), "raw_id": falsy_or(F.col("conversation_id"), falsy_or(F.col("url"), transcript_hash(F.col("messages"))))})
     return qualifying(records(rows, dataset, F.col("raw_id")), min_per_role).drop("conversation", "conversation_id", "url", "raw_id")
 
 
-def turn_csv(spark: SparkSession, path: str, dataset: str, *, min_per_role: int = 10) -> DataFrame:
-    """CSV with a message in each row: stretches of one key are conversations, a key's later ones numbered.
+def conversation_csv(spark: SparkSession, path: str, dataset: str, *, min_per_role: int = 10) -> DataFrame:
+    """CSV with a conversation in each row; its id is conversation_id, else url, else the transcript's hash."""
+    return conversation_rows(csv_cells(spark, path), dataset, min_per_role=min_per_role)
 
-    Messages are ordered by message_index, else turn, else 0, then file order; what describes
-    the conversation comes from its first row in the file.  A row without a key is an error.
-    """
-    raw = _named(spark.read.options(**CSV).csv(path)).withColumn("row", F.monotonically_increasing_id())
+
+def turn_rows(raw: DataFrame, dataset: str, *, min_per_role: int = 10) -> DataFrame:
+    """The records of ``csv_cells`` rows that hold a message each; runs of keys are found by the ranges that rows were read in."""
     names = ("conversation_id", "url", "role", "plain_text", "content", "message_index", "turn", "platform", "detected_language_final", "language", "fine_grained_topic", "high_level_category", "topic")
-    rows = raw.withColumns({c: _column(raw, c) for c in names}).select(*names, "source_file", "row")
+    rows = raw.select(*(_cell(c).alias(c) for c in names), "source_file", "path", "block", F.col("number").alias("row"))
     key = falsy_or(F.col("conversation_id"), falsy_or(F.col("url"), F.raise_error(F.concat(F.lit("no conversation key in "), "source_file")).cast("string")))
-    rows = runs(rows.withColumn("key", key), key="key", order="row", within=["source_file"])
+    rows = runs(rows.withColumn("key", key), key="key", order="row", part="block", within=["path"])
     at = falsy_or(F.col("message_index"), falsy_or(F.col("turn"), "0")).cast("int")
     said = F.struct(at.alias("at"), "row", "role", falsy_or(F.col("plain_text"), falsy_or(F.col("content"))).alias("content"))
     first = lambda c, other=None: F.min_by(falsy_or(F.col(c), F.col(other)) if other else F.col(c), "row")
     stem = F.regexp_replace("source_file", r"\.csv$", "")
-    found = rows.groupBy("source_file", "run", "key").agg(
+    found = rows.groupBy("path", "source_file", "run", "key").agg(
         F.array_sort(F.collect_list(said)).alias("said"), F.min("row").alias("row"), F.min_by(falsy_or(F.col("platform"), stem), "row").alias("platform"),
         first("detected_language_final", "language").alias("language"), *(first(c).alias(c) for c in ("fine_grained_topic", "high_level_category", "topic")),
     )
-    keys = run_keys(rows, key="key", within=["source_file"]).select("source_file", "run", "run_key")
-    found = found.join(keys, ["source_file", "run"]).withColumn("messages", clean(F.col("said"), roles=ROLE_NAMES))
-    return qualifying(records(found, dataset, F.col("run_key")), min_per_role).drop("said", "key", "run", "run_key")
+    keys = run_keys(rows, key="key", part="block", within=["path"]).select("path", "run", "run_key")
+    found = found.join(keys, ["path", "run"]).withColumn("messages", clean(F.col("said"), roles=ROLE_NAMES))
+    return qualifying(records(found, dataset, F.col("run_key")), min_per_role).drop("said", "key", "run", "run_key", "path")
+
+
+def turn_csv(spark: SparkSession, path: str, dataset: str, *, min_per_role: int = 10) -> DataFrame:
+    """CSV with a message in each row: stretches of one key are conversations, a key's later ones numbered.
+
+    Messages are ordered by message_index, else turn, else 0, then file order; what describes
+    the conversation comes from its first row in the file.  A row without a key is an error.
+    """
+    return turn_rows(csv_cells(spark, path), dataset, min_per_role=min_per_role)
 
 
 def platform_csvs(spark: SparkSession, path: str, dataset: str, *, min_per_role: int = 10, recursive: bool = False) -> DataFrame:
     """All CSV files in ``path`` (``recursive``: and below it): the header of each says whether its rows are conversations or messages."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive).load(path).select("path")
-    files = sorted(r.path for r in files.collect())  # a row for each file
-    found = None
-    for file in files:
-        head = spark.read.text(file).limit(1).collect()
-        fields = next(csv.reader(io.StringIO(head[0]["value"])), []) if head else []
-        part = (conversation_csv if "conversation" in fields else turn_csv)(spark, file, dataset, min_per_role=min_per_role)
-        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
-    if found is None:
-        raise ValueError(f"no CSV files below {path}")
-    return found
+    raw = csv_cells(spark, path, pathGlobFilter="*.csv", recursiveFileLookup=str(recursive).lower())
+    whole = F.array_contains("names", "conversation")
+    parts = [conversation_rows(raw.where(whole), dataset, min_per_role=min_per_role), turn_rows(raw.where(~whole), dataset, min_per_role=min_per_role)]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:
