@@ -560,16 +560,70 @@ def test_ranges_and_chunks_change_nothing(spark, monkeypatch):
     assert keyed(mixing.mix(docs).collect(), "doc_id", "taken") == want
 
 
-def test_small_sources_are_taken_beside_large_ones(spark):
-    docs = [(i, "w " * 2_000, "en", "a", 0) for i in range(300)] + [(1_000 + i, "w " * 5, "en", "b", 0) for i in range(4)]
-    rows = spark.createDataFrame(docs, DOCS)
-    got = mixing.mix(rows, slots=8, to_the_word=True).collect()
-    assert {r.taken for r in got if r.source == "b"} == {15}
+@pytest.mark.parametrize("slots", [8, 64, mixing.SLOTS])
+def test_small_sources_are_taken_beside_large_ones(spark, slots):
+    """Every source to its target, whatever the blocks: one of six words beside one of 600,000."""
+    docs = [(i, "w " * 2_000, "en", "a", 0) for i in range(300)] + [(1_000 + i, "w " * 3, "en", "b", 0) for i in range(2)]
+    got = mixing.mix(spark.createDataFrame(docs, DOCS), slots=slots).collect()
+    assert {r.taken for r in got if r.source == "b"} == {9}
     for source in "ab":
         of = [r for r in got if r.source == source]
         assert sum(r.taken for r in of) == round(of[0].target)
 
 
+def test_sequence_is_the_schedule(spark, odd):
+    """Slots by a loop over points; blocks by walking each stream word by word."""
+    slots, rows = 40, [(i, "w " * (i % 9), "en", "abc"[i % 7 % 3], 0) for i in range(120)] + [(5, "w w", "en", None, 0)] * 3
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    found = mixing.planned(df, slots)
+    of = {r.source: r for r in found.placed.select("source", "source_size", "upto").distinct().collect()}
+    names = sorted(of, key=lambda x: (x is None, x or ""))
+    blocks = {s: -(-of[s].upto // found.block) for s in names}
+    total, low, bounds = sum(blocks.values()), 0, []
+    for s in names:
+        bounds.append((s, round(low / total * 2**32), round((low + blocks[s]) / total * 2**32)))
+        low += blocks[s]
+    want, nth = {}, dict.fromkeys(names, 0)
+    for slot in range(2 * total):
+        point = (slot + 1) * 2654435769 % 2**32
+        s = next(s for s, a, b in bounds if a <= point < b)
+        if nth[s] < blocks[s]:
+            want[s, nth[s]] = slot
+        nth[s] += 1
+    assert {(r.source, r.block): r.slot for r in found.plan.collect()} == want and len(want) == total
+    words = {}
+    for r in found.placed.collect():
+        for e in range(3):
+            for k in range(r.size):
+                at = r.start + e * r.source_size + k
+                if at < r.upto:
+                    words[want[r.source, at // found.block], r.source, r.doc_id, e, k] = words.get((want[r.source, at // found.block], r.source, r.doc_id, e, k), 0) + 1
+    got = {}
+    for r in mixing.sequence(df, slots=slots).collect():
+        for k in range(r.stretch["first"], r.stretch["first"] + r.stretch["words"]):
+            key = r.slot, r.source, r.doc_id, r.stretch["epoch"], k
+            got[key] = got.get(key, 0) + 1
+    assert got == words
+    # Sources alternate: no stretch of ten slots is without the largest one
+    order = [s for s, _ in sorted(want.items(), key=lambda x: x[1])]
+    most = max(names, key=lambda s: blocks[s])
+    assert all(any(s == most for s, _ in order[i : i + 10]) for i in range(len(order) - 10))
+
+
+def test_a_block_without_a_slot_follows_after_all(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GOLDEN", 0)  # all points fall on the first source
+    rows = [(i, "w w w", "en", "ab"[i % 2], 0) for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), slots=9).collect()
+    for source in "ab":
+        of = [r for r in got if r.source == source]
+        assert sum(r.taken for r in of) == round(of[0].target)
+
+
+def test_times_of_a_document_have_slots(odd):
+    for r in mixing.mix(odd, slots=30).collect():
+        assert [s is not None for s in r.slots] == [r.taken > e * r.size for e in range(3)] or r.size == 0
+
+
 # ---- 7: SimHash ----
 
 
