@@ -76,15 +76,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, to the nearest whole time: up to three rows, or none.
+    """The documents as often as the mix takes them, to the nearest whole time: up to three rows, or none, each in the place of the slot that takes it, so that sources alternate.
 
     Rows that share an id (null ids, too) are taken as often as their words together are.  Documents without
     words go; null sources are a source.  An empty table gives an empty one.
     """
-    taken = mixing.mix(docs, to_the_word=True).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = taken.select("__id", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times")).where("times > 0")
-    both = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return both.withColumn("__time", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+    slots = F.array(*(F.min(F.get("slots", F.lit(e))) for e in range(mixing.MOST_EPOCHS)))
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), slots.alias("__slots"))
+    times = taken.select("__id", "__slots", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("times")).where("times > 0")
+    both = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).select("*", F.posexplode(F.slice("__slots", F.lit(1), F.col("times"))).alias("__time", "__slot"))
+    parts = docs.rdd.getNumPartitions()
+    return both.repartitionByRange(parts, "__slot").sortWithinPartitions("__slot").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
