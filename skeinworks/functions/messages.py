@@ -48,8 +48,14 @@ def stable_id(dataset: Column, source_id: Column) -> Column:
 
 
 def compact_json(value: Column) -> Column:
-    """JSON without spaces that keeps null fields."""
-    return F.to_json(value, {"ignoreNullFields": "false"})
+    """JSON without spaces that keeps null fields; control characters are escaped in lower case.
+
+    An escape follows an even number of backslashes.  The few texts that have such escapes are cut at backslashes and what they escape, once.
+    """
+    text = F.to_json(value, {"ignoreNullFields": "false"})
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\\u[0-9A-F]{4}|\\.|[^\\]+"), F.lit(0))
+    lowered = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("\\u"), F.lower(p)).otherwise(p)), "")
+    return F.when(text.rlike(r"\\u00[01][A-F]"), lowered).otherwise(text)
 
 
 def transcript_hash(messages: Column) -> Column:
@@ -63,16 +69,14 @@ def alternates(messages: Column) -> Column:
 
 
 def turn_labels(messages: Column) -> Column:
-    """``U1``, ``A1``, ... for each message; whatever isn't a user counts as an assistant."""
-    start = F.struct(F.lit(0).alias("u"), F.lit(0).alias("a"), F.array().cast("array<string>").alias("out"))
+    """``U1``, ``A1``, ... for each message; whatever isn't a user counts as an assistant.
 
-    def step(s: Column, m: Column) -> Column:
-        is_user = F.coalesce(m["role"] == USER, F.lit(False))
-        u, a = s["u"] + is_user.cast("int"), s["a"] + (~is_user).cast("int")
-        label = F.when(is_user, F.concat(F.lit("U"), u.cast("string"))).otherwise(F.concat(F.lit("A"), a.cast("string")))
-        return F.struct(u.alias("u"), a.alias("a"), F.concat(s["out"], F.array(label)).alias("out"))
-
-    return F.aggregate(messages, start, step)["out"]
+    The places of users and of others are numbered apart and put together by place.
+    """
+    places = F.transform(messages, lambda m, i: F.struct(i.alias("at"), F.coalesce(m["role"] == USER, F.lit(False)).alias("user")))
+    numbered = lambda kind, letter: F.transform(F.filter(places, kind), lambda p, k: F.struct(p["at"].alias("at"), F.concat(F.lit(letter), (k + 1).cast("string")).alias("label")))
+    both = F.concat(numbered(lambda p: p["user"], "U"), numbered(lambda p: ~p["user"], "A"))
+    return F.transform(F.array_sort(both), lambda p: p["label"])
 
 
 def realized_path(history: Column, *, chosen: str = "if_chosen") -> Column:

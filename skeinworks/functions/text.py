@@ -37,30 +37,37 @@ def segments(messages: Column, limit: int = 115_000) -> Column:
     return F.flatten(F.transform(zipped, of))
 
 
-def greedy_chunks(pieces: Column, limit: int = 115_000, separator: str = "\n\n") -> Column:
-    """Pieces joined in order into chunks of at most ``limit`` characters, separators counted; a longer piece is a chunk alone."""
-    empty = F.array().cast("array<string>")
+def _starts(lengths: Column, is_full) -> Column:
+    """Where groups of consecutive items start: a new one where ``is_full`` of (items, characters so far, next length) says so.
 
-    def step(s: Column, piece: Column) -> Column:
-        full = s["current"].isNotNull() & (F.length(s["current"]) + F.length(piece) + len(separator) > limit)
-        done = F.when(full, F.concat(s["done"], F.array(s["current"]))).otherwise(s["done"])
-        current = F.when(full | s["current"].isNull(), piece).otherwise(F.concat(s["current"], F.lit(separator), piece))
-        return F.struct(done.alias("done"), current.alias("current"))
+    The fold holds two numbers and the starts, which are copied only where there is a new one.
+    """
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("items"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("starts"))
 
-    start = F.struct(empty.alias("done"), F.lit(None).cast("string").alias("current"))
-    return F.aggregate(pieces, start, step, lambda s: F.when(s["current"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["current"]))))
+    def step(s: Column, n: Column) -> Column:
+        new = (s["items"] == 0) | is_full(s["items"], s["held"], n)
+        starts = F.when(new, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"])
+        return F.struct((s["at"] + 1).alias("at"), F.when(new, 1).otherwise(s["items"] + 1).alias("items"), F.when(new, n.cast("long")).otherwise(s["held"] + n).alias("held"), starts.alias("starts"))
 
+    return F.aggregate(lengths, zero, step)["starts"]
 
-def batch_numbers(lengths: Column, *, max_items: int = 8, max_characters: int = 4_000) -> Column:
-    """For each length the number of its batch, from 0: a batch closes before it would exceed either bound; a longer item is a batch alone."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("items"), F.lit(0).cast("long").alias("held"), F.lit(0).alias("batch"))
 
-    def step(s: Column, n: Column) -> Column:
-        full = (s["items"] > 0) & ((s["items"] >= max_items) | (s["held"] + n > max_characters))
-        batch = s["batch"] + full.cast("int")
-        return F.struct(F.concat(s["out"], F.array(batch)).alias("out"), F.when(full, 1).otherwise(s["items"] + 1).alias("items"), F.when(full, n.cast("long")).otherwise(s["held"] + n).alias("held"), batch.alias("batch"))
+def _groups(starts: Column, size: Column, of) -> Column:
+    """``of`` (number, start, length) of each group."""
+    return F.transform(starts, lambda s, k: of(k, s, F.coalesce(F.get(starts, k + 1), size) - s))
+
+
+def greedy_chunks(pieces: Column, limit: int = 115_000, separator: str = "\n\n") -> Column:
+    """Pieces joined in order into chunks of at most ``limit`` characters, separators counted; a longer piece is a chunk alone."""
+    gap = len(separator)
+    starts = _starts(F.transform(pieces, lambda p: F.length(p)), lambda items, held, n: held + n + items * gap > limit)
+    return _groups(starts, F.size(pieces), lambda k, s, n: F.array_join(F.slice(pieces, s + 1, n), separator))
 
-    return F.aggregate(lengths, start, step)["out"]
+
+def batch_numbers(lengths: Column, *, max_items: int = 8, max_characters: int = 4_000) -> Column:
+    """For each length the number of its batch, from 0: a batch closes before it would exceed either bound; a longer item is a batch alone."""
+    starts = _starts(lengths, lambda items, held, n: (items >= max_items) | (held + n > max_characters))
+    return F.flatten(_groups(starts, F.size(lengths), lambda k, s, n: F.array_repeat(k, n)))
 
 
 def soft_pieces(text: Column, limit: int = 3_000) -> Column:
@@ -92,11 +99,15 @@ def elide(text: Column, limit: int, reserve: int = 36, mark: str = " […omitted
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, half), F.lit(mark), F.substring(text, -half, half))).otherwise(text)
 
 
+#: Control characters that XML forbids; a fixed value.
+FORBIDDEN = r"\x00-\x08\x0B\x0C\x0E-\x1F"
+
+
 def visible_controls(text: Column) -> Column:
-    """Control characters that XML forbids, spelled out; tab and line ends stay."""
-    for code in [c for c in range(0x20) if c not in (0x09, 0x0A, 0x0D)]:
-        text = F.replace(text, F.lit(chr(code)), F.lit(f"⟦U+{code:04X} CONTROL CHARACTER⟧"))
-    return text
+    """Control characters that XML forbids, spelled out; tab and line ends stay.  A text that has any is cut at them once, others aren't touched."""
+    parts = F.regexp_extract_all(text, F.lit(f"[{FORBIDDEN}]|[^{FORBIDDEN}]+"), F.lit(0))
+    spelled = lambda p: F.concat(F.lit("⟦U+"), F.lpad(F.hex(F.ascii(p)), 4, "0"), F.lit(" CONTROL CHARACTER⟧"))
+    return F.when(text.rlike(f"[{FORBIDDEN}]"), F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^[{FORBIDDEN}]"), spelled(p)).otherwise(p)), "")).otherwise(text)
 
 
 def turn_references(text: Column) -> Column:
@@ -105,13 +116,24 @@ def turn_references(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise("not directly evidenced")
 
 
+#: White space of any alphabet, and the separators that count as such.
+SPACE = r"[\s\x1C-\x1F]"
+#: Whatever ends a line.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
+def stripped(text: Column) -> Column:
+    """A text without white space of any kind around it."""
+    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+
+
 def is_english_label(label: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(label, F.lit("")))).isin(*ENGLISH_LABELS)
+    return F.lower(stripped(F.coalesce(label, F.lit("")))).isin(*ENGLISH_LABELS)
 
 
 def result_lines(response: Column) -> Column:
-    """The valid lines of a batch answer as array<struct<index, c, r, q>>; others are skipped."""
-    lines = F.filter(F.transform(F.split(response, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(RESULT_LINE))
+    """The valid lines of a batch answer as array<struct<index, c, r, q>>, white space around them aside; others are skipped."""
+    lines = F.filter(F.transform(F.split(response, LINE_END), stripped), lambda x: x.rlike(RESULT_LINE))
     part = lambda x, i: F.regexp_extract(x, RESULT_LINE, i)
     return F.transform(lines, lambda x: F.struct(part(x, 1).cast("int").alias("index"), part(x, 2).alias("c"), part(x, 3).alias("r"), part(x, 4).alias("q")))
 

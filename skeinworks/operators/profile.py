@@ -55,3 +55,17 @@ def validation(rows: DataFrame, turns: str) -> DataFrame:
 def serialized_counts(rows: DataFrame, text: str, *, question: str = r"['\"]user_question['\"]\s*:", answer: str = r"['\"]AI_response['\"]\s*:") -> DataFrame:
     """``rows`` with the numbers of serialized question and answer keys in a cell."""
     return rows.withColumns({"questions": F.regexp_count(text, F.lit(question)).cast("long"), "answers": F.regexp_count(text, F.lit(answer)).cast("long")})
+
+
+def key_mismatches(rows: DataFrame, turns: str, text: str, *, by: str) -> DataFrame:
+    """by, checked, question_mismatch, answer_mismatch: how many cells of serialized pairs disagree with their number of turns."""
+    counted = serialized_counts(rows, text)
+    wrong = lambda c: F.count_if(~F.col(c).eqNullSafe(F.col(turns)))
+    return counted.groupBy(by).agg(F.count(F.lit(1)).alias("checked"), wrong("questions").alias("question_mismatch"), wrong("answers").alias("answer_mismatch"))
+
+
+def described(summary: DataFrame, validation: DataFrame, *, dataset: str, scope: str, status: str, source: str) -> DataFrame:
+    """A row of the report: the numbers of ``turn_summary``, what they are of, and the counts of a one-row ``validation`` as a map."""
+    checks = F.map_from_arrays(F.array(*(F.lit(c) for c in validation.columns)), F.array(*(F.col(c).cast("long") for c in validation.columns)))
+    named = {"dataset": dataset, "scope": scope, "status": status, "source": source}
+    return summary.join(validation.select(checks.alias("validation"))).select(*(F.lit(v).alias(k) for k, v in named.items()), *summary.columns, "validation")

@@ -43,6 +43,26 @@ def a04_validation(spark, sf):
     return profile.validation(fx.corpus(spark, sf).withColumn("turn", F.expr("message_turns div 2")), "turn")
 
 
+@query(f"""WITH {MESSAGES}, r AS (SELECT nu, conv_id % 3 AS part, conv_id % 7 = 0 AS again, nu + CAST(conv_id % 5 = 0 AS INT) AS told FROM conv)
+SELECT 'part ' || part AS dataset, count(*) AS checked, count(*) FILTER (told <> nu) AS question_mismatch, count(*) FILTER (told <> nu + CAST(again AS INT)) AS answer_mismatch FROM r GROUP BY part""")
+def a04_key_mismatches(spark, sf):
+    """Cells of serialized pairs against their own number of turns, a turn too many for each fifth, an answer's key too many for each seventh."""
+    pairs = F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: F.struct(m["content"].alias("user_question"), F.lit("x").alias("AI_response")))
+    cell = F.concat(F.to_json(pairs), F.when(F.col("conv_id") % 7 == 0, "{'AI_response' : 'y'}").otherwise(""))
+    rows = fx.corpus(spark, sf).select(F.concat(F.lit("part "), (F.col("conv_id") % 3).cast("string")).alias("dataset"), (F.col("user_messages") + (F.col("conv_id") % 5 == 0).cast("int")).alias("num_turns"), cell.alias("conversation"))
+    return profile.key_mismatches(rows, "num_turns", "conversation", by="dataset")
+
+
+@query(f"""WITH {MESSAGES}, s AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY conv_id) AS place FROM (SELECT *, ntile(4) OVER (ORDER BY conv_id) AS shard FROM (SELECT DISTINCT conv_id FROM conversations))),
+f AS (SELECT conv.*, nu + CAST(conv_id % 3 = 0 AS INT) AS turn FROM s JOIN conv USING (conv_id) WHERE place <= 5), t AS (SELECT count(*) AS total, min(turn) AS low, max(turn) AS high, avg(turn) AS mean, count(*) FILTER (turn = 1) AS one FROM f)
+SELECT 'wild' AS dataset, 'first rows of each shard' AS scope, 'sampled' AS status, 'https://example.org/wild' AS source, total, low AS min, high AS max, mean, one AS one_turn, (SELECT count(*) FROM f WHERE turn <> nu) AS turn_mismatch, (SELECT count(*) FROM f WHERE nu <> na) AS role_mismatch FROM t""")
+def a04_sample_summary(spark, sf):
+    """The first rows of each shard, validated and summed up as a row of the report."""
+    rows = releases.sampled_shards(spark, sf, 5)
+    found = profile.described(profile.turn_summary(rows, "turn"), profile.validation(rows, "turn"), dataset="wild", scope="first rows of each shard", status="sampled", source="https://example.org/wild")
+    return found.select("dataset", "scope", "status", "source", "total", "min", "max", "mean", "one_turn", *(F.element_at("validation", c).alias(c) for c in ("turn_mismatch", "role_mismatch")))
+
+
 @query(f"""WITH {MESSAGES}, h AS (SELECT nu AS n_turns, count(*) AS n FROM conv GROUP BY nu), t AS (SELECT max(n_turns) AS top, sum(n) AS total FROM h)
 SELECT i AS n_turns, coalesce(n, 0) AS conversations, coalesce(n, 0) / total AS share FROM t, range(1, (SELECT max(n_turns) FROM h) + 1) r(i) LEFT JOIN h ON n_turns = i""")
 def w05_dense_distribution(spark, sf):
@@ -70,9 +90,13 @@ def p07_stable_id(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", stable_id(F.col("source"), F.col("doc_id").cast("string")).alias("id"))
 
 
-@query(f"WITH {MESSAGES} SELECT conv_id, hash FROM conv")
+#: Texts with a control character for each ``th``, and for each ``en`` what looks like one escaped.
+CONTROLLED = """replace(replace(to_json(text), 'th', '\\u000b\\u001f'), 'en', '\\\\u001F')"""
+
+
+@query(f"WITH {MESSAGES} SELECT conv_id, sha256('[' || string_agg('{{\"role\":\"' || role || '\",\"content\":' || {CONTROLLED} || '}}', ',' ORDER BY turn) || ']') AS hash FROM m GROUP BY conv_id")
 def p08_transcript_hash(spark, sf):
-    return co.with_hash(fx.corpus(spark, sf)).select("conv_id", "hash")
+    return co.with_hash(fx.controlled(fx.corpus(spark, sf))).select("conv_id", "hash")
 
 
 @query(f"""WITH {DOCUMENTS} SELECT dataset, count(*) AS conversations, CAST(sum(characters) AS BIGINT) AS characters, max(characters) AS max_characters FROM docs GROUP BY ROLLUP (dataset)""")
@@ -249,9 +273,11 @@ def p23_alternation(spark, sf):
     return fx.corpus(spark, sf).select("conv_id", alternates(F.col("messages")).alias("alternates"))
 
 
-@query("""SELECT doc_id, lower(trim(coalesce(lang, ''))) IN ('english', 'unknown', '') AS english FROM (SELECT doc_id, CASE lang WHEN 'en' THEN ' English ' WHEN 'de' THEN 'Unknown' ELSE lang END AS lang FROM documents)""")
+@query("""SELECT doc_id, lower(trim(coalesce(lang, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(28) || chr(160) || chr(8195))) IN ('english', 'unknown', '') AS english FROM
+(SELECT doc_id, CASE lang WHEN 'en' THEN ' ' || chr(9) || 'English' || chr(10) WHEN 'de' THEN chr(160) || 'Unknown' || chr(8195) || chr(28) WHEN 'fr' THEN chr(13) || 'fr' ELSE lang END AS lang FROM documents)""")
 def p29_english_labels(spark, sf):
-    label = F.when(F.col("lang") == "en", " English ").when(F.col("lang") == "de", "Unknown").otherwise(F.col("lang"))
+    lang = F.col("lang")
+    label = F.when(lang == "en", " \tEnglish\n").when(lang == "de", "\xa0Unknown\u2003\x1c").when(lang == "fr", "\rfr").otherwise(lang)
     return fx.table(spark, sf, "documents").select("doc_id", tx.is_english_label(label).alias("english"))
 
 
@@ -270,13 +296,14 @@ def p24_turn_references(spark, sf):
 RESULT = r"^(\d+)\|(yes|no|uncertain)\|(none|potential|clear)\|(yes|maybe|no)$"
 
 
-@query(f"""WITH x AS (SELECT doc_id, unnest(['  ' || doc_id || '|yes|none|maybe', doc_id || '|no|clearly|no', 'so: 1|no|none|no', (doc_id + 1) || '|uncertain|clear|no ']) AS line, unnest([0, 1, 2, 3]) AS k FROM documents),
-y AS (SELECT *, trim(line) AS t FROM x WHERE doc_id % 3 <> k AND regexp_full_match(trim(line), '{RESULT[1:-1]}'))
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, CAST(regexp_extract(t, '{RESULT}', 1) AS INTEGER) AS "index", regexp_extract(t, '{RESULT}', 2) AS c, regexp_extract(t, '{RESULT}', 3) AS r, regexp_extract(t, '{RESULT}', 4) AS q FROM y""")
+@query(f"""WITH x AS (SELECT doc_id, unnest([chr(9) || doc_id || '|yes|none|maybe' || chr(160), doc_id || '|no|clearly|no', substr(coalesce(text, ''), 1, 40), (doc_id + 1) || '|uncertain|clear|no ', doc_id || '|no|none|yes']) AS line, unnest([0, 1, 2, 3, 4]) AS k FROM documents),
+y AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS t FROM x WHERE doc_id % 4 <> k), z AS (SELECT * FROM y WHERE regexp_full_match(t, '{RESULT[1:-1]}'))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, CAST(regexp_extract(t, '{RESULT}', 1) AS INTEGER) AS "index", regexp_extract(t, '{RESULT}', 2) AS c, regexp_extract(t, '{RESULT}', 3) AS r, regexp_extract(t, '{RESULT}', 4) AS q FROM z""")
 def p26_result_lines(spark, sf):
+    """Answers with a tab before a line and a no-break space after it, lines that end in other ways, and prose between."""
     d = F.col("doc_id").cast("string")
-    lines = F.array(F.concat(F.lit("  "), d, F.lit("|yes|none|maybe")), F.concat(d, F.lit("|no|clearly|no")), F.lit("so: 1|no|none|no"), F.concat((F.col("doc_id") + 1).cast("string"), F.lit("|uncertain|clear|no ")))
-    answer = F.array_join(F.filter(lines, lambda x, i: F.col("doc_id") % 3 != i), "\n")
+    lines = F.array(F.concat(F.lit("\t"), d, F.lit("|yes|none|maybe\xa0")), F.concat(d, F.lit("|no|clearly|no\r")), F.substring(F.coalesce("text", F.lit("")), 1, 40), F.concat((F.col("doc_id") + 1).cast("string"), F.lit("|uncertain|clear|no \u2028")), F.concat(d, F.lit("|no|none|yes")))
+    answer = F.array_join(F.filter(lines, lambda x, i: F.col("doc_id") % 4 != i), "\n")
     found = fx.table(spark, sf, "documents").select("doc_id", F.posexplode(tx.result_lines(answer)).alias("place", "x"))
     return found.select("doc_id", F.col("place").cast("long").alias("place"), "x.*")
 

@@ -42,6 +42,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(conversations(table(spark, sf_dir, "conversations")), DATASET, F.col("conv_id"))
 
 
+def controlled(rows: DataFrame) -> DataFrame:
+    """``rows`` with control characters for each ``th`` of their messages, and for each ``en`` what looks like one escaped."""
+    said = lambda text: F.replace(F.replace(text, F.lit("th"), F.lit("\x0b\x1f")), F.lit("en"), F.lit("\\u001F"))
+    return rows.withColumn("messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), said(m["content"]).alias("content"))))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as transcripts of one message, with dataset, source order and hash."""
     docs = table(spark, sf_dir, "documents")

@@ -71,6 +71,15 @@ def s04_turn_sample(spark, sf):
     return sample.groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("rows"))
 
 
+def sampled_shards(spark: SparkSession, sf: str, first: int) -> DataFrame:
+    """The first rows of four shards in order of conv_id, with their own number of turns, one too many for each third, and messages."""
+    path = fx.scratch(spark, "shards")
+    numbered = _talks(spark, sf).withColumn("shard", F.ntile(4).over(fx.Window.orderBy("conv_id")))
+    rows = numbered.select("conv_id", "shard", (F.col("users") + (F.col("conv_id") % 3 == 0).cast("int")).alias("turn"), _told().alias("conversation"))
+    rows.repartition(4, "shard").sortWithinPartitions("shard", "conv_id").write.partitionBy("shard").parquet(path)
+    return readers.turn_sample(spark, path, first).withColumn("messages", clean(F.col("conversation")))
+
+
 @query("SELECT 4 AS shards, true AS wrong_number_refused")
 def s03_require_shards(spark, sf):
     path = _parquet(spark, sf)

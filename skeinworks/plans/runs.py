@@ -536,6 +536,6 @@ def k13_flow_chart(spark, sf):
     return lines.where(F.col("line").rlike(r'^  (raw|excluded|included|audited|pending|candidates|clear)\[|included -\.-> waiting'))
 
 
-@query(f"""WITH {MESSAGES} SELECT conv_id, '[' || string_agg('{{"role":"' || role || '","content":' || to_json(text) || '}}', ',' ORDER BY turn) || ']' AS json FROM m GROUP BY conv_id""")
+@query(f"""WITH {MESSAGES} SELECT conv_id, '[' || string_agg('{{"role":"' || role || '","content":' || replace(replace(to_json(text), 'th', '\\u000b\\u001f'), 'en', '\\\\u001F') || '}}', ',' ORDER BY turn) || ']' AS json FROM m GROUP BY conv_id""")
 def p34_compact_json(spark, sf):
-    return fx.corpus(spark, sf).select("conv_id", compact_json(F.col("messages")).alias("json"))
+    return fx.controlled(fx.corpus(spark, sf)).select("conv_id", compact_json(F.col("messages")).alias("json"))
