@@ -13,7 +13,7 @@ from skeinworks.operators import corpus as co
 from skeinworks.plans import fixtures as fx
 from skeinworks.plans.fixtures import AUDITED, MESSAGES
 from skeinworks.plans.registry import query
-from skeinworks.sources import files, inventory, ledger
+from skeinworks.sources import buckets, files, inventory, ledger, versions
 from skeinworks.streaming import resume
 
 # ---- ledgers ----
@@ -95,8 +95,24 @@ def s22_snapshot(spark, sf):
 def k02_replaced(spark, sf):
     path, rows = fx.scratch(spark, "cache"), fx.corpus(spark, sf)
     for times in (1, 2):
-        ledger.replace(rows.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), (times * F.col("conv_id")).alias("n")), path)
-    return spark.read.parquet(path)
+        versions.replace(rows.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), (times * F.col("conv_id")).alias("n")), path)
+    return versions.read(spark, path)
+
+
+@query(f"WITH {MESSAGES} SELECT id, ch * 2 AS n, ch AS n_before, true AS race_lost FROM conv")
+def k14_swapped(spark, sf):
+    """Fragments of JSON replaced from themselves in one step, while a reader of the version before goes on; a writer that began before is refused."""
+    path, rows = fx.scratch(spark, "fragments"), fx.corpus(spark, sf).select("id", F.col("characters").alias("n"))
+    read = lambda number: spark.read.schema("id string, n long").json(versions.folder(path, number))
+    first = versions.publish(spark, path, lambda draft: rows.write.json(draft))
+    before = read(first)
+    second = versions.publish(spark, path, lambda draft: read(first).withColumn("n", F.col("n") * 2).write.json(draft))
+    try:
+        versions.publish(spark, path, lambda draft: before.write.json(draft), after=first)
+        lost = False
+    except versions.Conflict:
+        lost = True
+    return read(second).join(before.withColumnRenamed("n", "n_before"), "id").select("id", "n", "n_before", F.lit(lost).alias("race_lost"))
 
 
 @query(f"WITH {AUDITED} SELECT label, id, 2 AS times FROM audited")
@@ -121,7 +137,7 @@ def k09_compacted(spark, sf):
     rows = ledger.tolerant(spark, _lines(spark, sf, F.format_string('{"id":"k%d","n":%d}', F.col("conv_id") % 17, F.col("conv_id"))), "id string, n long")
     ledger.compact(rows, path)
     # The files of a sorted write hold ranges, in order of their names
-    back = spark.read.parquet(path).select("id", "n", F.struct("_metadata.file_name", "_metadata.row_index").alias("at"))
+    back = versions.read(spark, path).select("id", "n", F.struct("_metadata.file_name", "_metadata.row_index").alias("at"))
     return back.select("id", "n", (F.row_number().over(fx.Window.orderBy("at")) - 1).alias("place"))
 
 
@@ -129,10 +145,14 @@ def k09_compacted(spark, sf):
 def k10_migrated_cache(spark, sf):
     """The older cache, one JSON object, moved to a new one, once."""
     old, new = fx.scratch(spark, "old"), fx.scratch(spark, "new")
-    rows = fx.corpus(spark, sf).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", F.struct(F.col("characters").alias("n")))))).alias("value"))
-    rows.write.text(old)
+    entry = F.concat(F.to_json(F.struct("id")).substr(F.lit(7), F.length("id") + 2), F.lit(":"), F.to_json(F.struct(F.col("characters").alias("n"))))
+    rows = fx.corpus(spark, sf).select("id", entry.alias("entry"))
+    # The first and last entry carry the braces of the whole, so no row holds the file
+    ends = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    value = F.concat(F.when(F.col("id") == F.col("low"), "{").otherwise(","), "entry", F.when(F.col("id") == F.col("high"), "}").otherwise(""))
+    rows.join(ends).select(value.alias("value"), "id").coalesce(1).sortWithinPartitions("id").select("value").write.text(old)
     moved = [ledger.migrate(spark, old, new, "struct<n:bigint>") for _ in range(2)]
-    return spark.read.parquet(new).select("id", "n", F.lit(moved[0]).cast("long").alias("moved"), F.lit(moved[1]).alias("moved_again"))
+    return versions.read(spark, new).select("id", "n", F.lit(moved[0]).cast("long").alias("moved"), F.lit(moved[1]).alias("moved_again"))
 
 
 @query("""WITH d AS (SELECT doc_id AS id, coalesce(n_chars, 0) AS n FROM documents), kept AS (SELECT * FROM d WHERE id % 2 = 0), fresh AS (SELECT id, CASE WHEN id % 5 = 0 THEN n + 1 ELSE n END AS n FROM d WHERE id % 3 <> 0)
@@ -140,9 +160,23 @@ SELECT coalesce(fresh.id, kept.id) AS id, coalesce(fresh.n, kept.n) AS n,
   (SELECT count(*) FROM fresh WHERE id % 2 = 1) AS appended, (SELECT count(*) FROM fresh WHERE id % 2 = 0 AND id % 5 = 0) AS rewritten, (SELECT count(*) FROM fresh WHERE id % 2 = 0 AND id % 5 <> 0) AS unchanged FROM kept FULL JOIN fresh ON kept.id = fresh.id""")
 def k08_store(spark, sf):
     path, docs = fx.scratch(spark, "cache"), fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n"))
-    ledger.store(docs.where("id % 2 = 0"), path)
-    counts = ledger.store(docs.where("id % 3 <> 0").withColumn("n", F.when(F.col("id") % 5 == 0, F.col("n") + 1).otherwise(F.col("n"))), path)
-    return spark.read.parquet(path).select("id", "n", *(F.lit(counts.get(k, 0)).cast("long").alias(k) for k in ("appended", "rewritten", "unchanged")))
+    buckets.store(docs.where("id % 2 = 0"), path, buckets=8)
+    counts = buckets.store(docs.where("id % 3 <> 0").withColumn("n", F.when(F.col("id") % 5 == 0, F.col("n") + 1).otherwise(F.col("n"))), path)
+    return buckets.read(spark, path).select("id", "n", *(F.lit(counts.get(k, 0)).cast("long").alias(k) for k in ("appended", "rewritten", "unchanged")))
+
+
+@query("""WITH d AS (SELECT doc_id AS id, coalesce(n_chars, 0) AS n FROM documents), one AS (SELECT min(id) AS id FROM d)
+SELECT d.id, CASE WHEN d.id = one.id THEN -1 ELSE n END AS n, 1 AS buckets_written, 1 AS rewritten, (SELECT count(*) FROM d) - 1 AS kept, true AS same_rows_write_nothing FROM d, one""")
+def k08_one_bucket(spark, sf):
+    """A store of one changed record writes one bucket, a store of the same records nothing."""
+    path, docs = fx.scratch(spark, "cache"), fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n"))
+    buckets.store(docs, path, buckets=8)
+    folders = lambda: {r["folder"] for r in buckets.manifest(spark, path).collect()}
+    before = folders()
+    buckets.store(docs, path)
+    same = folders() == before
+    counts = buckets.store(docs.agg(F.min("id").alias("id")).select("id", F.lit(-1).cast("long").alias("n")), path)
+    return buckets.read(spark, path).select("id", "n", F.lit(len(folders() - before)).alias("buckets_written"), F.lit(counts["rewritten"]).alias("rewritten"), F.lit(counts["kept"]).cast("long").alias("kept"), F.lit(same).alias("same_rows_write_nothing"))
 
 
 @query(f"WITH {MESSAGES} SELECT id, 1 AS times FROM conv")

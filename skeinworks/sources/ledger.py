@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinworks.operators.fingerprint import upsert_status
-from skeinworks.sources import files, ranges
+from skeinworks.sources import files, ranges, versions
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -64,9 +63,9 @@ def latest(rows: DataFrame, key: str = "id", order: str = "line_no") -> DataFram
 
 
 def keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """The older cache format, one JSON object of id to record, as rows."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias("id", "r")).select("id", "r.*")
+    """The older cache format, a JSON object of id to record, as rows; the file is read in ranges (``ranges.json_entries``)."""
+    found = ranges.json_entries(spark, path)
+    return found.select("key", F.from_json("value", value_schema).alias("r")).select(F.col("key").alias("id"), "r.*")
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -86,62 +85,26 @@ def append(rows: DataFrame, path: str, *, by: str | None = None) -> None:
 
 
 def split_errors(results: DataFrame, path: str, errors: str) -> None:
-    """Results go to one ledger, rows with an ``error`` to another."""
-    append(results.where(F.col("error").isNull()).drop("error"), path)
-    append(results.where(F.col("error").isNotNull()).select("id", "dataset", "error"), errors)
-
-
-def replace(rows: DataFrame, path: str) -> None:
-    """Write beside ``path``, then put it in its place.
-
-    A failed write leaves the old folder as it is; a failed rename puts it back, and is an error.
-    Between the two renames a reader may find no folder: ledgers have one writer at a time.
-    """
-    spark, draft = rows.sparkSession, f"{path}.{uuid.uuid4().hex}"
-    at, new, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, draft, f"{draft}.old"))
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    """Results go to one ledger, rows with an ``error`` to another; they are computed once, and stored for the two writes."""
+    spark, staged = results.sparkSession, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
     try:
-        rows.write.parquet(draft)
-        had = fs.exists(at)
-        if had and not fs.rename(at, old):
-            raise OSError(f"{path} can't be moved away")
-        if not fs.rename(new, at):
-            if had and not fs.rename(old, at):
-                raise OSError(f"{path} is left in {old}")
-            raise OSError(f"{draft} can't be moved to {path}")
+        results.write.parquet(staged)
+        found = spark.read.schema(results.schema).parquet(staged)
+        append(found.where(F.col("error").isNull()).drop("error"), path)
+        append(found.where(F.col("error").isNotNull()).select("id", "dataset", "error"), errors)
     finally:
-        fs.delete(new, True)
-    fs.delete(old, True)
+        at = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def compact(rows: DataFrame, path: str, key: str = "id", order: str = "line_no") -> None:
-    """Rewrite a cache with the latest record of each id, sorted by id."""
-    replace(latest(rows, key, order).orderBy(key), path)
+def compact(rows: DataFrame, path: str, key: str = "id", order: str = "line_no") -> int:
+    """Publish a cache (``versions``) of the latest record of each id, sorted by id; its version."""
+    return versions.replace(latest(rows, key, order).orderBy(key), path)
 
 
 def migrate(spark: SparkSession, legacy: str, path: str, value_schema: str) -> int:
     """Turn the older cache into a new one, sorted by id, where there is no new one yet; the number of records moved."""
-    if exists(spark, path) or not exists(spark, legacy):
+    if versions.numbers(spark, path) or not exists(spark, legacy):
         return 0
-    replace(keyed_json(spark, legacy, value_schema).orderBy("id"), path)
-    return spark.read.parquet(path).count()
-
-
-def store(incoming: DataFrame, path: str, *, key: str = "id") -> dict[str, int]:
-    """Put records into a cache: how many were ``unchanged``, ``appended``, ``rewritten``, and ``kept`` from before.
-
-    New records only are appended; the cache is rewritten, sorted by key, if a record replaces another.
-    """
-    spark = incoming.sparkSession
-    if not exists(spark, path):
-        replace(incoming.orderBy(key), path)
-        return {"appended": spark.read.parquet(path).count()}
-    cache, others = spark.read.parquet(path), [c for c in incoming.columns if c != key]
-    packed = lambda rows: rows.select(key, F.struct(*others).alias("value"))
-    status = upsert_status(packed(cache), packed(incoming), key=key)
-    counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows at most
-    if counts.get("rewritten"):
-        replace(cache.join(incoming.select(key), key, "left_anti").unionByName(incoming).orderBy(key), path)
-    elif counts.get("appended"):
-        incoming.join(cache.select(key), key, "left_anti").write.mode("append").parquet(path)
-    return counts
+    versions.replace(keyed_json(spark, legacy, value_schema).orderBy("id"), path)
+    return versions.read(spark, path).count()

@@ -85,11 +85,11 @@ def csv_records(spark: SparkSession, path: str | list[str], quote: str = '"', **
     return whole.withColumn("record", F.regexp_replace(F.regexp_replace("record", "^﻿", ""), "\r$", ""))
 
 
-def json_records(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
-    """path, number (from 0), block, record: the objects of files that hold a JSON array each, as text, whatever their line breaks.
+def _json_parts(spark: SparkSession, path: str | list[str], level: int, **options: str) -> DataFrame:
+    """path, number, block, record: what ends with a closing brace that leaves ``level`` braces open, as text without that brace.
 
     Files are cut at closing braces.  A piece opens what braces it has outside of strings, and its own brace closes one,
-    if it stands outside; a record ends where none is left open.
+    if it stands outside.
     """
     cut = pieces(spark, path, "}", **options).drop("size")
     parts = F.split(F.regexp_replace("piece", r"(?s)\\.", ""), '"', -1)
@@ -99,9 +99,22 @@ def json_records(spark: SparkSession, path: str | list[str], **options: str) ->
     found = carried(cut, flips=F.col("__flips"), outside=F.col("__outside"), inside=F.col("__inside"))
     left = F.col("before") + F.when(F.col("open"), F.col("__inside")).otherwise(F.col("__outside"))
     closes = F.when(F.col("open"), F.col("__flips") == 1).otherwise(F.col("__flips") == 0)
-    ends = (closes & (left == 0)).cast("int")
-    found = found.withColumn("__ends", ends).select("path", "block", "id", "piece", "__ends")
-    whole = _joined(carried(found, flips=F.lit(0), outside=F.col("__ends"), inside=F.col("__ends")), F.col("before"), "}")
-    text = F.regexp_replace("record", r"^[﻿\s,\[]+", "")
+    found = found.withColumn("__ends", (closes & (left == level)).cast("int")).select("path", "block", "id", "piece", "__ends")
+    return _joined(carried(found, flips=F.lit(0), outside=F.col("__ends"), inside=F.col("__ends")), F.col("before"), "}")
+
+
+def json_records(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """path, number (from 0), block, record: the objects of files that hold a JSON array each, as text, whatever their line breaks."""
+    whole = _json_parts(spark, path, 0, **options).withColumn("record", F.regexp_replace("record", r"^[\ufeff\s,\[]+", ""))
     # What follows the last object is no record
-    return whole.withColumn("record", text).where(F.trim("record").rlike(r"^\{")).withColumn("record", F.concat("record", F.lit("}")))
+    return whole.where(F.trim("record").rlike(r"^\{")).withColumn("record", F.concat("record", F.lit("}")))
+
+
+def json_entries(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """path, number (from 0), key, value (text): the entries of files that hold a JSON object of objects each."""
+    whole = _json_parts(spark, path, 1, **options).withColumn("record", F.regexp_replace("record", r"^[\ufeff\s,{]+", ""))
+    entry = r'(?s)^("[^"\\]*+(?:\\.[^"\\]*+)*+")\s*:\s*(\{.*)$'
+    # What follows the last entry is none
+    whole = whole.where(F.col("record").startswith('"'))
+    found = whole.select("path", "number", F.regexp_extract("record", entry, 1).alias("key"), F.concat(F.regexp_extract("record", entry, 2), F.lit("}")).alias("value"))
+    return found.withColumn("key", F.get(F.from_json(F.concat(F.lit("["), "key", F.lit("]")), "array<string>"), F.lit(0)))
