@@ -38,14 +38,22 @@ def records(rows: DataFrame, dataset: str, source_id: Column, *, exchanges: Colu
     )
 
 
+def is_qualifying(min_per_role: int = 10) -> Column:
+    """Whether a record has at least so many messages of each role."""
+    return (F.col("user_messages") >= min_per_role) & (F.col("assistant_messages") >= min_per_role)
+
+
+def is_long(turns: str = "turn", min_turns: int = 10) -> Column:
+    """Whether a record has at least so many turns by the source's own count; null counts as 0."""
+    return F.coalesce(turns, F.lit(0)) >= min_turns
+
+
 def qualifying(rows: DataFrame, min_per_role: int = 10) -> DataFrame:
-    """Records with at least so many messages of each role."""
-    return rows.where((F.col("user_messages") >= min_per_role) & (F.col("assistant_messages") >= min_per_role))
+    return rows.where(is_qualifying(min_per_role))
 
 
 def long_by_turns(rows: DataFrame, turns: str = "turn", min_turns: int = 10) -> DataFrame:
-    """Records with at least so many turns by the source's own count; null counts as 0."""
-    return rows.where(F.coalesce(turns, F.lit(0)) >= min_turns)
+    return rows.where(is_long(turns, min_turns))
 
 
 def of_datasets(rows: DataFrame, wanted: Sequence[str], known: Sequence[str]) -> DataFrame:

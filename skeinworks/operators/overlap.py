@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.operators.corpus import long_by_turns, qualifying
+from skeinworks.operators.corpus import is_long, is_qualifying
+
+#: Where a key occurs: in the existing release, among the qualifying rows of the new one.
+OLD, NEW = 1, 2
+
+
+def _entries(rows: DataFrame, flag: Column, old: Column, long: Column, good: Column, keys: dict[str, str]) -> DataFrame:
+    """A thin row for each key of a row: its kind, the key, and what the row counts for."""
+    found = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key")) for kind, c in keys.items())))
+    return rows.select(flag.alias("flag"), old.alias("old"), long.cast("long").alias("long"), good.cast("long").alias("good"), found.alias("k")).select("k.*", "flag", "old", "long", "good")
 
 
 def overlap_report(existing: DataFrame, new: DataFrame, *, min_per_role: int = 10, source: str = "source_id", transcript: str = "hash", turns: str | None = None) -> DataFrame:
@@ -13,29 +22,29 @@ def overlap_report(existing: DataFrame, new: DataFrame, *, min_per_role: int = 1
     has by source id and by transcript, the repeats among the new by either key, and the distinct keys that are new.
 
     With ``turns``, the release's own count of turns, only rows with at least ``min_per_role`` of them (null: none) can qualify;
-    ``long_not_qualifying`` counts those that have as many and don't.  Membership comes from joins with distinct keys, so no
-    set of ids is held anywhere.
+    ``long_not_qualifying`` counts those that have as many and don't.  A null key is in no release.
+
+    Both kinds of keys of both releases are aggregated once, to where each key occurs; counts come from these.  Rows
+    that both keys find meet the existing keys in two semi-joins.
     """
-    long = new if turns is None else long_by_turns(new, turns, min_per_role)
-    good = qualifying(long, min_per_role)
-    by_source = existing.select(F.col(source).alias("__s")).distinct().withColumn("__has_s", F.lit(True))
-    by_text = existing.select(F.col(transcript).alias("__t")).distinct().withColumn("__has_t", F.lit(True))
-    marked = good.select(source, transcript).join(by_source, F.col(source) == F.col("__s"), "left").join(by_text, F.col(transcript) == F.col("__t"), "left")
-    found = marked.agg(
-        F.count(F.lit(1)).alias("qualifying"),
-        F.count_if("__has_s").alias("source_overlap"),
-        F.count_if(F.col("__has_s").isNull()).alias("source_new"),
-        F.count_if("__has_t").alias("transcript_overlap"),
-        F.count_if(F.col("__has_t").isNull()).alias("transcript_new"),
-        F.count_if(F.coalesce("__has_s", F.lit(False)) & F.coalesce("__has_t", F.lit(False))).alias("both_overlap"),
-        F.count_distinct(source).alias("distinct_sources"),
-        F.count_distinct(transcript).alias("distinct_transcripts"),
-        F.count_distinct(F.when(F.col("__has_s").isNull(), F.col(source))).alias("new_sources"),
-        F.count_distinct(F.when(F.col("__has_t").isNull(), F.col(transcript))).alias("new_transcripts"),
-    )
-    found = found.withColumns({"repeated_sources": F.col("qualifying") - F.col("distinct_sources"), "repeated_transcripts": F.col("qualifying") - F.col("distinct_transcripts")})
-    rows = new.agg(F.count(F.lit(1)).alias("rows"))
-    enough = long.agg(F.count(F.lit(1)).alias("long"))
-    have = existing.agg(F.count(F.lit(1)).alias("existing_rows"), F.count_distinct(source).alias("existing_sources"), F.count_distinct(transcript).alias("existing_transcripts"))
-    whole = rows.join(enough).join(have).join(found)
-    return whole.withColumns({"not_qualifying": F.col("rows") - F.col("qualifying"), "long_not_qualifying": F.col("long") - F.col("qualifying")}).drop("long")
+    long = F.lit(True) if turns is None else is_long(turns, min_per_role)
+    good = F.coalesce(long & is_qualifying(min_per_role), F.lit(False))
+    keys, none = {"source": source, "transcript": transcript}, F.lit(0).cast("long")
+    entries = _entries(existing, F.lit(OLD), F.lit(1).cast("long"), none, none, keys).unionByName(_entries(new, F.when(good, NEW).otherwise(0), none, F.coalesce(long, F.lit(False)), good, keys).withColumn("new", F.lit(1).cast("long")), allowMissingColumns=True)
+    each = entries.groupBy("kind", "key").agg(F.bit_or("flag").alias("where"), *(F.coalesce(F.sum(c), none).alias(c) for c in ("old", "new", "long", "good")))
+    known = F.col("key").isNotNull()
+    is_old, is_new = known & (F.col("where").bitwiseAND(OLD) > 0), F.col("where").bitwiseAND(NEW) > 0
+    of = lambda kind, test, value: F.coalesce(F.sum(F.when((F.col("kind") == kind) & test, value)), none)
+    counts, always = {}, F.lit(True)
+    for name, plural in (("source", "sources"), ("transcript", "transcripts")):
+        counts |= {f"{name}_overlap": of(name, is_old, F.col("good")), f"{name}_new": of(name, ~is_old, F.col("good"))}
+        counts |= {f"distinct_{plural}": of(name, known & is_new, F.lit(1)), f"new_{plural}": of(name, known & is_new & ~is_old, F.lit(1)), f"existing_{plural}": of(name, is_old, F.lit(1))}
+    counts |= {"existing_rows": of("source", always, F.col("old")), "rows": of("source", always, F.col("new")), "long": of("source", always, F.col("long")), "qualifying": of("source", always, F.col("good"))}
+    found = each.agg(*(c.alias(name) for name, c in counts.items()))
+    met = new.where(good).select(F.col(source).alias("__s"), F.col(transcript).alias("__t"))
+    met = met.join(existing.select(F.col(source).alias("__s")), "__s", "left_semi").join(existing.select(F.col(transcript).alias("__t")), "__t", "left_semi")
+    whole = found.join(met.agg(F.count(F.lit(1)).alias("both_overlap")))
+    whole = whole.withColumns({f"repeated_{plural}": F.col("qualifying") - F.col(f"distinct_{plural}") for plural in ("sources", "transcripts")})
+    whole = whole.withColumns({"not_qualifying": F.col("rows") - F.col("qualifying"), "long_not_qualifying": F.col("long") - F.col("qualifying")})
+    first = ["rows", "existing_rows", "existing_sources", "existing_transcripts", "qualifying", "source_overlap", "source_new", "transcript_overlap", "transcript_new", "both_overlap", "distinct_sources", "distinct_transcripts", "new_sources", "new_transcripts"]
+    return whole.select(*first, "repeated_sources", "repeated_transcripts", "not_qualifying", "long_not_qualifying")

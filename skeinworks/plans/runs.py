@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ from skeinworks.plans import fixtures as fx
 from skeinworks.plans.fixtures import AUDITED, MESSAGES
 from skeinworks.plans.registry import query
 from skeinworks.sources import buckets, files, inventory, ledger, versions
-from skeinworks.streaming import resume
+from skeinworks.streaming import assess, resume
 
 # ---- ledgers ----
 
@@ -190,6 +194,20 @@ def k03_streamed_ledger(spark, sf):
     return spark.read.json(out).groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("times"))
 
 
+@query(f"""WITH {MESSAGES}, b AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 0 WHEN conv_id % 3 > 0 THEN 1 ELSE 2 END AS batch FROM conv), n AS (SELECT batch, count(*) AS processed, count(*) FILTER (conv_id % 6 = 1) AS failed FROM b GROUP BY batch)
+SELECT batch, processed, failed, CAST(sum(processed) OVER w AS BIGINT) AS processed_so_far, CAST(sum(failed) OVER w AS BIGINT) AS failed_so_far, (SELECT count(*) FROM conv) AS total, 2.0::DOUBLE AS seconds, processed * 1800.0::DOUBLE AS per_hour FROM n WINDOW w AS (ORDER BY batch)""")
+def k16_progress(spark, sf):
+    """The rows that a run of three batches leaves of its progress, by a clock of two seconds a batch."""
+    source, out, marks, rows_of = (fx.scratch(spark, x) for x in ("in", "out", "marks", "progress"))
+    rows = fx.corpus(spark, sf).select("id", "conv_id")
+    label = lambda batch: batch.select("id", F.when(F.col("conv_id") % 6 == 1, "OSError").alias("error"))
+    ticks = itertools.count(0, 2)
+    for keep in (F.col("conv_id") % 2 == 0, F.col("conv_id") % 3 > 0, F.lit(True)):
+        rows.where(keep).write.mode("append").json(source)
+        resume.run_available(resume.new_records(spark, source, "id string, conv_id long"), label, out, marks, progress=rows_of, total=rows.count(), clock=lambda: next(ticks)).awaitTermination()
+    return resume.read_progress(spark, rows_of)
+
+
 # ---- text ----
 
 
@@ -369,6 +387,53 @@ def n11_assessed_in_parts(spark, sf):
     return found.select("conv_id", "total_chunks", "audited_chunks", F.array_join("findings", ",").alias("findings"), "error", F.col("assessment").contains('"q":"yes"').alias("carried"))
 
 
+def _noted(calls: str, text: str, fails: bool) -> None:
+    """Leave a file for each call in a folder that all tasks share, and fail a text's first call."""
+    fs, at = files.opened(calls)
+    fs.create_dir(at)
+    name = hashlib.sha256(text.encode()).hexdigest()
+    before = [f for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.startswith(name)]
+    fs.open_output_stream(f"{at}/{name}-{len(before)}").close()
+    if fails and not before:
+        raise OSError("busy")
+
+
+@query(f"""WITH {CHUNKED}, f AS (SELECT conv_id, n AS first FROM chunks WHERE chunk = 0), per AS (SELECT c.conv_id, count(*) AS total, count(*) FILTER (first > 600 OR chunk = 0) AS audited, count(*) FILTER (n % 7 = 0 AND (first > 600 OR chunk = 0)) AS failures,
+  string_agg(n::VARCHAR, ',' ORDER BY chunk) FILTER (chunk > 0 AND first > 600) AS findings FROM chunks c JOIN f ON c.conv_id = f.conv_id GROUP BY c.conv_id)
+SELECT conv_id, CAST(total AS INTEGER) AS total_chunks, CAST(audited AS INTEGER) AS audited_chunks, coalesce(findings, '') AS findings, CAST(NULL AS VARCHAR) AS error, (SELECT CAST(sum(audited + failures) AS BIGINT) FROM per) AS calls FROM per""")
+def n11_continued(spark, sf):
+    """A stream of conversations whose parts fail at their first call: it goes on at the part that failed, in a later batch, and asks no part again that has answered."""
+    source, out, marks, calls = (fx.scratch(spark, x) for x in ("in", "out", "marks", "calls"))
+    shape = "conv_id long, chunks array<string>"
+    fx.corpus(spark, sf).select("conv_id", tx.greedy_chunks(tx.segments(F.col("messages"), 400), 900).alias("chunks")).write.json(source)
+
+    def first(text: str) -> dict:
+        _noted(calls, text, len(text) % 7 == 0)
+        return {"c": "yes" if len(text) > 600 else "no", "e": False, "a": False, "u": False, "x": False, "d": False, "z": False, "r": "none", "q": "no"}
+
+    def more(so_far: dict, text: str) -> dict:
+        _noted(calls, text, len(text) % 7 == 0)
+        return so_far | {"f": str(len(text))}
+
+    before = {k: spark.conf.get(k, None) for k in assess.STORE}
+    try:
+        for k, v in assess.STORE.items():
+            spark.conf.set(k, v)
+        stream = assess.assess_in_parts(spark.readStream.schema(shape).json(source), first, more, key="conv_id", pause=0.1)
+        assess.run_until_idle(stream, out, marks, every=0.2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    n = _files_in(calls)
+    found = spark.read.schema(f"conv_id long, {assess.ASSESSED}").json(out)
+    return found.select("conv_id", "total_chunks", "audited_chunks", F.array_join("findings", ",").alias("findings"), "error", F.lit(n).cast("long").alias("calls"))
+
+
+def _files_in(path: str) -> int:
+    fs, at = files.opened(path)
+    return len(fs.get_file_info(pafs.FileSelector(at)))
+
+
 def _screen(texts: list[str]) -> dict[int, dict]:
     """A double: no answer at all if a text's length is a multiple of 13, none to the last item of a batch of many if it is even."""
     if any(len(t) % 13 == 0 for t in texts):
