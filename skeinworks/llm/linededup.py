@@ -3,7 +3,9 @@
 A line is parsed by a tree of fixed depth: the number of its tokens, then its leading tokens;
 a token with a digit is a variable field.  A leaf generalises over its distinct lines: a further
 position keeps the token that most of them have, and is variable where none has most.  Lines
-that agree with all that the leaf's template keeps are of that template; others stand for
+that agree with all that the leaf's template keeps are of that template.  The others are dealt to clusters by their token at
+the position where these lines have the fewest different ones, which tells templates apart rather than what fills their
+fields; each cluster generalises likewise, and so on for a fixed depth.  Lines of no template stand for
 themselves.  Lines and templates found in enough documents recur; they are dropped, but for
 the first document that has them.
 
@@ -25,6 +27,8 @@ LEADING = 3
 LEAST_DOCS, LONG, LEAST_DOCS_LONG = 5, 12, 2
 #: Tokens that a template keeps, of a hundred of its lines', at least.
 LEAST_KEPT = 70
+#: Times that the lines of a leaf which fit no template are dealt to clusters.
+SPLITS = 3
 VARIABLE = "<*>"
 #: Bits of the filter that tells lines of busy leaves from most others, and those in a row of Spark's bitmaps: half a megabyte in all, whatever the table.
 FILTER_BITS, ROW_BITS = 1 << 22, 1 << 15
@@ -70,21 +74,37 @@ def _maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return found.where(F.call_function("shiftright", byte, (F.col("__bit") % 8).cast("int")) % 2 == 1).select(rows.columns)
 
 
+def _templates(lines: DataFrame) -> DataFrame:
+    """cluster, ``t`` (the kept token of each position, null where it is variable) and ``split``, the position with the fewest different tokens, from two on (the first of those)."""
+    tokens = lines.select("cluster", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    votes = tokens.groupBy("cluster", "at", "token").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("cluster", "at").agg(F.max_by("token", F.struct("votes", "token")).alias("token"), F.max("votes").alias("most"), F.sum("votes").alias("lines"), F.count(F.lit(1)).alias("kinds"))
+    kept = F.when((2 * F.col("most") > F.col("lines")) & (F.col("token") != VARIABLE), F.col("token"))
+    templates = best.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("at", kept.alias("token")))).alias("t"), F.min(F.when(F.col("kinds") > 1, F.struct("kinds", "at"))).alias("split"))
+    return templates.select("cluster", F.transform("t", lambda x: x["token"]).alias("t"), F.col("split.at").alias("split"))
+
+
 def generalised(cut: DataFrame) -> DataFrame:
-    """``own`` of the lines that agree with the template of their leaf, where a leaf that could recur has one that keeps enough."""
+    """``own`` of the lines that agree with a template of their leaf, where a leaf that could recur has one that keeps enough, and the template."""
     longer = cut.where(F.col("n") > LEADING)
     busy = longer.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.min("own").alias("a"), F.max("own").alias("b"))
     busy = written(busy.where((F.col("rows") >= LEAST_DOCS) & (F.col("a") != F.col("b"))).select("leaf"), "busy")
-    distinct = written(_maybe_in(longer, "leaf", busy).join(busy, "leaf").groupBy("leaf", "own").agg(F.min("masked").alias("masked"), F.min("n").alias("n")), "leaves")
-    tokens = distinct.select("leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    votes = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("leaf", "at").agg(F.max_by("token", F.struct("votes", "token")).alias("token"), F.max("votes").alias("most"), F.sum("votes").alias("lines"))
-    kept = F.when((2 * F.col("most") > F.col("lines")) & (F.col("token") != VARIABLE), F.col("token"))
-    templates = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", kept.alias("token")))).alias("t"))
-    templates = templates.withColumn("t", F.transform("t", lambda x: x["token"]))
-    enough = 100 * F.size(F.filter("t", lambda x: x.isNotNull())) >= LEAST_KEPT * F.size("t")
-    agrees = F.forall(F.zip_with("t", F.split("masked", " "), lambda t, x: t.isNull() | (t == x)), lambda x: x)
-    return distinct.join(templates.where(enough), "leaf").where(agrees).select("own", F.col("leaf").alias("template"))
+    lines = written(_maybe_in(longer, "leaf", busy).join(busy, "leaf").groupBy(F.col("leaf").alias("cluster"), "own").agg(F.min("masked").alias("masked")), "leaves")
+    found = None
+    for left in reversed(range(SPLITS + 1)):
+        both = lines.join(_templates(lines), "cluster")
+        tokens = F.split("masked", " ")
+        enough = 100 * F.size(F.filter("t", lambda x: x.isNotNull())) >= LEAST_KEPT * F.size("t")
+        agrees = F.forall(F.zip_with("t", tokens, lambda t, x: t.isNull() | (t == x)), lambda x: x)
+        judged = written(both.select("cluster", "own", "masked", (enough & agrees).alias("fits"), F.get(tokens, F.col("split")).alias("token")), "judged")
+        fits = judged.where("fits").select("own", F.col("cluster").alias("template"))
+        found = fits if found is None else found.unionByName(fits)
+        if left:
+            lines = judged.where("NOT fits AND token IS NOT NULL").select(F.xxhash64("cluster", "token").alias("cluster"), "own", "masked")
+            # A line alone is no template of its own
+            several = lines.groupBy("cluster").agg(F.min("own").alias("a"), F.max("own").alias("b")).where(F.col("a") != F.col("b")).select("cluster")
+            lines = written(lines.join(several, "cluster"), "clusters")
+    return found
 
 
 def mostly_shared(thin: DataFrame, share: float) -> DataFrame:
@@ -138,6 +158,25 @@ def without_templates(docs: DataFrame, *, text: str = "text", by_text: bool = Fa
     )
 
 
+def _rounds() -> str:
+    """The lines of each round's clusters, the templates of these, and the lines that fit, in SQL."""
+    cluster = "n, head, path"
+    parts = [f"lines0 AS MATERIALIZED (SELECT DISTINCT n, head, []::VARCHAR[] AS path, tokens FROM sized WHERE n > {LEADING})"]
+    for k in range(SPLITS + 1):
+        kept = f"2 * most > lines AND token <> '{VARIABLE}'"
+        parts += [
+            f"several{k} AS (SELECT {cluster} FROM lines{k} GROUP BY {cluster} HAVING count(*) > 1)",
+            f"placed{k} AS (SELECT {cluster}, unnest(tokens) AS token, unnest(range(1, n + 1)) AS pos FROM lines{k} JOIN several{k} USING ({cluster}))",
+            f"votes{k} AS (SELECT {cluster}, pos, token, count(*) AS votes FROM placed{k} GROUP BY {cluster}, pos, token)",
+            f"best{k} AS (SELECT {cluster}, pos, arg_max(token, votes) AS token, max(votes) AS most, sum(votes) AS lines, count(*) AS kinds FROM votes{k} GROUP BY {cluster}, pos)",
+            f"templates{k} AS (SELECT {cluster}, list(CASE WHEN {kept} THEN token END ORDER BY pos) AS t, count(*) FILTER ({kept}) AS kept, (min({{'kinds': kinds, 'pos': pos}}) FILTER (kinds > 1)).pos AS split FROM best{k} GROUP BY {cluster})",
+            f"judged{k} AS MATERIALIZED (SELECT {cluster}, tokens, tokens[split] AS token, 100 * kept >= {LEAST_KEPT} * n AND len(list_filter(range(1, n + 1), lambda i: t[i] IS NOT NULL AND t[i] <> tokens[i])) = 0 AS fits FROM lines{k} JOIN templates{k} USING ({cluster}))",
+            f"fit{k} AS (SELECT {cluster}, tokens FROM judged{k} WHERE fits)",
+            f"lines{k + 1} AS (SELECT n, head, list_append(path, token) AS path, tokens FROM judged{k} WHERE NOT fits AND token IS NOT NULL)",
+        ]
+    return ",\n".join(parts)
+
+
 #: The same with the lines and templates themselves instead of their hashes, for ids that are unique.
 ORACLE = f"""
 WITH lines AS (
@@ -145,19 +184,12 @@ WITH lines AS (
 cut AS (SELECT doc_id, place, list_filter(regexp_split_to_array(regexp_replace(line, '[^0-9\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '{VARIABLE}', 'g'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS tokens FROM lines),
 sized AS (SELECT *, len(tokens) AS n, list_slice(tokens, 1, {LEADING}) AS head FROM cut WHERE len(list_filter(tokens, lambda x: x <> '{VARIABLE}')) > 0),
 own AS (SELECT n, tokens, min(doc_id) AS first FROM sized GROUP BY n, tokens HAVING count(DISTINCT doc_id) >= CASE WHEN n >= {LONG} THEN {LEAST_DOCS_LONG} ELSE {LEAST_DOCS} END),
-leaf_lines AS (SELECT DISTINCT n, head, tokens FROM sized WHERE n > {LEADING}),
-leaves AS (SELECT n, head, count(*) AS lines FROM leaf_lines GROUP BY n, head HAVING count(*) > 1),
-placed AS (SELECT n, head, unnest(tokens) AS token, unnest(range(1, n + 1)) AS pos FROM leaf_lines JOIN leaves USING (n, head)),
-votes AS (SELECT n, head, pos, token, count(*) AS votes FROM placed GROUP BY ALL),
-best AS (SELECT n, head, pos, arg_max(token, votes) AS token, max(votes) AS most, sum(votes) AS lines FROM votes GROUP BY n, head, pos),
-templates AS (SELECT n, head, list(CASE WHEN 2 * most > lines AND token <> '{VARIABLE}' THEN token END ORDER BY pos) AS t, count(*) FILTER (2 * most > lines AND token <> '{VARIABLE}') AS kept FROM best GROUP BY n, head),
-fitting AS (
-  SELECT s.doc_id, s.place, s.n, s.head FROM sized s JOIN templates t ON s.n = t.n AND s.head = t.head
-  WHERE 100 * t.kept >= {LEAST_KEPT} * t.n AND len(list_filter(range(1, s.n + 1), lambda i: t.t[i] IS NOT NULL AND t.t[i] <> s.tokens[i])) = 0),
-recurring AS (SELECT n, head, min(doc_id) AS first FROM fitting GROUP BY n, head HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
+{_rounds()},
+fitting AS (SELECT s.doc_id, s.place, f.n, f.head, f.path FROM sized s JOIN ({" UNION ALL ".join(f"SELECT * FROM fit{k}" for k in range(SPLITS + 1))}) f ON s.n = f.n AND s.tokens = f.tokens),
+recurring AS (SELECT n, head, path, min(doc_id) AS first FROM fitting GROUP BY n, head, path HAVING count(DISTINCT doc_id) >= {LEAST_DOCS}),
 gone AS (
   SELECT doc_id, place FROM sized JOIN own USING (n, tokens) WHERE doc_id <> first
-  UNION SELECT doc_id, place FROM fitting JOIN recurring USING (n, head) WHERE doc_id <> first),
+  UNION SELECT doc_id, place FROM fitting JOIN recurring USING (n, head, path) WHERE doc_id <> first),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.place) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL), '') AS text
   FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id)

@@ -26,9 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skeinworks.llm.common import handed_back, text_or_empty, written
 from skeinworks.llm.components import components
@@ -366,33 +367,36 @@ def _sifted(rows: DataFrame, keys: list[str], order: list, *, words: int, least:
     return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("__seed"), *order).mapInArrow(run, schema)
 
 
-def unlike(groups: DataFrame, *, group: str, order: list, text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+def unlike(groups: DataFrame, *, group: str, order: list[Column], text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``groups`` (without ``text``) that are kept: in each group none is similar to another, and each that goes is similar to one that stays.
 
     Similar are rows whose sets of ``words``-word shingles have a Jaccard similarity of ``least`` or
-    more.  A row goes for one before it in ``order`` (columns); the first of a group always stays.  No pair is missed.
+    more.  A row goes for one before it in ``order`` (ascending, columns that tell all rows of a group apart); the first of a group always stays.  No
+    pair is missed, and the size of a group changes nothing.
 
-    A group of more than ``GROUP_ROWS`` is dealt out to parts that are sifted in tasks of their own; what is left of
-    them is sifted together, and every part again by what that keeps, until no row is undecided.
+    Of a group of more than ``GROUP_ROWS`` the first so many in order are sifted in one task; what they keep is
+    held against all others, in parts of bounded size; and so on with the first of those that are left, until none is.  So a row is decided only when all before it are.
     """
     others = [c for c in groups.columns if c != text]
+    place = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order))).alias("__order")
     sizes = groups.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
-    rows = groups.select(*others, text_or_empty(text).cast("binary").alias("__text"), F.lit(False).alias("__seed")).join(sizes, F.col(group).eqNullSafe(F.col("__g")))
+    rows = groups.select(*others, place, text_or_empty(text).cast("binary").alias("__text"), F.lit(False).alias("__seed")).join(sizes, F.col(group).eqNullSafe(F.col("__g")))
     parts = F.ceil(F.col("__n") / GROUP_ROWS).cast("int")
     rows = rows.withColumn("__parts", parts).withColumn("__part", F.pmod(F.xxhash64(*others), parts)).drop("__g", "__n")
-    sift = lambda df, keys, adding=True: _sifted(df, keys, order, words=words, least=least, adding=adding)
+    sift = lambda df, keys, adding=True: _sifted(df, keys, ["__order"], words=words, least=least, adding=adding)
     kept = sift(rows.where("__parts = 1"), [group]).select(others)
-    left = rows.where("__parts > 1")
     if sizes.where(F.col("__n") > GROUP_ROWS).isEmpty():
         return kept
-    left, seeds = written(left, "undecided"), None
-    while True:
-        some = sift(left, [group, "__part"])
-        new = written(sift(some if seeds is None else some.unionByName(seeds), [group]), "new")
+    left = written(rows.where("__parts > 1"), "undecided")
+    # Spark keeps only so many rows of a group in each task before these thin rows meet
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("__order"))
+    while not left.isEmpty():
+        first = left.select(group, "__order").withColumn("__rank", rank).where(F.col("__rank") <= GROUP_ROWS)
+        upto = written(first.groupBy(F.col(group).alias("__g")).agg(F.max("__order").alias("__upto")), "firsts")
+        both = left.join(upto, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+        new = written(sift(both.where("__order <= __upto").select(left.columns), [group]), "new")
         kept = kept.unionByName(new.select(others))
-        new = new.withColumn("__seed", F.lit(True))
-        seeds = new if seeds is None else seeds.unionByName(new)
-        everywhere = new.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts").cast("long") - 1)))
-        left = written(sift(left.unionByName(everywhere.select(left.columns)), [group, "__part"], False), "undecided")
-        if left.isEmpty():
-            return kept
+        everywhere = new.withColumn("__seed", F.lit(True)).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts").cast("long") - 1)))
+        later = both.where("__order > __upto").select(left.columns).unionByName(everywhere.select(left.columns))
+        left = written(sift(later, [group, "__part"], False), "undecided")
+    return kept
