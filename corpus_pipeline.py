@@ -65,7 +65,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grouped = texts.join(several, F.col("__group").eqNullSafe(F.col("__several"))).drop("__several")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__mark").eqNullSafe(F.col("__own")) & (F.col("__row") == F.col("__first"))
     whole = marked.join(grouped, same).groupBy("__group", "__id", "__own", "__first").agg(F.min("text").alias("text"))
-    kept = simhash.unlike(whole, group="__group", order=[F.asc_nulls_last("__id"), F.asc("__own")], words=SHINGLE_WORDS, least=LEAST_SIMILARITY).select("__id", "__own", "__first")
+    kept = simhash.unlike(whole, group="__group", order=[F.col("__id").isNull(), F.col("__id"), F.col("__own")], words=SHINGLE_WORDS, least=LEAST_SIMILARITY).select("__id", "__own", "__first")
     alone = texts.join(several, F.col("__group").eqNullSafe(F.col("__several")), "left_anti").select("__id", "__own", "__first")
     stay = marked.join(written(kept.unionByName(alone), "kept"), same, "left_semi")
     # Wholly equal rows are few: only these meet
