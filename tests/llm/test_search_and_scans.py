@@ -255,3 +255,48 @@ def test_repeated_heads_take_linear_time():
     automaton = licenses.compiled(licenses.TEMPLATES, licenses.PHRASES)
     said = [b"copyright"] * 100_000 + [b"mit", b"license"]
     assert ("mit", True, 100_000, 100_002) in automaton.places(said)
+
+
+# ---- similar pairs ----
+
+
+def shingles_of(text):
+    found = text.lower().split()
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
+def slow_pairs(texts, least=0.8):
+    sets = {k: shingles_of(t or "") for k, t in texts}
+    return sorted((a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
+
+
+@pytest.mark.parametrize("common", [0, 1 << 20])
+def test_all_similar_pairs(spark, monkeypatch, common):
+    """Edited copies, texts that share a passage, short and empty ones; whatever is known to be common."""
+    from skeinworks.llm import similar
+
+    monkeypatch.setattr(similar, "MOST_COMMON", common)
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(500)]
+    passage = list(rng.choice(vocabulary, 60))
+    texts = [(0, None), (1, ""), (2, "one two"), (3, "one two three four five six")]
+    for k in range(30):
+        body = list(rng.choice(vocabulary, int(rng.integers(20, 120))))
+        texts.append((len(texts), " ".join(passage + body)))
+        for _ in range(int(rng.integers(0, 4))):
+            edited = list(body)
+            for _ in range(int(rng.integers(1, 6))):
+                edited[int(rng.integers(len(edited)))] = "edited"
+            texts.append((len(texts), " ".join(passage + edited)))
+    rows = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    want = slow_pairs(texts)
+    links = similar.pairs(rows, node="id")
+    assert len(want) > 10 and sorted((r.a, r.b) for r in links.collect()) == want
+    # The first of each that stays decides
+    stay = []
+    for k, _ in texts:
+        if not any((a, k) in want for a in stay):
+            stay.append(k)
+    gone = similar.later_of(links, rows.withColumnRenamed("id", "node"), F.col("node"))
+    assert sorted(r.node for r in gone.distinct().collect()) == sorted({k for k, _ in texts} - set(stay))
+    assert similar.pairs(rows.limit(0), node="id").count() == 0 and similar.later_of(links.limit(0), rows.withColumnRenamed("id", "node"), F.col("node")).count() == 0

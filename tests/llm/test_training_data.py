@@ -1132,3 +1132,12 @@ def test_pipeline_runs(spark):
 
     assert [s for s, _ in cp.STAGES] == ["quality", "line dedup", "near dedup", "mixing", "byte-level BPE"]
     assert cp.run(spark, SF).count() > 50
+
+
+def test_columns_with_the_stages_own_names_come_back(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(i, f"some words of text {i % 3} and more of them", "en", "a", 30, i, "x", "y") for i in range(6)], DOCS + ", __mark long, __row string, `__slot` string")
+    for _, stage in cp.STAGES[1:4]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns and all(r["__mark"] == r.doc_id and r["__row"] == "x" for r in found.collect())
