@@ -6,11 +6,14 @@ folder and reads it again as the documents of the next.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinworks.llm import bpe, linededup, mixing, quality, simhash
+from skeinworks.llm import bpe, linededup, mixing, quality, similar, simhash
 from skeinworks.llm.common import deleted, fresh_path, intermediates, key_crc, table, written
 
 #: Score from which a document is kept.
@@ -26,6 +29,18 @@ CACHE_ENTRIES = 100_000
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def own_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage``, whose own columns begin with two underscores: columns of the caller's that do are renamed while it runs."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"kept{c}" for c in docs.columns if c.startswith("__")}
+        return stage(spark, docs.withColumnsRenamed(names), sf_dir).withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
+@own_names
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on two thirds of the labels, doesn't reject.
 
@@ -37,6 +52,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.scored(docs, model, out="__score", keep_text=True).where(F.col("__score") >= LEAST_SCORE).select(docs.columns)
 
 
+@own_names
 def without_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines of an earlier text that recur, long ones from the second text on; ``n_chars`` follows.
 
@@ -47,16 +63,29 @@ def without_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+def _stored(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written; whatever its operators have written for themselves goes at once."""
+    path = fresh_path(spark, what)
+    with intermediates(spark):
+        found = make()
+        found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+@own_names
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without near copies: of each group of candidates those that are not similar to one that stays, by id, the smallest first.
 
+    Groups are linked by fingerprints; what stays of them is then compared over all, so pairs whose fingerprints lie too far
+    apart are found as well, and of those the later document goes, too.
+
     Rows that agree in id and text are one: of those the one whose other columns come first by a hash,
     and of wholly equal rows one.  Rows without an id come last in their group, so copies of
     documents with one go; among themselves they are candidates if their groups have no id.  Null and
     empty texts, and such without words, are alike.  An empty table gives an empty one.
     """
     marked = docs.withColumns({"__mark": F.xxhash64("text"), "__row": F.xxhash64(*(f"`{c}`" for c in docs.columns))})
-    found = written(simhash.near_duplicates(marked.select("doc_id", "text", "__mark", "__row"), keep=("__mark", "__row"), **NEAR_COPIES), "candidates")
+    found = _stored(spark, "candidates", lambda: simhash.near_duplicates(marked.select("doc_id", "text", "__mark", "__row"), keep=("__mark", "__row"), **NEAR_COPIES))
     # A row for each text of a group, with the smallest id that has it
     ids = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     texts = found.groupBy(F.col("component_id").alias("__group"), F.col("__mark").alias("__own")).agg(F.min(ids).alias("first"))
@@ -64,10 +93,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     several = texts.groupBy(F.col("__group").alias("__several")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__several")
     grouped = texts.join(several, F.col("__group").eqNullSafe(F.col("__several"))).drop("__several")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__mark").eqNullSafe(F.col("__own")) & (F.col("__row") == F.col("__first"))
-    whole = marked.join(grouped, same).groupBy("__group", "__id", "__own", "__first").agg(F.min("text").alias("text"))
-    kept = simhash.unlike(whole, group="__group", order=[F.col("__id").isNull(), F.col("__id"), F.col("__own")], words=SHINGLE_WORDS, least=LEAST_SIMILARITY).select("__id", "__own", "__first")
-    alone = texts.join(several, F.col("__group").eqNullSafe(F.col("__several")), "left_anti").select("__id", "__own", "__first")
-    stay = marked.join(written(kept.unionByName(alone), "kept"), same, "left_semi")
+    place = [F.col("__id").isNull(), F.col("__id"), F.col("__own")]
+
+    def sifted() -> DataFrame:
+        whole = marked.join(grouped, same).groupBy("__group", "__id", "__own", "__first").agg(F.min("text").alias("text"))
+        kept = simhash.unlike(whole, group="__group", order=place, words=SHINGLE_WORDS, least=LEAST_SIMILARITY).select("__id", "__own", "__first")
+        alone = texts.join(several, F.col("__group").eqNullSafe(F.col("__several")), "left_anti").select("__id", "__own", "__first")
+        return kept.unionByName(alone)
+
+    kept = _stored(spark, "kept", sifted)
+    stay = written(marked.join(kept, same, "left_semi"), "stay")
+    links = written(similar.pairs(stay, node="__mark", words=SHINGLE_WORDS, least=LEAST_SIMILARITY), "links")
+    gone = similar.later_of(links, kept.withColumnRenamed("__own", "node"), F.struct(F.col("__id").isNull(), F.col("__id"), F.col("node")))
+    stay = stay.join(gone, stay["__mark"] == gone["node"], "left_anti")
     # Wholly equal rows are few: only these meet
     repeated = found.groupBy(F.col("doc_id").alias("__id"), F.col("__row").alias("__first")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id", "__first")
     again = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__first"))
@@ -75,6 +113,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(stay.join(repeated, again, "left_semi").select(docs.columns).dropDuplicates())
 
 
+@own_names
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, to the nearest whole time: up to three rows, or none, each in the place of the slot that takes it, so that sources alternate.
 
