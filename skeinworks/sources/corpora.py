@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skeinworks.sources import gzips
+
 #: Records of a part of an ordered corpus.
 PART_ROWS = 100_000
 
@@ -22,22 +24,16 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__inside", inside).join(starts, same).withColumn("position", F.col("__before") + F.col("__inside")).drop("__s", "__f", "__before", "__inside")
 
 
-def write_ordered(rows: DataFrame, path: str, *, position: str = "position", part_rows: int = PART_ROWS) -> None:
-    """Gzipped JSON lines in order of ``position``: a folder for each ``part_rows`` positions, one file in each, lines in order."""
-    part = (F.col(position) / part_rows).cast("long")
-    placed = rows.withColumn("part", part).repartition("part").sortWithinPartitions("part", position)
-    placed.drop(position).write.option("compression", "gzip").option("ignoreNullFields", False).partitionBy("part").json(path)
+def write_ordered(rows: DataFrame, path: str, *, position: str = "position", part_rows: int = PART_ROWS, member_bytes: int = gzips.MEMBER_BYTES) -> None:
+    """Gzipped JSON lines in order of ``position``: a file for each ``part_rows`` positions, of many members with an index (``gzips``)."""
+    value = F.to_json(F.struct(*(c for c in rows.columns if c != position)), {"ignoreNullFields": "false"})
+    gzips.write(rows.select((F.col(position) / part_rows).cast("long").alias("part"), F.col(position).alias("place"), value.alias("value")), path, member_bytes)
 
 
 def read_ordered(spark: SparkSession, path: str, schema: str, *, part_rows: int = PART_ROWS) -> DataFrame:
-    """The records of ``write_ordered`` with ``place``, from 0: the part's first, and the line in its file.
-
-    A gzipped file isn't split, so the ids that Spark gives to its rows ascend with its lines.
-    """
-    lines = spark.read.text(path).select("value", "part", F.monotonically_increasing_id().alias("__id"))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("__id")) - 1
-    placed = lines.withColumn("place", (F.col("part") * part_rows + inside).cast("long"))
-    return placed.select("place", F.from_json("value", schema).alias("r")).select("place", "r.*")
+    """The records of ``write_ordered`` with ``place``, from 0: the part's first, and the line in it; tasks begin at members."""
+    lines = gzips.read(spark, path)
+    return lines.select((F.col("part") * part_rows + F.col("place")).alias("place"), F.from_json("value", schema).alias("r")).select("place", "r.*")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from skeinworks.functions.messages import ROLE_NAMES, USER, clean, falsy_or, from_pairs, realized_path, role_count, transcript_hash
 from skeinworks.operators.corpus import long_by_turns, qualifying, records, run_keys, runs
-from skeinworks.sources import ranges
+from skeinworks.sources import gzips, ranges
 from skeinworks.sources.inventory import require_shards  # noqa: F401
 
 SAID = "array<struct<role:string,content:string>>"
@@ -223,8 +223,10 @@ def union_sources(sources: list[DataFrame]) -> DataFrame:
     return found
 
 
-def corpus_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A gzipped corpus of JSON lines.  One file can't be split: it is dealt out after reading."""
+def corpus_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A gzipped corpus of JSON lines: by its members where it has an index (``gzips``); a file of another writer can't be split, and is dealt out after reading."""
+    if gzips.is_indexed(spark, path):
+        return gzips.read(spark, path).select(F.from_json("value", schema).alias("r")).select("r.*")
     return spark.read.schema(schema).json(path).repartition(spark.sparkContext.defaultParallelism)
 
 

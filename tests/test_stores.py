@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from skeinworks.sources import buckets, ranges, versions
+from skeinworks.sources import buckets, corpora, gzips, ranges, readers, versions
 from test_ranges import SIZES, cut_at
 
 
@@ -129,3 +129,35 @@ def test_entries_of_every_cut(spark, tmp_path, size):
     with cut_at(spark, size):
         found = ranges.json_entries(spark, str(tmp_path)).orderBy("number").collect()
     assert [(r["key"], json.loads(r["value"])) for r in found] == list(value.items())
+
+
+def test_gzip_members(spark, tmp_path, monkeypatch):
+    """Any reader of gzip sees the lines in order; ours begins at members, in several tasks."""
+    import gzip
+    import json
+
+    monkeypatch.setattr(gzips, "TASK_BYTES", 400)
+    path, rows = f"file://{tmp_path}/corpus", [(i, f"n{i}", "text é\n" * (i % 7), None) for i in range(90)]
+    corpora.write_ordered(spark.createDataFrame(rows, "position long, id string, text string, nothing string").repartition(5), path, part_rows=40, member_bytes=300)
+    said = []
+    for part in (0, 1, 2):
+        with gzip.open(tmp_path / "corpus" / f"part={part}" / gzips.FILE, "rt", encoding="utf-8") as lines:
+            said += [json.loads(line) for line in lines]
+    assert said == [{"id": i, "text": t, "nothing": None} for _, i, t, _ in rows]
+    found = corpora.read_ordered(spark, path, "id string, text string", part_rows=40)
+    assert sorted(tuple(r) for r in found.collect()) == [(p, i, t) for p, i, t, _ in rows]
+    index = spark.read.schema(gzips.INDEX).json(f"{path}/_index")
+    assert index.count() > 10 and found.rdd.getNumPartitions() > 3
+    plain = spark.read.schema("id string").json(path)  # without the index
+    assert sorted(r["id"] for r in plain.collect()) == sorted(r["id"] for r in readers.corpus_jsonl(spark, path, "id string").collect()) == sorted(i for _, i, _, _ in rows)
+    # A task that is tried again replaces the part's file
+    corpora.gzips._PartFile(path, 0, 300).close()
+    assert [p.name for p in (tmp_path / "corpus" / "part=0").glob("*.gz")] == [gzips.FILE]
+    with pytest.raises(Exception, match="(lines at|gzip|EOF|ended)"):
+        found.collect()
+
+
+def test_an_empty_corpus(spark, tmp_path):
+    path = f"file://{tmp_path}/corpus"
+    corpora.write_ordered(spark.createDataFrame([], "position long, id string"), path)
+    assert corpora.read_ordered(spark, path, "id string").count() == 0 and readers.corpus_jsonl(spark, path, "id string").count() == 0
