@@ -31,12 +31,10 @@ def pending(corpus: DataFrame, done: DataFrame, *, key: str = "id", only: Sequen
 
 
 def wanted(corpus: DataFrame, ids: DataFrame, *, key: str = "id") -> DataFrame:
-    """The records of the given ids; an id that the corpus lacks is an error."""
-    names = ids.select(key).distinct()
-    missing = [r[0] for r in names.join(corpus.select(key), key, "left_anti").orderBy(key).limit(5).collect()]
-    if missing:
-        raise ValueError(f"missing conversations: {missing}")
-    return corpus.join(names, key, "left_semi")
+    """The records of the given ids; an id that the corpus lacks is an error, raised where the records are computed."""
+    found = ids.select(key).distinct().join(corpus.withColumn("__has", F.lit(True)), key, "left")
+    lacking = F.when(F.col("__has").isNull(), F.raise_error(F.concat(F.lit("missing conversation: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")).otherwise(F.lit(True))
+    return found.where(lacking).select(corpus.columns)
 
 
 def schedule(rows: DataFrame, policy: str = "length", *, limit: int = 0, source_order: str = "position") -> DataFrame:

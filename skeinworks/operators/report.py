@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.operators.audit import CANDIDATES, LEVEL_NAMES
@@ -58,26 +58,35 @@ def funnel(raw: DataFrame, corpus: DataFrame, audited: DataFrame, reviewed: Data
     )
 
 
-def campaign_state(corpus: DataFrame, audited: DataFrame, errors: DataFrame, manual: DataFrame, *, sources: int = 0) -> DataFrame:
-    """One row that says how far a campaign is: totals, labels and levels (maps) by machine and by hand.
+def campaign_state(corpus: DataFrame, audited: DataFrame, errors: DataFrame, manual: DataFrame, *, sources: int = 0, by: str | None = None, cutoff: int | None = None) -> DataFrame:
+    """How far a campaign is: totals, labels and levels (maps) by machine and by hand; one row, or one for each value of the column ``by`` that all four have.
 
     ``audited`` has id, label, level; ``manual`` conversation_id, label, level, of which only
-    the machine's candidates count.  Repeated ids in either are an error.  ``sources`` is added to nothing.
+    the machine's candidates count.  Repeated ids in either are an error.  With ``cutoff`` only the first so many lines of the machine's ledger (``audit_line``, from 0) count.
+    ``sources`` is how many records the sources had, for the report to show.
+
+    All four are counted together: a row for each combination of kind, label and level, of which the maps are made.
     """
-    require_unique(audited, "audited records")
-    require_unique(manual, "manual records", key="conversation_id")
-    candidates = audited.where(F.col("label").isin(*CANDIDATES)).select(F.col("id").alias("conversation_id"))
-    hand = manual.join(candidates, "conversation_id", "left_semi")
-    counts = lambda rows, c, name: rows.groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
-    total = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
-    parts = (
-        total(corpus, "corpus_total"), total(audited, "automated_total"), total(errors, "automated_errors"), total(candidates, "automated_candidates"),
-        counts(audited, "label", "automated_labels"), counts(audited, "level", "automated_levels"), total(hand, "manual_total"),
-        counts(hand, "label", "manual_labels"), counts(hand, "level", "manual_levels"), counts(hand.where("label = 'clear'"), "level", "clear_levels"),
+    seen = require_unique(audited if cutoff is None else audited.where(F.col("audit_line") < cutoff), "audited records")
+    known = seen.where(F.col("label").isin(*CANDIDATES)).select(F.col("id").alias("conversation_id"))
+    hand = require_unique(manual, "manual records", key="conversation_id").join(known, "conversation_id", "left_semi")
+    group = [by] if by else []
+    thin = lambda rows, kind, graded=False: rows.select(*group, F.lit(kind).alias("kind"), *((F.col(c).cast("string") if graded else F.lit(None).cast("string")).alias(c) for c in ("label", "level")))
+    every = thin(corpus, "corpus").unionByName(thin(seen, "automated", True)).unionByName(thin(errors, "errors")).unionByName(thin(hand, "manual", True))
+    counts = every.groupBy(*group, "kind", "label", "level").agg(F.count(F.lit(1)).alias("n"))
+    of = counts.groupBy(*group).agg(F.collect_list(F.struct("kind", "label", "level", "n")).alias("c"))
+    total = lambda test: F.aggregate(F.filter("c", test), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+
+    def mapped(test, value: str, kind: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.filter(F.transform(F.filter("c", test), lambda x: x[value].cast(kind)), lambda x: x.isNotNull())))
+        return F.map_from_arrays(names, F.transform(names, lambda k: total(lambda x: test(x) & (x[value].cast(kind) == k))))
+
+    auto, by_hand = (lambda x: x["kind"] == "automated"), (lambda x: x["kind"] == "manual")
+    found = of.select(
+        *group, F.lit(sources).cast("long").alias("source_total"), total(lambda x: x["kind"] == "corpus").alias("corpus_total"), total(auto).alias("automated_total"), total(lambda x: x["kind"] == "errors").alias("automated_errors"),
+        total(lambda x: auto(x) & x["label"].isin(*CANDIDATES)).alias("automated_candidates"), mapped(auto, "label", "string").alias("automated_labels"), mapped(auto, "level", "long").alias("automated_levels"),
+        total(by_hand).alias("manual_total"), mapped(by_hand, "label", "string").alias("manual_labels"), mapped(by_hand, "level", "long").alias("manual_levels"), mapped(lambda x: by_hand(x) & (x["label"] == "clear"), "level", "long").alias("clear_levels"),
     )
-    found = corpus.sparkSession.range(1).select(F.lit(sources).cast("long").alias("source_total"))
-    for part in parts:  # one row each
-        found = found.join(part)
     return found.withColumn("manual_pending", F.col("automated_candidates") - F.col("manual_total"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.functions.text import turn_references
@@ -55,9 +55,15 @@ def shared_ids(ledgers: dict[str, DataFrame], *, key: str = "conversation_id") -
     return all_ids.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("ledger")).alias("ledgers")).where("n > 1")
 
 
-def require_unique(rows: DataFrame, what: str, *, key: str = "id") -> None:
-    """Raise if a key stands in more than one row."""
-    require_empty(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{what}: repeated")
+def checked(rows: DataFrame, bad: Column, said: Column) -> DataFrame:
+    """``rows``; one that is ``bad`` is an error that says so, raised where the rows are computed, in the same plan."""
+    return rows.where(F.when(bad, F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
+
+
+def require_unique(rows: DataFrame, what: str, *, key: str = "id") -> DataFrame:
+    """``rows``; a key in more than one of them is an error."""
+    counted = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    return checked(counted, F.col("__n") > 1, F.concat(F.lit(f"{what}: repeated "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).drop("__n")
 
 
 def manual_candidates(manual: DataFrame, audited: DataFrame, *, key: str = "id", ledger: str | None = None) -> DataFrame:
@@ -67,10 +73,9 @@ def manual_candidates(manual: DataFrame, audited: DataFrame, *, key: str = "id",
     of a record, so is a label (``label``) that differs from it.
     """
     candidates = audited.where(F.col("label").isin(*CANDIDATES)).select(key).distinct()
-    found = manual.join(candidates, key, "left_semi")
-    require_unique(found, "manual reviews of candidates", key=key)
+    found = require_unique(manual.join(candidates, key, "left_semi"), "manual reviews of candidates", key=key)
     if ledger:
-        require_empty(found.where(~F.col("label").eqNullSafe(F.col(ledger))).select(key, "label", ledger), "labels in another ledger")
+        found = checked(found, ~F.col("label").eqNullSafe(F.col(ledger)), F.concat(F.lit("label in another ledger: "), F.col(key).cast("string")))
     return found
 
 
@@ -92,14 +97,14 @@ COMMENTS = (
 )
 
 
-def canonicalize(decisions: DataFrame, audited: DataFrame, cutoff: int, *, key: str = "conversation_id") -> DataFrame:
-    """Decisions (label, level, context, confidence, summary, boundary, evidence per stage) joined with their audit rows, as canonical records."""
+def canonicalize(decisions: DataFrame, audited: DataFrame, cutoff: int, *, key: str = "conversation_id", corpus_file: str = "", audit_file: str = "") -> DataFrame:
+    """Decisions (label, level, context, confidence, summary, boundary, evidence per stage) joined with their audit rows, as canonical records that name the files and the line they refer to."""
     source = audited.select(F.col("id").alias(key), "dataset", "source_id", F.col("label").alias("automated_label"), F.col("level").alias("automated_level"), "audit_line")
     rows = decisions.join(source, key)
     names, loci = {k: v[0] for k, v in LEVELS.items()}, {k: v[1] for k, v in LEVELS.items()}
     conclusion = F.coalesce(lookup(CONCLUSIONS, F.col("label")), F.lit(CONCLUSIONS["none"]))
     return rows.select(
-        key, "dataset", "source_id", "automated_label", "automated_level", "audit_line",
+        key, "dataset", "source_id", "automated_label", "automated_level", "audit_line", F.lit(corpus_file).alias("corpus_file"), F.lit(audit_file).alias("audit_file"),
         F.col("label").alias("manual_label"), F.lit(cutoff).alias("cutoff"), F.lit(True).alias("consumption_related"), "context", "level",
         lookup(names, F.col("level")).alias("level_name"), lookup(loci, F.col("level")).alias("locus"),
         F.when((F.col("label") == "clear") | (F.col("level") >= 3), "high").otherwise("medium").alias("priority"),

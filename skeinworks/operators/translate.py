@@ -12,7 +12,7 @@ from skeinworks.functions.messages import characters, transcript_hash, turn_labe
 from skeinworks.functions.text import batch_numbers, is_english_label, soft_pieces
 from skeinworks.operators.audit import wanted
 from skeinworks.operators.inference import translate_batches
-from skeinworks.operators.review import require_empty
+from skeinworks.operators.review import checked, require_empty
 
 #: Characters a translation may always have, and how many times its source beyond; a fixed value each.
 MIN_LIMIT, MAX_EXPANSION = 240, 7
@@ -131,9 +131,8 @@ def appendix(reviews: DataFrame, conversations: DataFrame, translations: DataFra
     """
     talks = wanted(conversations, reviews, key=key)
     both = reviews.join(talks, key).join(translations.select(key, "translations"), key, "left")
-    lacking = both.where(~is_english_label(F.col("language")) & F.col("translations").isNull()).select(key)
-    require_empty(lacking, "conversations without a translation")
-    return both
+    lacking = ~is_english_label(F.col("language")) & F.col("translations").isNull()
+    return checked(both, lacking, F.concat(F.lit("conversation without a translation: "), F.col(key).cast("string")))
 
 
 def run(

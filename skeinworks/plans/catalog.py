@@ -311,6 +311,10 @@ def p26_result_lines(spark, sf):
 # ---- audit and review ----
 
 
+def quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 @query(f"WITH {AUDITED} SELECT conv_id, label, level, CASE WHEN level > 0 THEN g ELSE 'none' END AS locus, CASE WHEN label <> 'none' AND q = 'no' THEN 'maybe' ELSE q END AS review, (label <> r OR (label <> 'none' AND q = 'no')) AS adjusted FROM audited")
 def n07_audit_labels(spark, sf):
     return fx.audited(spark, sf).select("conv_id", "label", F.col("level").cast("long").alias("level"), "locus", "review", "adjusted")
@@ -375,16 +379,17 @@ def j06_decision_problems(spark, sf):
 @query(f"""WITH {AUDITED} SELECT r.id AS conversation_id, a.label AS automated_label, r.label AS manual_label, r.level, (['instrumental_task', 'capability_extension', 'project_possession_extension', 'representational_extension', 'reflexive_extension', 'enacted_extension'])[r.level + 1] AS level_name,
   (['none', 'capability', 'owned_project', 'self_representation', 'self_understanding', 'possible_self_enactment'])[r.level + 1] AS locus, CASE WHEN r.label = 'clear' OR r.level >= 3 THEN 'high' ELSE 'medium' END AS priority,
   CASE WHEN r.conv_id % 2 = 0 THEN 'moderate' ELSE 'high' END AS confidence, CASE WHEN r.conv_id % 3 = 0 THEN 'U1' ELSE 'not directly evidenced' END AS turn,
-  CASE r.label WHEN 'clear' THEN 'Four' WHEN 'potential' THEN 'The case' ELSE 'The apparent' END AS conclusion, 3 AS reasons, 'at automated cutoff 100' AS boundary, 4 AS comments, true AS consumption FROM reviewed r JOIN audited a ON r.id = a.id""")
+  '{quoted("|".join(review.REASONS))}|' || CASE r.label WHEN 'clear' THEN '{quoted(review.CONCLUSIONS["clear"])}' WHEN 'potential' THEN '{quoted(review.CONCLUSIONS["potential"])}' ELSE '{quoted(review.CONCLUSIONS["none"])}' END AS reasons,
+  '{quoted("|".join((review.BOUNDARY % 100, *review.COMMENTS)))}|the end of ' || r.conv_id AS comments, r.conv_id AS audit_line, 'corpus.jsonl.gz' AS corpus_file, 'audit.jsonl' AS audit_file, true AS consumption FROM reviewed r JOIN audited a ON r.id = a.id""")
 def p27_canonical(spark, sf):
     rows = fx.audited(spark, sf)
     made = fx.reviewed(rows).withColumnRenamed("id", "conversation_id")
     said = F.when(F.col("conv_id") % 3 == 0, "The user says so in U1.").otherwise("Nothing said.")
-    made = made.withColumns({"confidence": F.when(F.col("conv_id") % 2 == 0, "medium").otherwise("high"), "context": F.lit("other"), "summary": F.lit(""), "boundary": F.lit(""), **{s: said for s in audit.STAGES}})
-    found = review.canonicalize(made, rows.withColumn("audit_line", F.col("conv_id")), 100)
+    made = made.withColumns({"confidence": F.when(F.col("conv_id") % 2 == 0, "medium").otherwise("high"), "context": F.lit("other"), "summary": F.lit(""), "boundary": F.concat(F.lit("the end of "), F.col("conv_id").cast("string")), **{s: said for s in audit.STAGES}})
+    found = review.canonicalize(made, rows.withColumn("audit_line", F.col("conv_id")), 100, corpus_file="corpus.jsonl.gz", audit_file="audit.jsonl")
     return found.select(
         "conversation_id", "automated_label", "manual_label", F.col("level").cast("long").alias("level"), "level_name", "locus", "priority", "confidence", F.col("externalization.turn").alias("turn"),
-        F.regexp_extract(F.get("reasons", F.lit(2)), "^(Four|The [a-z]+)", 1).alias("conclusion"), F.size("reasons").alias("reasons"), F.regexp_extract(F.get("comments", F.lit(0)), "at automated cutoff [0-9]+", 0).alias("boundary"), F.size("comments").alias("comments"), F.col("consumption_related").alias("consumption"),
+        F.array_join("reasons", "|").alias("reasons"), F.array_join("comments", "|").alias("comments"), "audit_line", "corpus_file", "audit_file", F.col("consumption_related").alias("consumption"),
     )
 
 

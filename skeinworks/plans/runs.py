@@ -338,7 +338,7 @@ def j02_wanted(spark, sf):
 
 @query(f"WITH {AUDITED} SELECT r.id, r.label AS ledger, true AS repeat_refused, true AS other_ledger_refused FROM reviewed r JOIN audited a ON r.id = a.id WHERE a.label <> 'none'")
 def j05_guarded_reviews(spark, sf):
-    rows = fx.audited(spark, sf)
+    rows = fx.stored(fx.audited(spark, sf), "audited")
     made = fx.reviewed(rows).withColumn("ledger", F.col("label"))
     repeat = _refused(lambda: review.manual_candidates(made.union(made), rows))
     other = _refused(lambda: review.manual_candidates(made.withColumn("ledger", F.lit("none")), rows, ledger="ledger"))
@@ -571,7 +571,7 @@ def j15_unavailable(spark, sf):
 
 @query(f"""WITH {AUDITED} SELECT r.id, r.level, CASE WHEN a.conv_id % 3 <> 0 THEN 't' || a.conv_id END AS said, true AS lacking_refused FROM reviewed r JOIN audited a ON r.id = a.id WHERE r.label = 'clear'""")
 def j16_appendix(spark, sf):
-    rows = fx.audited(spark, sf)
+    rows = fx.stored(fx.audited(spark, sf), "audited")
     reviews = fx.reviewed(rows).where("label = 'clear'").select("id", "level")
     talks = rows.select("id", "conv_id", F.when(F.col("conv_id") % 3 == 0, " English").otherwise("German").alias("language"))
     cache = talks.where("conv_id % 3 <> 0").select("id", F.array(F.concat(F.lit("t"), F.col("conv_id").cast("string"))).alias("translations"))
@@ -605,7 +605,7 @@ SELECT 500 AS source_total, (SELECT count(*) FROM audited) AS automated_total, (
   (SELECT count(*) FROM c) - (SELECT count(*) FROM h) AS manual_pending, (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM (SELECT label, count(*) AS n FROM audited GROUP BY label)) AS automated_labels,
   (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM (SELECT label, count(*) AS n FROM h GROUP BY label)) AS manual_labels, (SELECT string_agg(level || '=' || n, ',' ORDER BY level) FROM (SELECT level, count(*) AS n FROM h WHERE label = 'clear' GROUP BY level)) AS clear_levels, true AS repeats_refused""")
 def a15_campaign_state(spark, sf):
-    rows = fx.audited(spark, sf).withColumn("level", F.col("level").cast("long"))
+    rows = fx.stored(fx.audited(spark, sf).select("id", "conv_id", "dataset", "label", F.col("level").cast("long").alias("level")), "audited")
     manual = fx.reviewed(rows).withColumnRenamed("id", "conversation_id")
     repeats = _refused(lambda: report.campaign_state(rows, rows.union(rows), rows, manual))
     found = report.campaign_state(rows, rows, rows.where("conv_id % 9 = 0"), manual, sources=500)
@@ -613,6 +613,20 @@ def a15_campaign_state(spark, sf):
     return found.select("source_total", "automated_total", "automated_errors", "automated_candidates", "manual_total", "manual_pending", *(listed(c) for c in ("automated_labels", "manual_labels", "clear_levels")), F.lit(repeats).alias("repeats_refused"))
 
 
+@query(f"""WITH {AUDITED}, l AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS line, 'part ' || conv_id % 3 AS part FROM audited), s AS (SELECT * FROM l WHERE line < (SELECT count(*) // 2 FROM l)),
+h AS (SELECT s.part, r.label FROM reviewed r JOIN s ON r.id = s.id WHERE s.label <> 'none')
+SELECT part AS dataset, count(*) AS corpus_total, (SELECT count(*) FROM s WHERE s.part = l.part) AS automated_total, (SELECT count(*) FROM s WHERE s.part = l.part AND label <> 'none') AS automated_candidates, (SELECT count(*) FROM h WHERE h.part = l.part) AS manual_total,
+  coalesce((SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM (SELECT label, count(*) AS n FROM h WHERE h.part = l.part GROUP BY label)), '') AS manual_labels FROM l GROUP BY part""")
+def a15_state_by_dataset(spark, sf):
+    """The state of each dataset at a cutoff of half of the machine's ledger."""
+    rows = fx.audited(spark, sf).select("id", "conv_id", "label", "level", F.concat(F.lit("part "), (F.col("conv_id") % 3).cast("string")).alias("dataset"))
+    rows = fx.stored(rows.withColumn("audit_line", F.row_number().over(fx.Window.orderBy("conv_id")) - 1), "audited")
+    manual = fx.reviewed(rows).join(rows.select("id", "dataset"), "id").withColumnRenamed("id", "conversation_id")
+    found = report.campaign_state(rows, rows, rows.where("conv_id < 0"), manual, by="dataset", cutoff=rows.count() // 2)
+    labels = F.array_join(F.transform(F.map_entries("manual_labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return found.select("dataset", "corpus_total", "automated_total", "automated_candidates", "manual_total", labels.alias("manual_labels"))
+
+
 @query(f"WITH {AUDITED} SELECT label, count(*) AS n FROM reviewed GROUP BY label")
 def a21_decisions_by_label(spark, sf):
     return report.label_levels(fx.reviewed(fx.audited(spark, sf))).where("level IS NULL AND label IS NOT NULL").select("label", "n")
