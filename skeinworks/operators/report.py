@@ -95,30 +95,41 @@ def in_dataset_order(rows: DataFrame, names: Sequence[str], dataset: str = "data
     return rows.withColumn("place", F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(n) for n in names)), F.col(dataset)), F.lit(0)) - 1, F.lit(len(names))).cast("int"))
 
 
-def flow_text(funnel_rows: DataFrame, outcomes: DataFrame, *, errors: int = 0, names: Sequence[str] = ()) -> str:
-    """A Mermaid flow chart of a funnel (a row for each dataset) and the manual outcomes (label, level, n; ``label_levels`` will do).
+#: What a funnel counts.
+COUNTS = ("raw", "excluded", "included", "audited", "not_audited", "none", "potential", "clear", "candidates", "reviewed", "pending")
+#: What follows in the chart, and what leaves it.
+DOWN = (("raw", "included"), ("included", "audited"), ("audited", "quiet"), ("audited", "candidates"), ("candidates", "reviewed"), ("reviewed", "clear"), ("reviewed", "potential"), ("reviewed", "none"))
+ASIDE = (("raw", "excluded"), ("included", "waiting"), ("candidates", "pending"))
 
-    Steps go down, what leaves the flow goes aside; datasets are listed in the order of ``names``, then by name.
-    """
-    rows = in_dataset_order(funnel_rows, names).orderBy("place", "dataset").collect()  # a row for each dataset
-    found = {(r["label"], r["level"]): r["n"] for r in outcomes.where("label IS NOT NULL AND level IS NOT NULL").collect()}  # a row for each label and level
-    total = {c: sum(r[c] for r in rows) for c in ("raw", "excluded", "included", "audited", "not_audited", "none", "potential", "clear", "candidates", "reviewed", "pending")}
-
-    def box(name: str, head: str, column: str, *, by_source: bool = False, omit_zero: bool = True, more: Sequence[str] = ()) -> str:
-        listed = [f"{r['dataset']}: {r[column]:,}" for r in rows if by_source and (r[column] or not omit_zero)]
-        return f'  {name}["' + "<br/>".join([head, f"n = {total[column]:,}", *listed, *more]) + '"]'
 
-    def outcome(label: str, levels: Sequence[int]) -> str:
-        n = sum(v for (which, _), v in found.items() if which == label)
-        return f'  {label}["' + "<br/>".join([f"outcome {label}", f"n = {n:,}", *(f"level {x}: {found.get((label, x), 0):,}" for x in levels)]) + '"]'
+def flow_lines(funnel_rows: DataFrame, outcomes: DataFrame, *, errors: int = 0, names: Sequence[str] = ()) -> DataFrame:
+    """place (from 0), line: a Mermaid flow chart of a funnel (a row for each dataset) and the manual outcomes (label, level, n; ``label_levels`` will do).
 
-    lines = [
+    Steps go down, what leaves the flow goes aside; datasets are listed in the order of ``names``, then by name.  The
+    one row that the lines are made of holds a struct for each dataset, and one for each label and level.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("place", "dataset", *COUNTS)))
+    rows = in_dataset_order(funnel_rows, names).agg(listed.alias("listed"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS))
+    known = outcomes.where("label IS NOT NULL AND level IS NOT NULL").agg(F.collect_list(F.struct("label", "level", "n")).alias("outcomes"))
+    number = lambda c: F.format_number(c, 0)
+    said = lambda name, parts: F.concat(F.lit(f'  {name}["'), F.concat_ws("<br/>", *parts), F.lit('"]'))
+    entry = lambda name, n: F.concat(F.lit(f"{name}: "), number(n))
+
+    def box(name: str, head: str, column: str, *, by_source: bool = False, omit_zero: bool = True, more: Sequence[Column] = ()) -> Column:
+        some = F.filter("listed", lambda r: r[column] != 0) if omit_zero else F.col("listed")
+        each = F.transform(some, lambda r: F.concat(r["dataset"], F.lit(": "), number(r[column])))
+        return said(name, [F.lit(head), F.concat(F.lit("n = "), number(F.col(column))), *([each] if by_source else []), *more])
+
+    def outcome(label: str, levels: Sequence[int]) -> Column:
+        count = lambda test: F.aggregate(F.filter("outcomes", lambda x: (x["label"] == label) & test(x)), F.lit(0).cast("long"), lambda n, x: n + x["n"])
+        each = [entry(f"level {k}", count(lambda x, k=k: x["level"] == k)) for k in levels]
+        return said(label, [F.lit(f"outcome {label}"), F.concat(F.lit("n = "), number(count(lambda x: F.lit(True)))), *each])
+
+    boxes = [
         box("raw", "records collected", "raw", by_source=True, omit_zero=False), box("excluded", "too short or repeated", "excluded"), box("included", "corpus", "included", by_source=True, omit_zero=False),
-        box("audited", "assessed", "audited", by_source=True, more=[f"errors: {errors:,}"]), box("waiting", "not assessed", "not_audited", by_source=True), box("quiet", "no sign", "none"),
-        box("candidates", "candidates", "candidates", more=[f"potential: {total['potential']:,}", f"clear: {total['clear']:,}"]), box("reviewed", "reviewed by hand", "reviewed"), box("pending", "not reviewed", "pending"),
+        box("audited", "assessed", "audited", by_source=True, more=[F.lit(f"errors: {errors:,}")]), box("waiting", "not assessed", "not_audited", by_source=True), box("quiet", "no sign", "none"),
+        box("candidates", "candidates", "candidates", more=[entry("potential", F.col("potential")), entry("clear", F.col("clear"))]), box("reviewed", "reviewed by hand", "reviewed"), box("pending", "not reviewed", "pending"),
         outcome("clear", (3, 4, 5)), outcome("potential", (1, 2, 3, 4, 5)), outcome("none", (0,)),
     ]
-    down = (("raw", "included"), ("included", "audited"), ("audited", "quiet"), ("audited", "candidates"), ("candidates", "reviewed"), ("reviewed", "clear"), ("reviewed", "potential"), ("reviewed", "none"))
-    aside = (("raw", "excluded"), ("included", "waiting"), ("candidates", "pending"))
-    lines += [f"  {a} --> {b}" for a, b in down] + [f"  {a} -.-> {b}" for a, b in aside]
-    return "flowchart TB\n" + "\n".join(lines) + "\n"
+    arrows = [F.lit(f"  {a} --> {b}") for a, b in DOWN] + [F.lit(f"  {a} -.-> {b}") for a, b in ASIDE]
+    return rows.join(known).select(F.posexplode(F.array(F.lit("flowchart TB"), *boxes, *arrows)).alias("place", "line"))

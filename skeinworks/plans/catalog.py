@@ -244,7 +244,7 @@ def c03_pack_batches(spark, sf):
         CASE WHEN contains(substr(rest, 1, 1000), ' ') THEN least(1000, length(rest)) - instr(reverse(substr(rest, 1, 1000)), ' ') ELSE -1 END AS space FROM r WHERE rest IS NOT NULL)))
 SELECT doc_id, part - 1 AS part, piece FROM r WHERE part > 0""")
 def p18_soft_pieces(spark, sf):
-    return fx.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(tx.soft_pieces(F.col("text"), 1000)).alias("part", "piece"))
+    return fx.table(spark, sf, "documents").select("doc_id", F.posexplode(tx.soft_pieces(F.col("text"), 1000)).alias("part", "piece"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 82) || ' […omitted…] ' || right(text, 82) ELSE text END AS short,

@@ -80,16 +80,19 @@ def sampled_shards(spark: SparkSession, sf: str, first: int) -> DataFrame:
     return readers.turn_sample(spark, path, first).withColumn("messages", clean(F.col("conversation")))
 
 
-@query("SELECT 4 AS shards, true AS wrong_number_refused")
+@query("SELECT conv_id % 4 AS shard, count(DISTINCT conv_id) AS conversations, count(*) AS messages, true AS wrong_number_refused FROM conversations GROUP BY 1")
 def s03_require_shards(spark, sf):
-    path = _parquet(spark, sf)
-    shards = len(readers.require_shards(spark.read.parquet(path), 4).inputFiles())
+    """What each shard of a release holds, read only if they are as many as expected."""
+    path = fx.scratch(spark, "shards")
+    _talks(spark, sf).select((F.col("conv_id") % 4).alias("shard"), "talk").repartition(4, "shard").write.partitionBy("shard").parquet(path)
+    found = readers.require_shards(spark.read.parquet(path), 4)
     try:
         readers.require_shards(spark.read.parquet(path), 5)
         refused = False
     except ValueError:
         refused = True
-    return spark.range(1).select(F.lit(shards).alias("shards"), F.lit(refused).alias("wrong_number_refused"))
+    number = F.regexp_extract(F.col("_metadata.file_path"), "shard=([0-9]+)", 1).cast("long")
+    return found.groupBy(number.alias("shard")).agg(F.count(F.lit(1)).alias("conversations"), F.sum(F.size("talk")).alias("messages"), F.lit(refused).alias("wrong_number_refused"))
 
 
 @query(_records("typed", "conv_id::VARCHAR", exchanges="nu", gate=f"nu >= {LEAST}"))

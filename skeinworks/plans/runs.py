@@ -218,7 +218,7 @@ def p20_visible_controls(spark, sf):
 
 
 ENGLISH = r"""SELECT *, len(regexp_extract_all(said, '[A-Za-z]')) AS letters, regexp_extract_all(lower(said), '[a-z'']+') AS words FROM ({})"""
-SAYS = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Hello, the OK' WHEN 1 THEN '12 + 3 = 15!' WHEN 2 THEN 'ja, gut' WHEN 3 THEN 'is it' ELSE text END AS said, (doc_id % 100) / 100 AS p FROM documents WHERE text IS NOT NULL"
+SAYS = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Hello, the OK' WHEN 1 THEN '12 + 3 = 15!' WHEN 2 THEN 'ja, gut' WHEN 3 THEN 'is it' ELSE text END AS said, (doc_id % 100) / 100 AS p FROM documents"
 LISTED = "len(words) > 0 AND len(list_filter(words, lambda w: w NOT IN ('a', 'an', 'and', 'are', 'hello', 'hi', 'i', 'is', 'it', 'no', 'ok', 'okay', 'the', 'to', 'yes', 'you'))) = 0"
 
 
@@ -232,10 +232,15 @@ def p21_surely_english(spark, sf):
     return rows.select("doc_id", translate.surely_english(F.col("said"), p).alias("english"))
 
 
-@query("""SELECT doc_id, concat_ws('; ', CASE WHEN doc_id % 2 = 0 THEN 'externalization U' || doc_id END, CASE WHEN doc_id % 3 = 0 THEN 'AI reflection A1' END, 'user uptake U2') AS said FROM documents""")
+FIRST_WORDS = "regexp_extract(coalesce({}, ''), '^[A-Za-z]+', 0)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {FIRST_WORDS.format('text')} AS one, {FIRST_WORDS.format('lang')} AS two, {FIRST_WORDS.format('source')} AS three FROM documents)
+SELECT doc_id, concat_ws('; ', CASE WHEN one <> '' THEN 'externalization ' || one END, CASE WHEN two <> '' THEN 'AI reflection ' || two END, CASE WHEN three <> '' THEN 'user uptake ' || three END) AS said FROM d""")
 def p28_evidence_sequence(spark, sf):
-    d = F.col("doc_id")
-    turns = {"externalization": F.when(d % 2 == 0, F.concat(F.lit("U"), d.cast("string"))), "AI reflection": F.when(d % 3 == 0, "A1").otherwise(""), "user uptake": F.lit("U2")}
+    """The first words of a document's text, language and source as turns, some of them empty."""
+    first = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), "^[A-Za-z]+", 0)
+    turns = {"externalization": first("text"), "AI reflection": first("lang"), "user uptake": F.nullif(first("source"), F.lit(""))}
     return fx.table(spark, sf, "documents").select("doc_id", review.evidence_sequence(turns).alias("said"))
 
 
@@ -246,15 +251,17 @@ def p30_without_residue(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", tx.without_residue(dirty, head=r"\s*\[Bot #\]:\s*", sentences=["the"]).alias("text"))
 
 
-@query("""SELECT page_id, 'The GenAI ' || page_id || 'Th Page L3 Of AI S' AS title FROM pages""")
+@query(r"""WITH w AS (SELECT page_id, 'The GenAI ' || trim(regexp_replace(regexp_replace(coalesce(url, ''), '[^A-Za-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) || ' L3 Of AI S' AS said FROM pages)
+SELECT page_id, list_aggregate(list_transform(regexp_extract_all(said, '[A-Za-z]+|[^A-Za-z]+'), lambda x: CASE WHEN x IN ('GenAI', 'AI', 'L') THEN x ELSE upper(x[1]) || lower(x[2:]) END), 'string_agg', '') AS title FROM w""")
 def p31_titles(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", tx.title(F.concat(F.lit("the  genai: "), F.col("page_id").cast("string"), F.lit("TH page, l 3 (of ai's)"))).alias("title"))
+    heading = F.concat(F.lit("the  genai: "), F.coalesce("url", F.lit("")), F.lit(", l 3 (of ai's)"))
+    return fx.table(spark, sf, "pages").select("page_id", tx.title(heading).alias("title"))
 
 
-@query("""WITH n AS (SELECT source, count(*) * 1000 AS n FROM documents WHERE source IS NOT NULL GROUP BY source), c AS (SELECT source, n, CASE WHEN source < 'src1' THEN 0 ELSE n END AS m FROM n)
+@query("""WITH n AS (SELECT source, count(*) * 1000 AS n FROM documents GROUP BY source), c AS (SELECT source, n, CASE WHEN source < 'src1' THEN 0 ELSE n END AS m FROM n)
 SELECT source, 'all: ' || format('{:,}', n) || '<br/>some: ' || format('{:,}', m) AS every, CASE WHEN m = 0 THEN 'all: ' || format('{:,}', n) ELSE 'all: ' || format('{:,}', n) || '<br/>some: ' || format('{:,}', m) END AS nonzero FROM c""")
 def p32_thousands(spark, sf):
-    n = fx.table(spark, sf, "documents").where("source IS NOT NULL").groupBy("source").agg((F.count(F.lit(1)) * 1000).alias("n")).withColumn("m", F.when(F.col("source") < "src1", 0).otherwise(F.col("n")))
+    n = fx.table(spark, sf, "documents").groupBy("source").agg((F.count(F.lit(1)) * 1000).alias("n")).withColumn("m", F.when(F.col("source") < "src1", 0).otherwise(F.col("n")))
     pairs = [("all", F.col("n")), ("some", F.col("m"))]
     return n.select("source", tx.thousands_list(pairs).alias("every"), tx.thousands_list(pairs, omit_zero=True).alias("nonzero"))
 
@@ -593,10 +600,14 @@ def a20_fragment_counts(spark, sf):
     return found.groupBy(F.when(F.col("status") == "hit", "hit").otherwise("rebuilt").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, doc_id % 4 = 0 AS current FROM documents""")
+@query("""SELECT doc_id, coalesce(doc_id % 4 <> 1 AND sha256(text) = sha256(CASE WHEN doc_id % 4 = 2 THEN replace(text, 'e', '') ELSE text END) AND sha256(lang) = sha256(CASE WHEN doc_id % 4 = 3 THEN source ELSE lang END), false) AS current FROM documents""")
 def f15_current_outputs(spark, sf):
-    d = F.col("doc_id")
-    rows = fx.table(spark, sf, "documents").select("doc_id", F.when(d % 4 == 1, 1).otherwise(2).alias("format_version"), F.when(d % 4 == 2, None).otherwise("f").alias("document_fingerprint"), F.lit("f").alias("expected_fingerprint"), F.lit("h").alias("output_sha256"), F.when(d % 4 == 3, "g").otherwise("h").alias("file_sha256"))
+    """Outputs of texts: of another format, of texts that have changed since, with other bytes on file; null texts and languages have no hash."""
+    d, sha = F.col("doc_id"), lambda c: F.sha2(c, 256)
+    rows = fx.table(spark, sf, "documents").select(
+        "doc_id", F.when(d % 4 == 1, 1).otherwise(2).alias("format_version"), sha(F.col("text")).alias("document_fingerprint"), sha(F.when(d % 4 == 2, F.replace("text", F.lit("e"), F.lit(""))).otherwise(F.col("text"))).alias("expected_fingerprint"),
+        sha(F.col("lang")).alias("output_sha256"), sha(F.when(d % 4 == 3, F.col("source")).otherwise(F.col("lang"))).alias("file_sha256"),
+    )
     return fingerprint.is_current(rows, 2).select("doc_id", "current")
 
 
@@ -632,21 +643,34 @@ def a21_decisions_by_label(spark, sf):
     return report.label_levels(fx.reviewed(fx.audited(spark, sf))).where("level IS NULL AND label IS NOT NULL").select("label", "n")
 
 
-@query(f"""WITH {AUDITED}, c AS (SELECT count(*) AS n, count(*) FILTER (conv_id % 5 <> 4) AS seen, count(*) FILTER (conv_id % 5 <> 4 AND label <> 'none') AS cand, count(*) FILTER (conv_id % 5 <> 4 AND label <> 'none' AND conv_id % 4 <> 3) AS rev, count(*) FILTER (conv_id % 5 <> 4 AND label = 'potential') AS p, count(*) FILTER (conv_id % 5 <> 4 AND label = 'clear') AS cl FROM audited),
-o AS (SELECT label, level, count(*) AS n FROM reviewed GROUP BY label, level)
-SELECT unnest([
-  '  raw["records collected<br/>n = ' || format('{{:,}}', n + 7) || '<br/>all: ' || format('{{:,}}', n + 7) || '"]', '  excluded["too short or repeated<br/>n = 7"]', '  included["corpus<br/>n = ' || n || '<br/>all: ' || n || '"]',
-  '  audited["assessed<br/>n = ' || seen || '<br/>all: ' || seen || '<br/>errors: 2"]', '  pending["not reviewed<br/>n = ' || (cand - rev) || '"]', '  candidates["candidates<br/>n = ' || cand || '<br/>potential: ' || p || '<br/>clear: ' || cl || '"]',
-  '  clear["outcome clear<br/>n = ' || (SELECT coalesce(sum(o.n), 0) FROM o WHERE label = 'clear') || '<br/>level 3: ' || (SELECT coalesce(sum(o.n), 0) FROM o WHERE label = 'clear' AND level = 3) || '<br/>level 4: ' || (SELECT coalesce(sum(o.n), 0) FROM o WHERE label = 'clear' AND level = 4)
-    || '<br/>level 5: ' || (SELECT coalesce(sum(o.n), 0) FROM o WHERE label = 'clear' AND level = 5) || '"]', '  included -.-> waiting']) AS line FROM c""")
+def _chart_sql() -> str:
+    """The chart's lines, in order."""
+    n = lambda x: f"format('{{:,}}', CAST({x} AS BIGINT))"
+    total = lambda c: f"'n = ' || {n(f'(SELECT sum({c}) FROM f)')}"
+    each = lambda c, all_: f"(SELECT coalesce(string_agg('<br/>' || dataset || ': ' || {n(c)}, '' ORDER BY dataset), '') FROM f{'' if all_ else f' WHERE {c} <> 0'})"
+    box = lambda name, head, c, more="": f"""'  {name}["{head}<br/>' || {total(c)}{more} || '"]'"""
+    of = lambda label, level: f"(SELECT coalesce(sum(n), 0) FROM o WHERE label = '{label}'{f' AND level = {level}' if level is not None else ''})"
+    out = lambda label, levels: f"""'  {label}["outcome {label}<br/>n = ' || {n(of(label, None))}""" + "".join(f" || '<br/>level {k}: ' || {n(of(label, k))}" for k in levels) + """ || '"]'"""
+    lines = [
+        "'flowchart TB'", box("raw", "records collected", "raw", " || " + each("raw", True)), box("excluded", "too short or repeated", "excluded"), box("included", "corpus", "included", " || " + each("included", True)),
+        box("audited", "assessed", "audited", " || " + each("audited", False) + " || '<br/>errors: 2'"), box("waiting", "not assessed", "waiting", " || " + each("waiting", False)), box("quiet", "no sign", "quiet"),
+        box("candidates", "candidates", "potential + clear", f" || '<br/>potential: ' || {n('(SELECT sum(potential) FROM f)')} || '<br/>clear: ' || {n('(SELECT sum(clear) FROM f)')}"), box("reviewed", "reviewed by hand", "reviewed"), box("pending", "not reviewed", "potential + clear - reviewed"),
+        out("clear", (3, 4, 5)), out("potential", (1, 2, 3, 4, 5)), out("none", (0,)),
+        *(f"'  {a} --> {b}'" for a, b in (("raw", "included"), ("included", "audited"), ("audited", "quiet"), ("audited", "candidates"), ("candidates", "reviewed"), ("reviewed", "clear"), ("reviewed", "potential"), ("reviewed", "none"))),
+        *(f"'  {a} -.-> {b}'" for a, b in (("raw", "excluded"), ("included", "waiting"), ("candidates", "pending"))),
+    ]
+    return f"[{', '.join(lines)}]"
+
+
+@query(f"""WITH {AUDITED}, f AS (SELECT 'part ' || conv_id % 3 AS dataset, count(*) + 7 AS raw, 7 AS excluded, count(*) AS included, count(*) FILTER (conv_id % 5 <> 4) AS audited, count(*) FILTER (conv_id % 5 = 4) AS waiting, count(*) FILTER (conv_id % 5 <> 4 AND label = 'none') AS quiet,
+  count(*) FILTER (conv_id % 5 <> 4 AND label = 'potential') AS potential, count(*) FILTER (conv_id % 5 <> 4 AND label = 'clear') AS clear, count(*) FILTER (conv_id % 5 <> 4 AND label <> 'none' AND conv_id % 4 <> 3) AS reviewed FROM audited GROUP BY 1),
+o AS (SELECT label, level, count(*) AS n FROM reviewed GROUP BY label, level), x AS (SELECT {_chart_sql()} AS lines) SELECT unnest(range(0, len(lines))) AS place, unnest(lines) AS line FROM x""")
 def k13_flow_chart(spark, sf):
-    """Some lines of the flow chart that don't depend on its layout."""
-    rows = fx.audited(spark, sf).withColumn("dataset", F.lit("all"))
+    rows = fx.audited(spark, sf).withColumn("dataset", F.concat(F.lit("part "), (F.col("conv_id") % 3).cast("string")))
     raw = rows.groupBy("dataset").agg((F.count(F.lit(1)) + 7).alias("rows"))
     reviewed = fx.reviewed(rows)
-    chart = report.flow_text(report.funnel(raw, rows, rows.where("conv_id % 5 <> 4"), reviewed), report.label_levels(reviewed), errors=2)
-    lines = spark.createDataFrame([(x,) for x in chart.split("\n")], "line string")
-    return lines.where(F.col("line").rlike(r'^  (raw|excluded|included|audited|pending|candidates|clear)\[|included -\.-> waiting'))
+    chart = report.flow_lines(report.funnel(raw, rows, rows.where("conv_id % 5 <> 4"), reviewed), report.label_levels(reviewed), errors=2)
+    return chart.withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"""WITH {MESSAGES} SELECT conv_id, '[' || string_agg('{{"role":"' || role || '","content":' || replace(replace(to_json(text), 'th', '\\u000b\\u001f'), 'en', '\\\\u001F') || '}}', ',' ORDER BY turn) || ']' AS json FROM m GROUP BY conv_id""")
