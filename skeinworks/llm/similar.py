@@ -23,6 +23,10 @@ from skeinworks.llm.simhash import shingle_set
 SAMPLE_TEXTS, MOST_COMMON = 5_000, 1 << 20
 #: Text of a batch, in bytes, and shingles of a text of the sample, about.
 BYTES_AT_ONCE, SAMPLE_SHINGLES = 1 << 20, 4_096
+#: Shingles that a task sends at once, and text for each part of the shingles: a part is met in one task, a million of them or so.
+SENT_AT_ONCE, TEXT_OF_PART = 1 << 20, 32 << 20
+#: A shingle's high bits, the text's node, and its size by steps of the least similarity: what is sent of a text's shingle.
+SENT = np.dtype([("high", "<u4"), ("low", "<u2"), ("node", "<i8"), ("step", "u1")])
 
 
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,40 +66,59 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
     rows = texts.select(F.col(node).alias("node"), text_or_empty(text).cast("binary").alias("text")).where("node IS NOT NULL")
     common = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
 
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_OF_PART))
+    step = math.log(1 / least)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for part in text_slices(handed_back(batches), 1, BYTES_AT_ONCE):
-            keys, sizes = [], []
-            for value in part.column(1):
+            for node, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 found = shingle_set(value.as_py(), words)
-                keys.append(first_shingles(found, common.value, least) if len(found) else found)
-                sizes.append(len(found))
-            each = [len(k) for k in keys]
-            nodes = np.repeat(part.column(0).to_numpy(), each)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(nodes)], names=["key", "size", "node"])
+                if len(found):
+                    keys = first_shingles(found, common.value, least)
+                    held.append((keys, node, int(math.log(len(found)) / step)))
+                    n += len(keys)
+                if n >= SENT_AT_ONCE:
+                    yield sent(held)
+                    held, n = [], 0
+        if held:
+            yield sent(held)
+
+    def sent(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        """A row for each part, with what goes there as bytes: a third of what rows of their own would take."""
+        keys = np.concatenate([k for k, _, _ in held])
+        out, each = np.empty(len(keys), SENT), [len(k) for k, _, _ in held]
+        out["high"], out["low"] = keys >> np.uint64(32), keys >> np.uint64(16) & np.uint64(0xFFFF)
+        out["node"], out["step"] = np.repeat([n for _, n, _ in held], each), np.repeat([c for _, _, c in held], each)
+        to = (keys % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[order], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(edges))
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array([out[order[edges[p] : edges[p + 1]]].tobytes() for p in some], pa.binary())], names=["part", "sent"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        last, held = None, []
         for batch in handed_back(batches):
-            # What the batch's last key has so far waits for the next one
-            key = batch.column(0).to_numpy()
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1], "left"))
-            if cut:
-                yield from met([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
+            for part, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != last and held:
+                    yield from met(np.concatenate(held))
+                    held = []
+                last = part
+                held.append(np.frombuffer(value.as_py(), SENT))
         if held:
-            yield from met(held)
+            yield from met(np.concatenate(held))
 
-    def met(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, size, nodes = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(3))
-        edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+    def met(all_: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = all_["high"].astype(np.uint64) << np.uint64(16) | all_["low"].astype(np.uint64)
+        order = np.lexsort((all_["node"], all_["step"], key))
+        key, size, nodes = key[order], all_["step"][order].astype(int), all_["node"][order]
+        edges = np.flatnonzero(np.diff(key, prepend=~key[:1], append=~key[-1:]))
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a < 2:
                 continue
-            # By ascending size: similar sets aren't far apart in it
-            reach = np.searchsorted(size[a:b], size[a:b] / least + 1e-6, "right")
+            # Similar sets are a step apart at most
+            reach = np.searchsorted(size[a:b], size[a:b] + 1, "right")
             for i in range(b - a - 1):
                 other = nodes[a + i + 1 : a + reach[i]]
                 other = other[other != nodes[a + i]]
@@ -111,8 +134,8 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
                 keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    dealt = rows.mapInArrow(deal, "key long, size int, node long")
-    met_pairs = written(dealt.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(meet, "a long, b long").distinct(), "met")
+    dealt = rows.mapInArrow(deal, "part long, sent binary").repartition(parts, "part").sortWithinPartitions("part")
+    met_pairs = written(dealt.mapInArrow(meet, "a long, b long").distinct(), "met")
     if met_pairs.isEmpty():
         return met_pairs
     wanted = met_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
