@@ -6,6 +6,7 @@ folder and reads it again as the documents of the next.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 from functools import wraps
 
@@ -64,12 +65,16 @@ def without_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def _stored(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, written; whatever its operators have written for themselves goes at once."""
+    """What ``make`` gives, written; whatever its operators have written for themselves goes at once, and Spark's cleaner is called for the shuffles that nothing needs any more."""
     path = fresh_path(spark, what)
     with intermediates(spark):
         found = make()
+        schema = found.schema
         found.write.parquet(path)
-    return spark.read.schema(found.schema).parquet(path)
+    del found
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 @own_names
@@ -102,8 +107,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return kept.unionByName(alone)
 
     kept = _stored(spark, "kept", sifted)
-    stay = written(marked.join(kept, same, "left_semi"), "stay")
-    links = written(similar.pairs(stay, node="__mark", words=SHINGLE_WORDS, least=LEAST_SIMILARITY), "links")
+    stay = _stored(spark, "stay", lambda: marked.join(kept, same, "left_semi"))
+    links = _stored(spark, "links", lambda: similar.pairs(stay, node="__mark", words=SHINGLE_WORDS, least=LEAST_SIMILARITY))
     gone = similar.later_of(links, kept.withColumnRenamed("__own", "node"), F.struct(F.col("__id").isNull(), F.col("__id"), F.col("node")))
     stay = stay.join(gone, stay["__mark"] == gone["node"], "left_anti")
     # Wholly equal rows are few: only these meet
