@@ -326,3 +326,38 @@ def s26_file_states(spark, sf):
     # The folder that holds a file names it here
     present = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", "name=([a-z])", 1).alias("file"), "length")
     return inventory.verify_sizes(pinned, present).select("file", "state", "dataset", "bytes")
+
+
+#: Each source's documents as a release, a file for each language.
+PINNED = """p AS (SELECT source AS dataset, 'org/' || source AS repository, substr(sha256(source), 1, 40) AS revision, replace(source, 'src', 's_') AS folder, 'data/' || lang || '.jsonl' AS remote, lang || '.jsonl' AS file, CAST(sum(strlen(text)) AS BIGINT) AS bytes
+  FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL GROUP BY source, lang)"""
+
+
+def _pinned(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.table(spark, sf, "documents").where("text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL").groupBy("source", "lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    file = F.concat("lang", F.lit(".jsonl"))
+    return rows.select(F.col("source").alias("dataset"), F.concat(F.lit("org/"), "source").alias("repository"), F.substring(F.sha2("source", 256), 1, 40).alias("revision"), F.replace("source", F.lit("src"), F.lit("s_")).alias("folder"), F.concat(F.lit("data/"), file).alias("remote"), file.alias("file"), "bytes")
+
+
+@query(f"""WITH {PINNED} SELECT dataset, dataset || ': ' || any_value(repository) || '@' || any_value(revision) || ' (' || count(*) || ' files, ' || printf('%.3f', sum(bytes) / 1e9) || ' GB) -> raw/' || any_value(folder) AS said, true AS unknown_refused
+FROM p WHERE dataset IN ('src1', 'src2') GROUP BY dataset""")
+def s25_pinned_releases(spark, sf):
+    """Two of the pinned releases as they are described, and one that isn't pinned refused."""
+    pinned = _pinned(spark, sf)
+    try:
+        inventory.selected(pinned, ["src1", "none"]).collect()
+        refused = False
+    except Exception:  # whichever way Spark wraps it
+        refused = True
+    return inventory.described(inventory.selected(pinned, ["src1", "src2", "src1"]), "raw").withColumn("unknown_refused", F.lit(refused))
+
+
+@query(f"""WITH {PINNED}, h AS (SELECT *, CASE strlen(dataset || file) % 4 WHEN 0 THEN bytes WHEN 1 THEN bytes // 2 WHEN 2 THEN bytes + 1 END AS length FROM p)
+SELECT dataset, file, CASE WHEN length IS NULL THEN 'missing' WHEN length < bytes THEN 'partial' ELSE 'oversize' END AS state, 'https://huggingface.co/datasets/' || repository || '/resolve/' || revision || '/' || remote AS url,
+  CASE WHEN length < bytes THEN length ELSE 0 END AS start FROM h WHERE length IS NULL OR length <> bytes""")
+def s25_fetch_list(spark, sf):
+    """What is still to be fetched of releases of which some files are there, in full, in part, or too long."""
+    pinned = _pinned(spark, sf)
+    k = F.octet_length(F.concat("dataset", "file")) % 4
+    length = F.when(k == 0, F.col("bytes")).when(k == 1, F.floor(F.col("bytes") / 2)).when(k == 2, F.col("bytes") + 1)
+    return inventory.fetch_list(pinned, pinned.withColumn("length", length).where("length IS NOT NULL").select("folder", "file", "length"))

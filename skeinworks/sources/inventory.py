@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,46 @@ def inventory(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFra
     return spark.createDataFrame(files, SCHEMA)
 
 
+#: A pinned release: where its files come from, at which revision, and where they go.
+RELEASES = "dataset string, repository string, revision string, folder string, remote string, file string, bytes long"
+
+
+def pinned_releases(spark: SparkSession, releases: list[tuple]) -> DataFrame:
+    """A row for each file of each release, as pinned by the caller (``RELEASES``)."""
+    return spark.createDataFrame(releases, RELEASES)
+
+
+def selected(pinned: DataFrame, datasets: Sequence[str] = ()) -> DataFrame:
+    """The files of some datasets, all without a choice; one that isn't pinned is an error, raised where the rows are computed."""
+    if not datasets:
+        return pinned
+    wanted = pinned.sparkSession.createDataFrame([(d,) for d in datasets], "__wanted string").distinct()
+    both = wanted.join(pinned, F.col("__wanted") == F.col("dataset"), "left")
+    known = F.when(F.col("dataset").isNull(), F.raise_error(F.concat(F.lit("unknown dataset: "), "__wanted")).cast("boolean")).otherwise(F.lit(True))
+    return both.where(known).select(pinned.columns)
+
+
+def fetch_list(pinned: DataFrame, present: DataFrame, url: str = "https://huggingface.co/datasets/{repository}/resolve/{revision}/{remote}") -> DataFrame:
+    """dataset, file, state, url, start: what is still to be fetched, and from which byte on: partial files go on where they end, complete ones aren't listed.
+
+    ``present`` has folder, file, length.  A file longer than pinned is listed as ``oversize``, to be looked at, from byte 0.
+    """
+    have = present.select(F.col("folder").alias("__folder"), F.col("file").alias("__file"), "length")
+    both = pinned.join(have, (F.col("folder") == F.col("__folder")) & (F.col("file") == F.col("__file")), "left")
+    state = F.when(F.col("length").isNull(), "missing").when(F.col("length") < F.col("bytes"), "partial").when(F.col("length") > F.col("bytes"), "oversize")
+    parts = re.split(r"\{(\w+)\}", url)
+    address = F.concat(*(F.col(x) if k % 2 else F.lit(x) for k, x in enumerate(parts)))
+    start = F.when(F.col("length") < F.col("bytes"), F.col("length")).otherwise(0)
+    return both.withColumn("state", state).where("state IS NOT NULL").select("dataset", "file", "state", address.alias("url"), start.cast("long").alias("start"))
+
+
+def described(pinned: DataFrame, raw: str) -> DataFrame:
+    """dataset, said: ``dataset: repository@revision (n files, x GB) -> folder`` for each release."""
+    found = pinned.groupBy("dataset", "repository", "revision", "folder").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    said = F.concat("dataset", F.lit(": "), "repository", F.lit("@"), "revision", F.lit(" ("), F.col("n").cast("string"), F.lit(" files, "), F.format_string("%.3f", F.col("bytes") / 1e9), F.lit(f" GB) -> {raw}/"), "folder")
+    return found.select("dataset", said.alias("said"))
+
+
 def require_shards(df: DataFrame, expected: int) -> DataFrame:
     """``df`` if its files are as many as expected."""
     found = len(df.inputFiles())
