@@ -170,4 +170,4 @@ def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang_o
             names, scores = shared.value.score(part.column(len(others)))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(text).cast("string").alias("__text")).mapInArrow(score, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in others), F.col(text).cast("string").alias(text)).mapInArrow(score, schema)

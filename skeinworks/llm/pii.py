@@ -383,7 +383,7 @@ def find(docs: DataFrame, field: Field, *, text: str = "text", out: str = "pii")
             rows = [[{"kind": LABELS[k], "start": a, "end": b, "base": own} for k, a, b, own in sorted([(*s, True) for s in base] + [(*s, False) for s in more])] for base, more in found]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(rows, arrow)], names=schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in others), text_or_empty(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in others), text_or_empty(text).alias(text)).mapInArrow(run, schema)
 
 
 def _of_kind(kind: str):
@@ -391,7 +391,10 @@ def _of_kind(kind: str):
 
 
 def counted(found: DataFrame, *, key: str = "doc_id", spans: str = "pii") -> DataFrame:
-    """``key``, the number of base spans of each kind, the SHA-256 of their list, the list of all spans of these kinds, the list of secrets, and the number of spans of all kinds."""
+    """``key``, the number of base spans of each kind, the SHA-256 of their list, the list of all spans of these kinds, the list of secrets, and the number of spans of all kinds.
+
+    A row for each row of ``found``, repeated ones alike; a text without spans has zeros, empty lists and the hash of the empty one; a null key stays null, and an empty table gives an empty one.
+    """
     base, secret = F.filter(spans, lambda s: s["base"]), F.filter(spans, _of_kind("secret"))
     listed = lambda column: F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     numbers = [F.size(F.filter(base, _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]

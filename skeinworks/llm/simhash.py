@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 3, repea
             found = np.array([fingerprint(x.as_py(), shingle, repeats) for x in batch.column(len(others))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(found.view(np.int64))], names=schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in others), text_or_empty(text).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in others), text_or_empty(text).cast("binary").alias(text)).mapInArrow(run, schema)
 
 
 # ---- tables of distances ----

@@ -257,6 +257,36 @@ def test_repeated_heads_take_linear_time():
     assert ("mit", True, 100_000, 100_002) in automaton.places(said)
 
 
+# ---- counts of personal data ----
+
+
+def test_counts_of_odd_rows(spark, odd):
+    from skeinworks.llm import pii
+
+    rows = odd.union(odd.where("doc_id = 7").withColumns({"doc_id": F.lit(9).cast("long"), "text": F.lit("a.b@c.de, +1 (234) 567-8901, a.b@c.de")}))
+    found = pii.counted(pii.find(rows, pii.fit(rows)))
+    by_id = {}
+    for r in found.collect():
+        by_id.setdefault(r.doc_id, []).append(r)
+    assert sorted(by_id, key=repr) == sorted({k for k, _ in ODD} | {9}, key=repr) and len(by_id[4]) == 2 and by_id[4][0] == by_id[4][1]
+    empty = hashlib.sha256(b"").hexdigest()
+    for k in (0, 1, 2, None):
+        assert [(r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans, r.secrets, r.n_found) for r in by_id[k]] == [(0, 0, 0, 0, empty, "", "", 0)]
+    one = by_id[9][0]
+    base = "email:0:8,email:29:37,phone:10:27"
+    assert (one.n_email, one.n_phone, one.base_sha256) == (2, 1, hashlib.sha256(base.encode()).hexdigest()) and set(base.split(",")) <= set(one.spans.split(","))
+    assert pii.counted(pii.find(rows.limit(0), pii.fit(rows))).count() == 0
+
+
+def test_columns_that_operators_have_themselves(spark, odd):
+    from skeinworks.llm import langid, simhash
+
+    rows = odd.withColumn("lang", F.lit("en"))
+    assert langid.predict(rows, langid.fit(rows)).count() == len(ODD)
+    found = simhash.fingerprints(rows)
+    assert found.count() == len(ODD) and {r["__text"] for r in found.collect()} == {1}
+
+
 # ---- similar pairs ----
 
 
