@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 from urllib.parse import quote, unquote
 
@@ -147,11 +149,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], at: int, chars: int = 4 << 20
 
 
 def handed_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; at the end of the task its worker, which other stages will use, gives unused Arrow memory back."""
+    """The batches; at the end of the task its worker, which other stages will use, gives unused memory back: Arrow's, and that of the C library where it can."""
     try:
         yield from batches
     finally:
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def key_name(key: str | None) -> str:

@@ -199,7 +199,7 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
     tables, most = PivotTables(bits), MEETING
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fps in (batch.column(0).to_numpy().view(np.uint64)[at : at + DEALT] for batch in batches for at in range(0, batch.num_rows, DEALT)):
+        for fps in (batch.column(0).to_numpy().view(np.uint64)[at : at + DEALT] for batch in handed_back(batches) for at in range(0, batch.num_rows, DEALT)):
             keys = tables.keys(fps)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, keys.shape[1]).view(np.int64))], names=["key", "fp"])
 
@@ -255,7 +255,7 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
 
     def link_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
-        for batch in batches:
+        for batch in handed_back(batches):
             names = np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1)
             fps = batch.column(3).to_numpy().view(np.uint64)
             edges = [0, *(np.flatnonzero((np.diff(names, axis=0) != 0).any(axis=1)) + 1).tolist(), len(fps)]
