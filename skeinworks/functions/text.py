@@ -37,10 +37,10 @@ def segments(messages: Column, limit: int = 115_000) -> Column:
     return F.flatten(F.transform(zipped, of))
 
 
-def _starts(lengths: Column, is_full) -> Column:
-    """Where groups of consecutive items start: a new one where ``is_full`` of (items, characters so far, next length) says so.
+def _groups(lengths: Column, is_full) -> Column:
+    """Groups of consecutive items as struct<first, n>: a new one begins where ``is_full`` of (items, characters so far, next length) says so.
 
-    The fold holds two numbers and the starts, which are copied only where there is a new one.
+    The fold holds numbers and where groups begin, which are copied only where a new one does.
     """
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("items"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("starts"))
 
@@ -49,25 +49,22 @@ def _starts(lengths: Column, is_full) -> Column:
         starts = F.when(new, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"])
         return F.struct((s["at"] + 1).alias("at"), F.when(new, 1).otherwise(s["items"] + 1).alias("items"), F.when(new, n.cast("long")).otherwise(s["held"] + n).alias("held"), starts.alias("starts"))
 
-    return F.aggregate(lengths, zero, step)["starts"]
-
-
-def _groups(starts: Column, size: Column, of) -> Column:
-    """``of`` (number, start, length) of each group."""
-    return F.transform(starts, lambda s, k: of(k, s, F.coalesce(F.get(starts, k + 1), size) - s))
+    return F.aggregate(lengths, zero, step, lambda s: F.transform(s["starts"], lambda first, k: F.struct(first.alias("first"), (F.coalesce(F.get(s["starts"], k + 1), s["at"]) - first).alias("n"))))
 
 
 def greedy_chunks(pieces: Column, limit: int = 115_000, separator: str = "\n\n") -> Column:
     """Pieces joined in order into chunks of at most ``limit`` characters, separators counted; a longer piece is a chunk alone."""
     gap = len(separator)
-    starts = _starts(F.transform(pieces, lambda p: F.length(p)), lambda items, held, n: held + n + items * gap > limit)
-    return _groups(starts, F.size(pieces), lambda k, s, n: F.array_join(F.slice(pieces, s + 1, n), separator))
+    groups = _groups(F.transform(pieces, lambda p: F.length(p)), lambda items, held, n: held + n + items * gap > limit)
+    # An array of one, so that the pieces are made once and not for each chunk
+    both = F.array(F.struct(pieces.alias("pieces"), groups.alias("groups")))
+    return F.get(F.transform(both, lambda x: F.transform(x["groups"], lambda g: F.array_join(F.slice(x["pieces"], g["first"] + 1, g["n"]), separator))), F.lit(0))
 
 
 def batch_numbers(lengths: Column, *, max_items: int = 8, max_characters: int = 4_000) -> Column:
     """For each length the number of its batch, from 0: a batch closes before it would exceed either bound; a longer item is a batch alone."""
-    starts = _starts(lengths, lambda items, held, n: (items >= max_items) | (held + n > max_characters))
-    return F.flatten(_groups(starts, F.size(lengths), lambda k, s, n: F.array_repeat(k, n)))
+    groups = _groups(lengths, lambda items, held, n: (items >= max_items) | (held + n > max_characters))
+    return F.flatten(F.transform(groups, lambda g, k: F.array_repeat(k, g["n"])))
 
 
 def soft_pieces(text: Column, limit: int = 3_000) -> Column:

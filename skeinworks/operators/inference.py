@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -107,6 +107,12 @@ def faithful(sources: list[str], translations: list[str], *, least: int = 240, t
     return len(sources) == len(translations) and all(t and len(t) <= max(least, times * len(s)) for s, t in zip(sources, translations, strict=True))
 
 
+def faithful_answers(sources: Column, answers: Column, *, least: int = 240, times: int = 7) -> Column:
+    """The rule of ``faithful`` on columns of stored texts; a null answer is empty."""
+    said = lambda t, s: (F.length(F.coalesce(t, F.lit(""))) > 0) & (F.length(t) <= F.greatest(F.lit(least), times * F.length(s)))
+    return (F.size(sources) == F.size(answers)) & F.forall(F.zip_with(sources, answers, lambda s, t: F.coalesce(said(t, s), F.lit(False))), lambda x: x)
+
+
 def translate_batches(pieces: DataFrame, call: Callable[[list[str]], list[str]], *, key: str = "id", attempts: int = 3, pause: float = 1.0) -> DataFrame:
     """key, message_index, part_index, translation, error for batched pieces (``translate.batched``): a batch is one call, an unfaithful answer is tried again."""
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 
-import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -556,11 +555,7 @@ def f14_faithful_answers(spark, sf):
     own, how = F.transform("messages", lambda m: m["content"]), F.col("conv_id") % 4
     answer = F.when(how == 1, F.slice(own, 2, 1000)).when(how == 2, F.transform(own, lambda x, i: F.when(i > 0, x).otherwise(""))).when(how == 3, F.transform(own, lambda x: F.concat(F.repeat(x, 8), F.lit("x" * 240)))).otherwise(own)
 
-    @F.pandas_udf("boolean")
-    def checked(sources: pd.Series, answers: pd.Series) -> pd.Series:
-        return pd.Series([inference.faithful(list(a), list(b)) for a, b in zip(sources, answers, strict=True)])
-
-    return fx.corpus(spark, sf).select("conv_id", checked(own, answer).alias("ok"))
+    return fx.corpus(spark, sf).select("conv_id", inference.faithful_answers(own, answer).alias("ok"))
 
 
 @query(f"""WITH {SAID} SELECT id, string_agg(CASE WHEN pos % 4 = 2 THEN text ELSE 'x' END, '|' ORDER BY pos) AS said FROM told GROUP BY id""")

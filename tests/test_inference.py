@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skeinworks.functions.text import long_date
@@ -80,3 +82,11 @@ def test_sums_progress_and_dates(spark):
     assert tuple(inference.summed_metrics(parts, "id", "seconds", "tokens").first()) == ("a", 0.1, 5)
     assert inference.progress(parts.withColumn("error", F.lit(None).cast("string"))).count() == 2
     assert spark.createDataFrame([(datetime.date(2026, 3, 7),)], "d date").select(long_date(F.col("d")).alias("x")).first()["x"] == "7 March 2026"
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", max_size=5), st.text("cd", max_size=9)), max_size=4), st.integers(0, 1))
+def test_faithful_answers_as_in_tasks(spark, pairs, short):
+    sources, answers = [s for s, _ in pairs], [t for _, t in pairs][short:]
+    row = spark.createDataFrame([(sources, answers)], "s array<string>, t array<string>").select(inference.faithful_answers(F.col("s"), F.col("t"), least=3, times=2).alias("ok")).first()
+    assert row.ok == inference.faithful(sources, answers, least=3, times=2)

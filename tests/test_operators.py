@@ -428,3 +428,42 @@ def test_chunks_that_fail_are_errors(spark):
 
     got = sorted(legacy.classify_chunks(chunks, call, pause=0).collect(), key=lambda r: r.chunk)
     assert got[0].review.label == "yes" and got[0].error is None and got[1].review is None and got[1].error == "OSError: 2 of 2"
+
+
+def test_long_conversations_take_linear_time(spark):
+    """20,000 messages in seconds, and as one would do it by hand."""
+    import time
+
+    from skeinworks.functions.messages import turn_labels
+    from skeinworks.functions import text as tx
+
+    messages = [("user" if i % 3 else "assistant", f"text {i} " * (i % 5)) for i in range(20_000)]
+    rows = spark.createDataFrame([(messages,)], SAID)
+    began = time.time()
+    got = rows.select(turn_labels(F.col("messages")).alias("l"), tx.greedy_chunks(tx.segments(F.col("messages"), 400), 2500).alias("c"), tx.batch_numbers(F.transform("messages", lambda m: F.length(m["content"])), max_items=8, max_characters=400).alias("b")).first()
+    assert time.time() - began < 30
+    users = others = 0
+    labels = []
+    for role, _ in messages:
+        users, others = users + (role == "user"), others + (role != "user")
+        labels.append(f"U{users}" if role == "user" else f"A{others}")
+    chunks, batches, held = [], [], (0, 0)
+    for label, (_, text) in zip(labels, messages, strict=True):
+        piece = f"[{label}] {text}"
+        if chunks and len(chunks[-1]) + 2 + len(piece) <= 2500:
+            chunks[-1] += "\n\n" + piece
+        else:
+            chunks.append(piece)
+        full = held[0] and (held[0] >= 8 or held[1] + len(text) > 400)
+        batches.append((batches[-1] if batches else 0) + bool(full))
+        held = (1, len(text)) if full else (held[0] + 1, held[1] + len(text))
+    assert got.l == labels and got.c == chunks and got.b == batches
+
+
+def test_escapes_are_in_lower_case(spark):
+    from skeinworks.functions.messages import compact_json
+
+    texts = ["", "\x0b\x0e\x0f\x1a\x1f\x7f", "\\u001F \\", "\\\\u000B\x0b", "\"\x1c\n\t\x08\f\r/é😀 "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.j for r in rows.select("i", compact_json(F.struct("t")).alias("j")).collect()}
+    assert got == {i: json.dumps({"t": t}, ensure_ascii=False, separators=(",", ":")) for i, t in enumerate(texts)}
