@@ -1,14 +1,13 @@
 """All pairs of texts with similar sets of word shingles, found exactly, and which of them stay.
 
 Two sets with a similarity of ``least`` or more share one of the first few shingles of each, in any order of shingles
-that is the same for all texts.  So each text is sent to those of its shingles only, and texts that meet in one are
-compared whole.  Any order gives all pairs; this one begins with shingles that a sample of the texts doesn't have, so that what many texts
+that is the same for all texts.  So each text is sent to those of its shingles only.  How many of them two texts share bounds how many
+they share in all: the rest can add no more than what follows the first ones.  Those that pass are compared whole.  Any order gives all pairs; this one begins with shingles that a sample of the texts doesn't have, so that what many texts
 share comes last and few texts meet in it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +24,10 @@ SAMPLE_TEXTS, MOST_COMMON = 5_000, 1 << 20
 BYTES_AT_ONCE, SAMPLE_SHINGLES = 1 << 20, 4_096
 #: Shingles that a task sends at once, and text for each part of the shingles: a part is met in one task, a million of them or so.
 SENT_AT_ONCE, TEXT_OF_PART = 1 << 20, 32 << 20
-#: A shingle's high bits, the text's node, and its size by steps of the least similarity: what is sent of a text's shingle.
-SENT = np.dtype([("high", "<u4"), ("low", "<u2"), ("node", "<i8"), ("step", "u1")])
+#: Meetings of pairs that are counted at once.
+MET_AT_ONCE = 1 << 18
+#: A shingle's high bits, the text's node and how many shingles it has: what is sent of a text's shingle.
+SENT = np.dtype([("high", "<u4"), ("low", "<u2"), ("node", "<i8"), ("size", "<i4")])
 
 
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +48,11 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], np.array([r["n"] for r in found], np.int64)[order]
 
 
+def after_first(size, least: float):
+    """How many shingles of a set of ``size`` follow the first ones; a little less than the share, as a product of floats may come out too large."""
+    return np.ceil(least * size - 1e-9).astype(int) - 1
+
+
 def first_shingles(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
     """The first shingles of a set, in the order of all texts: as many as a similar set must share one of.  ``found`` is ascending."""
     shingles, counts = common
@@ -54,8 +60,7 @@ def first_shingles(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], lea
     if len(shingles):
         at = np.minimum(np.searchsorted(shingles, found), len(shingles) - 1)
         rank = np.where(shingles[at] == found, counts[at], 0)
-    # A little less than the share, as a product of floats may come out too large
-    return found[np.argsort(rank, kind="stable")][: len(found) - math.ceil(least * len(found) - 1e-9) + 1]
+    return found[np.argsort(rank, kind="stable")][: len(found) - int(after_first(np.array(len(found)), least))]
 
 
 def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -68,7 +73,6 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
 
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_OF_PART))
-    step = math.log(1 / least)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -77,7 +81,7 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
                 found = shingle_set(value.as_py(), words)
                 if len(found):
                     keys = first_shingles(found, common.value, least)
-                    held.append((keys, node, int(math.log(len(found)) / step)))
+                    held.append((keys, node, len(found)))
                     n += len(keys)
                 if n >= SENT_AT_ONCE:
                     yield sent(held)
@@ -90,7 +94,7 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
         keys = np.concatenate([k for k, _, _ in held])
         out, each = np.empty(len(keys), SENT), [len(k) for k, _, _ in held]
         out["high"], out["low"] = keys >> np.uint64(32), keys >> np.uint64(16) & np.uint64(0xFFFF)
-        out["node"], out["step"] = np.repeat([n for _, n, _ in held], each), np.repeat([c for _, _, c in held], each)
+        out["node"], out["size"] = np.repeat([n for _, n, _ in held], each), np.repeat([c for _, _, c in held], each)
         to = (keys % np.uint64(parts)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         edges = np.searchsorted(to[order], np.arange(parts + 1))
@@ -111,19 +115,35 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
 
     def met(all_: np.ndarray) -> Iterator[pa.RecordBatch]:
         key = all_["high"].astype(np.uint64) << np.uint64(16) | all_["low"].astype(np.uint64)
-        order = np.lexsort((all_["node"], all_["step"], key))
-        key, size, nodes = key[order], all_["step"][order].astype(int), all_["node"][order]
+        order = np.lexsort((all_["node"], all_["size"], key))
+        key, size, nodes = key[order], all_["size"][order].astype(np.int64), all_["node"][order]
         edges = np.flatnonzero(np.diff(key, prepend=~key[:1], append=~key[-1:]))
+        found, n = [], 0
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a < 2:
                 continue
-            # Similar sets are a step apart at most
-            reach = np.searchsorted(size[a:b], size[a:b] + 1, "right")
-            for i in range(b - a - 1):
-                other = nodes[a + i + 1 : a + reach[i]]
-                other = other[other != nodes[a + i]]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, nodes[a + i])), pa.array(np.maximum(other, nodes[a + i]))], names=["a", "b"])
+            # By ascending size: similar sets aren't far apart in it
+            reach = a + np.searchsorted(size[a:b], size[a:b] / least + 1e-6, "right")
+            for i in range(a, b - 1):
+                j = np.arange(i + 1, reach[i - a])
+                j = j[nodes[j] != nodes[i]]
+                if len(j):
+                    found.append((np.full(len(j), i), j))
+                    n += len(j)
+                if n >= MET_AT_ONCE:
+                    yield counted(found, size, nodes)
+                    found, n = [], 0
+        if found:
+            yield counted(found, size, nodes)
+
+    def counted(found: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        """How often each pair has met."""
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        swap = nodes[i] > nodes[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        pair = np.stack([nodes[i], nodes[j], size[i], size[j]], axis=1)
+        once, n = np.unique(pair, axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in once.T), pa.array(n.astype(np.int64))], names=["a", "b", "size_a", "size_b", "n"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(handed_back(batches), 2, BYTES_AT_ONCE):
@@ -135,7 +155,10 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     dealt = rows.mapInArrow(deal, "part long, sent binary").repartition(parts, "part").sortWithinPartitions("part")
-    met_pairs = written(dealt.mapInArrow(meet, "a long, b long").distinct(), "met")
+    each = dealt.mapInArrow(meet, "a long, b long, size_a long, size_b long, n long").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+    rest = lambda c: F.ceil(least * F.col(c) - 1e-9) - 1
+    enough = F.col("n") + F.greatest(rest("size_a"), rest("size_b")) >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    met_pairs = written(each.where(enough).select("a", "b"), "met")
     if met_pairs.isEmpty():
         return met_pairs
     wanted = met_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
