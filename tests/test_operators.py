@@ -187,8 +187,8 @@ def test_unknown_dataset(spark):
 
 
 def test_runs_count_all_stretches(spark):
-    rows = spark.createDataFrame(list(enumerate("aabba")), "n int, k string")
-    keys = corpus.run_keys(corpus.runs(rows, key="k", order="n"), key="k").orderBy("run").collect()
+    rows = spark.createDataFrame([(n, k, n // 3) for n, k in enumerate("aabba")], "n int, k string, part int")
+    keys = corpus.run_keys(corpus.runs(rows, key="k", order="n", part="part"), key="k", part="part").orderBy("run").collect()
     assert [r.run_key for r in keys] == ["a", "b", "a#occurrence=2"]
 
 
@@ -205,6 +205,10 @@ def test_guards(spark):
             report.cut_off(rows, bad)
     with pytest.raises(ValueError):
         review.require_empty(rows, "problems")
+    assert review.require_unique(rows, "rows").count() == 2 and review.manual_candidates(rows, rows.withColumn("label", F.lit("clear"))).count() == 2
+    for bad in (lambda: review.require_unique(rows.union(rows), "rows"), lambda: review.manual_candidates(rows.union(rows), rows.withColumn("label", F.lit("clear"))), lambda: audit.wanted(rows, rows.select(F.lit("z").alias("id")))):
+        with pytest.raises(PySparkException, match="(repeated|missing)"):
+            bad().collect()
     assert review.shared_ids({"x": rows, "y": rows.where("id = 'a'")}, key="id").collect()[0].ledgers == ["x", "y"]
     with pytest.raises(ValueError):
         translate.limited(rows, -1)
