@@ -128,7 +128,7 @@ def drops(docs: DataFrame, *, text: str = "text", by_text: bool = False, most_sh
     return gone if most_shared >= 1 else gone.join(mostly_shared(thin, most_shared), "mark", "left_anti")
 
 
-def without_templates(docs: DataFrame, *, text: str = "text", by_text: bool = False, most_shared: float = 1.0) -> DataFrame:
+def without_templates(docs: DataFrame, *, text: str = "text", by_text: bool = False, most_shared: float = 1.0, gone: DataFrame | None = None) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` (columns so named are replaced).
 
     Lines end at a newline; blank ones, and those of variable fields only, always stay.  A line
@@ -142,8 +142,10 @@ def without_templates(docs: DataFrame, *, text: str = "text", by_text: bool = Fa
     ``by_text``, all rows of a text are one document, so copies of a text lose nothing to each other.  A
     document with more than the share ``most_shared`` of its characters in lines that begin as lines of
     other texts do, by their leading tokens, is a copy, edited or not, and stays as it is.
+
+    ``gone`` is what ``drops`` gives for ``docs``, where the caller has stored that.
     """
-    gone = drops(docs, text=text, by_text=by_text, most_shared=most_shared).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("dropped").alias("__dropped"))
+    gone = (drops(docs, text=text, by_text=by_text, most_shared=most_shared) if gone is None else gone).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("dropped").alias("__dropped"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.xxhash64(F.col(text).cast("string")).alias("__own"))
     rows = rows.join(gone, F.col("__own").eqNullSafe(F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")

@@ -2,7 +2,9 @@
 
 Two sets with a similarity of ``least`` or more share one of the first few shingles of each, in any order of shingles
 that is the same for all texts.  So each text is sent to those of its shingles only.  How many of them two texts share bounds how many
-they share in all: the rest can add no more than what follows the first ones.  Those that pass are compared whole.  Any order gives all pairs; this one begins with shingles that a sample of the texts doesn't have, so that what many texts
+they share in all: the rest can add no more than what follows the first ones; and the very first one that they share must leave enough of both
+behind it.  Texts that meet in a common shingle only where it leaves too little aren't told of it, so passages that many texts share don't bring all of
+these together.  Those that pass are compared whole.  Any order gives all pairs; this one begins with shingles that a sample of the texts doesn't have, so that what many texts
 share comes last and few texts meet in it.
 """
 
@@ -26,8 +28,8 @@ BYTES_AT_ONCE, SAMPLE_SHINGLES = 1 << 20, 4_096
 SENT_AT_ONCE, TEXT_OF_PART = 1 << 20, 32 << 20
 #: Meetings of pairs that are counted at once.
 MET_AT_ONCE = 1 << 18
-#: A shingle's high bits, the text's node and how many shingles it has: what is sent of a text's shingle.
-SENT = np.dtype([("high", "<u4"), ("low", "<u2"), ("node", "<i8"), ("size", "<i4")])
+#: A shingle's high bits, the text's node, how many shingles it has, this one's place among them, and how many of the first ones are common: what is sent of a text's shingle.
+SENT = np.dtype([("high", "<u4"), ("low", "<u2"), ("node", "<i8"), ("size", "<i4"), ("at", "<i4"), ("common", "<i4")])
 
 
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,14 +55,15 @@ def after_first(size, least: float):
     return np.ceil(least * size - 1e-9).astype(int) - 1
 
 
-def first_shingles(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The first shingles of a set, in the order of all texts: as many as a similar set must share one of.  ``found`` is ascending."""
+def first_shingles(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, in the order of all texts: as many as a similar set must share one of; and how many of these, the last, are common.  ``found`` is ascending."""
     shingles, counts = common
     rank = np.zeros(len(found), np.int64)
     if len(shingles):
         at = np.minimum(np.searchsorted(shingles, found), len(shingles) - 1)
         rank = np.where(shingles[at] == found, counts[at], 0)
-    return found[np.argsort(rank, kind="stable")][: len(found) - int(after_first(np.array(len(found)), least))]
+    first = np.argsort(rank, kind="stable")[: len(found) - int(after_first(np.array(len(found)), least))]
+    return found[first], int((rank[first] > 0).sum())
 
 
 def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -80,8 +83,8 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
             for node, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 found = shingle_set(value.as_py(), words)
                 if len(found):
-                    keys = first_shingles(found, common.value, least)
-                    held.append((keys, node, len(found)))
+                    keys, known = first_shingles(found, common.value, least)
+                    held.append((keys, node, len(found), known))
                     n += len(keys)
                 if n >= SENT_AT_ONCE:
                     yield sent(held)
@@ -89,12 +92,13 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
         if held:
             yield sent(held)
 
-    def sent(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+    def sent(held: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
         """A row for each part, with what goes there as bytes: a third of what rows of their own would take."""
-        keys = np.concatenate([k for k, _, _ in held])
-        out, each = np.empty(len(keys), SENT), [len(k) for k, _, _ in held]
+        keys = np.concatenate([h[0] for h in held])
+        out, each = np.empty(len(keys), SENT), [len(h[0]) for h in held]
         out["high"], out["low"] = keys >> np.uint64(32), keys >> np.uint64(16) & np.uint64(0xFFFF)
-        out["node"], out["size"] = np.repeat([n for _, n, _ in held], each), np.repeat([c for _, _, c in held], each)
+        out["node"], out["size"], out["common"] = (np.repeat([h[k] for h in held], each) for k in (1, 2, 3))
+        out["at"] = np.concatenate([np.arange(n) for n in each])
         to = (keys % np.uint64(parts)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         edges = np.searchsorted(to[order], np.arange(parts + 1))
@@ -116,7 +120,9 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
     def met(all_: np.ndarray) -> Iterator[pa.RecordBatch]:
         key = all_["high"].astype(np.uint64) << np.uint64(16) | all_["low"].astype(np.uint64)
         order = np.lexsort((all_["node"], all_["size"], key))
-        key, size, nodes = key[order], all_["size"][order].astype(np.int64), all_["node"][order]
+        key, all_ = key[order], all_[order]
+        size, at, nodes = all_["size"].astype(np.int64), all_["at"].astype(np.int64), all_["node"]
+        is_common = at >= size - after_first(size, least) - all_["common"]
         edges = np.flatnonzero(np.diff(key, prepend=~key[:1], append=~key[-1:]))
         found, n = [], 0
         for a, b in zip(edges, edges[1:], strict=False):
@@ -127,23 +133,28 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
             for i in range(a, b - 1):
                 j = np.arange(i + 1, reach[i - a])
                 j = j[nodes[j] != nodes[i]]
+                shared = least / (1 + least) * (size[i] + size[j]) - 1e-6
+                first = (size[i] - at[i] >= shared) & (size[j] - at[j] >= shared)
+                if is_common[i]:
+                    j, first = j[first], first[first]
                 if len(j):
-                    found.append((np.full(len(j), i), j))
+                    found.append((np.full(len(j), i), j, first))
                     n += len(j)
                 if n >= MET_AT_ONCE:
-                    yield counted(found, size, nodes)
+                    yield counted(found, all_)
                     found, n = [], 0
         if found:
-            yield counted(found, size, nodes)
+            yield counted(found, all_)
 
-    def counted(found: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        """How often each pair has met."""
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        swap = nodes[i] > nodes[j]
+    def counted(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], all_: np.ndarray) -> pa.RecordBatch:
+        """How often each pair has met, and whether where it may be the first time."""
+        i, j, first = (np.concatenate(x) for x in zip(*found, strict=True))
+        swap = all_["node"][i] > all_["node"][j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        pair = np.stack([nodes[i], nodes[j], size[i], size[j]], axis=1)
-        once, n = np.unique(pair, axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in once.T), pa.array(n.astype(np.int64))], names=["a", "b", "size_a", "size_b", "n"])
+        pair = np.stack([all_["node"][i], all_["node"][j], all_["size"][i], all_["size"][j], np.minimum(all_["common"][i], all_["common"][j])], axis=1)
+        once, at, n = np.unique(pair, axis=0, return_inverse=True, return_counts=True)
+        firsts = np.bincount(at.ravel(), weights=first, minlength=len(once)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in once.T), pa.array(n.astype(np.int64)), pa.array(firsts)], names=["a", "b", "size_a", "size_b", "untold", "n", "firsts"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(handed_back(batches), 2, BYTES_AT_ONCE):
@@ -155,9 +166,10 @@ def pairs(texts: DataFrame, *, node: str, text: str = "text", words: int = 5, le
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     dealt = rows.mapInArrow(deal, "part long, sent binary").repartition(parts, "part").sortWithinPartitions("part")
-    each = dealt.mapInArrow(meet, "a long, b long, size_a long, size_b long, n long").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+    each = dealt.mapInArrow(meet, "a long, b long, size_a long, size_b long, untold long, n long, firsts long")
+    each = each.groupBy("a", "b", "size_a", "size_b", "untold").agg(F.sum("n").alias("n"), F.sum("firsts").alias("firsts")).where("firsts > 0")
     rest = lambda c: F.ceil(least * F.col(c) - 1e-9) - 1
-    enough = F.col("n") + F.greatest(rest("size_a"), rest("size_b")) >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    enough = F.col("n") + F.col("untold") + F.greatest(rest("size_a"), rest("size_b")) >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6
     met_pairs = written(each.where(enough).select("a", "b"), "met")
     if met_pairs.isEmpty():
         return met_pairs
