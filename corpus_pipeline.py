@@ -30,6 +30,19 @@ CACHE_ENTRIES = 100_000
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _stored(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written; whatever its operators have written for themselves goes at once, and Spark's cleaner is called for the shuffles that nothing needs any more."""
+    path = fresh_path(spark, what)
+    with intermediates(spark):
+        found = make()
+        schema = found.schema
+        found.write.parquet(path)
+    del found
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
 def own_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """``stage``, whose own columns begin with two underscores: columns of the caller's that do are renamed while it runs."""
 
@@ -60,23 +73,11 @@ def without_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Copies of a text are one document, and copies with edits, three quarters of which begin as other texts' lines do, stay whole.  Null texts
     stay null, empty ones empty; repeated rows agree; an empty table gives an empty one.
     """
-    kept = linededup.without_templates(docs, by_text=True, most_shared=MOST_SHARED)
+    gone = _stored(spark, "gone", lambda: linededup.drops(docs, by_text=True, most_shared=MOST_SHARED))
+    kept = linededup.without_templates(docs, gone=gone)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
-def _stored(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, written; whatever its operators have written for themselves goes at once, and Spark's cleaner is called for the shuffles that nothing needs any more."""
-    path = fresh_path(spark, what)
-    with intermediates(spark):
-        found = make()
-        schema = found.schema
-        found.write.parquet(path)
-    del found
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
-
-
 @own_names
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without near copies: of each group of candidates those that are not similar to one that stays, by id, the smallest first.
