@@ -194,7 +194,7 @@ def k03_streamed_ledger(spark, sf):
 
 
 @query(f"""WITH {MESSAGES}, b AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 0 WHEN conv_id % 3 > 0 THEN 1 ELSE 2 END AS batch FROM conv), n AS (SELECT batch, count(*) AS processed, count(*) FILTER (conv_id % 6 = 1) AS failed FROM b GROUP BY batch)
-SELECT batch, processed, failed, CAST(sum(processed) OVER w AS BIGINT) AS processed_so_far, CAST(sum(failed) OVER w AS BIGINT) AS failed_so_far, (SELECT count(*) FROM conv) AS total, 2.0::DOUBLE AS seconds, processed * 1800.0::DOUBLE AS per_hour FROM n WINDOW w AS (ORDER BY batch)""")
+SELECT CAST(batch AS BIGINT) AS batch, processed, failed, CAST(sum(processed) OVER w AS BIGINT) AS processed_so_far, CAST(sum(failed) OVER w AS BIGINT) AS failed_so_far, (SELECT count(*) FROM conv) AS total, 2.0::DOUBLE AS seconds, processed * 1800.0::DOUBLE AS per_hour FROM n WINDOW w AS (ORDER BY batch)""")
 def k16_progress(spark, sf):
     """The rows that a run of three batches leaves of its progress, by a clock of two seconds a batch."""
     source, out, marks, rows_of = (fx.scratch(spark, x) for x in ("in", "out", "marks", "progress"))
