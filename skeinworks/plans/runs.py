@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -393,53 +395,77 @@ def n11_assessed_in_parts(spark, sf):
     return found.select("conv_id", "total_chunks", "audited_chunks", F.array_join("findings", ",").alias("findings"), "error", F.col("assessment").contains('"q":"yes"').alias("carried"))
 
 
-def _noted(calls: str, text: str, fails: bool) -> None:
-    """Leave a file for each call in a folder that all tasks share, and fail a text's first call."""
+#: Folders that the files of calls are dealt to.
+CALL_FOLDERS = 256
+
+
+def _noted(calls: str, part: str, fails: bool) -> None:
+    """Leave a file for each call in a folder that all tasks share, and fail a part's first call.
+
+    A part's files are looked up by their names, so a call costs the same however many there have been.
+    """
     fs, at = files.opened(calls)
+    name = hashlib.sha256(part.encode()).hexdigest()
+    at = f"{at}/{int(name[:8], 16) % CALL_FOLDERS}"
     fs.create_dir(at)
-    name = hashlib.sha256(text.encode()).hexdigest()
-    before = [f for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.startswith(name)]
-    fs.open_output_stream(f"{at}/{name}-{len(before)}").close()
+    before = next(k for k in itertools.count() if fs.get_file_info(f"{at}/{name}-{k}").type == pafs.FileType.NotFound)
+    fs.open_output_stream(f"{at}/{name}-{before}").close()
     if fails and not before:
         raise OSError("busy")
 
 
+def _calls_in(spark: SparkSession, calls: str) -> int:
+    """How many calls have left files; the folders are listed by tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fs, at = files.opened(calls)
+            listed = (fs.get_file_info(pafs.FileSelector(f"{at}/{k}", allow_not_found=True)) for k in batch["id"])
+            yield pd.DataFrame({"n": [sum(map(len, listed))]})
+
+    return spark.range(0, CALL_FOLDERS, 1, CALL_FOLDERS // 8).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 @query(f"""WITH {CHUNKED}, f AS (SELECT conv_id, n AS first FROM chunks WHERE chunk = 0), per AS (SELECT c.conv_id, count(*) AS total, count(*) FILTER (first > 600 OR chunk = 0) AS audited, count(*) FILTER (n % 7 = 0 AND (first > 600 OR chunk = 0)) AS failures,
   string_agg(n::VARCHAR, ',' ORDER BY chunk) FILTER (chunk > 0 AND first > 600) AS findings FROM chunks c JOIN f ON c.conv_id = f.conv_id GROUP BY c.conv_id)
 SELECT conv_id, CAST(total AS INTEGER) AS total_chunks, CAST(audited AS INTEGER) AS audited_chunks, coalesce(findings, '') AS findings, CAST(NULL AS VARCHAR) AS error, (SELECT CAST(sum(audited + failures) AS BIGINT) FROM per) AS calls FROM per""")
 def n11_continued(spark, sf):
-    """A stream of conversations whose parts fail at their first call: it goes on at the part that failed, in a later batch, and asks no part again that has answered."""
+    """A stream of conversations whose parts fail at their first call: it goes on at the part that failed, in a later batch, and asks no part again that has answered.
+
+    A part begins with a line that names its conversation and place, so parts with equal texts are told apart.
+    """
     source, out, marks, calls = (fx.scratch(spark, x) for x in ("in", "out", "marks", "calls"))
     shape = "conv_id long, chunks array<string>"
-    fx.corpus(spark, sf).select("conv_id", tx.greedy_chunks(tx.segments(F.col("messages"), 400), 900).alias("chunks")).write.json(source)
+    chunks = tx.greedy_chunks(tx.segments(F.col("messages"), 400), 900)
+    named = F.transform(chunks, lambda text, i: F.concat_ws("\n", F.concat_ws("-", "conv_id", i), text))
+    fx.corpus(spark, sf).select("conv_id", named.alias("chunks")).write.json(source)
 
-    def first(text: str) -> dict:
-        _noted(calls, text, len(text) % 7 == 0)
+    def first(part: str) -> dict:
+        text = part.partition("\n")[2]
+        _noted(calls, part, len(text) % 7 == 0)
         return {"c": "yes" if len(text) > 600 else "no", "e": False, "a": False, "u": False, "x": False, "d": False, "z": False, "r": "none", "q": "no"}
 
-    def more(so_far: dict, text: str) -> dict:
-        _noted(calls, text, len(text) % 7 == 0)
+    def more(so_far: dict, part: str) -> dict:
+        text = part.partition("\n")[2]
+        _noted(calls, part, len(text) % 7 == 0)
         return so_far | {"f": str(len(text))}
 
-    before = {k: spark.conf.get(k, None) for k in assess.STORE}
+    # The longest conversation fixes how many batches there are, most of them nearly empty: a store for each core, as each costs every batch some time
+    stores = {"spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))}
+    before = {k: spark.conf.get(k, None) for k in assess.STORE | stores}
     try:
-        for k, v in assess.STORE.items():
+        for k, v in (assess.STORE | stores).items():
             spark.conf.set(k, v)
         stream = assess.assess_in_parts(spark.readStream.schema(shape).json(source), first, more, key="conv_id", pause=0.1)
         assess.run_until_idle(stream, out, marks, every=0.2)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v else spark.conf.unset(k)
-    n = _files_in(calls)
+    n = _calls_in(spark, calls)
     found = spark.read.schema(f"conv_id long, {assess.ASSESSED}").json(out)
     return found.select("conv_id", "total_chunks", "audited_chunks", F.array_join("findings", ",").alias("findings"), "error", F.lit(n).cast("long").alias("calls"))
 
 
-def _files_in(path: str) -> int:
-    fs, at = files.opened(path)
-    return len(fs.get_file_info(pafs.FileSelector(at)))
-
-
 def _screen(texts: list[str]) -> dict[int, dict]:
     """A double: no answer at all if a text's length is a multiple of 13, none to the last item of a batch of many if it is even."""
     if any(len(t) % 13 == 0 for t in texts):

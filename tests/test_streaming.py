@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import time
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from skeinworks.plans import catalog, runs
 from skeinworks.streaming import assess, resume
 
 NO = {"c": "no", "e": False, "a": False, "u": False, "x": False, "d": False, "z": False, "r": "none", "q": "no"}
@@ -66,3 +69,25 @@ def test_progress_of_repeated_and_empty_runs(spark, tmp_path):
     found = resume.read_progress(spark, rows_of).orderBy("batch").collect()
     assert [(r["batch"], r["processed"], r["failed"], r["processed_so_far"], r["failed_so_far"], r["total"]) for r in found if r["processed"]] == [(0, 2, 1, 2, 1, 4), (1, 2, 2, 4, 3, 4)]
     assert all(r["seconds"] > 0 and r["per_hour"] >= 0 for r in found)
+
+
+def test_calls_of_equal_conversations_are_told_apart(spark, tmp_path):
+    """Conversations given three times over: each copy's parts fail once of their own, as in the SQL."""
+    said = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("conv_id < 40")
+    copies = said.crossJoin(spark.range(3).withColumnRenamed("id", "copy")).withColumn("conv_id", F.col("conv_id") + F.col("copy") * 1_000_000).drop("copy")
+    copies.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLES["n11_continued"])
+    got = catalog.QUERIES["n11_continued"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_a_noted_call_lists_no_folder(tmp_path, monkeypatch):
+    """What a call costs doesn't grow with the calls before it."""
+    monkeypatch.setattr(runs.pafs, "FileSelector", None)
+    for part in ("a", "b"):
+        with pytest.raises(OSError, match="busy"):
+            runs._noted(f"file://{tmp_path}", part, True)
+        runs._noted(f"file://{tmp_path}", part, True)
+    assert sum(p.is_file() for p in tmp_path.rglob("*")) == 4
