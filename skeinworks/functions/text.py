@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,24 +69,13 @@ def batch_numbers(lengths: Column, *, max_items: int = 8, max_characters: int =
 def soft_pieces(text: Column, limit: int = 3_000) -> Column:
     """Pieces of at most ``limit`` characters that lose nothing: each ends before the last newline in reach, else before the last space, either only in its second half, else at the limit.
 
-    A null text has no pieces.  Where a piece ends depends on the one before, so Arrow batches
-    are walked by place, in time linear in the text: nothing is copied but the pieces.
+    A null text has no pieces, an empty one is a piece.  One pattern finds piece after piece, each from where the last one
+    ended, so no text leaves the JVM and the time is linear in it.
     """
     half = limit // 2
-
-    def cut(value: str) -> list[str]:
-        ends = [0]
-        while len(value) - ends[-1] > limit:
-            at = ends[-1]
-            soft = (value.rfind(mark, at + half, at + limit) for mark in "\n ")
-            ends.append(next((end for end in soft if end > at), at + limit))
-        return [value[a:b] for a, b in zip(ends, [*ends[1:], len(value)], strict=True)]
-
-    @F.pandas_udf("array<string>")
-    def pieces(values: pd.Series) -> pd.Series:
-        return values.map(lambda value: None if value is None else cut(value))
-
-    return pieces(text)
+    soft = [rf".{{{half},{limit - 1}}}(?={mark})" for mark in (r"\n", " ")] if half else []
+    ends = "|".join([rf".{{1,{limit}}}\z", *soft, f".{{{limit}}}"])
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s){ends}"), F.lit(0)))
 
 
 def elide(text: Column, limit: int, reserve: int = 36, mark: str = " […omitted…] ") -> Column:

@@ -92,6 +92,16 @@ def test_soft_pieces(spark, texts, limit):
     assert ["".join(p) for p in got] == texts
 
 
+def test_soft_pieces_stay_in_the_jvm(spark, capsys):
+    """No Python takes part; characters of one and two UTF-16 units by turns, a limit of one, empty and null texts come out as by the model."""
+    texts = ["a😀" * 5_000, "a😀" * 1_400 + "\n" + "😀" * 4_000 + " b", "", "x" * 3_000, "x" * 3_001]
+    df = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "i int, t string").select("i", tx.soft_pieces(F.col("t")).alias("p"), tx.soft_pieces(F.col("t"), 1).alias("q"))
+    df.explain()
+    assert "Python" not in capsys.readouterr().out
+    got = [(r.p, r.q) for r in df.orderBy("i").collect()]
+    assert got == [*((soft(t, 3_000), list(t) or [""]) for t in texts), (None, None)]
+
+
 @SLOW
 @given(st.lists(st.lists(st.integers(0, 30), max_size=10), min_size=1, max_size=20), st.integers(1, 4), st.integers(1, 40))
 def test_batch_numbers(spark, rows, items, most):
